@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden import constants as K
@@ -41,75 +41,82 @@ def review_prompt(text: Column | str, score: Column | str, flags: Column | str)
     )
 
 
-def parse_verdict(raw: Column | str, ml_score: Column | str) -> Column:
-    """Struct with the checked verdict of an answer.
+def parse_verdicts(
+    df: DataFrame, raw: str = "raw", ml_score: str = "score", name: str = "verdict"
+) -> DataFrame:
+    """Add the checked verdict of each answer as a struct.
 
     Missing fields get their fallback, a score that is no number becomes the
     model score, an unknown action becomes review.  An answer that is no JSON
     object gives the verdict of the reviewer_unavailable policy and an error.
+    The steps are columns of their own, so that each is computed once.
     """
-    ml = col(ml_score).cast("double")
-    body = strip_fence(raw)
-    keys = F.json_object_keys(body)
-    parsed = F.from_json(body, K.VERDICT_SCHEMA)
-    # one whole object and nothing behind it: the readers above stop after the first object
-    alone = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
-    ok = F.coalesce(keys.isNotNull() & alone & strip_space(body).endswith("}"), F.lit(False))
-    has = lambda name: F.array_contains(keys, name)
+    body = df.withColumn("__body", strip_space(raw)).withColumn("__body", strip_fence("__body"))
+    # one whole object and nothing behind it: the readers stop after the first object
+    alone = F.json_array_length(F.concat(F.lit("["), F.col("__body"), F.lit("]"))) == 1
+    closed = strip_space("__body").endswith("}")
+    read = body.select(
+        "*",
+        F.json_object_keys("__body").alias("__keys"),
+        F.from_json("__body", K.VERDICT_SCHEMA).alias("__v"),
+        (alone & closed).alias("__alone"),
+    )
+    ok = F.coalesce(F.col("__keys").isNotNull() & F.col("__alone"), F.lit(False))
+    checked = read.withColumn("__ok", ok).withColumn(name, _checked(ml_score))
+    return checked.drop("__body", "__keys", "__v", "__alone", "__ok")
+
+
+def _checked(ml_score: str) -> Column:
+    ok, ml = F.col("__ok"), F.col(ml_score).cast("double")
+    given = lambda field: F.col(f"__v.{field}")
+    has = lambda field: F.array_contains("__keys", field)
     spare = decide(ml, "reviewer_unavailable")
-    error = F.when(~ok, F.lit("JSON parse error"))
-
-    stated = F.coalesce(parsed["contextual_toxicity_score"], ml)
-    score = F.when(has("contextual_toxicity_score"), clamp(stated)).otherwise(dbl(0.5))
-    action = F.when(parsed["recommended_action"].isin(*K.ACTIONS), parsed["recommended_action"])
-    action = F.coalesce(action, F.lit("review"))
-    confidence = F.when(has("confidence"), parsed["confidence"]).otherwise("medium")
-    reasoning = F.when(has("reasoning"), parsed["reasoning"]).otherwise(K.MISSING_REASONING)
     unknown = F.array(F.lit("unknown"))
-    categories = F.when(has("harm_categories"), parsed["harm_categories"]).otherwise(unknown)
-    failed = F.concat(F.lit("Second opinion failed: "), error, F.lit(". Using ML model score."))
-    score = F.when(ok, score).otherwise(ml)
+    error = "JSON parse error"
+
+    stated = clamp(F.coalesce(given("contextual_toxicity_score"), ml))
+    stated = F.when(has("contextual_toxicity_score"), stated).otherwise(dbl(0.5))
+    action = F.when(given("recommended_action").isin(*K.ACTIONS), given("recommended_action"))
+    or_else = lambda field, spare: F.when(has(field), given(field)).otherwise(spare)
+    if_ok = lambda field, spare: F.coalesce(F.when(ok, given(field)), spare)
     return F.struct(
-        score.alias("score"),
-        F.when(ok, action).otherwise(spare["action"]).alias("action"),
-        F.when(ok, confidence).otherwise(spare["confidence"]).alias("confidence"),
-        F.when(ok, reasoning).otherwise(failed).alias("reasoning"),
-        F.when(ok, categories).otherwise(unknown).alias("harm_categories"),
-        F.when(ok, F.coalesce(parsed["context_factors"], F.array().cast("array<string>")))
+        F.when(ok, stated).otherwise(ml).alias("score"),
+        F.when(ok, F.coalesce(action, F.lit("review"))).otherwise(spare["action"]).alias("action"),
+        F.when(ok, or_else("confidence", F.lit("medium"))).otherwise(spare["confidence"]).alias("confidence"),
+        F.when(ok, or_else("reasoning", F.lit(K.MISSING_REASONING)))
+        .otherwise(F.lit(failure_reason(error)))
+        .alias("reasoning"),
+        F.when(ok, or_else("harm_categories", unknown)).otherwise(unknown).alias("harm_categories"),
+        F.when(ok, F.coalesce(given("context_factors"), F.array().cast("array<string>")))
         .otherwise(F.array(F.lit("reviewer_unavailable")))
         .alias("context_factors"),
-        F.coalesce(F.when(ok, parsed["is_sarcasm"]), F.lit(False)).alias("is_sarcasm"),
-        F.coalesce(F.when(ok, parsed["is_false_positive"]), F.lit(False)).alias("is_false_positive"),
-        F.coalesce(F.when(ok, parsed["severity_level"]), F.lit("medium")).alias("severity_level"),
-        F.coalesce(F.when(ok, parsed["target_audience_risk"]), F.lit("unknown")).alias(
-            "target_audience_risk"
-        ),
-        F.coalesce(F.when(ok, parsed["cultural_sensitivity"]), F.lit("unknown")).alias(
-            "cultural_sensitivity"
-        ),
-        F.coalesce(F.when(ok, parsed["explanation_for_user"]), F.lit(K.DEFAULT_EXPLANATION)).alias(
-            "explanation_for_user"
-        ),
+        if_ok("is_sarcasm", F.lit(False)).alias("is_sarcasm"),
+        if_ok("is_false_positive", F.lit(False)).alias("is_false_positive"),
+        if_ok("severity_level", F.lit("medium")).alias("severity_level"),
+        if_ok("target_audience_risk", F.lit("unknown")).alias("target_audience_risk"),
+        if_ok("cultural_sensitivity", F.lit("unknown")).alias("cultural_sensitivity"),
+        if_ok("explanation_for_user", F.lit(K.DEFAULT_EXPLANATION)).alias("explanation_for_user"),
         ok.alias("enhanced"),
-        F.when(ok, F.abs(score - ml)).otherwise(dbl(0)).alias("score_difference"),
-        error.alias("error"),
+        F.when(ok, F.abs(stated - ml)).otherwise(dbl(0)).alias("score_difference"),
+        F.when(~ok, F.lit(error)).alias("error"),
     )
 
 
+def failure_reason(error: str) -> str:
+    return f"Second opinion failed: {error}. Using ML model score."
+
+
 def model_only_verdict(ml_score: Column | str) -> Column:
     """The verdict a row gets that is not sent to a reviewer."""
-    return _own_verdict(ml_score, "ml_only", lambda a: F.coalesce(*[
-        F.when(a == k, F.lit(v)) for k, v in K.MODEL_ONLY_REASONS.items()
-    ]), F.array().cast("array<string>"), None)
+    reason = lambda a: F.coalesce(*[F.when(a == k, v) for k, v in K.MODEL_ONLY_REASONS.items()])
+    return _own_verdict(ml_score, "ml_only", reason, F.array().cast("array<string>"), None)
 
 
 def unavailable_verdict(ml_score: Column | str, error: str = "no answer") -> Column:
     """The verdict a row gets whose reviewer never answered."""
-    reason = f"Second opinion failed: {error}. Using ML model score."
-    return _own_verdict(
-        ml_score, "reviewer_unavailable", lambda a: F.lit(reason),
-        F.array(F.lit("reviewer_unavailable")), error,
-    )
+    reason = lambda a: F.lit(failure_reason(error))
+    factors = F.array(F.lit("reviewer_unavailable"))
+    return _own_verdict(ml_score, "reviewer_unavailable", reason, factors, error)
 
 
 def _own_verdict(ml_score, policy, reason, factors, error) -> Column:

@@ -14,7 +14,7 @@ from textwarden.functions.scores import borderline, is_toxic, percent_text
 from textwarden.functions.text import preview
 from textwarden.functions.verdicts import (
     model_only_verdict,
-    parse_verdict,
+    parse_verdicts,
     review_prompt,
     unavailable_verdict,
 )
@@ -54,9 +54,10 @@ def attach_verdicts(
     verdict = (
         F.when(~F.col("routed"), model_only_verdict("score"))
         .when(F.col("__raw").isNull(), unavailable_verdict("score"))
-        .otherwise(parse_verdict("__raw", "score"))
+        .otherwise(F.col("__parsed"))
     )
-    out = joined.withColumn("verdict", verdict).drop("__key", "__raw")
+    parsed = parse_verdicts(joined, "__raw", "score", "__parsed")
+    out = parsed.withColumn("verdict", verdict).drop("__key", "__raw", "__parsed")
     return out.withColumn("enhanced", F.col("verdict.enhanced"))
 
 

@@ -152,11 +152,11 @@ def apply_retention(
 ) -> DataFrame:
     """Keep what is not older than the days of its stream; unknown streams keep all.
 
-    The limit of the longest stream is stated on its own, so that it reaches the
-    scan and prunes date partitions when every stream is known.
+    Stated as alternatives of plain comparisons, which a Parquet scan can use to
+    skip row groups and date partitions.
     """
-    keep = F.lit(True)
-    for name, days in days_by_stream.items():
-        oldest = as_of - F.make_dt_interval(F.lit(days))
-        keep = F.when(F.col(stream) == name, F.col("ts") >= oldest).otherwise(keep)
+    name = F.col(stream)
+    keep = name.isNull() | ~name.isin(*days_by_stream)
+    for known, days in days_by_stream.items():
+        keep = keep | ((name == known) & (F.col("ts") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS")))
     return df.filter(keep)

@@ -43,20 +43,27 @@ def hash_cuts(
     cuts = (
         sizes.select("*", F.sum("__n").over(upto).alias("__upto"), limits.alias("__limits"))
         .select("*", F.posexplode("__limits").alias("__i", "__limit"))
-        .filter((F.col("__limit") <= F.col("__upto")) & (F.col("__limit") > F.col("__upto") - F.col("__n")))
+        .withColumn("__before", F.col("__upto") - F.col("__n"))
+        .filter(
+            ((F.col("__limit") <= F.col("__upto")) & (F.col("__limit") > F.col("__before")))
+            | ((F.col("__limit") == 0) & (F.col("__before") == 0))
+        )
         .select(
             "__by", "__piece", "__i",
-            (F.col("__limit") - F.col("__upto") + F.col("__n")).cast("bigint").alias("__at"),
+            (F.col("__limit") - F.col("__before")).cast("bigint").alias("__at"),
         )
         .limit(MAX_CUTS + 1)
         .collect()
     )
     if len(cuts) > MAX_CUTS:
         raise ValueError(f"{by} has too many classes for a stratified split")
+    # a share that rounds to no row closes before the first one
+    none = [(r["__by"], r["__i"], "", None) for r in cuts if r["__at"] == 0]
+    cuts = [tuple(r) for r in cuts if r["__at"] > 0]
     if not cuts:
-        return []
+        return none
     wanted = df.sparkSession.createDataFrame(
-        [tuple(r) for r in cuts],
+        cuts,
         StructType([*narrow.select("__by", "__piece").schema, *_CUT_FIELDS]),
     )
     pieces = wanted.select("__by", "__piece").distinct()
@@ -65,13 +72,13 @@ def hash_cuts(
     order = Window.partitionBy("__by", "__piece").orderBy("__h", "__key")
     near = near.filter("__hit").withColumn("__at", F.row_number().over(order).cast("bigint"))
     rows = join_back(near, F.broadcast(wanted), ["__by", "__piece", "__at"]).filter("__i IS NOT NULL")
-    return [tuple(r) for r in rows.select("__by", "__i", "__h", "__key").collect()]
+    return none + [tuple(r) for r in rows.select("__by", "__i", "__h", "__key").collect()]
 
 
 _CUT_FIELDS = [StructField("__i", IntegerType()), StructField("__at", LongType())]
 
 
-def _side(df: DataFrame, by: str, key: str, cuts: list[tuple], seed: int) -> Column:
+def _side(by: str, key: str, cuts: list[tuple], seed: int) -> Column:
     """Number of cuts of its class a row lies behind."""
     h = seeded_hash(key, seed)
     behind = F.lit(0)
@@ -89,11 +96,7 @@ def stratified_split(
     Once the cuts are known every row is placed on its own, without a shuffle.
     """
     cuts = hash_cuts(df, label, key, [test_size], seed)
-    cut_classes = [c[0] for c in cuts]
-    has_test = F.lit(False)
-    for value in cut_classes:
-        has_test = has_test | F.col(label).eqNullSafe(F.lit(value))
-    test = has_test & (_side(df, label, key, cuts, seed) == 0)
+    test = _side(label, key, cuts, seed) == 0
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
@@ -102,7 +105,7 @@ def stratified_folds(
 ) -> DataFrame:
     """Add a fold number: k hash ranges per class that differ by one row at most."""
     cuts = hash_cuts(df, label, key, [i / k for i in range(1, k)], seed)
-    return df.withColumn(name, _side(df, label, key, cuts, seed).cast("int"))
+    return df.withColumn(name, _side(label, key, cuts, seed).cast("int"))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

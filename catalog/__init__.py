@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("text", "requests", "quality", "policy")
+AREAS = ("text", "requests", "quality", "policy", "evaluation", "monitoring")
 
 
 def load_all():

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("text", "requests", "quality", "policy", "evaluation", "monitoring")
+AREAS = ("text", "requests", "quality", "policy", "evaluation", "monitoring", "registry", "terms")
 
 
 def load_all():

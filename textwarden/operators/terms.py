@@ -42,7 +42,7 @@ def doc_terms(
         lambda i: (i == 1) | (F.get("__t", i - 1) != F.get("__t", i - 2)),
     )
     rows = rows.select(key, "__t", F.when(F.size("__t") > 0, starts).alias("__s"))
-    ends = F.concat(F.slice("__s", 2, 2147483647), F.array(F.size("__t") + 1))
+    ends = F.concat(F.slice("__s", F.lit(2), F.size("__s")), F.array(F.size("__t") + 1))
     counted = F.zip_with(
         "__s",
         ends,

@@ -2,7 +2,10 @@
 
 import importlib
 
-AREAS = ("text", "requests", "quality", "policy", "evaluation", "monitoring", "registry", "terms")
+AREAS = (
+    "text", "requests", "quality", "policy", "evaluation", "monitoring", "registry", "terms", "streaming",
+    "tables", "model",
+)
 
 
 def load_all():

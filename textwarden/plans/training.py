@@ -215,11 +215,18 @@ def train_with_holdout(
     train = split.filter("split = 'train'").drop("split")
     first, metrics = train_classifier(train, key, text, label, settings)
     held = score_texts(first, split.filter("split = 'test'"), text)
-    final, _ = _refit(split, key, text, label, settings)
-    return final, metrics, held
+    return fit_all(split, key, text, label, settings), metrics, held
 
 
-def _refit(df, key, text, label, s: Settings):
+def fit_all(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "comment_text",
+    label: str = "toxic",
+    settings: Settings = Settings(),
+) -> PipelineModel:
+    """The model fitted on all rows, without cross-validation."""
+    s = settings
     rows = spread(df.select(key, text, F.col(label).cast("int").alias(label)), key)
     stages = _text_stages(s, text)
     kept = PipelineModel(stages).transform(rows).select(key, label, "__terms").persist()
@@ -229,7 +236,7 @@ def _refit(df, key, text, label, s: Settings):
         final = _fit(kept, _vocabulary(stats, n, s), n, label, s)
     finally:
         kept.unpersist()
-    return PipelineModel([*stages, *final]), n
+    return PipelineModel([*stages, *final])
 
 
 def score_texts(model: PipelineModel, df: DataFrame, text: str = "comment_text") -> DataFrame:

@@ -64,11 +64,16 @@ def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     ).filter(F.col("text") != "")
 
 
-def read_json_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents under a fixed schema; no file gives no row."""
+def read_json_report(
+    spark: SparkSession, path: str, schema: str, pretty: bool = False
+) -> DataFrame:
+    """JSON documents under a fixed schema; no file gives no row.
+
+    One document per line, or with ``pretty`` one per file over many lines.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", pretty).json(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog._base import documents, query, table
 from textwarden import constants as K
 from textwarden.operators import terms as TM
+from textwarden.sources.files import spread
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
 
@@ -102,9 +103,11 @@ SQL_COEFFICIENTS = f"""{SQL_TERMS}, marked AS (SELECT term, CAST(sum(tf) AS BIGI
   coef AS (SELECT * FROM marked ORDER BY tf DESC, term LIMIT 10000)"""
 
 
-def coefficients(spark, sf, terms):
+def coefficients(spark, sf):
     n = table(spark, sf, "documents").count()
-    odds = TM.log_odds(terms, "doc_id", table(spark, sf, "labels"), "toxic", n)
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    marked = spread(table(spark, sf, "documents").join(labels, "doc_id"), "doc_id")
+    odds = TM.log_odds(TM.doc_terms(marked, "doc_id", "text", keep=["toxic"]), "toxic", n)
     return odds.orderBy(F.desc("tf"), "term").limit(10000)
 
 
@@ -113,7 +116,7 @@ def coefficients(spark, sf, terms):
     f"WITH {SQL_COEFFICIENTS} SELECT term, tf, df, round(weight, 6) AS weight, round(idf, 6) AS idf FROM coef",
 )
 def linear_coefficients(spark, sf):
-    c = coefficients(spark, sf, doc_terms(spark, sf))
+    c = coefficients(spark, sf)
     return c.select("term", "tf", "df", F.round("weight", 6).alias("weight"), F.round("idf", 6).alias("idf"))
 
 
@@ -130,6 +133,5 @@ SQL_LINEAR = f"""{SQL_COEFFICIENTS},
     FROM linear""",
 )
 def linear_scores(spark, sf):
-    terms = doc_terms(spark, sf)
-    s = TM.score_linear(terms, "doc_id", coefficients(spark, sf, terms), intercept=0.25)
+    s = TM.score_linear(doc_terms(spark, sf), "doc_id", coefficients(spark, sf), intercept=0.25)
     return s.withColumn("score", F.round("score", 6))

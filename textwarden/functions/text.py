@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,8 @@ from textwarden.functions._base import col
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 URL_CHARS = r"[!$-_a-z]+"
 WORD_CHARS = r"\p{L}\p{N}_"
+# without any of these, no removal or shortening rule can apply
+MARKS = ("://", "www.", "@", "....", "!!!", "???")
 
 
 @F.pandas_udf(StringType())
@@ -47,7 +50,9 @@ def strip_emails(c: Column | str) -> Column:
     A match always covers a run from its first character on, so anchoring it
     there changes nothing but saves a retry at every later character.
     """
-    return F.regexp_replace(col(c), f"(?<![^{SPACE}])[^{SPACE}]+@[^{SPACE}]+", "")
+    c = col(c)
+    stripped = F.regexp_replace(c, f"(?<![^{SPACE}])[^{SPACE}]+@[^{SPACE}]+", "")
+    return F.when(c.contains("@"), stripped).otherwise(c)
 
 
 def squeeze_punct(c: Column | str) -> Column:
@@ -72,7 +77,10 @@ def clean_text(c: Column | str, unescape: bool = True) -> Column:
     NULL gives the empty text.
     """
     c = html_unescape(c) if unescape else col(c)
-    return F.coalesce(squeeze_space(squeeze_punct(strip_emails(strip_urls(c)))), F.lit(""))
+    stripped = squeeze_punct(strip_emails(strip_urls(c)))
+    # plain searches are far cheaper than the patterns, and most texts hold none of these
+    touched = reduce(lambda a, b: a | b, [c.contains(m) for m in MARKS])
+    return F.coalesce(squeeze_space(F.when(touched, stripped).otherwise(c)), F.lit(""))
 
 
 def word_count(c: Column | str) -> Column:

@@ -52,20 +52,20 @@ def alarm_windows(metrics: DataFrame, alarms: Sequence[tuple]) -> DataFrame:
 def evaluate_alarms(metrics: DataFrame, alarms: Sequence[tuple] = K.ALARMS) -> DataFrame:
     """Value, breach and alarm state of every window, gaps included.
 
-    A window without points does not breach.  The grid has one row per alarm and
-    window, whatever the number of points.
+    A window without points does not breach.  Each window is followed by the
+    empty ones up to the next, so the points are read and grouped once.
     """
     windows = alarm_windows(metrics, alarms)
-    keys = ["alarm", "metric", "stat", "op", "threshold", "periods", "period_s"]
-    span = windows.groupBy(*keys).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    grid = span.select(
-        *keys, F.explode(F.sequence("lo", "hi", F.col("period_s").cast("bigint"))).alias("slot")
-    )
-    values = windows.select("alarm", "slot", "value")
-    filled = grid.join(values, ["alarm", "slot"], "left")
-    breach = F.coalesce(breaches(F.col("value"), F.col("op"), F.col("threshold")), F.lit(False))
-    marked = filled.withColumn("breach", breach)
+    period = F.col("period_s").cast("bigint")
     ordered = Window.partitionBy("alarm").orderBy("slot")
+    until = F.coalesce(F.lead("slot").over(ordered) - period, F.col("slot"))
+    spans = windows.withColumn("__slots", F.sequence("slot", until, period))
+    filled = spans.select(
+        "alarm", "metric", "stat", "op", "threshold", "periods", "period_s",
+        F.col("slot").alias("__slot"), F.explode("__slots").alias("slot"), F.col("value").alias("__value"),
+    ).withColumn("value", F.when(F.col("slot") == F.col("__slot"), F.col("__value")))
+    breach = F.coalesce(breaches(F.col("value"), F.col("op"), F.col("threshold")), F.lit(False))
+    marked = filled.drop("__slot", "__value").withColumn("breach", breach)
     # length of the current run of breaches: windows since the last one without
     calm = F.max(F.when(~F.col("breach"), F.col("slot"))).over(ordered)
     first = F.min("slot").over(Window.partitionBy("alarm"))

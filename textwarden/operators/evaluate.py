@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,12 @@ from textwarden.functions.scores import safe_ratio
 from textwarden.operators.ordering import join_back, running_sums
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def with_labels(decisions: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Decisions next to the labels of the same key."""
     return decisions.join(labels, key)
@@ -155,11 +162,7 @@ def binary_metrics(
     if score is None:
         return out
     areas = roc_auc(df, label, score, by)
-    if not by:
-        # one row on each side
-        out, areas = out.withColumn("__one", F.lit(1)), areas.withColumn("__one", F.lit(1))
-        return out.join(areas, "__one").drop("__one")
-    return join_back(out, areas, by)
+    return join_back(out, areas, by) if by else one_row(out, areas)
 
 
 def cv_summary(folds: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textwarden.functions._base import dbl
 from textwarden.functions.scores import safe_ratio
+from textwarden.operators.evaluate import one_row
 
 
 def _point(name: str, value: Column, unit: str, dims: Column, when: Column | None = None) -> Column:
@@ -126,10 +127,7 @@ def metric_names(metrics: DataFrame, first: int = 5) -> DataFrame:
     names = metrics.select("name").distinct()
     total = names.agg(F.count("*").alias("n_names"))
     head = names.orderBy("name").limit(first).agg(F.sort_array(F.collect_list("name")).alias("first"))
-    # one row on each side
-    return total.withColumn("__one", F.lit(1)).join(head.withColumn("__one", F.lit(1)), "__one").drop(
-        "__one"
-    )
+    return one_row(total, head)
 
 
 def count_log_pattern(

@@ -8,7 +8,6 @@ carry the totals of the pieces before, which are one small row each.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +22,18 @@ def seeded_hash(key: Column | str, seed: int | str) -> Column:
 
 
 
+def _box(*columns: Column | str) -> Column:
+    """Columns as one key that is never NULL; NULL fields of two keys are equal.
+
+    Windows and joins on the same key share one shuffle.
+    """
+    return F.struct(*columns)
+
+
 def join_back(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on keys that may be NULL; the right side brings one row per key."""
-    renamed = small.select([F.col(c).alias(f"__{c}" if c in keys else c) for c in small.columns])
-    on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
-    return rows.join(renamed, on, "left").drop(*[f"__{k}" for k in keys])
+    right = small.select(_box(*keys).alias("__key"), *[c for c in small.columns if c not in keys])
+    return rows.withColumn("__key", _box(*keys)).join(right, "__key", "left").drop("__key")
 
 
 def hash_rank(
@@ -42,21 +48,21 @@ def hash_rank(
     by = list(by)
     hashed = df.withColumn("__h", seeded_hash(key, seed))
     hashed = hashed.withColumn("__piece", F.substring("__h", 1, digits))
-    keys = [*by, "__piece"]
-    sizes = hashed.groupBy(*keys).agg(F.count("*").alias("__n"))
+    keyed = hashed.withColumn("__key", _box(*by, "__piece"))
+    sizes = keyed.groupBy("__key").agg(F.count("*").alias("__n")).select("__key", "__key.*", "__n")
     # one row per piece and group: 16**digits rows at most in a window partition
     before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys,
+        "__key",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         F.sum("__n").over(Window.partitionBy(*by)).alias("total"),
     )
-    inside = Window.partitionBy(*keys).orderBy("__h", key)
-    ranked = hashed.withColumn("__i", F.row_number().over(inside))
+    inside = Window.partitionBy("__key").orderBy("__h", key)
+    ranked = keyed.withColumn("__i", F.row_number().over(inside))
     return (
-        join_back(ranked, offsets, keys)
+        ranked.join(offsets, "__key")
         .withColumn("rank", F.col("__before") + F.col("__i"))
-        .drop("__h", "__piece", "__i", "__before")
+        .drop("__key", "__h", "__piece", "__i", "__before")
     )
 
 
@@ -94,21 +100,21 @@ def running_sums(
     """
     by = list(by)
     stored = materialized(df.repartitionByRange(*by, order_by))
-    placed = stored.withColumn("__part", F.spark_partition_id())
-    keys = [*by, "__part"]
-    totals = placed.groupBy(*keys).agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    placed = stored.withColumn("__part", F.spark_partition_id()).withColumn("__key", _box(*by, "__part"))
+    totals = placed.groupBy("__key").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    totals = totals.select("*", "__key.*")
     upto = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"__{c}").over(upto), F.lit(0)).alias(f"__o_{c}") for c in columns]
+        "__key", *[F.coalesce(F.sum(f"__{c}").over(upto), F.lit(0)).alias(f"__o_{c}") for c in columns]
     )
-    inside = Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__key").orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i_{c}") for c in columns]
     )
-    out = join_back(summed, offsets, keys)
+    out = summed.join(offsets, "__key")
     for c in columns:
         out = out.withColumn(f"before_{c}", F.col(f"__o_{c}") + F.col(f"__i_{c}"))
-    return out.drop("__part", *[f"__{p}_{c}" for c in columns for p in "oi"])
+    return out.drop("__key", "__part", *[f"__{p}_{c}" for c in columns for p in "oi"])
 
 
 def with_previous(
@@ -126,22 +132,21 @@ def with_previous(
     takes the last value of the piece before, which is one row per piece.
     """
     by = list(by)
-    cut = df.withColumn("__piece", F.window(order_by[0], piece)["start"])
-    keys = [*by, "__piece"]
+    cut = df.withColumn("__key", _box(*by, F.window(order_by[0], piece)["start"].alias("__piece")))
     boxed = F.struct(F.col(value).alias("v"))
     order = F.struct(*order_by)
-    last = cut.groupBy(*keys).agg(F.max_by(boxed, order).alias("__last"))
+    last = cut.groupBy("__key").agg(F.max_by(boxed, order).alias("__last")).select("*", "__key.*")
     carry = last.select(
-        *keys, F.lag("__last").over(Window.partitionBy(*by).orderBy("__piece")).alias("__carry")
+        "__key", F.lag("__last").over(Window.partitionBy(*by).orderBy("__piece")).alias("__carry")
     )
-    inside = Window.partitionBy(*keys).orderBy(*order_by)
+    inside = Window.partitionBy("__key").orderBy(*order_by)
     near = cut.withColumn("__near", F.lag(boxed).over(inside))
-    out = join_back(near, carry, keys)
+    out = near.join(carry, "__key")
     found = F.coalesce("__near", "__carry")
     return (
         out.withColumn(name, found["v"])
         .withColumn(f"has_{name}", found.isNotNull())
-        .drop("__piece", "__near", "__carry")
+        .drop("__key", "__near", "__carry")
     )
 
 

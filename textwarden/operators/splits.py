@@ -33,8 +33,8 @@ def hash_cuts(
     positions.  Only counts per hash piece and the few pieces a cut falls into
     are looked at, and only the key column is read.
     """
-    narrow = df.select(F.col(by).alias("__by"), F.col(key).alias("__key"))
-    narrow = narrow.withColumn("__h", seeded_hash("__key", seed))
+    narrow = df.select(F.col(by).alias("__by"), F.col(key).alias("__id"))
+    narrow = narrow.withColumn("__h", seeded_hash("__id", seed))
     narrow = narrow.withColumn("__piece", F.substring("__h", 1, digits))
     sizes = narrow.groupBy("__by", "__piece").agg(F.count("*").alias("__n"))
     group = Window.partitionBy("__by")
@@ -69,10 +69,10 @@ def hash_cuts(
     pieces = wanted.select("__by", "__piece").distinct()
     # at most MAX_CUTS rows
     near = join_back(narrow, F.broadcast(pieces.withColumn("__hit", F.lit(True))), ["__by", "__piece"])
-    order = Window.partitionBy("__by", "__piece").orderBy("__h", "__key")
+    order = Window.partitionBy("__by", "__piece").orderBy("__h", "__id")
     near = near.filter("__hit").withColumn("__at", F.row_number().over(order).cast("bigint"))
     rows = join_back(near, F.broadcast(wanted), ["__by", "__piece", "__at"]).filter("__i IS NOT NULL")
-    return none + [tuple(r) for r in rows.select("__by", "__i", "__h", "__key").collect()]
+    return none + [tuple(r) for r in rows.select("__by", "__i", "__h", "__id").collect()]
 
 
 _CUT_FIELDS = [StructField("__i", IntegerType()), StructField("__at", LongType())]

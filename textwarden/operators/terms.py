@@ -28,28 +28,30 @@ def doc_terms(
     text: str,
     n: tuple[int, int] = (1, 2),
     stop_words: Iterable[str] = K.STOP_WORDS,
+    keep: Iterable[str] = (),
 ) -> DataFrame:
-    """One row per document and term with its count ``tf``.
+    """One row per document and term with its count ``tf`` and the kept columns.
 
     The terms of a text are sorted and counted inside the row, so no shuffle is
     needed.  A text without terms gives one row with a NULL term.
     """
-    rows = text_terms(df.select(key, text), text, n, stop_words).select(
-        key, F.sort_array("terms").alias("__t")
+    keys = [key, *keep]
+    rows = text_terms(df.select(*keys, text), text, n, stop_words).select(
+        *keys, F.sort_array("terms").alias("__t")
     )
     starts = F.filter(
         F.sequence(F.lit(1), F.greatest(F.size("__t"), F.lit(1))),
         lambda i: (i == 1) | (F.get("__t", i - 1) != F.get("__t", i - 2)),
     )
-    rows = rows.select(key, "__t", F.when(F.size("__t") > 0, starts).alias("__s"))
+    rows = rows.select(*keys, "__t", F.when(F.size("__t") > 0, starts).alias("__s"))
     ends = F.concat(F.slice("__s", F.lit(2), F.size("__s")), F.array(F.size("__t") + 1))
     counted = F.zip_with(
         "__s",
         ends,
         lambda a, b: F.struct(F.get("__t", a - 1).alias("term"), (b - a).alias("tf")),
     )
-    return rows.select(key, F.explode_outer(counted).alias("__c")).select(
-        key, F.col("__c.term").alias("term"), F.col("__c.tf").cast("bigint").alias("tf")
+    return rows.select(*keys, F.explode_outer(counted).alias("__c")).select(
+        *keys, F.col("__c.term").alias("term"), F.col("__c.tf").cast("bigint").alias("tf")
     )
 
 
@@ -118,14 +120,20 @@ def score_linear(
     return sums.select(key, score.alias("score"), (score > 0.5).cast("int").alias("prediction"))
 
 
-def log_odds(terms: DataFrame, key: str, labels: DataFrame, label: str, n_docs: int) -> DataFrame:
-    """Smoothed log-odds of every term between the two classes, with its idf."""
-    marked = terms.filter(F.col("term").isNotNull()).join(labels.select(key, label), key)
-    return marked.groupBy("term").agg(
-        F.sum("tf").alias("tf"),
-        F.count("*").alias("df"),
-        F.log(
-            (F.sum(F.when(F.col(label) == 1, F.col("tf")).otherwise(0)) + F.lit(1.0))
-            / (F.sum(F.when(F.col(label) == 0, F.col("tf")).otherwise(0)) + F.lit(1.0))
-        ).alias("weight"),
-    ).withColumn("idf", smooth_idf(F.lit(int(n_docs)), F.col("df")))
+def log_odds(terms: DataFrame, label: str, n_docs: int) -> DataFrame:
+    """Smoothed log-odds of every term between the two classes, with its idf.
+
+    ``terms`` is a doc_terms table that kept the label: labels join the texts
+    before these are cut into terms, not after.
+    """
+    of_class = lambda v: F.sum(F.when(F.col(label) == v, F.col("tf")).otherwise(0)) + F.lit(1.0)
+    return (
+        terms.filter(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(
+            F.sum("tf").alias("tf"),
+            F.count("*").alias("df"),
+            F.log(of_class(1) / of_class(0)).alias("weight"),
+        )
+        .withColumn("idf", smooth_idf(F.lit(int(n_docs)), F.col("df")))
+    )

@@ -99,8 +99,7 @@ def _vocabulary_stages(spark: SparkSession, vocab: list) -> list:
 
 def _fold_stats(rows: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
     """Term and document frequency of every term, in all and per fold, in one shuffle."""
-    terms = TM.doc_terms(rows, key, text, s.ngram_range, s.stop_words).filter("term IS NOT NULL")
-    folded = terms.join(rows.select(key, "fold"), key)
+    terms = TM.doc_terms(rows, key, text, s.ngram_range, s.stop_words, keep=["fold"])
     per_fold = [
         agg
         for i in range(s.folds)
@@ -109,7 +108,8 @@ def _fold_stats(rows: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
             F.count_if(F.col("fold") == i).alias(f"df_{i}"),
         )
     ]
-    return folded.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"), *per_fold)
+    known = terms.filter("term IS NOT NULL")
+    return known.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"), *per_fold)
 
 
 def _vocabulary(stats: DataFrame, n_docs: int, s: Settings, without: int | None = None) -> list:
@@ -306,15 +306,12 @@ def run_training(
     tested = evaluate_model(model, test, text, label)
     trained = E.accuracy(score_texts(model, train, text), label, "pred")
     weighted = tested["report"].filter(F.col("class") == "weighted avg")
-    # one row on each side of every join
-    one = lambda df: df.withColumn("__one", F.lit(1))
-    row = (
-        one(tested["accuracy"].select("accuracy"))
-        .join(one(weighted.select("precision", "recall", F.col("f1").alias("f1_score"))), "__one")
-        .join(one(cv.select(F.col("mean").alias("cv_mean_accuracy"), F.col("std_pop").alias("cv_std_accuracy"))), "__one")
-        .join(one(trained.select(F.col("accuracy").alias("train_accuracy"))), "__one")
-        .drop("__one")
-    )
+    row = E.one_row(
+        tested["accuracy"].select("accuracy"),
+        weighted.select("precision", "recall", F.col("f1").alias("f1_score")),
+        cv.select(F.col("mean").alias("cv_mean_accuracy"), F.col("std_pop").alias("cv_std_accuracy")),
+        trained.select(F.col("accuracy").alias("train_accuracy")),
+    )
     gate = E.evaluation_gate(row, min_accuracy)
     sinks.write_report(gate, f"{out}/evaluation")
     gate = spark.read.schema(gate.schema).json(f"{out}/evaluation")

@@ -31,14 +31,40 @@ def plain(t: pa.Table):
     return names, sorted(rows, key=key)
 
 
+def differences(got: pa.Table, want: pa.Table) -> list[str]:
+    """What differs between two results: columns, types, row counts, values."""
+    notes = []
+    gn, gr = plain(got)
+    wn, wr = plain(want)
+    if gn != wn:
+        return [f"columns {gn} vs {wn}"]
+    types = lambda t: {n: str(t.schema.field(n).type).replace("large_", "") for n in gn}
+    a, b = types(got), types(want)
+    off = {n: (a[n], b[n]) for n in gn if a[n] != b[n]}
+    if off:
+        notes.append(f"types {off}")
+    if len(gr) != len(wr):
+        notes.append(f"rows {len(gr)} vs {len(wr)}")
+    if gr != wr:
+        diff = [(g, w) for g, w in zip(gr, wr) if g != w]
+        notes.append(f"{len(diff)} rows differ, first: {str(diff[:1])[:700]}")
+    return notes
+
+
+def connect(sf: str) -> duckdb.DuckDBPyConnection:
+    """A DuckDB connection with the tables of a folder as views."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     queries, oracles = load_all()
     spark = local_session(8)
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    con = connect(sf)
     bad = 0
     for name, fn in queries.items():
         if wanted and not any(name.startswith(w) for w in wanted):
@@ -62,25 +88,10 @@ def main() -> int:
             print(f"FAIL {name}: sql: {str(e)[:600]}", flush=True)
             continue
         sql_took = time.time() - start
-        notes = []
-        gn, gr = plain(got)
-        wn, wr = plain(want)
-        if gn != wn:
-            notes.append(f"columns {gn} vs {wn}")
-        else:
-            types = lambda t: {n: str(t.schema.field(n).type).replace("large_", "") for n in gn}
-            a, b = types(got), types(want)
-            off = {n: (a[n], b[n]) for n in gn if a[n] != b[n]}
-            if off:
-                notes.append(f"types {off}")
-            if len(gr) != len(wr):
-                notes.append(f"rows {len(gr)} vs {len(wr)}")
-            if gr != wr:
-                diff = [(g, w) for g, w in zip(gr, wr) if g != w]
-                notes.append(f"{len(diff)} rows differ, first: {str(diff[:1])[:700]}")
+        notes = differences(got, want)
         bad += bool(notes)
         print(
-            f"{'FAIL' if notes else 'ok  '} {name}: {len(gr)} rows, {took:.1f}s, sql {sql_took:.1f}s "
+            f"{'FAIL' if notes else 'ok  '} {name}: {got.num_rows} rows, {took:.1f}s, sql {sql_took:.1f}s "
             + "; ".join(notes),
             flush=True,
         )

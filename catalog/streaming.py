@@ -173,13 +173,18 @@ def stream_status_changes(spark, sf):
     return changes.select("event_id", "step", "status", "previous_status")
 
 
+# the watermark of a join is that of its slower side
+_JOIN_CLOSED = """(SELECT least(max(ts), max(ts + CASE event_type WHEN 'click' THEN INTERVAL 1 MINUTE
+  WHEN 'error' THEN INTERVAL 1 HOUR END)) FROM events) - INTERVAL 10 MINUTE"""
+
+
 @query(
     "stream_verdict_return",
     f"""WITH s AS (SELECT event_id, ts, event_type = 'click' AS answered,
       CASE WHEN value > 50 THEN 'block' ELSE 'allow' END AS act,
       {B.SQL_SCORE.replace('doc_id', 'event_id')} AS score FROM events),
     b AS (SELECT *, score > 0.3::DOUBLE AND score <= 0.8::DOUBLE AS asked FROM s
-      WHERE answered OR ts + INTERVAL 10 MINUTE < {_CLOSED})
+      WHERE answered OR ts + INTERVAL 10 MINUTE < {_JOIN_CLOSED})
     SELECT event_id, {B.sql_stamp('ts')} AS ts, score,
       CASE WHEN score > 0.8::DOUBLE THEN 'high' WHEN asked THEN 'borderline' ELSE 'low' END AS branch,
       CASE WHEN asked AND NOT answered THEN NULL

@@ -134,16 +134,18 @@ def sync_missing(spark, sf):
 
 @query(
     "steps_with_jobs",
-    """SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS job, c.role, c.turn FROM events e
-    JOIN conversations c ON c.conv_id = e.user_id""",
+    """WITH jobs AS (SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS role FROM conversations
+      GROUP BY conv_id)
+    SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS job, j.role, j.turns FROM events e
+    JOIN jobs j ON j.conv_id = e.user_id""",
 )
 def steps_with_jobs(spark, sf):
     """Events as steps whose path ends in the conversation they belong to."""
     path = F.concat(F.lit("jobs/"), F.col("event_type"), F.lit("/"), F.col("user_id").cast("string"))
     steps = table(spark, sf, "events").select("event_id", path.alias("job_path"))
-    jobs = table(spark, sf, "conversations")
-    jobs = jobs.select(F.col("conv_id").cast("string").alias("job"), "role", "turn")
-    return R.steps_with_jobs(steps, jobs).select("event_id", "job", "role", "turn")
+    jobs = table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("job"))
+    jobs = jobs.agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("role"))
+    return R.steps_with_jobs(steps, jobs).select("event_id", "job", "role", "turns")
 
 
 @query(

@@ -42,7 +42,8 @@ def _points(spark, sf):
 )
 def stream_moderation(spark, sf):
     """Moderation of the document stream without a reviewer."""
-    decided = S.moderate_stream(_documents(spark, sf), fixture_score())
+    cores = spark.sparkContext.defaultParallelism
+    decided = S.moderate_stream(_documents(spark, sf), fixture_score(), tasks=cores)
     narrow = decided.select("doc_id", "outcome", "final_score", "action")
     return S.run_available(narrow, "moderation")
 
@@ -54,9 +55,9 @@ def stream_moderation(spark, sf):
 )
 def stream_moderation_with_verdicts(spark, sf):
     """The document stream joined to the static table of reviewer answers."""
-    decided = S.moderate_stream(
-        _documents(spark, sf), fixture_score(), verdicts=CP.answers(spark, sf)
-    )
+    cores = spark.sparkContext.defaultParallelism
+    answers = CP.answers(spark, sf)
+    decided = S.moderate_stream(_documents(spark, sf), fixture_score(), verdicts=answers, tasks=cores)
     narrow = decided.select("doc_id", "final_score", "action", "confidence", "routed", "enhanced")
     return S.run_available(narrow, "moderation-verdicts")
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalog._base import documents, query, table
 from textwarden import constants as K
 from textwarden.operators import terms as TM
-from textwarden.sources.files import spread
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
 
@@ -106,7 +105,7 @@ SQL_COEFFICIENTS = f"""{SQL_TERMS}, marked AS (SELECT term, CAST(sum(tf) AS BIGI
 def coefficients(spark, sf):
     n = table(spark, sf, "documents").count()
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
-    marked = spread(table(spark, sf, "documents").join(labels, "doc_id"), "doc_id")
+    marked = documents(spark, sf).join(labels, "doc_id")
     odds = TM.log_odds(TM.doc_terms(marked, "doc_id", "text", keep=["toxic"]), "toxic", n)
     return odds.orderBy(F.desc("tf"), "term").limit(10000)
 

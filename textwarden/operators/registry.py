@@ -90,7 +90,7 @@ def sync_missing(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
 
 
 def steps_with_jobs(steps: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Steps with the details of the job their identifier ends in."""
+    """Steps with the details of the job their identifier ends in; jobs have one row each."""
     return steps.withColumn("job", last_part("job_path")).join(jobs, "job")
 
 

@@ -37,7 +37,6 @@ from textwarden.operators import splits as X
 from textwarden.operators import terms as TM
 from textwarden.session import materialized
 from textwarden.sources import sinks
-from textwarden.sources.files import spread
 
 ROWS_PER_TASK = 5000
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
@@ -170,7 +169,7 @@ def train_classifier(
     entries each, reach the driver.
     """
     s = settings
-    rows = spread(df.select(key, text, F.col(label).cast("int").alias(label)), key)
+    rows = df.select(key, text, F.col(label).cast("int").alias(label))
     folded = X.stratified_folds(rows, label, key, s.folds, s.seed)
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
@@ -227,7 +226,7 @@ def fit_all(
 ) -> PipelineModel:
     """The model fitted on all rows, without cross-validation."""
     s = settings
-    rows = spread(df.select(key, text, F.col(label).cast("int").alias(label)), key)
+    rows = df.select(key, text, F.col(label).cast("int").alias(label))
     stages = _text_stages(s, text)
     kept = PipelineModel(stages).transform(rows).select(key, label, "__terms").persist()
     try:

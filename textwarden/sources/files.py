@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +17,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by key if the scan has fewer pieces than the cluster has cores.
+    """Repartition a table scan by key if it has fewer pieces than the cluster has cores.
 
     Text work is bound by CPU, and a file with one row group is read by one
-    task.  A large table already comes in many pieces and is left alone.
+    task.  A large table already comes in many pieces and is left alone.  Only
+    for scans: counting the pieces of a join would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
@@ -71,15 +73,12 @@ def read_json_report(
 
     One document per line, or with ``pretty`` one per file over many lines.
     """
-    if not path_exists(spark, path):
+    try:
+        return spark.read.schema(schema).option("multiLine", pretty).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", pretty).json(path)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def list_artifacts(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:

@@ -21,12 +21,16 @@ def moderate_stream(
     text: str = "text",
     key: str = "doc_id",
     verdicts: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """The batch moderation plan on a stream: stateless, so late rows are kept.
 
     ``score`` is a column or a function that adds the score column, such as a
-    fitted pipeline; ``verdicts`` is a static table of raw answers.
+    fitted pipeline; ``verdicts`` is a static table of raw answers.  ``tasks``
+    spreads batches that come in fewer pieces than the cluster has cores.
     """
+    if tasks:
+        events = events.repartition(tasks, key)
     ready = prepare(events, text)
     scored = score(ready) if callable(score) else ready.withColumn("score", score)
     return moderate(scored, verdicts, key)

@@ -108,6 +108,15 @@ def model_term_scores(spark, sf):
     return TM.score_linear(terms, "doc_id", coefficients, intercept)
 
 
+@query("moderation_by_model")
+def moderation_by_model(spark, sf):
+    """Every document from raw text to decision, scored by a trained model."""
+    model = TR.fit_all(labelled(spark, sf))
+    scored = TR.score_texts(model, MO.prepare(documents(spark, sf)), "cleaned")
+    decided = MO.moderate(scored, CP.answers(spark, sf))
+    return decided.select("doc_id", "outcome", "final_score", "action", "confidence", "enhanced")
+
+
 @query("training_run")
 def training_run(spark, sf):
     """Validation, training, evaluation and registration; the gate row."""

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import _base as B
-from catalog._base import big, documents, fixture_score, query, sql_stamp, stamp, table
-from textwarden import constants as K
+from catalog._base import big, fixture_score, query, sql_stamp, stamp, table
 from textwarden.functions import policy as P
 from textwarden.functions import scores as S
-from textwarden.functions import text as T
 from textwarden.operators import alarms as A
 from textwarden.operators import metrics as M
 from textwarden.operators import reports as R

@@ -108,6 +108,16 @@ SQL_VERDICTS = f"""{SQL_ANSWERS}, {SQL_BODY},
     FROM (SELECT *, {SQL_SPARE} FROM j))"""
 
 
+@query(
+    "latest_verdicts",
+    "SELECT conv_id, arg_max(text, turn) AS raw FROM conversations GROUP BY conv_id",
+)
+def latest_verdicts(spark, sf):
+    """The newest of several answers: every turn answers for its conversation."""
+    c = table(spark, sf, "conversations").withColumnRenamed("text", "raw")
+    return D.latest_verdicts(c, "conv_id", "turn")
+
+
 @query("strip_fences", f"WITH {SQL_ANSWERS}, {SQL_BODY} SELECT doc_id, b AS body FROM body")
 def strip_fences(spark, sf):
     return answers(spark, sf).select("doc_id", T.strip_fence("raw").alias("body"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog._base import big, query, sql_stamp, stamp, table
+from catalog._base import query, sql_stamp, stamp, table
 from textwarden.operators import ordering as O
 from textwarden.operators import registry as R
 from textwarden.operators import status as ST

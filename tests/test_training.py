@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from textwarden.operators import terms as TM
+from textwarden.plans import moderation as MO
 from textwarden.plans import training as TR
 from textwarden.session import fresh_path
 from textwarden.sources import sinks
+from textwarden.sources.files import read_event_stream
+from textwarden.streaming import streams as S
 
 SMALL = TR.Settings(max_features=60, max_iter=30, folds=3)
 
@@ -54,6 +57,27 @@ def test_null_text_is_an_error_not_a_score(spark, trained):
     assert got[2]["score"] > 0.5 and got[2]["error"] is None
 
 
+def test_moderation_by_model(spark, trained):
+    texts = [(1, "awful rotten nasty"), (2, "lovely gentle bright"), (3, "x"), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id INT, text STRING")
+    scored = TR.score_texts(trained[0], MO.prepare(docs), "cleaned")
+    got = {r["doc_id"]: r for r in MO.moderate(scored).collect()}
+    assert got[1]["score"] > 0.5 and got[1]["action"] in ("review", "block")
+    assert got[2]["action"] == "allow"
+    assert (got[3]["outcome"], got[3]["action"], got[3]["final_score"]) == ("too_short", "allow", 0.0)
+    assert (got[4]["outcome"], got[4]["action"]) == ("invalid_empty", None)
+
+
+def test_model_on_a_stream(spark, rows, trained):
+    path = fresh_path(spark, "stream")
+    rows.select("doc_id", F.col("comment_text").alias("text")).write.parquet(path)
+    live = read_event_stream(spark, path, "doc_id INT, text STRING")
+    decided = S.moderate_stream(live, lambda df: TR.score_texts(trained[0], df, "cleaned"))
+    got = S.run_available(decided.select("doc_id", "score"), "scored")
+    want = TR.score_texts(trained[0], rows).select("doc_id", "score")
+    assert got.join(want.withColumnRenamed("score", "s"), "doc_id").filter("abs(score - s) < 1e-9").count() == 240
+
+
 def test_term_join_equals_pipeline(rows, trained):
     coefficients, intercept = TR.model_terms(trained[0])
     by_join = TM.score_linear(TM.doc_terms(rows, "doc_id", "comment_text"), "doc_id", coefficients, intercept)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden import constants as K
 from textwarden.functions._base import dbl
 from textwarden.functions.scores import safe_ratio
 from textwarden.operators.evaluate import one_row
@@ -146,7 +147,10 @@ def count_log_pattern(
 
 
 def apply_retention(
-    df: DataFrame, as_of: Column, days_by_stream: dict[str, int], stream: str = "stream"
+    df: DataFrame,
+    as_of: Column,
+    days_by_stream: dict[str, int] = K.RETENTION_DAYS,
+    stream: str = "stream",
 ) -> DataFrame:
     """Keep what is not older than the days of its stream; unknown streams keep all.
 

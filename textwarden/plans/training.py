@@ -239,15 +239,19 @@ def fit_all(
 
 
 def score_texts(model: PipelineModel, df: DataFrame, text: str = "comment_text") -> DataFrame:
-    """Add ``score`` and ``pred``; a NULL text has neither, and an error."""
-    known = F.col(text).isNotNull()
-    safe = df.withColumn("__text", F.col(text)).withColumn(text, F.coalesce(text, F.lit("")))
-    out = _predict([model], safe)
+    """Add ``score``, ``pred`` and ``error``, batch or stream; a NULL text has only the error.
+
+    The row travels as one column, so no stage can touch its other columns.
+    """
+    source = _flat(model)[0].getInputCol()
+    packed = df.select(F.struct("*").alias("__row"), F.coalesce(text, F.lit("")).alias(source))
+    out = _predict([model], packed)
+    known = F.col("__row")[text].isNotNull()
     return out.select(
-        *[F.col("__text").alias(c) if c == text else c for c in df.columns],
-        F.when(known & F.col("__text").isNotNull(), F.col("score")).alias("score"),
-        F.when(F.col("__text").isNotNull(), F.col("pred")).alias("pred"),
-        F.when(F.col("__text").isNull(), "no text").alias("error"),
+        "__row.*",
+        F.when(known, F.col("score")).alias("score"),
+        F.when(known, F.col("pred")).alias("pred"),
+        F.when(~known, "no text").alias("error"),
     )
 
 

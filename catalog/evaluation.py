@@ -47,10 +47,12 @@ def accuracy(spark, sf):
     return E.accuracy(predictions(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-_SQL_CLASSES = f"""{SQL_PREDS}, k AS (SELECT unnest([0, 1]) AS class),
-  n AS (SELECT class, count(*) FILTER (WHERE label = class) AS support,
-    count(*) FILTER (WHERE pred = class) AS chosen,
-    count(*) FILTER (WHERE label = class AND pred = class) AS hits FROM k CROSS JOIN preds GROUP BY class),
+_SQL_CLASSES = f"""{SQL_PREDS},
+  n AS (SELECT 0 AS class, count(*) FILTER (WHERE label = 0) AS support,
+      count(*) FILTER (WHERE pred = 0) AS chosen,
+      count(*) FILTER (WHERE label = 0 AND pred = 0) AS hits FROM preds
+    UNION ALL SELECT 1, count(*) FILTER (WHERE label = 1), count(*) FILTER (WHERE pred = 1),
+      count(*) FILTER (WHERE label = 1 AND pred = 1) FROM preds),
   m AS (SELECT class, support, CASE WHEN chosen > 0 THEN hits::DOUBLE / chosen ELSE 0 END AS p,
     CASE WHEN support > 0 THEN hits::DOUBLE / support ELSE 0 END AS r FROM n),
   f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM m)"""
@@ -99,7 +101,8 @@ RATES = ("accuracy", "precision", "recall", "f1", "roc_auc")
     "binary_metrics",
     f"""WITH {SQL_PREDS.replace('l.doc_id, l.toxic', "1 AS one, l.doc_id, l.toxic", 1)},
     {_sql_auc('one')}, b AS (SELECT count(*) AS n, {_SQL_BINARY} FROM preds)
-    SELECT n, tp, fp, fn, tn, {_SQL_RATES}, round(auc, 6) AS roc_auc FROM b CROSS JOIN u""",
+    SELECT n, tp, fp, fn, tn, {_SQL_RATES}, round((SELECT auc FROM u), 6) AS roc_auc
+    FROM b""",
 )
 def binary_metrics(spark, sf):
     return _rounded(E.binary_metrics(predictions(spark, sf), score="score"), *RATES)

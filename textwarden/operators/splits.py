@@ -21,7 +21,7 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "split") -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
-MAX_CUTS = 10_000
+MAX_CUTS = 1_000
 
 
 def hash_cuts(
@@ -78,14 +78,15 @@ def hash_cuts(
 _CUT_FIELDS = [StructField("__i", IntegerType()), StructField("__at", LongType())]
 
 
-def _side(by: str, key: str, cuts: list[tuple], seed: int) -> Column:
-    """Number of cuts of its class a row lies behind."""
-    h = seeded_hash(key, seed)
+def _with_side(df: DataFrame, by: str, key: str, cuts: list[tuple], seed: int) -> DataFrame:
+    """Add ``__side``: the number of cuts of its class a row lies behind."""
+    h = F.col("__h")
     behind = F.lit(0)
     for value, _, cut_hash, cut_key in cuts:
         beyond = (h > cut_hash) | ((h == cut_hash) & (F.col(key) > cut_key))
         behind = behind + F.when(F.col(by).eqNullSafe(F.lit(value)) & beyond, 1).otherwise(0)
-    return behind
+    # the hash is a column of its own, so that it is computed once per row
+    return df.withColumn("__h", seeded_hash(key, seed)).withColumn("__side", behind).drop("__h")
 
 
 def stratified_split(
@@ -96,8 +97,8 @@ def stratified_split(
     Once the cuts are known every row is placed on its own, without a shuffle.
     """
     cuts = hash_cuts(df, label, key, [test_size], seed)
-    test = _side(label, key, cuts, seed) == 0
-    return df.withColumn("split", F.when(test, "test").otherwise("train"))
+    sided = _with_side(df, label, key, cuts, seed)
+    return sided.withColumn("split", F.when(F.col("__side") == 0, "test").otherwise("train")).drop("__side")
 
 
 def stratified_folds(
@@ -105,7 +106,7 @@ def stratified_folds(
 ) -> DataFrame:
     """Add a fold number: k hash ranges per class that differ by one row at most."""
     cuts = hash_cuts(df, label, key, [i / k for i in range(1, k)], seed)
-    return df.withColumn(name, _side(label, key, cuts, seed).cast("int"))
+    return _with_side(df, label, key, cuts, seed).withColumnRenamed("__side", name)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

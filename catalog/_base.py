@@ -50,6 +50,18 @@ def stamp(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def steady(c: Column | str, digits: int = 4) -> Column:
+    """A rounded sum or mean of doubles that does not depend on the order of adding.
+
+    The first rounding takes away the noise that would decide ties of the second.
+    """
+    return F.round(F.round(c, 9), digits)
+
+
+def sql_steady(c: str, digits: int = 4) -> str:
+    return f"round(round({c}, 9), {digits})"
+
+
 def sql_stamp(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 

@@ -139,12 +139,12 @@ def fold_metrics_query(spark, sf):
     "cv_summary",
     f"""WITH {_SQL_FOLD_METRICS}, l AS (UNPIVOT (SELECT {", ".join(RATES)} FROM fold_metrics)
       ON {", ".join(RATES)} INTO NAME metric VALUE value)
-    SELECT metric, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std_pop,
-      round(2 * stddev_pop(value), 4) AS two_std FROM l GROUP BY metric""",
+    SELECT metric, {B.sql_steady("avg(value)")} AS mean, {B.sql_steady("stddev_pop(value)")} AS std_pop,
+      {B.sql_steady("2 * stddev_pop(value)")} AS two_std FROM l GROUP BY metric""",
 )
 def cv_summary(spark, sf):
     s = E.cv_summary(fold_metrics(spark, sf), RATES)
-    return s.select("metric", *[F.round(c, 4).alias(c) for c in ("mean", "std_pop", "two_std")])
+    return s.select("metric", *[B.steady(c).alias(c) for c in ("mean", "std_pop", "two_std")])
 
 
 _SQL_REPORT = f"""{_SQL_CLASSES}, report AS (SELECT

@@ -74,30 +74,30 @@ def decision_metrics(spark, sf):
       UNION ALL SELECT 'SecondOpinionError', 1, 'Count', NULL, NULL FROM decisions
         WHERE routed AND NOT enhanced
       UNION ALL SELECT 'ModerationDecision', 1, 'Count', action, confidence FROM decisions)
-    SELECT name, unit, action, confidence, count(*) AS points, round(sum(value), 3) AS total
+    SELECT name, unit, action, confidence, count(*) AS points, {B.sql_steady("sum(value)", 3)} AS total
     FROM p GROUP BY ALL""",
 )
 def request_metrics(spark, sf):
     m = M.request_metrics(decisions(spark, sf))
     action, confidence = F.col("dims")["Action"], F.col("dims")["Confidence"]
     return m.groupBy("name", "unit", action.alias("action"), confidence.alias("confidence")).agg(
-        F.count("*").alias("points"), F.round(F.sum("value"), 3).alias("total")
+        F.count("*").alias("points"), B.steady(F.sum("value"), 3).alias("total")
     )
 
 
 @query(
     "metric_totals",
-    f"""WITH {SQL_DECISIONS}, {_POINTS} SELECT name, count(*) AS points, round(sum(value), 3) AS total,
-      round(avg(value), 4) AS mean FROM points GROUP BY name""",
+    f"""WITH {SQL_DECISIONS}, {_POINTS} SELECT name, count(*) AS points, {B.sql_steady("sum(value)", 3)} AS total,
+      {B.sql_steady("avg(value)")} AS mean FROM points GROUP BY name""",
 )
 def metric_totals(spark, sf):
     t = M.metric_totals(M.decision_metrics(decisions(spark, sf)))
-    return t.select("name", "points", F.round("total", 3).alias("total"), F.round("mean", 4).alias("mean"))
+    return t.select("name", "points", B.steady("total", 3).alias("total"), B.steady("mean").alias("mean"))
 
 
 def _sql_window(agg: str, minutes: int, where: str = "") -> str:
     return f"""SELECT {sql_stamp(f"time_bucket(INTERVAL {minutes} MINUTE, ts)")} AS window_start,
-      event_type AS name, round({agg}, 4) AS value FROM events {where} GROUP BY 1, 2"""
+      event_type AS name, {B.sql_steady(agg)} AS value FROM events {where} GROUP BY 1, 2"""
 
 
 def _stamped(df):
@@ -107,24 +107,24 @@ def _stamped(df):
 @query("windowed_sum", _sql_window("sum(value)", 5, "WHERE event_type IN ('click', 'error')"))
 def windowed_sum(spark, sf):
     w = M.windowed_stat(metrics(spark, sf), "5 minutes", "Sum", ("click", "error"))
-    return _stamped(w).withColumn("value", F.round("value", 4))
+    return _stamped(w).withColumn("value", B.steady("value"))
 
 
 @query("windowed_average", _sql_window("avg(value)", 5))
 def windowed_average(spark, sf):
     w = M.windowed_stat(metrics(spark, sf), "5 minutes", "Average")
-    return _stamped(w).withColumn("value", F.round("value", 4))
+    return _stamped(w).withColumn("value", B.steady("value"))
 
 
 @query(
     "windowed_statistics",
     f"""SELECT {sql_stamp("time_bucket(INTERVAL 1 DAY, ts)")} AS window_start, event_type AS name,
-      round(sum(value), 3) AS sum, round(avg(value), 4) AS average, min(value) AS minimum,
+      {B.sql_steady("sum(value)", 3)} AS sum, {B.sql_steady("avg(value)")} AS average, min(value) AS minimum,
       max(value) AS maximum, CAST(count(value) AS DOUBLE) AS samplecount FROM events GROUP BY 1, 2""",
 )
 def windowed_statistics(spark, sf):
     w = _stamped(M.windowed_stat(metrics(spark, sf), "1 day"))
-    return w.withColumn("sum", F.round("sum", 3)).withColumn("average", F.round("average", 4))
+    return w.withColumn("sum", B.steady("sum", 3)).withColumn("average", B.steady("average"))
 
 
 @query(
@@ -164,12 +164,12 @@ def metric_names(spark, sf):
     return m.select("n_names", F.array_join("first", ",").alias("first"))
 
 
-# limits that the values of the given events cross now and then
+# limits that the values of the given events cross now and then, but never meet
 ALARMS = (
-    ("ErrorSum", "error", "Sum", ">", 150.0, 2, 3600),
-    ("SlowClicks", "click", "Average", ">", 55.0, 3, 3600),
-    ("FewViews", "view", "SampleCount", "<", 3.0, 2, 3600),
-    ("SmallPurchases", "purchase", "Maximum", "<", 60.0, 3, 1800),
+    ("ErrorSum", "error", "Sum", ">", 150.005, 2, 3600),
+    ("SlowClicks", "click", "Average", ">", 55.0037, 3, 3600),
+    ("FewViews", "view", "SampleCount", "<", 2.5, 2, 3600),
+    ("SmallPurchases", "purchase", "Maximum", "<", 60.005, 3, 1800),
 )
 
 _SQL_ALARMS = f"""a(alarm, metric, stat, op, threshold, periods, period_s) AS (VALUES
@@ -190,12 +190,12 @@ _SQL_ALARMS = f"""a(alarm, metric, stat, op, threshold, periods, period_s) AS (V
 
 @query(
     "evaluate_alarms",
-    f"""WITH {_SQL_ALARMS} SELECT alarm, metric, CAST(slot AS BIGINT) AS slot, round(value, 4) AS value,
+    f"""WITH {_SQL_ALARMS} SELECT alarm, metric, CAST(slot AS BIGINT) AS slot, {B.sql_steady("value")} AS value,
       breach, in_alarm FROM lagged""",
 )
 def evaluate_alarms(spark, sf):
     e = A.evaluate_alarms(metrics(spark, sf), ALARMS)
-    return e.select("alarm", "metric", "slot", F.round("value", 4).alias("value"), "breach", "in_alarm")
+    return e.select("alarm", "metric", "slot", B.steady("value").alias("value"), "breach", "in_alarm")
 
 
 @query(
@@ -203,11 +203,11 @@ def evaluate_alarms(spark, sf):
     f"""WITH {_SQL_ALARMS}, b AS (SELECT *, lag(in_alarm, 1, FALSE) OVER (PARTITION BY alarm ORDER BY slot)
       AS was FROM lagged)
     SELECT alarm, CAST(slot AS BIGINT) AS slot, CASE WHEN in_alarm THEN 'ALARM' ELSE 'OK' END AS state,
-      round(value, 4) AS value FROM b WHERE in_alarm <> was""",
+      {B.sql_steady("value")} AS value FROM b WHERE in_alarm <> was""",
 )
 def alarm_changes(spark, sf):
     c = A.alarm_changes(A.evaluate_alarms(metrics(spark, sf), ALARMS))
-    return c.withColumn("value", F.round("value", 4))
+    return c.withColumn("value", B.steady("value"))
 
 
 @query(
@@ -259,7 +259,7 @@ def results(spark, sf):
 
 @query(
     "latency_summary",
-    f"""WITH {SQL_RESULTS} SELECT round(avg(latency_ms) FILTER (WHERE status = 'success'), 4)
+    f"""WITH {SQL_RESULTS} SELECT {B.sql_steady("avg(latency_ms) FILTER (WHERE status = 'success')")}
         AS avg_latency_ms, min(latency_ms) FILTER (WHERE status = 'success') AS min_latency_ms,
       max(latency_ms) FILTER (WHERE status = 'success') AS max_latency_ms,
       round(count(*) FILTER (WHERE status = 'success')::DOUBLE / count(*), 6) AS success_rate,
@@ -269,7 +269,7 @@ def results(spark, sf):
 def latency_summary(spark, sf):
     s = R.latency_summary(results(spark, sf))
     return (
-        s.withColumn("avg_latency_ms", F.round("avg_latency_ms", 4))
+        s.withColumn("avg_latency_ms", B.steady("avg_latency_ms"))
         .withColumn("success_rate", F.round("success_rate", 6))
         .withColumn("reviewer_rate", F.round("reviewer_rate", 6))
     )

@@ -65,7 +65,7 @@ def stream_moderation_with_verdicts(spark, sf):
 @query(
     "stream_windowed_metrics",
     f"""SELECT {B.sql_stamp("time_bucket(INTERVAL 5 MINUTE, ts)")} AS window_start, event_type AS name,
-      round(sum(value), 4) AS total, round(avg(value), 4) AS mean, count(*) AS points
+      {B.sql_steady("sum(value)")} AS total, {B.sql_steady("avg(value)")} AS mean, count(*) AS points
     FROM events GROUP BY 1, 2""",
 )
 def stream_windowed_metrics(spark, sf):
@@ -74,7 +74,7 @@ def stream_windowed_metrics(spark, sf):
     latest = S.latest_updates(updates, ["window_start", "name"])
     return latest.select(
         stamp("window_start").alias("window_start"), "name",
-        F.round("total", 4).alias("total"), F.round("mean", 4).alias("mean"), "points",
+        B.steady("total").alias("total"), B.steady("mean").alias("mean"), "points",
     )
 
 
@@ -84,7 +84,7 @@ _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 @query(
     "stream_closed_windows",
     f"""SELECT {B.sql_stamp("time_bucket(INTERVAL 15 MINUTE, ts)")} AS window_start, event_type AS name,
-      round(sum(value), 4) AS total, count(*) AS points FROM events GROUP BY 1, 2
+      {B.sql_steady("sum(value)")} AS total, count(*) AS points FROM events GROUP BY 1, 2
     HAVING max(time_bucket(INTERVAL 15 MINUTE, ts)) + INTERVAL 15 MINUTE <= {_CLOSED}""",
 )
 def stream_closed_windows(spark, sf):
@@ -92,7 +92,7 @@ def stream_closed_windows(spark, sf):
     w = S.windowed_metrics_stream(_points(spark, sf), "15 minutes").drop("window_end", "mean")
     out = S.run_available(w, "closed-windows")
     return out.select(
-        stamp("window_start").alias("window_start"), "name", F.round("total", 4).alias("total"), "points"
+        stamp("window_start").alias("window_start"), "name", B.steady("total").alias("total"), "points"
     )
 
 
@@ -122,9 +122,9 @@ def stream_review_queue(spark, sf):
 
 
 ALARMS = (
-    ("ErrorSum", "error", "Sum", ">", 150.0, 2, 3600),
-    ("SlowClicks", "click", "Average", ">", 55.0, 3, 3600),
-    ("FewViews", "view", "SampleCount", "<", 3.0, 2, 3600),
+    ("ErrorSum", "error", "Sum", ">", 150.005, 2, 3600),
+    ("SlowClicks", "click", "Average", ">", 55.0037, 3, 3600),
+    ("FewViews", "view", "SampleCount", "<", 2.5, 2, 3600),
 )
 
 _VALUES = ", ".join(str(row) for row in ALARMS)
@@ -143,14 +143,14 @@ _SQL_STREAM_ALARMS = f"""WITH a(alarm, metric, stat, op, threshold, periods, per
     FROM filled WINDOW o AS (PARTITION BY alarm ORDER BY slot)),
   b AS (SELECT *, lag(in_alarm, 1, FALSE) OVER (PARTITION BY alarm ORDER BY slot) AS was FROM state)
   SELECT alarm, CAST(slot AS BIGINT) AS slot, CASE WHEN in_alarm THEN 'ALARM' ELSE 'OK' END AS state,
-    round(value, 4) AS value FROM b WHERE in_alarm <> was"""
+    {B.sql_steady("value")} AS value FROM b WHERE in_alarm <> was"""
 
 
 @query("stream_alarms", _SQL_STREAM_ALARMS)
 def stream_alarms(spark, sf):
     """Alarm changes over the windows the watermark has closed."""
     out = S.run_available(ST.alarm_stream(_points(spark, sf), ALARMS), "alarms")
-    return out.withColumn("value", F.round("value", 4))
+    return out.withColumn("value", B.steady("value"))
 
 
 _STATUS = """CASE WHEN value < 30 THEN 'Executing' WHEN value < 80 THEN 'Succeeded'

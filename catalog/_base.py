@@ -51,15 +51,17 @@ def stamp(c: Column | str) -> Column:
 
 
 def steady(c: Column | str, digits: int = 4) -> Column:
-    """A rounded sum or mean of doubles that does not depend on the order of adding.
+    """A sum or mean of doubles, rounded alike whatever the order of adding.
 
-    The first rounding takes away the noise that would decide ties of the second.
+    The engines break ties of round() differently; here both go up.
     """
-    return F.round(F.round(c, 9), digits)
+    value = F.col(c) if isinstance(c, str) else c
+    scale = F.lit(float(10**digits))
+    return F.floor(value * scale + F.lit(0.500001)).cast("double") / scale
 
 
 def sql_steady(c: str, digits: int = 4) -> str:
-    return f"round(round({c}, 9), {digits})"
+    return f"floor({c} * {10**digits}::DOUBLE + 0.500001::DOUBLE) / {10**digits}::DOUBLE"
 
 
 def sql_stamp(c: str) -> str:

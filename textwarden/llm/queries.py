@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import chat, mixing, secrets, tokens, warc
+from textwarden.llm import chat, jaccard, mixing, secrets, tokens, warc
 from textwarden.llm.store import stored
 from textwarden.sources.files import read_table
 
@@ -157,3 +157,39 @@ def _sql_chat() -> str:
 
 
 ORACLES["op9_chat_format"] = _sql_chat()
+
+
+WORDS_SQL = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x20\x09-\x0D]+')"
+)
+
+
+def _sql_shingles(width: int) -> str:
+    """Distinct shingles as a list; all words as one if they are fewer."""
+    parts = ", ".join("w" if not j else f"w[{j + 1}:]" for j in range(width))
+    joined = " || chr(1) || ".join(f"z[{j + 1}]" for j in range(width))
+    return (
+        f"CASE WHEN len(w) >= {width} THEN list_distinct([{joined} FOR z IN list_zip({parts})"
+        f" IF z[{width}] IS NOT NULL]) WHEN len(w) > 0 THEN [array_to_string(w, chr(1))] ELSE [] END"
+    )
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all documents by three-word shingles and nine tenths."""
+    return jaccard.jaccard_join(read_table(spark, sf, "documents"), "doc_id", "text", width=3, percent=90)
+
+
+ORACLES["op5_jaccard_join"] = f"""WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, {_sql_shingles(3)} AS s FROM words),
+items AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(t.t) AS t FROM sets, unnest(s) AS t(t)),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.t = b.t AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, len(s.s)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import chat, jaccard, mixing, secrets, tokens, warc
+from textwarden.llm import chat, decontaminate, jaccard, mixing, secrets, tokens, warc
 from textwarden.llm.store import stored
 from textwarden.sources.files import read_table
 
@@ -193,3 +193,18 @@ reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, len(s.s)"""
+
+
+@query
+def op10_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items and the documents that hold four fifths of their five-word shingles."""
+    docs, items = read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark")
+    return decontaminate.leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+ORACLES["op10_benchmark_leaks"] = f"""WITH words AS MATERIALIZED (SELECT doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+iwords AS MATERIALIZED (SELECT item_id, coalesce({WORDS_SQL}, []) AS w FROM benchmark),
+items AS MATERIALIZED (SELECT item_id, len(s) AS n, t.t AS t FROM (SELECT item_id, {_sql_shingles(5)} AS s FROM iwords), unnest(s) AS t(t)),
+shingles AS MATERIALIZED (SELECT doc_id, t.t AS t FROM (SELECT doc_id, {_sql_shingles(5)} AS s FROM words), unnest(s) AS t(t))
+SELECT doc_id, item_id, count(*) AS n_shared, CAST(n AS BIGINT) AS n_item FROM shingles JOIN items USING (t)
+GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n"""

@@ -1,7 +1,90 @@
-"""The corpus pipeline: documents through five stages, each written before the next reads it."""
-STAGES = []
+"""The corpus pipeline: documents through five stages, each written before the next reads it.
+
+1.  Language: documents without a recognisable language go.
+2.  Near duplicates: the smallest id of each group of five-word shingle sets that are alike
+    to four fifths or more stays.
+3.  Decontamination: documents that hold a benchmark item go.
+4.  Secrets: live credentials are replaced by a mark; copied examples stay.
+5.  Mixture: documents are drawn so that sources, languages and topics meet their targets.
+
+Every stage returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import textwarden
+from textwarden.llm import decontaminate, jaccard, language, mixing, secrets
+from textwarden.llm.store import stored
+from textwarden.sources.files import read_table
+
+# functions that run in Python workers travel with the task, wherever the driver was started
+cloudpickle.register_pickle_by_value(textwarden)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the rows whose text is null or has no letter: no language can be told for them.
+
+    The model learns from all labelled rows of the input.
+    """
+    model = language.train(docs, "text", "lang")
+    names = {n: n for n in docs.columns}
+    told = language.identify(docs, names, "text", model)
+    return told.filter(F.col("lang_pred") != language.UNKNOWN).select(*names)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document whose id names its group; of rows repeated under one id, one.
+
+    Rows without words are in no group and stay, as do rows without id.
+    """
+    groups = jaccard.jaccard_join(docs, "doc_id", "text")
+    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(stored(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    twice = kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    twice = stored(twice, "repeated-ids")
+    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates())
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents into which a benchmark item leaks."""
+    return decontaminate.clean(docs, "doc_id", "text", read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace live credentials in the texts; n_chars follows."""
+    clean = secrets.redact(docs, "doc_id", "text", owner="source", repo="lang")
+    if "n_chars" not in docs.columns:
+        return clean
+    length = F.when(F.col("text").contains(secrets.MARK), F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def to_target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents by calibrated probabilities."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of("text")}
+    return mixing.mixed_sample(docs, "doc_id", "text", dims).select(*docs.columns)
+
+
+STAGES = [
+    ("language", known_language),
+    ("near duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("mixture", to_target_mix),
+]
+
+#: Training and components are not for SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each is written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

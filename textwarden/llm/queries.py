@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import chat, decontaminate, jaccard, mixing, secrets, tokens, warc
-from textwarden.llm.store import stored
+from textwarden.llm import chat, decontaminate, jaccard, language, mixing, quality, secrets, tokens, vectors, warc
+from textwarden.llm.store import crc_fold, stored
 from textwarden.sources.files import read_table
 
 QUERIES: dict = {}
@@ -208,3 +208,43 @@ items AS MATERIALIZED (SELECT item_id, len(s) AS n, t.t AS t FROM (SELECT item_i
 shingles AS MATERIALIZED (SELECT doc_id, t.t AS t FROM (SELECT doc_id, {_sql_shingles(5)} AS s FROM words), unnest(s) AS t(t))
 SELECT doc_id, item_id, count(*) AS n_shared, CAST(n AS BIGINT) AS n_item FROM shingles JOIN items USING (t)
 GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n"""
+
+
+@query
+def op2_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector against all others."""
+    rows = read_table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), vectors.quantised("embedding").alias("v")
+    )
+    found = vectors.top_k(rows, rows.filter("id % 50 = 0"), 5)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op2_exact_top_k"] = """WITH v AS MATERIALIZED (
+  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id % 50 = 0 AND q.id <> c.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op3_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Language shares of all documents; learnt from four fifths of them."""
+    docs = read_table(spark, sf, "documents").withColumn("__fold", crc_fold("doc_id"))
+    model = language.train(docs.filter("__fold <> 0"), "text", "lang")
+    out = language.identify(docs, {"doc_id": "doc_id", "__fold": "__fold"}, "text", model)
+    return out.select("doc_id", (F.col("__fold") == 0).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+@query
+def op8_quality_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of all documents; labels learnt from four fifths of them."""
+    docs = read_table(spark, sf, "documents")
+    labels = read_table(spark, sf, "labels").filter(crc_fold("doc_id") != 0)
+    weights = quality.train(docs, "doc_id", "text", labels, "doc_id", "quality")
+    out = quality.score(docs, {"doc_id": "doc_id"}, "text", weights)
+    return out.select(
+        "doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )

@@ -54,6 +54,7 @@ HINTS = {
 }
 PLACEHOLDER = re.compile(r"example|sample|dummy|test|changeme|placeholder|your|xxxx", re.I)
 COPIED_OWNERS = 3  # owners from which on a value is a copied example
+MARK = "[REDACTED]"  # stands for a live credential
 LIVE_BITS = 2.5  # bits per character from which on a value looks random
 
 SCANNED = (
@@ -180,7 +181,7 @@ def secret_scan(docs: DataFrame, key: str, text: str, owner: str, repo: str) ->
     return judged(scanned).drop("owner", "repo", "found_key", "__class")
 
 
-def redact(docs: DataFrame, key: str, text: str, owner: str, repo: str, mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, key: str, text: str, owner: str, repo: str, mark: str = MARK) -> DataFrame:
     """The rows of ``docs`` with every live span, and what overlaps it, replaced by a mark.
 
     Copied examples and weak values stay.  Only texts with a candidate are shuffled, to

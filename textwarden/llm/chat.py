@@ -64,7 +64,8 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
         above = steps.join(up, steps["id"] == up["at"]).select(
             "leaf", F.col("up").alias("id"), (F.col("back") + 2**k).alias("back")
         )
-        steps = steps.unionByName(above)
+        # written in every round: the next one reads it twice
+        steps = stored(steps.unionByName(above), "replies-steps")
     steps = stored(steps.join(nodes.select("id", "score"), "id"), "replies-paths")
     paths = steps.groupBy("leaf").agg(
         F.max(F.struct("back", "id")).alias("top"), F.avg("score").alias("path_score")

@@ -31,9 +31,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from all labelled rows of the input.
     """
     model = language.train(docs, "text", "lang")
-    names = {n: n for n in docs.columns}
+    names = {f"__{i}": n for i, n in enumerate(docs.columns)}
     told = language.identify(docs, names, "text", model)
-    return told.filter(F.col("lang_pred") != language.UNKNOWN).select(*names)
+    known = ~F.col("lang_pred").eqNullSafe(F.lit(language.UNKNOWN))
+    return told.filter(known).select(*[F.col(i).alias(n) for i, n in names.items()])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     twice = kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     twice = stored(twice, "repeated-ids")
     single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates())
+    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5  # counts added to every bucket
@@ -131,23 +132,27 @@ def mixture(counts: np.ndarray, likely: np.ndarray) -> dict[int, float]:
 def identify(docs: DataFrame, key: dict[str, str], text: str, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """Columns ``key`` (new name: column), lang_pred, score and ``mixture``, a map of proportions.
 
-    The score is the proportion of the predicted language.
+    The score is the proportion of the predicted language.  A model without languages
+    predicts null for every text that has a letter.
     """
     langs, table = model
     context = docs.sparkSession.sparkContext
     bits, shared = context.broadcast(letter_bits()), context.broadcast((langs, table))
-    kept = docs.select(*[F.col(c).alias(n) for n, c in key.items()], F.col(text).alias("__text"))
+    kept = docs.select(*[F.col(c).alias(n) for n, c in key.items()])
     width = len(key)
+    at_text = next((i for i, c in enumerate(key.values()) if c == text), width)
+    if at_text == width:
+        kept = docs.select(*[F.col(c).alias(n) for n, c in key.items()], F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
         names, likely = shared.value
         for batch in batches:
             preds, scores, maps = [], [], []
-            for t in batch.column(width).to_pylist():
-                n = trigram_counts(t, letters) if t and names else None
-                if n is None:
-                    preds.append(UNKNOWN)
+            for t in batch.column(at_text).to_pylist():
+                n = trigram_counts(t, letters) if t else None
+                if n is None or not names:
+                    preds.append(UNKNOWN if n is None else None)
                     scores.append(0.0)
                     maps.append([])
                     continue
@@ -157,9 +162,9 @@ def identify(docs: DataFrame, key: dict[str, str], text: str, model: tuple[list[
                 preds.append(names[top])
                 scores.append(min(1.0, max(0.0, found[top])))
                 maps.append([(names[i], p) for i, p in sorted(found.items())])
-            cols = [*batch.columns[:width], pa.array(preds), pa.array(scores, pa.float64()),
+            cols = [*batch.columns[:width], pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
                     pa.array(maps, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "lang_pred", "score", "mixture"])
 
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{head}lang_pred string, score double, mixture map<string,double>")
+    told = StructType.fromDDL("lang_pred string, score double, mixture map<string,double>")
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:width], *told.fields]))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textwarden.llm.words import Hasher, mixed, pieces
 
@@ -136,5 +137,4 @@ def score(docs: DataFrame, key: dict[str, str], text: str, weights: np.ndarray)
             cols = [*batch.columns[:width], pa.array(1 / (1 + np.exp(-logit)), pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "score"])
 
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{head}score double")
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:width], *StructType.fromDDL("score double").fields]))

@@ -124,8 +124,7 @@ def scan(docs: DataFrame, text: str, keep: dict[str, str]) -> DataFrame:
         names = [*batch.schema.names[:n_keep], *"n_assign n_access n_hex base_sha256 spans found found_key".split()]
         return pa.RecordBatch.from_arrays(out, names)
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return by_batch(kept, make, ", ".join(x for x in (head, SCANNED) if x))
+    return by_batch(kept, make, StructType([*kept.schema.fields[:n_keep], *StructType.fromDDL(SCANNED).fields]))
 
 
 def value_owners(found: DataFrame) -> DataFrame:

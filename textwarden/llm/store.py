@@ -34,7 +34,7 @@ def release(spark: SparkSession) -> int:
     return done
 
 
-def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """Apply a function to every Arrow batch of a table; row work, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,10 +27,22 @@ def scores_only(spark, sf):
     return table(spark, sf, "documents").select("doc_id", fixture_score().alias("score"))
 
 
+#: Scores of which some are missing, or no finite numbers: for a policy that is the same.
+SQL_ODD = f"CASE WHEN doc_id % 97 BETWEEN 5 AND 7 THEN NULL ELSE {B.SQL_SCORE} END"
+
+
+def odd_scores(spark, sf):
+    which = F.col("doc_id") % 97
+    odd = F.when(which == 5, float("nan")).when(which == 6, None).when(which == 7, float("inf"))
+    return table(spark, sf, "documents").select("doc_id", odd.otherwise(fixture_score()).alias("score"))
+
+
 def answers(spark, sf):
     """Raw reviewer answers for all labelled documents, in eight shapes."""
     labels = table(spark, sf, "labels")
     num = F.concat(F.lit("0."), F.lpad(((F.col("doc_id") * 7) % 100).cast("string"), 2, "0"))
+    # quoted, it is no number, whatever it spells
+    quoted = F.when(F.col("doc_id") % 3 == 0, "NaN").when(F.col("doc_id") % 3 == 1, "Infinity").otherwise(num)
     act = F.when(F.col("toxic") == 1, "block").when(F.col("quality") == 0, "review").otherwise("allow")
     fields = F.concat(
         F.lit('"contextual_toxicity_score": '), num, F.lit(', "recommended_action": "'), act, F.lit('"')
@@ -49,7 +61,7 @@ def answers(spark, sf):
         .when(shape == 3, F.concat(F.lit('{"contextual_toxicity_score": '), num, F.lit("}")))
         .when(
             shape == 4,
-            F.concat(F.lit('{"contextual_toxicity_score": "'), num, F.lit('"'), more, F.lit("}")),
+            F.concat(F.lit('{"contextual_toxicity_score": "'), quoted, F.lit('"'), more, F.lit("}")),
         )
         .when(
             shape == 5,
@@ -73,7 +85,8 @@ SQL_ANSWERS = """nums AS (SELECT doc_id, '0.' || lpad(CAST((doc_id * 7) % 100 AS
     WHEN 1 THEN '```json' || chr(10) || '{' || fields || more || '}' || chr(10) || '```'
     WHEN 2 THEN ' ```' || chr(10) || '{' || fields || more || '}' || chr(10) || '```' || chr(10)
     WHEN 3 THEN '{"contextual_toxicity_score": ' || num || '}'
-    WHEN 4 THEN '{"contextual_toxicity_score": "' || num || '"' || more || '}'
+    WHEN 4 THEN '{"contextual_toxicity_score": "' || CASE doc_id % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' ELSE num END
+      || '"' || more || '}'
     WHEN 5 THEN '{"contextual_toxicity_score": 1.7, "recommended_action": "ban"' || more || '}'
     WHEN 6 THEN '{' || fields || more
     ELSE '{' || fields || more || ', "is_false_positive": true}' END AS raw FROM f)"""
@@ -142,17 +155,18 @@ def parse_verdicts(spark, sf):
 
 
 def _ladder(block, block_conf, review, review_conf, allow_conf) -> str:
-    return f"""SELECT doc_id, CASE WHEN s > {block}::DOUBLE THEN 'block'
+    return f"""SELECT doc_id, CASE WHEN s IS NULL THEN 'review' WHEN s > {block}::DOUBLE THEN 'block'
       WHEN s > {review}::DOUBLE THEN 'review' ELSE 'allow' END AS action,
-      CASE WHEN s > {block}::DOUBLE THEN '{block_conf}' WHEN s > {review}::DOUBLE THEN '{review_conf}'
+      CASE WHEN s IS NULL THEN 'medium' WHEN s > {block}::DOUBLE THEN '{block_conf}'
+      WHEN s > {review}::DOUBLE THEN '{review_conf}'
       ELSE '{allow_conf}' END AS confidence, {review}::DOUBLE AS threshold, s > 0.5::DOUBLE AS is_toxic
-    FROM (SELECT doc_id, {B.SQL_SCORE} AS s FROM documents)"""
+    FROM (SELECT doc_id, {SQL_ODD} AS s FROM documents)"""
 
 
 def _register_ladder(policy: str, sql: str) -> None:
     @query(f"policy_{policy}", sql)
     def run(spark, sf):
-        decided = scores_only(spark, sf).select("doc_id", P.decide("score", policy).alias("d"))
+        decided = odd_scores(spark, sf).select("doc_id", P.decide("score", policy).alias("d"))
         return decided.select("doc_id", "d.*")
 
 
@@ -161,24 +175,24 @@ _register_ladder("ml_only", _ladder(0.7, "high", 0.5, "medium", "high"))
 _register_ladder("reviewer_unavailable", _ladder(0.8, "medium", 0.6, "low", "medium"))
 _register_ladder(
     "binary",
-    f"""SELECT doc_id, CASE WHEN s > 0.5::DOUBLE THEN 'toxic' ELSE 'safe' END AS action,
-      CASE WHEN abs(s - 0.5::DOUBLE) > 0.3::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+    f"""SELECT doc_id, CASE WHEN s IS NULL THEN 'review' WHEN s > 0.5::DOUBLE THEN 'toxic' ELSE 'safe' END AS action,
+      CASE WHEN s IS NULL THEN 'LOW' WHEN abs(s - 0.5::DOUBLE) > 0.3::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
       0.5::DOUBLE AS threshold, s > 0.5::DOUBLE AS is_toxic
-    FROM (SELECT doc_id, {B.SQL_SCORE} AS s FROM documents)""",
+    FROM (SELECT doc_id, {SQL_ODD} AS s FROM documents)""",
 )
 
-_FALLBACK = """CASE WHEN score > 0.8::DOUBLE THEN 'block' WHEN score > thr THEN 'review' ELSE 'allow' END AS
-      action, CASE WHEN score > 0.8::DOUBLE THEN 'high' WHEN score > thr THEN 'medium'
+_FALLBACK = """CASE WHEN score IS NULL THEN 'review' WHEN score > 0.8::DOUBLE THEN 'block' WHEN score > thr THEN 'review' ELSE 'allow' END AS
+      action, CASE WHEN score IS NULL THEN 'medium' WHEN score > 0.8::DOUBLE THEN 'high' WHEN score > thr THEN 'medium'
       WHEN score < 0.2::DOUBLE THEN 'high' ELSE 'medium' END AS confidence"""
 
 
 @query(
     "policy_online_fallback",
-    f"""WITH {SCORED}, t AS (SELECT *, 0.5::DOUBLE AS thr FROM scored)
+    f"""WITH t AS (SELECT doc_id, {SQL_ODD} AS score, 0.5::DOUBLE AS thr FROM documents)
     SELECT doc_id, {_FALLBACK}, thr AS threshold, score > thr AS is_toxic FROM t""",
 )
 def policy_online_fallback(spark, sf):
-    d = scores_only(spark, sf).select("doc_id", P.decide("score", "online_fallback").alias("d"))
+    d = odd_scores(spark, sf).select("doc_id", P.decide("score", "online_fallback").alias("d"))
     return d.select("doc_id", "d.*")
 
 
@@ -187,11 +201,12 @@ def policy_online_fallback(spark, sf):
     f"""WITH {SCORED}, {B.sql_flags('scored')}, t AS (SELECT *, greatest(0.3::DOUBLE,
       least(0.8::DOUBLE, 0.5::DOUBLE - (CASE WHEN excessive_caps THEN 0.1::DOUBLE ELSE 0::DOUBLE END)
       - (CASE WHEN excessive_punctuation THEN 0.05::DOUBLE ELSE 0::DOUBLE END)
-      - (CASE WHEN repeated_chars THEN 0.05::DOUBLE ELSE 0::DOUBLE END))) AS thr FROM flags)
+      - (CASE WHEN repeated_chars THEN 0.05::DOUBLE ELSE 0::DOUBLE END))) AS thr
+      FROM (SELECT * REPLACE ({SQL_ODD} AS score) FROM flags))
     SELECT doc_id, {_FALLBACK}, thr AS threshold, score > thr AS is_toxic FROM t""",
 )
 def policy_online_fallback_adjusted(spark, sf):
-    rows = scored(spark, sf)
+    rows = scored(spark, sf).drop("score").join(odd_scores(spark, sf), "doc_id")
     d = rows.select("doc_id", P.decide("score", "online_fallback", "flags", adjust=True).alias("d"))
     return d.select("doc_id", "d.*")
 
@@ -298,6 +313,19 @@ def attach_verdicts(spark, sf):
     )
 
 
+@query(
+    "two_answers",
+    f"""WITH {SQL_ATTACHED} SELECT doc_id, score, routed, enhanced, r_action AS action,
+      r_reasoning AS reasoning FROM own""",
+)
+def two_answers(spark, sf):
+    """Every answered document has an older answer too: it stays one row, the newer answer counts."""
+    new = answers(spark, sf).withColumn("ts", F.lit(2))
+    old = new.select("doc_id", F.lit('{"contextual_toxicity_score": 0.999, "reasoning": "old"}').alias("raw"), F.lit(1).alias("ts"))
+    both = D.attach_verdicts(scored(spark, sf), new.unionByName(old), ts="ts")
+    return both.select("doc_id", "score", "routed", "enhanced", "verdict.action", "verdict.reasoning")
+
+
 @query(
     "combine_verdicts",
     f"""WITH {SQL_ATTACHED} SELECT doc_id, round(fs, 4) AS final_score, action, confidence, routed,
@@ -355,7 +383,7 @@ SQL_ROUTED = f"""{SQL_VERDICTS}, {SCORED},
     CASE WHEN b AND va IS NULL THEN '{K.ROUTE_REASONS["fallback"]}'
       WHEN score > 0.8::DOUBLE OR va = 'block' THEN '{K.ROUTE_REASONS["block"]}'
       WHEN va = 'review' THEN '{K.ROUTE_REASONS["review"]}' ELSE '{K.ROUTE_REASONS["allow"]}' END
-      AS reasoning, b AND va IS NULL AS fallback_used FROM routed)"""
+      AS reasoning, b AND va IS NULL AS fallback_used, va IS NOT NULL AS enhanced FROM routed)"""
 
 
 def routed(spark, sf):
@@ -367,6 +395,20 @@ def routed(spark, sf):
     return D.route_workflow(rows, v.select("doc_id", action.alias("action")))
 
 
+SQL_LOGGED = "(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 500))"
+SQL_LOGGED_AT = B.sql_stamp(SQL_LOGGED)
+
+
+def logged(spark, sf):
+    """Workflow decisions with a time and an execution."""
+    hours = F.make_dt_interval(F.lit(0), (F.col("doc_id") % 500).cast("int"))
+    return (
+        routed(spark, sf)
+        .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + hours)
+        .withColumn("execution_id", F.concat(F.lit("run-"), F.col("doc_id").cast("string")))
+    )
+
+
 @query("route_workflow", f"WITH {SQL_ROUTED} SELECT * EXCLUDE text FROM workflow")
 def route_workflow(spark, sf):
     return routed(spark, sf).drop("text")
@@ -376,12 +418,11 @@ def route_workflow(spark, sf):
     "decision_log",
     f"""WITH {SQL_ROUTED} SELECT doc_id, 'run-' || doc_id AS execution_id,
       substr(text, 1, 100) AS text_preview, score AS ml_score, action, confidence, reasoning,
-      FALSE AS enhanced FROM workflow""",
+      enhanced, {SQL_LOGGED_AT} AS ts, strftime({SQL_LOGGED}, '%Y-%m-%d') AS day FROM workflow""",
 )
 def decision_log(spark, sf):
-    rows = routed(spark, sf)
-    run = F.concat(F.lit("run-"), F.col("doc_id").cast("string"))
-    return D.decision_log(rows.withColumn("execution_id", run), columns=["doc_id"])
+    log = D.decision_log(logged(spark, sf), columns=["doc_id"])
+    return log.withColumn("ts", B.stamp("ts")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(

@@ -105,12 +105,14 @@ def decode_bytes(spark, sf):
 
 @query(
     "score_responses",
-    f"""SELECT doc_id, CASE WHEN lang = 'es' THEN NULL ELSE {B.SQL_SCORE} END AS score
+    f"""SELECT doc_id, CASE WHEN lang = 'es' OR doc_id % 11 IN (3, 4) THEN NULL ELSE {B.SQL_SCORE} END AS score
     FROM documents""",
 )
 def score_responses(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", fixture_score().alias("s"))
-    text, lang = F.col("s").cast("string"), F.col("lang")
+    which = F.col("doc_id") % 11
+    text = F.when(which == 3, "NaN").when(which == 4, "Infinity").otherwise(F.col("s").cast("string"))
+    lang = F.col("lang")
     response = (
         F.when(lang == "en", F.concat(F.lit("["), text, F.lit("]")))
         .when(lang == "de", F.concat(F.lit('{"predictions": ['), text, F.lit("]}")))

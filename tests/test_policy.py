@@ -199,3 +199,46 @@ def test_payload_shapes(spark):
 def test_score_shapes(spark):
     df = spark.createDataFrame([("[0.9]",), ('{"predictions": [0.8]}',), (" 0.7\n",), ("no",), (None,)], "r STRING")
     assert [r[0] for r in df.select(PL.parse_score_response("r")).collect()] == [0.9, 0.8, 0.7, None, None]
+
+
+@pytest.mark.parametrize("policy", [*P.LADDERS, "online_fallback", "binary"])
+@pytest.mark.parametrize("value", [None, float("nan"), float("inf"), float("-inf")])
+def test_what_is_no_number_goes_to_review(spark, policy, value):
+    df = spark.createDataFrame([(value,)], "s DOUBLE")
+    d = df.select(P.decide("s", policy).alias("d")).first()["d"]
+    assert d["action"] == "review" and d["is_toxic"] is None
+    r = df.select(P.route("s", F.lit("block")).alias("r")).first()["r"]
+    assert r["action"] == "review" and r["fallback_used"]
+
+
+def test_no_number_in_a_verdict_becomes_the_model_score(spark):
+    from textwarden.functions.verdicts import parse_verdicts
+
+    rows = [(i, f'{{"contextual_toxicity_score": "{x}"}}', 0.4) for i, x in enumerate(["NaN", "Infinity", "-Infinity", "0.9"])]
+    got = parse_verdicts(spark.createDataFrame(rows, "i INT, raw STRING, score DOUBLE")).collect()
+    assert [r["verdict"]["score"] for r in got[:3]] == [0.4] * 3
+    flags = F.struct(F.lit(False).alias("excessive_caps"), F.lit(False).alias("excessive_punctuation"))
+    nan = spark.createDataFrame([(float("nan"),)], "s DOUBLE").select(
+        F.col("s"), flags.alias("f"),
+        F.struct(F.lit(0.9).alias("score"), F.lit("allow").alias("action"), F.lit("low").alias("confidence"),
+                 F.lit(False).alias("enhanced"), F.lit(False).alias("is_false_positive")).alias("v"),
+    )
+    c = nan.select(P.combine_scores("s", "v", "f").alias("c")).first()["c"]
+    assert (c["score"], c["action"]) == (None, "review")
+
+
+def test_text_of_a_request_is_a_string(spark):
+    from textwarden.functions.payload import parse_score_response, request_text
+
+    raws = ['{"text": 5}', '{"text": "5"}', '{"body": "{\\"text\\": [1]}"}', '{"text": null}', "{}", "no json"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i INT, raw STRING")
+    assert [r[0] for r in df.orderBy("i").select(request_text("raw")).collect()] == ["", "5", "", "", "", ""]
+    answers = spark.createDataFrame([("NaN",), ("[Infinity]",), ('{"predictions": ["-Infinity"]}',), ("[0.25]",)], "a STRING")
+    assert [r[0] for r in answers.select(parse_score_response("a")).collect()] == [None, None, None, 0.25]
+
+
+def test_listed_words_are_taken_literally(spark):
+    from textwarden.functions.text import has_listed_word
+
+    df = spark.createDataFrame([("a.b",), ("axb",), ("say f*** now",), ("fff",)], "t STRING")
+    assert [r[0] for r in df.select(has_listed_word("t", ["a.b", "f***"])).collect()] == [True, False, True, False]

@@ -69,11 +69,11 @@ ALERT_SUBJECT = "Content Blocked - High Toxicity Detected"
 
 # --- fixed values: monitoring -------------------------------------------------
 ALARMS = (
-    # name, metric, statistic, operator, threshold, periods, period seconds
-    ("HighErrorRate", "InvocationErrors", "Sum", ">", 10.0, 2, 300),
-    ("HighLatency", "ToxicityPredictionLatency", "Average", ">", 2000.0, 3, 300),
-    ("LowConfidence", "HighConfidencePredictions", "Average", "<", 70.0, 5, 300),
-    ("HighFalsePositiveRate", "FalsePositiveRate", "Average", ">", 20.0, 5, 900),
+    # name, metric, statistic, operator, threshold, periods, period seconds, dimensions
+    ("HighErrorRate", "InvocationErrors", "Sum", ">", 10.0, 2, 300, {}),
+    ("HighLatency", "ToxicityPredictionLatency", "Average", ">", 2000.0, 3, 300, {"Environment": "Production"}),
+    ("LowConfidence", "HighConfidencePredictions", "Average", "<", 70.0, 5, 300, {"Environment": "Production"}),
+    ("HighFalsePositiveRate", "FalsePositiveRate", "Average", ">", 20.0, 5, 900, {"Environment": "Production"}),
 )
 RETENTION_DAYS = {"prediction": 30, "model-performance": 90, "api-access": 30, "alerts": 7}
 TERMINAL_STATES = ("Succeeded", "Failed", "Stopped")

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from textwarden import constants as K
 from textwarden.functions._base import col
+from textwarden.functions.scores import number
 from textwarden.functions.text import strip_space
 
 
 def request_text(raw: Column | str) -> Column:
     """Text of a request: in ``body`` (a JSON string or an object) or at the top level.
 
-    A request without text gives the empty text.
+    A request without text, or whose text is no string, gives the empty text.
     """
     raw = col(raw)
     body = F.get_json_object(raw, "$.body")
     inner = F.when(body.isNull(), raw).otherwise(body)
-    return F.coalesce(F.get_json_object(inner, "$.text"), F.lit(""))
+    # read as a variant, which keeps the kind of a value: only strings are texts
+    value = F.try_variant_get(F.try_parse_json(inner), "$.text", "variant")
+    is_text = F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(True))
+    return F.coalesce(F.when(is_text, F.get_json_object(inner, "$.text")), F.lit(""))
 
 
 def request_metadata(raw: Column | str) -> Column:
@@ -63,12 +67,12 @@ def decoded_bytes(body: Column | str) -> Column:
 
 
 def parse_score_response(c: Column | str) -> Column:
-    """Score from ``[s]``, ``{"predictions": [s]}`` or ``s``; NULL where there is none."""
+    """Score from ``[s]``, ``{"predictions": [s]}`` or ``s``; NULL where there is no finite number."""
     c = col(c)
     text = F.coalesce(
         F.get_json_object(c, "$[0]"), F.get_json_object(c, "$.predictions[0]"), strip_space(c)
     )
-    return text.try_cast("double")
+    return number(text.try_cast("double"))
 
 
 def format_scores(scores: Column | str, accept: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textwarden import constants as K
 from textwarden.functions._base import col, dbl
-from textwarden.functions.scores import blend, bump, clamp, distance_confidence, is_toxic
+from textwarden.functions.scores import blend, bump, clamp, distance_of, number
 
 # fixed values: block above, confidence; review above, confidence; confidence of the rest
 LADDERS = {
@@ -47,9 +47,10 @@ def decide(
 ) -> Column:
     """Struct of action, confidence, threshold and is_toxic under a named policy.
 
-    A row without a score goes to review: a missing score is not a low one.
+    A row without a score goes to review: a missing score is not a low one, and a
+    value that is no finite number is a missing score.
     """
-    s = col(score)
+    s = number(score)
     if policy in LADDERS:
         block, block_conf, review, review_conf, allow_conf = LADDERS[policy]
         threshold = dbl(review)
@@ -57,7 +58,7 @@ def decide(
         confidence = (
             F.when(s > dbl(block), block_conf).when(s > threshold, review_conf).otherwise(allow_conf)
         )
-        toxic = is_toxic(s)
+        toxic = s > dbl(K.TOXIC_ABOVE)
     elif policy == "online_fallback":
         threshold = adjusted_threshold(flags, adjust)
         action = F.when(s > dbl(0.8), "block").when(s > threshold, "review").otherwise("allow")
@@ -70,9 +71,9 @@ def decide(
         toxic = s > threshold
     elif policy == "binary":
         threshold = dbl(K.TOXIC_ABOVE)
-        toxic = is_toxic(s)
+        toxic = s > dbl(K.TOXIC_ABOVE)
         action = F.when(toxic, "toxic").otherwise("safe")
-        confidence = distance_confidence(s)
+        confidence = distance_of(s)
     else:
         raise ValueError(f"unknown policy: {policy}")
     missing = s.isNull()
@@ -88,7 +89,7 @@ def combine_scores(ml: Column | str, verdict: Column | str, flags: Column | str)
     is_false_positive.  Limits are compared before rounding.
     """
     v = col(verdict)
-    final = bump(blend(ml, v["score"], v["enhanced"]), flags)
+    final = bump(blend(number(ml), number(v["score"]), v["enhanced"]), flags)
     block = (final > dbl(0.8)) | (v["action"] == "block")
     review = (final > dbl(0.5)) | (v["action"] == "review")
     false_positive = F.coalesce(v["is_false_positive"], F.lit(False))
@@ -111,7 +112,7 @@ def route(score: Column | str, verdict_action: Column | str) -> Column:
     A row in the closed upper borderline range needs a verdict; without one, or
     without a score, it goes to review.
     """
-    s, va = col(score), col(verdict_action)
+    s, va = number(score), col(verdict_action)
     borderline = (s > dbl(0.3)) & (s <= dbl(0.8))
     fallback = s.isNull() | (borderline & va.isNull())
     block = (s > dbl(0.8)) | (borderline & (va == "block"))

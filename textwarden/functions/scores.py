@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ def clamp(x: Column | str, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.when(x.isNull(), x).otherwise(F.greatest(dbl(lo), F.least(dbl(hi), x)))
 
 
+def number(c: Column | str) -> Column:
+    """A score as double; NaN and infinite values are no scores and become NULL."""
+    x = col(c).cast("double")
+    # NaN is above every number here
+    return F.when(F.abs(x) <= dbl(sys.float_info.max), x)
+
+
 def blend(ml: Column | str, verdict: Column | str, enhanced: Column | str) -> Column:
     """Weighted mean of verdict and model score where a verdict exists."""
     mixed = dbl(K.VERDICT_WEIGHT) * col(verdict) + dbl(K.MODEL_WEIGHT) * col(ml)
@@ -34,12 +43,16 @@ def score_difference(a: Column | str, b: Column | str) -> Column:
 
 
 def is_toxic(score: Column | str, threshold: float = K.TOXIC_ABOVE) -> Column:
-    return col(score) > dbl(threshold)
+    return number(score) > dbl(threshold)
 
 
 def distance_confidence(score: Column | str) -> Column:
     """HIGH far from the middle, MEDIUM near it, LOW without a score."""
-    s = col(score)
+    return distance_of(number(score))
+
+
+def distance_of(s: Column) -> Column:
+    """As distance_confidence, for a score known to be finite or NULL."""
     return (
         F.when(s.isNull(), "LOW")
         .when(F.abs(s - dbl(0.5)) > dbl(0.3), "HIGH")
@@ -51,7 +64,7 @@ def borderline(
     score: Column | str, lo: float = K.BORDERLINE[0], hi: float = K.BORDERLINE[1], hi_closed: bool = False
 ) -> Column:
     """Between the limits; the upper one counts only if asked for."""
-    s = col(score)
+    s = number(score)
     return (s > dbl(lo)) & ((s <= dbl(hi)) if hi_closed else (s < dbl(hi)))
 
 

@@ -9,6 +9,7 @@ without spaces or of spaces only does not blow them up.
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -96,7 +97,7 @@ def count_of(c: Column | str, char: str) -> Column:
 
 def has_listed_word(c: Column | str, words: Iterable[str] = K.LISTED_WORDS) -> Column:
     """Whole-word hit of any listed word, ignoring case."""
-    joined = "|".join(words)
+    joined = "|".join(re.escape(w) for w in words)
     return col(c).rlike(f"(?iu)(?<![{WORD_CHARS}])(?:{joined})(?![{WORD_CHARS}])")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textwarden import constants as K
 from textwarden.functions._base import col, dbl
 from textwarden.functions.policy import decide
-from textwarden.functions.scores import clamp
+from textwarden.functions.scores import clamp, number
 from textwarden.functions.text import strip_fence, strip_space
 
 FLAG_NAMES = (
@@ -67,14 +67,14 @@ def parse_verdicts(
 
 
 def _checked(ml_score: str) -> Column:
-    ok, ml = F.col("__ok"), F.col(ml_score).cast("double")
+    ok, ml = F.col("__ok"), number(ml_score)
     given = lambda field: F.col(f"__v.{field}")
     has = lambda field: F.array_contains("__keys", field)
-    spare = decide(ml, "reviewer_unavailable")
+    spare = decide(ml_score, "reviewer_unavailable")
     unknown = F.array(F.lit("unknown"))
     error = "JSON parse error"
 
-    stated = clamp(F.coalesce(given("contextual_toxicity_score"), ml))
+    stated = clamp(F.coalesce(number(given("contextual_toxicity_score")), ml))
     stated = F.when(has("contextual_toxicity_score"), stated).otherwise(dbl(0.5))
     action = F.when(given("recommended_action").isin(*K.ACTIONS), given("recommended_action"))
     or_else = lambda field, spare: F.when(has(field), given(field)).otherwise(spare)
@@ -120,8 +120,8 @@ def unavailable_verdict(ml_score: Column | str, error: str = "no answer") -> Col
 
 
 def _own_verdict(ml_score, policy, reason, factors, error) -> Column:
-    ml = col(ml_score).cast("double")
-    d = decide(ml, policy)
+    ml = number(ml_score)
+    d = decide(ml_score, policy)
     return F.struct(
         ml.alias("score"),
         d["action"].alias("action"),

@@ -18,7 +18,8 @@ SQL_DECISIONS = f"""decisions AS (SELECT event_id, event_id AS doc_id, ts, user_
   CASE WHEN {_S} > 0.7::DOUBLE THEN 'high' WHEN {_S} > 0.5::DOUBLE THEN 'medium' ELSE 'high' END AS confidence,
   {_S} > 0.3::DOUBLE AND {_S} < 0.8::DOUBLE AS routed,
   {_S} > 0.3::DOUBLE AND {_S} < 0.8::DOUBLE AND event_type <> 'error' AS enhanced,
-  value * 10 AS reviewer_latency_ms FROM events)"""
+  value * 10 AS reviewer_latency_ms,
+  CASE WHEN event_id % 53 = 7 THEN 'model' WHEN event_id % 59 = 8 THEN 'input' END AS failure FROM events)"""
 
 
 def decisions(spark, sf):
@@ -32,6 +33,7 @@ def decisions(spark, sf):
         d["action"].alias("action"), d["confidence"].alias("confidence"), routed.alias("routed"),
         (routed & (F.col("event_type") != "error")).alias("enhanced"),
         (F.col("value") * 10).alias("reviewer_latency_ms"),
+        F.when(F.col("event_id") % 53 == 7, "model").when(F.col("event_id") % 59 == 8, "input").alias("failure"),
     )
 
 
@@ -43,7 +45,7 @@ def metrics(spark, sf):
 _POINTS = """points AS (
   SELECT ts, 'ToxicityPredictionCount' AS name, 1::DOUBLE AS value, 'Count' AS unit FROM decisions
   UNION ALL SELECT ts, 'ToxicityPredictionLatency', latency_ms, 'Milliseconds' FROM decisions
-  UNION ALL SELECT ts, 'HighConfidencePredictions', 1, 'Count' FROM decisions WHERE confidence = 'high'
+  UNION ALL SELECT ts, 'HighConfidenceCount', 1, 'Count' FROM decisions WHERE confidence = 'high'
   UNION ALL SELECT ts, 'ContentBlockedCount', 1, 'Count' FROM decisions WHERE action = 'block'
   UNION ALL SELECT ts, 'ContentReviewCount', 1, 'Count' FROM decisions WHERE action = 'review'
   UNION ALL SELECT ts, 'SecondOpinionCount', 1, 'Count' FROM decisions WHERE routed
@@ -73,7 +75,11 @@ def decision_metrics(spark, sf):
       UNION ALL SELECT 'SecondOpinionSuccess', 1, 'Count', NULL, NULL FROM decisions WHERE enhanced
       UNION ALL SELECT 'SecondOpinionError', 1, 'Count', NULL, NULL FROM decisions
         WHERE routed AND NOT enhanced
-      UNION ALL SELECT 'ModerationDecision', 1, 'Count', action, confidence FROM decisions)
+      UNION ALL SELECT 'SecondOpinionLatency', reviewer_latency_ms, 'Milliseconds', NULL, NULL FROM decisions
+        WHERE enhanced AND reviewer_latency_ms IS NOT NULL
+      UNION ALL SELECT 'ModelError', 1, 'Count', NULL, NULL FROM decisions WHERE failure = 'model'
+      UNION ALL SELECT 'PredictionError', 1, 'Count', NULL, NULL FROM decisions WHERE failure <> 'model'
+      UNION ALL SELECT 'ModerationDecision', 1, 'Count', action, confidence FROM decisions WHERE failure IS NULL)
     SELECT name, unit, action, confidence, count(*) AS points, {B.sql_steady("sum(value)", 3)} AS total
     FROM p GROUP BY ALL""",
 )
@@ -127,6 +133,12 @@ def windowed_statistics(spark, sf):
     return w.withColumn("sum", B.steady("sum", 3)).withColumn("average", B.steady("average"))
 
 
+def _share(points):
+    return points.select(
+        stamp("ts").alias("window_start"), "name", F.round("value", 4).alias("value"), "among"
+    )
+
+
 @query(
     "high_confidence_share",
     f"""WITH {SQL_DECISIONS} SELECT {sql_stamp("time_bucket(INTERVAL 5 MINUTE, ts)")} AS window_start,
@@ -135,8 +147,7 @@ def windowed_statistics(spark, sf):
       count(*) AS among FROM decisions GROUP BY 1""",
 )
 def high_confidence_share(spark, sf):
-    w = _stamped(M.high_confidence_pct(decisions(spark, sf)))
-    return w.withColumn("value", F.round("value", 4))
+    return _share(M.high_confidence_pct(decisions(spark, sf)))
 
 
 @query(
@@ -150,8 +161,7 @@ def high_confidence_share(spark, sf):
 )
 def false_positive_share(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
-    w = _stamped(M.false_positive_pct(decisions(spark, sf), labels))
-    return w.withColumn("value", F.round("value", 4))
+    return _share(M.false_positive_pct(decisions(spark, sf), labels))
 
 
 @query(
@@ -210,6 +220,52 @@ def alarm_changes(spark, sf):
     return c.withColumn("value", B.steady("value"))
 
 
+def feed(spark, sf):
+    """The points the default alarms watch: those of the decisions and the two shares."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return M.alarm_feed(decisions(spark, sf), labels)
+
+
+SQL_FEED = f"""{SQL_DECISIONS}, {_POINTS},
+  feed AS (SELECT ts, name, value FROM points
+    UNION ALL SELECT time_bucket(INTERVAL 5 MINUTE, ts), 'HighConfidencePredictions',
+      100.0::DOUBLE * count(*) FILTER (WHERE confidence = 'high') / count(*) FROM decisions GROUP BY 1
+    UNION ALL SELECT time_bucket(INTERVAL 15 MINUTE, ts), 'FalsePositiveRate',
+      100.0::DOUBLE * count(*) FILTER (WHERE toxic = 0 AND action <> 'allow') / count(*) FILTER (WHERE toxic = 0)
+      FROM decisions JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) FILTER (WHERE toxic = 0) > 0)"""
+
+
+def sql_alarm_states(alarms, points: str, closed: str = "TRUE") -> str:
+    """Value, breach and state of every window of alarms with any periods; needs ``points`` (ts, name, value)."""
+    rows = ", ".join(str(tuple(row[:7])) for row in alarms)
+    return f"""a(alarm, metric, stat, op, threshold, periods, period_s) AS (VALUES {rows}),
+  apts AS (SELECT a.*, CAST(floor(epoch(ts) / period_s) * period_s AS BIGINT) AS slot, value
+    FROM {points} p JOIN a ON p.name = metric),
+  awins AS (SELECT alarm, slot, CASE any_value(stat) WHEN 'Sum' THEN sum(value) WHEN 'Average' THEN avg(value)
+    WHEN 'Maximum' THEN max(value) ELSE CAST(count(*) AS DOUBLE) END AS value FROM apts
+    GROUP BY alarm, slot, period_s HAVING {closed}),
+  aspan AS (SELECT alarm, min(slot) AS lo, max(slot) AS hi FROM awins GROUP BY alarm),
+  agrid AS (SELECT a.*, lo, unnest(generate_series(lo, hi, CAST(period_s AS BIGINT))) AS slot
+    FROM a JOIN aspan USING (alarm)),
+  afilled AS (SELECT g.*, w.value, coalesce(CASE WHEN op = '>' THEN w.value > threshold::DOUBLE
+    ELSE w.value < threshold::DOUBLE END, FALSE) AS breach FROM agrid g LEFT JOIN awins w USING (alarm, slot)),
+  astate AS (SELECT *, breach AND slot - coalesce(max(slot) FILTER (WHERE NOT breach) OVER o, lo - period_s)
+      >= periods * period_s AS in_alarm
+    FROM afilled WINDOW o AS (PARTITION BY alarm ORDER BY slot)),
+  awas AS (SELECT *, lag(in_alarm, 1, FALSE) OVER (PARTITION BY alarm ORDER BY slot) AS was FROM astate)"""
+
+
+@query(
+    "default_alarms",
+    f"""WITH {SQL_FEED}, {sql_alarm_states(A.K.ALARMS, 'feed')} SELECT alarm, metric, CAST(slot AS BIGINT) AS slot,
+      {B.sql_steady("value")} AS value, breach, in_alarm FROM astate""",
+)
+def default_alarms(spark, sf):
+    """The default alarms over all points of the decisions."""
+    e = A.evaluate_alarms(feed(spark, sf))
+    return e.select("alarm", "metric", "slot", B.steady("value").alias("value"), "breach", "in_alarm")
+
+
 @query(
     "log_patterns",
     f"""WITH logs AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
@@ -226,9 +282,7 @@ def log_patterns(spark, sf):
         F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),
         F.concat(start, "props").alias("message"),
     )
-    toxic = M.count_log_pattern(logs, "INFO", "TOXIC").withColumnRenamed("hits", "toxic")
-    errors = M.count_log_pattern(logs, "ERROR").withColumnRenamed("hits", "errors")
-    return _stamped(toxic.join(errors, "window_start"))
+    return _stamped(M.count_log_patterns(logs, [("toxic", "INFO", "TOXIC"), ("errors", "ERROR", "")]))
 
 
 @query(

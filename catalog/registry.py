@@ -216,5 +216,5 @@ def run_summary(spark, sf):
 def status_changes_by_user(spark, sf):
     users = table(spark, sf, "events").select("event_id", "user_id")
     steps = _steps(spark, sf).join(users, "event_id")
-    changes = ST.status_changes(steps, ["user_id", "step"], piece="1 day")
+    changes = ST.status_changes(steps, ["user_id", "step"])
     return changes.groupBy("user_id", "step").agg(F.count("*").alias("changes"))

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from catalog import _base as B
 from catalog import policy as CP
-from catalog._base import fixture_score, query, stamp
+from catalog import monitoring as CM
+from catalog._base import fixture_score, query, stamp, table
 from textwarden import schemas
 from textwarden.functions.policy import route
+from textwarden.functions.scores import borderline
+from textwarden.operators.decisions import review_queue
 from textwarden.session import fresh_path
 from textwarden.sources.files import read_event_stream
 from textwarden.streaming import stateful as ST
@@ -23,8 +26,32 @@ def _events(spark, sf):
     return read_event_stream(spark, sf, schemas.EVENTS, "events.parquet")
 
 
+def _in_batches(df, name):
+    """A table with ``ts`` as a stream of BATCHES micro-batches in time order: one file each."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    cuts = df.approxQuantile("__s", [i / BATCHES for i in range(1, BATCHES)], 0.01)
+    lo = [None, *cuts]
+    for a, b in zip(lo, [*cuts, None]):
+        part = df.filter((F.lit(a).isNull() | (F.col("__s") >= F.lit(a))) & (F.lit(b).isNull() | (F.col("__s") < F.lit(b))))
+        part.drop("__s").coalesce(1).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path).schema
+    return read_event_stream(spark, path, stored, files_per_trigger=1)
+
+
+BATCHES = 4
+
+
+def _timed(df):
+    return df.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+def _event_batches(spark, sf):
+    return _in_batches(_timed(table(spark, sf, "events")), "event-files")
+
+
 def _points(spark, sf):
-    return _events(spark, sf).select("ts", F.col("event_type").alias("name"), "value")
+    return _event_batches(spark, sf).select("ts", F.col("event_type").alias("name"), "value")
 
 
 @query(
@@ -42,8 +69,7 @@ def _points(spark, sf):
 )
 def stream_moderation(spark, sf):
     """Moderation of the document stream without a reviewer."""
-    cores = spark.sparkContext.defaultParallelism
-    decided = S.moderate_stream(_documents(spark, sf), fixture_score(), tasks=cores)
+    decided = S.moderate_stream(_documents(spark, sf), fixture_score())
     narrow = decided.select("doc_id", "outcome", "final_score", "action")
     return S.run_available(narrow, "moderation")
 
@@ -55,9 +81,8 @@ def stream_moderation(spark, sf):
 )
 def stream_moderation_with_verdicts(spark, sf):
     """The document stream joined to the static table of reviewer answers."""
-    cores = spark.sparkContext.defaultParallelism
     answers = CP.answers(spark, sf)
-    decided = S.moderate_stream(_documents(spark, sf), fixture_score(), verdicts=answers, tasks=cores)
+    decided = S.moderate_stream(_documents(spark, sf), fixture_score(), verdicts=answers)
     narrow = decided.select("doc_id", "final_score", "action", "confidence", "routed", "enhanced")
     return S.run_available(narrow, "moderation-verdicts")
 
@@ -107,7 +132,7 @@ def stream_alerts(spark, sf):
     none = F.lit(None).cast("string")
     decided = docs.select("doc_id", route("score", none).alias("r")).select("doc_id", "r.*")
     out = fresh_path(spark, "alerts")
-    S.finish(S.append_alerts(decided, out, fresh_path(spark, "alerts-progress"), ["doc_id"]))
+    S.finish(S.append_alerts(decided, out, fresh_path(spark, "alerts-progress"), ["doc_id"], S.ONCE))
     return spark.read.parquet(out).drop("batch")
 
 
@@ -118,7 +143,7 @@ def stream_alerts(spark, sf):
 )
 def stream_review_queue(spark, sf):
     scored = _documents(spark, sf).select("doc_id", fixture_score().alias("score"))
-    return S.run_available(S.review_stream(scored), "review-queue")
+    return S.run_available(review_queue(scored), "review-queue")
 
 
 ALARMS = (
@@ -153,6 +178,22 @@ def stream_alarms(spark, sf):
     return out.withColumn("value", B.steady("value"))
 
 
+_FEED_CLOSED = "slot + period_s <= epoch((SELECT max(ts) FROM feed) - INTERVAL 10 MINUTE)"
+
+
+@query(
+    "stream_default_alarms",
+    f"""WITH {CM.SQL_FEED}, {CM.sql_alarm_states(ST.K.ALARMS, "feed", _FEED_CLOSED)}
+    SELECT alarm, CAST(slot AS BIGINT) AS slot, CASE WHEN in_alarm THEN 'ALARM' ELSE 'OK' END AS state,
+      {B.sql_steady("value")} AS value FROM awas WHERE in_alarm <> was""",
+)
+def stream_default_alarms(spark, sf):
+    """The default alarms, of two period lengths, over the feed as a stream of several batches."""
+    points = _in_batches(_timed(CM.feed(spark, sf)), "feed-files")
+    out = S.run_available(ST.alarm_stream(points, ST.K.ALARMS), "default-alarms")
+    return out.withColumn("value", B.steady("value"))
+
+
 _STATUS = """CASE WHEN value < 30 THEN 'Executing' WHEN value < 80 THEN 'Succeeded'
   WHEN value < 150 THEN 'Failed' ELSE 'Stopped' END"""
 
@@ -165,18 +206,18 @@ _STATUS = """CASE WHEN value < 30 THEN 'Executing' WHEN value < 80 THEN 'Succeed
     SELECT event_id, step, status, previous_status FROM l WHERE status IS DISTINCT FROM previous_status""",
 )
 def stream_status_changes(spark, sf):
-    steps = _events(spark, sf).select(
+    """Status changes over several micro-batches; equal to those of the whole table."""
+    steps = _event_batches(spark, sf).select(
         F.col("event_type").alias("step"), F.expr(_STATUS).alias("status"), "ts", "event_id"
     )
-    out = fresh_path(spark, "status")
-    S.finish(ST.status_change_stream(steps, out, fresh_path(spark, "status-progress")))
-    changes = spark.read.parquet(f"{out}/changes")
+    changes = S.run_available(ST.status_change_stream(steps), "status")
     return changes.select("event_id", "step", "status", "previous_status")
 
 
 # the watermark of a join is that of its slower side
-_JOIN_CLOSED = """(SELECT least(max(ts), max(ts + CASE event_type WHEN 'click' THEN INTERVAL 1 MINUTE
-  WHEN 'error' THEN INTERVAL 1 HOUR END)) FROM events) - INTERVAL 10 MINUTE"""
+_ASKED = " AND ".join(f"{B.SQL_SCORE.replace('doc_id', 'event_id')} {limit}" for limit in ("> 0.3::DOUBLE", "<= 0.8::DOUBLE"))
+_JOIN_CLOSED = f"""(SELECT least(max(ts), max(ts + CASE event_type WHEN 'click' THEN INTERVAL 1 MINUTE
+  WHEN 'error' THEN INTERVAL 1 HOUR END)) FROM events WHERE {_ASKED}) - INTERVAL 10 MINUTE"""
 
 
 @query(
@@ -184,8 +225,8 @@ _JOIN_CLOSED = """(SELECT least(max(ts), max(ts + CASE event_type WHEN 'click' T
     f"""WITH s AS (SELECT event_id, ts, event_type = 'click' AS answered,
       CASE WHEN value > 50 THEN 'block' ELSE 'allow' END AS act,
       {B.SQL_SCORE.replace('doc_id', 'event_id')} AS score FROM events),
-    b AS (SELECT *, score > 0.3::DOUBLE AND score <= 0.8::DOUBLE AS asked FROM s
-      WHERE answered OR ts + INTERVAL 10 MINUTE < {_JOIN_CLOSED})
+    b AS (SELECT * FROM (SELECT *, score > 0.3::DOUBLE AND score <= 0.8::DOUBLE AS asked FROM s)
+      WHERE NOT asked OR answered OR ts + INTERVAL 10 MINUTE < {_JOIN_CLOSED})
     SELECT event_id, {B.sql_stamp('ts')} AS ts, score,
       CASE WHEN score > 0.8::DOUBLE THEN 'high' WHEN asked THEN 'borderline' ELSE 'low' END AS branch,
       CASE WHEN asked AND NOT answered THEN NULL
@@ -200,13 +241,16 @@ _JOIN_CLOSED = """(SELECT least(max(ts), max(ts + CASE event_type WHEN 'click' T
       asked AND NOT answered AS fallback_used FROM b""",
 )
 def stream_verdict_return(spark, sf):
-    """Events as scored rows; clicks and errors are answered, the errors too late.
+    """Events as scored rows; borderline clicks and errors are answered, the errors too late.
 
-    Rows the watermark may still match stay in the state, so only rows older
+    Rows that need no answer are all written.  Borderline ones the watermark may
+    still match stay in the state, so of those without answer only the ones older
     than wait and delay are written.
     """
-    scored = _events(spark, sf).select("event_id", "ts", fixture_score("event_id").alias("score"))
-    answered = _events(spark, sf).filter("event_type IN ('click', 'error')")
+    events = _event_batches(spark, sf)
+    scored = events.select("event_id", "ts", fixture_score("event_id").alias("score"))
+    asked = borderline(fixture_score("event_id"), hi_closed=True)
+    answered = events.filter(asked & F.col("event_type").isin("click", "error"))
     late = F.when(F.col("event_type") == "error", F.expr("INTERVAL 1 HOUR")).otherwise(
         F.expr("INTERVAL 1 MINUTE")
     )

@@ -70,9 +70,7 @@ def test_alarm_stream_equals_batch(spark, events):
 def test_status_stream_equals_batch(spark, events):
     path, batch = events
     steps = stream(spark, path).select(F.col("name").alias("step"), "status", "ts", "event_id")
-    out = fresh_path(spark, "status")
-    S.finish(SF.status_change_stream(steps, out, fresh_path(spark, "progress")))
-    got = spark.read.parquet(f"{out}/changes")
+    got = S.run_available(SF.status_change_stream(steps), "status")
     want = ST.status_changes(batch.withColumnRenamed("name", "step"))
     cols = ("event_id", "step", "status", "previous_status")
     assert as_set(got, *cols) == as_set(want, *cols)
@@ -126,6 +124,32 @@ def test_late_answers_fall_back(spark, events):
     assert len(rows) > 0.9 * batch.count()
 
 
+def test_rows_without_need_of_an_answer_leave_at_once(spark, events):
+    path, batch = events
+    low = F.when(F.col("event_id") % 3 == 0, 0.9).when(F.col("event_id") % 3 == 1, 0.1).otherwise(float("nan"))
+    scored = stream(spark, path).select("event_id", "ts", low.alias("score"))
+    answers = stream(spark, path).select("event_id", F.col("ts").alias("answer_ts"), F.lit("allow").alias("action"))
+    out = S.run_available(S.verdict_return_stream(scored, answers, "event_id"), "direct")
+    actions = {r["event_id"]: r["action"] for r in out.collect()}
+    assert len(actions) == batch.count()
+    assert [actions[i] for i in range(3)] == ["block", "allow", "review"]
+
+
+def test_alarms_of_two_periods(spark, events):
+    path, batch = events
+    alarms = [("A", "a", "Sum", ">", 25.0, 2, 300, {}), ("B", "b", "Average", ">", 20.0, 1, 900, {"Environment": "Test"})]
+    dims = F.create_map(F.lit("Environment"), F.when(F.col("event_id") % 2 == 0, "Test").otherwise("Production"))
+    points = stream(spark, path).select("ts", "name", "value", dims.alias("dims"))
+    got = S.run_available(SF.alarm_stream(points, alarms, "0 seconds"), "alarms")
+    newest = batch.agg(F.max("ts")).first()[0]
+    limit = int((newest - dt.datetime(1970, 1, 1)).total_seconds())
+    want = A.alarm_changes(A.evaluate_alarms(batch.withColumn("dims", dims), alarms))
+    period = F.when(F.col("alarm") == "A", 300).otherwise(900)
+    want = want.filter(F.col("slot") + period <= limit)
+    assert as_set(got, "alarm", "slot", "state") == as_set(want, "alarm", "slot", "state")
+    assert {r["alarm"] for r in got.collect()} == {"A", "B"}
+
+
 def test_alerts_stream(spark, events):
     path, batch = events
     decided = stream(spark, path).select(

@@ -10,12 +10,28 @@ from pyspark.sql import functions as F
 from textwarden import constants as K
 
 ALARM_COLUMNS = (
-    "alarm STRING, metric STRING, stat STRING, op STRING, threshold DOUBLE, periods INT, period_s INT"
+    "alarm STRING, metric STRING, stat STRING, op STRING, threshold DOUBLE, periods INT, period_s INT,"
+    " wanted MAP<STRING, STRING>"
 )
 
 
 def alarm_table(spark: SparkSession, rows: Sequence[tuple] = K.ALARMS) -> DataFrame:
-    return spark.createDataFrame(list(rows), ALARM_COLUMNS)
+    """Configured alarms; the dimensions of a row may be left out and are then none."""
+    return spark.createDataFrame([(*row, {}) if len(row) == 7 else tuple(row) for row in rows], ALARM_COLUMNS)
+
+
+def alarm_points(metrics: DataFrame, alarms: Sequence[tuple]) -> DataFrame:
+    """Every point next to the alarms that watch its metric under its dimensions.
+
+    An alarm takes the points that have all its dimensions; points without a
+    ``dims`` column have none.  The alarm list is a fixed small table.
+    """
+    if "dims" not in metrics.columns:
+        metrics = metrics.withColumn("dims", F.create_map().cast("map<string,string>"))
+    table = F.broadcast(alarm_table(metrics.sparkSession, alarms))  # one row per configured alarm
+    met = metrics.join(table, metrics["name"] == table["metric"])
+    has = F.forall(F.map_entries("wanted"), lambda e: F.try_element_at("dims", e["key"]).eqNullSafe(e["value"]))
+    return met.filter(has).drop("name", "dims", "wanted")
 
 
 def breaches(value: Column, op: Column, threshold: Column) -> Column:
@@ -25,12 +41,10 @@ def breaches(value: Column, op: Column, threshold: Column) -> Column:
 def alarm_windows(metrics: DataFrame, alarms: Sequence[tuple]) -> DataFrame:
     """Statistic of each alarm's metric per window of the alarm's period.
 
-    The alarm list is a fixed small table joined by metric name before the
-    grouping, so points of other metrics never reach a shuffle.
+    The alarms are joined before the grouping, so points of other metrics never
+    reach a shuffle.
     """
-    spark = metrics.sparkSession
-    table = F.broadcast(alarm_table(spark, alarms))  # one row per configured alarm
-    points = metrics.join(table, metrics["name"] == table["metric"]).drop("name")
+    points = alarm_points(metrics, alarms)
     # windows of different lengths in one pass: floor the epoch second to the period
     second = F.unix_seconds(F.col("ts").cast("timestamp"))
     slot = (F.floor(second / F.col("period_s")) * F.col("period_s")).cast("bigint")

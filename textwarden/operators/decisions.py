@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textwarden import constants as K
 from textwarden.functions._base import dbl
 from textwarden.functions.policy import combine_scores, decide, decision_reason, route
-from textwarden.functions.scores import borderline, is_toxic, percent_text
+from textwarden.functions.scores import borderline, is_toxic, number, percent_text
 from textwarden.functions.text import preview
 from textwarden.functions.verdicts import (
     model_only_verdict,
@@ -38,18 +38,25 @@ def latest_verdicts(verdicts: DataFrame, key: str = "doc_id", ts: str | None = N
 
 
 def attach_verdicts(
-    scored: DataFrame, verdicts: DataFrame, key: str = "doc_id", use_reviewer: bool = True
+    scored: DataFrame,
+    verdicts: DataFrame,
+    key: str = "doc_id",
+    use_reviewer: bool = True,
+    ts: str | None = None,
 ) -> DataFrame:
     """Add ``routed``, ``enhanced`` and the verdict struct to scored rows.
 
-    ``verdicts`` has one raw answer per key.  Only borderline rows look for one;
-    the others, and those whose answer is missing or broken, get the verdict of
-    their own score.  The key stays the join key of every row, so rows that need
+    ``verdicts`` has raw answers; of several for one key the newest (by ``ts``)
+    or greatest counts, so a row stays one row.  Only borderline rows look for
+    one; the others, and those whose answer is missing or broken, get the verdict
+    of their own score.  The key stays the join key of every row, so rows that need
     no answer do not gather in one task.
     """
     routed = borderline("score") if use_reviewer else F.lit(False)
     rows = scored.withColumn("routed", F.coalesce(routed, F.lit(False)))
-    answers = verdicts.select(F.col(key).alias("__key"), F.col("raw").alias("__raw"))
+    # the reduction and the join share one shuffle by the key
+    one = latest_verdicts(verdicts, key, ts)
+    answers = one.select(F.col(key).alias("__key"), F.col("raw").alias("__raw"))
     joined = rows.join(answers, (rows[key] == answers["__key"]) & rows["routed"], "left")
     verdict = (
         F.when(~F.col("routed"), model_only_verdict("score"))
@@ -90,7 +97,7 @@ def decide_enhanced(attached: DataFrame, available: str | None = None) -> DataFr
         .withColumn("confidence", pick(F.col("confidence"), F.col("__spare.confidence")))
         .withColumn("is_toxic", pick(is_toxic("final_score"), F.col("__spare.is_toxic")))
         .withColumn("threshold", pick(dbl(0.5), F.col("__spare.threshold")))
-        .withColumn("final_score", pick(F.col("final_score"), F.round("score", 4)))
+        .withColumn("final_score", pick(F.col("final_score"), F.round(number("score"), 4)))
         .withColumn(
             "reason",
             decision_reason("action", F.when(ok, cats), F.when(ok, why)),
@@ -100,12 +107,18 @@ def decide_enhanced(attached: DataFrame, available: str | None = None) -> DataFr
 
 
 def route_workflow(scored: DataFrame, verdicts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Workflow decision of every row; ``verdicts`` has one action per key."""
+    """Workflow decision of every row, and in ``enhanced`` whether an answer decided it.
+
+    ``verdicts`` has key and action; of several actions for one key the newest
+    (by ``ts``, where there is one) or greatest counts.
+    """
     rows = scored.withColumn("__ask", F.coalesce(borderline("score", hi_closed=True), F.lit(False)))
-    answers = verdicts.select(F.col(key).alias("__key"), F.col("action").alias("__action"))
+    order = F.struct(*(["ts"] if "ts" in verdicts.columns else []), "action")
+    one = verdicts.filter("action IS NOT NULL").groupBy(key).agg(F.max_by("action", order).alias("__action"))
+    answers = one.select(F.col(key).alias("__key"), "__action")
     joined = rows.join(answers, (rows[key] == answers["__key"]) & rows["__ask"], "left")
     routed = joined.withColumn("__r", route("score", "__action"))
-    return routed.select(*scored.columns, "__r.*")
+    return routed.select(*scored.columns, "__r.*", F.col("__action").isNotNull().alias("enhanced"))
 
 
 def decision_log(
@@ -113,13 +126,19 @@ def decision_log(
 ) -> DataFrame:
     """Log line of every decision, with defaults for what is missing.
 
-    The whole text is not kept, only its first 100 characters.
+    The whole text is not kept, only its first 100 characters.  A decision
+    without ``ts`` is logged under the time of the run; ``day`` is for the
+    folders of the written log.
     """
+    now = F.current_timestamp().cast("timestamp_ntz")
+    at = F.coalesce(F.col("ts").cast("timestamp_ntz"), now) if "ts" in decisions.columns else now
     missing = lambda name, default: (
         F.coalesce(F.col(name), F.lit(default)) if name in decisions.columns else F.lit(default)
     )
     return decisions.select(
         *columns,
+        at.alias("ts"),
+        F.to_date(at).alias("day"),
         missing(execution_id, "unknown").alias("execution_id"),
         preview(missing("text", "")).alias("text_preview"),
         missing("score", 0.0).cast("double").alias("ml_score"),
@@ -145,17 +164,17 @@ def format_result_line(text: str = "text", score: str = "score"):
         '%s (%s) - %s confidence\n   Text: "%s"',
         label, percent_text(score), d["confidence"], preview(text, 100, "if_longer"),
     )
-    return F.when(F.col(score).isNull(), F.lit("Error: no score")).otherwise(line)
+    return F.when(number(score).isNull(), F.lit("Error: no score")).otherwise(line)
 
 
 def format_result_json(text: str = "text", score: str = "score"):
     """One JSON object per result, with status and error."""
     d = decide(score, "binary")
-    failed = F.col(score).isNull()
+    failed = number(score).isNull()
     return F.to_json(
         F.struct(
             F.col(text).alias("text"),
-            F.col(score).alias("toxicity_score"),
+            number(score).alias("toxicity_score"),
             F.coalesce(d["is_toxic"], F.lit(False)).alias("is_toxic"),
             d["confidence"].alias("confidence"),
             F.when(failed, "error").otherwise("success").alias("status"),

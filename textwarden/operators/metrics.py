@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +30,24 @@ def _explode(decisions: DataFrame, points: list[Column]) -> DataFrame:
     return exploded.select("ts", "p.name", "p.value", "p.unit", "p.dims")
 
 
+def _environment(name: str) -> Column:
+    return F.create_map(F.lit("Environment"), F.lit(name))
+
+
 def decision_metrics(decisions: DataFrame, environment: str = "Production") -> DataFrame:
     """Metric points of every decision.
 
     Needs ts, action, confidence, latency_ms, enhanced and reviewer_latency_ms.
-    A failed second opinion counts, but has no latency.
+    A failed second opinion counts, but has no latency.  The share of high
+    confidence is a point of its own, see high_confidence_pct.
     """
-    dims = F.create_map(F.lit("Environment"), F.lit(environment))
+    dims = _environment(environment)
     one = F.lit(1.0)
     # fixed values: metric names and units
     points = [
         _point("ToxicityPredictionCount", one, "Count", dims),
         _point("ToxicityPredictionLatency", F.col("latency_ms"), "Milliseconds", dims),
-        _point("HighConfidencePredictions", one, "Count", dims, F.col("confidence") == "high"),
+        _point("HighConfidenceCount", one, "Count", dims, F.col("confidence") == "high"),
         _point("ContentBlockedCount", one, "Count", dims, F.col("action") == "block"),
         _point("ContentReviewCount", one, "Count", dims, F.col("action") == "review"),
         _point("SecondOpinionCount", one, "Count", dims, F.col("routed")),
@@ -52,7 +59,15 @@ def decision_metrics(decisions: DataFrame, environment: str = "Production") -> D
 
 
 def request_metrics(decisions: DataFrame) -> DataFrame:
-    """Metric points of the online path; the decision point carries its action."""
+    """Metric points of the online path; the decision point carries its action.
+
+    Rows may say in ``failure`` that the model (``model``) or the request
+    (anything else) failed; such a row has no decision.
+    """
+    failure = F.col("failure") if "failure" in decisions.columns else F.lit(None).cast("string")
+    reviewed = (
+        F.col("reviewer_latency_ms") if "reviewer_latency_ms" in decisions.columns else F.lit(None).cast("double")
+    )
     none = F.create_map().cast("map<string,string>")
     by_action = F.create_map(
         F.lit("Action"), F.col("action"), F.lit("Confidence"), F.col("confidence")
@@ -65,7 +80,10 @@ def request_metrics(decisions: DataFrame) -> DataFrame:
         _point("ToxicityScore", F.col("score"), "None", none),
         _point("SecondOpinionSuccess", one, "Count", none, F.col("enhanced")),
         _point("SecondOpinionError", one, "Count", none, F.col("routed") & ~F.col("enhanced")),
-        _point("ModerationDecision", one, "Count", by_action),
+        _point("SecondOpinionLatency", reviewed, "Milliseconds", none, F.col("enhanced") & reviewed.isNotNull()),
+        _point("ModerationDecision", one, "Count", by_action, failure.isNull()),
+        _point("ModelError", one, "Count", none, failure == "model"),
+        _point("PredictionError", one, "Count", none, failure != "model"),
     ]
     return _explode(decisions, points)
 
@@ -95,34 +113,52 @@ def windowed_stat(
     return grouped.select(F.col("w.start").alias("window_start"), *grouped.columns[1:])
 
 
-def high_confidence_pct(decisions: DataFrame, window: str = "5 minutes") -> DataFrame:
-    """Share of high-confidence decisions per window, in percent."""
-    return _percent(
-        decisions, window, "HighConfidencePredictions", F.col("confidence") == "high", F.lit(True)
-    )
+def high_confidence_pct(
+    decisions: DataFrame, window: str = "5 minutes", environment: str = "Production"
+) -> DataFrame:
+    """Share of high-confidence decisions per window, in percent: a metric point per window."""
+    hit = F.col("confidence") == "high"
+    return _percent(decisions, window, "HighConfidencePredictions", hit, F.lit(True), environment)
 
 
 def false_positive_pct(
-    decisions: DataFrame, labels: DataFrame, key: str = "doc_id", window: str = "15 minutes"
+    decisions: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    window: str = "15 minutes",
+    environment: str = "Production",
 ) -> DataFrame:
-    """Share of harmless rows that were flagged, per window, in percent."""
+    """Share of harmless rows that were flagged, per window, in percent: a point per window."""
     labelled = decisions.join(labels.select(key, "label"), key)
     flagged = F.col("action") != "allow"
-    return _percent(labelled, window, "FalsePositiveRate", flagged, F.col("label") == 0)
+    return _percent(labelled, window, "FalsePositiveRate", flagged, F.col("label") == 0, environment)
 
 
-def _percent(df: DataFrame, window: str, name: str, hit: Column, among: Column) -> DataFrame:
+def _percent(df: DataFrame, window: str, name: str, hit: Column, among: Column, environment: str) -> DataFrame:
     counts = df.groupBy(F.window("ts", window).alias("w")).agg(
         F.count_if(hit & among).alias("hits"), F.count_if(among).alias("among")
     )
     return counts.select(
-        F.col("w.start").alias("window_start"),
+        F.col("w.start").alias("ts"),
         F.lit(name).alias("name"),
         (dbl(100) * safe_ratio("hits", "among")).alias("value"),
+        F.lit("Percent").alias("unit"),
+        _environment(environment).alias("dims"),
         "among",
     )
 
 
+def alarm_feed(decisions: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All points the default alarms watch: those of the decisions and the two shares.
+
+    A share without rows to count has no point.
+    """
+    columns = ("ts", "name", "value", "unit", "dims")
+    points = decision_metrics(decisions).select(*columns)
+    shares = high_confidence_pct(decisions).unionByName(false_positive_pct(decisions, labels, key))
+    return points.unionByName(shares.filter("among > 0").select(*columns))
+
+
 def metric_names(metrics: DataFrame, first: int = 5) -> DataFrame:
     """Number of distinct names and the first few in alphabetical order."""
     names = metrics.select("name").distinct()
@@ -131,19 +167,20 @@ def metric_names(metrics: DataFrame, first: int = 5) -> DataFrame:
     return one_row(total, head)
 
 
-def count_log_pattern(
-    logs: DataFrame, level: str, prefix: str = "", window: str = "5 minutes"
+def count_log_patterns(
+    logs: DataFrame, patterns: Sequence[tuple[str, str, str]], window: str = "5 minutes"
 ) -> DataFrame:
-    """Log lines of a level whose message starts with the prefix, per window.
+    """Log lines per window and pattern, all patterns in one pass.
 
-    Windows with other lines only count 0.
+    A pattern is (column name, level, start of the message).  Windows without a
+    line of a pattern count 0.
     """
-    hit = (F.col("level") == level) & F.col("message").startswith(prefix)
-    return (
-        logs.groupBy(F.window("ts", window).alias("w"))
-        .agg(F.count_if(hit).alias("hits"))
-        .select(F.col("w.start").alias("window_start"), "hits")
-    )
+    hits = [
+        F.count_if((F.col("level") == level) & F.col("message").startswith(prefix)).alias(name)
+        for name, level, prefix in patterns
+    ]
+    counted = logs.groupBy(F.window("ts", window).alias("w")).agg(*hits)
+    return counted.select(F.col("w.start").alias("window_start"), *[name for name, _, _ in patterns])
 
 
 def apply_retention(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ def score_partitions(
     """Add ``score`` and ``error`` from a scorer that is loaded once per partition.
 
     ``load`` returns a function from a batch of texts to its scores.  A batch
-    that fails is tried text by text; a failed text gets no score and an error.
+    that fails is halved; a text that fails alone gets no score and an error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,30 +27,59 @@ def score_partitions(
 
 
 def ask_reviewer(
-    requests: DataFrame, load: Callable[[], Callable[[pd.Series], Iterable]], key: str = "doc_id"
+    requests: DataFrame,
+    load: Callable[[], Callable[[pd.Series], Iterable]] | Sequence[Callable[[], Callable[[pd.Series], Iterable]]],
+    key: str = "doc_id",
 ) -> DataFrame:
-    """Raw answers to rendered review requests, NULL with an error where none came."""
+    """Raw answers to rendered review requests, NULL with an error where none came.
+
+    ``load`` is one reviewer or a list of them in order: the next is asked for
+    what the one before could not answer.  ``reviewer`` is the place in the list
+    of the one that answered; the error is that of the last one asked.
+    """
+    loads = list(load) if isinstance(load, Sequence) else [load]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reviewer = load()
+        reviewers = [one() for one in loads]
         for batch in batches:
-            yield batch[[key]].assign(**_call(reviewer, batch["prompt"], "raw"))
+            prompts = batch["prompt"].reset_index(drop=True)
+            raw, error, by = [None] * len(prompts), [None] * len(prompts), [None] * len(prompts)
+            left = list(range(len(prompts)))
+            for place, reviewer in enumerate(reviewers):
+                said = _call(reviewer, prompts[left], "raw") if left else {"raw": [], "error": []}
+                for i, answer, problem in zip(left, said["raw"], said["error"]):
+                    raw[i], error[i], by[i] = answer, problem, place if answer is not None else None
+                left = [i for i in left if raw[i] is None]
+            yield batch[[key]].assign(raw=raw, error=error, reviewer=pd.array(by, dtype="Int32"))
 
     kind = requests.schema[key].dataType.simpleString()
-    return requests.select(key, "prompt").mapInPandas(run, f"`{key}` {kind}, raw STRING, error STRING")
+    return requests.select(key, "prompt").mapInPandas(
+        run, f"`{key}` {kind}, raw STRING, error STRING, reviewer INT"
+    )
 
 
 def _call(fn: Callable[[pd.Series], Iterable], texts: pd.Series, name: str) -> dict:
-    try:
-        return {name: list(fn(texts)), "error": None}
-    except Exception:
-        pass
+    """Results and errors of a batch.  A batch that fails is halved until its bad texts are alone.
+
+    So one bad text costs a few smaller calls, not one call per text.  A result
+    of None is an error too.
+    """
     values, errors = [], []
-    for one in texts:
+    todo = [texts]
+    while todo:
+        part = todo.pop()
         try:
-            values.append(next(iter(fn(pd.Series([one])))))
-            errors.append(None)
+            got = list(fn(part))
+            if len(got) != len(part):
+                raise ValueError(f"{len(got)} results for {len(part)} texts")
         except Exception as e:
-            values.append(None)
-            errors.append(str(e) or type(e).__name__)
+            if len(part) > 1:
+                half = len(part) // 2
+                todo += [part.iloc[half:], part.iloc[:half]]
+                continue
+            got, problems = [None] * len(part), [str(e) or type(e).__name__] * len(part)
+        else:
+            problems = ["no result" if v is None else None for v in got]
+        values += got
+        errors += problems
     return {name: values, "error": errors}

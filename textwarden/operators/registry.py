@@ -11,7 +11,7 @@ from textwarden import constants as K
 from textwarden.functions.scores import epoch_seconds, last_part
 
 # fixed values: order in which kinds of models are preferred
-PRIORITY = ("pipeline", "standalone", "legacy")
+PRIORITY = ("pipeline", "legacy_pipeline", "standalone", "legacy")
 
 
 def registry_rows(

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from textwarden.operators.alarms import alarm_table, breaches
-from textwarden.operators.status import status_changes
+from textwarden import constants as K
+from textwarden.operators.alarms import alarm_points, breaches
 from textwarden.streaming.streams import event_time
 
 # the state store that stateful processors need
@@ -57,19 +59,19 @@ def alarm_stream(
     """State changes of all alarms over a stream of metric points, in append mode.
 
     Points are summed per alarm and window first; only closed windows reach the
-    state, a handful of rows per alarm whatever the number of points.  All
-    alarms of one stream share the window length of their period.
+    state, a handful of rows per alarm whatever the number of points.  Alarms of
+    one period share a branch of the stream; the branches are put together.
     """
-    periods = {row[6] for row in alarms}
-    if len(periods) != 1:
-        raise ValueError("the alarms of one stream need the same period")
-    period = periods.pop()
-    spark = metrics.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    table = F.broadcast(alarm_table(spark, alarms))  # one row per configured alarm
-    points = event_time(metrics, "ts", delay).join(table, metrics["name"] == table["metric"])
+    metrics.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    points = event_time(metrics, "ts", delay)
+    periods = sorted({row[6] for row in alarms})
+    branches = [_alarm_branch(points, [row for row in alarms if row[6] == p], p) for p in periods]
+    return reduce(DataFrame.unionByName, branches)
+
+
+def _alarm_branch(points: DataFrame, alarms: Sequence[tuple], period: int) -> DataFrame:
     keys = ["alarm", "stat", "op", "threshold", "periods", "period_s"]
-    sums = points.groupBy(F.window("ts", f"{period} seconds").alias("w"), *keys).agg(
+    sums = alarm_points(points, alarms).groupBy(F.window("ts", f"{period} seconds").alias("w"), *keys).agg(
         F.sum("value").alias("__sum"), F.count("value").alias("__n"),
         F.min("value").alias("__min"), F.max("value").alias("__max"),
     )
@@ -96,54 +98,49 @@ def alarm_stream(
     )
 
 
+class StatusProcessor(StatefulProcessor):
+    """Remembers the last status of a step and reports the events that change it."""
+
+    def __init__(self, names: list[str], order: list[str]):
+        self.names, self.order = names, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "status STRING")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
+        known = self.state.exists()
+        last = self.state.get()[0] if known else None
+        status = events["status"].astype(object).where(events["status"].notna(), None)
+        previous = status.shift(1)
+        previous.iloc[0] = last
+        previous = previous.where(previous.notna(), None)
+        first = pd.Series(False, index=events.index)
+        first.iloc[0] = not known
+        changed = first.to_numpy() | np.array([a != b for a, b in zip(status, previous)])
+        out = events.assign(status=status, previous_status=previous)[[*self.names, "previous_status"]]
+        self.state.update((status.iloc[-1],))
+        yield out[changed]
+
+    def close(self) -> None:
+        pass
+
+
 def status_change_stream(
-    events: DataFrame,
-    out: str,
-    state: str,
-    by: Sequence[str] = ("step",),
-    order: Sequence[str] = ("ts", "event_id"),
-    piece: str = "1 hour",
-) -> StreamingQuery:
-    """Write the status changes of every micro-batch; steps remember their last status.
-
-    The rows of a batch are compared by the batch operator, which cuts a busy
-    step into time pieces; between batches only one row per step is carried, in
-    a folder per batch below ``out/state``.  A repeated batch rewrites its own
-    folders and reads those of the batch before, so each change is written once.
+    events: DataFrame, by: Sequence[str] = ("step",), order: Sequence[str] = ("ts", "event_id")
+) -> DataFrame:
+    """The events of a stream whose status differs from the one before, per step; the first counts.
+
+    The rows of a step are sorted within a micro-batch, whose size the source
+    limits; between batches only the last status of each step is kept, by the
+    state store.  Events are expected in the order of the batches.
     """
-    spark = events.sparkSession
-    by, order = list(by), list(order)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch = batch.select(*by, *order, "status").persist()
-        first = batch.groupBy(*by).agg(F.min(order[0]).alias("__first"))
-        known = None
-        if number > 0:
-            known = spark.read.parquet(f"{out}/state/batch={number - 1}")
-            # the remembered status stands right before the first row of the batch
-            before = known.join(first, by).select(
-                *by,
-                (F.col("__first") - F.expr("INTERVAL 1 MICROSECOND")).alias(order[0]),
-                *[F.lit(-1).cast(batch.schema[c].dataType).alias(c) for c in order[1:]],
-                "status",
-            )
-            rows = batch.withColumn("__new", F.lit(True)).unionByName(
-                before.withColumn("__new", F.lit(False))
-            )
-        else:
-            rows = batch.withColumn("__new", F.lit(True))
-        changes = status_changes(rows, by, order, piece).filter("__new").drop("__new")
-        changes.write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
-        last = batch.groupBy(*by).agg(F.max_by(F.struct("status"), F.struct(*order)).alias("__s"))
-        last = last.select(*by, F.col("__s.status").alias("status"))
-        if known is not None:
-            last = last.unionByName(known.join(last.select(*by), by, "left_anti"))
-        last.write.mode("overwrite").parquet(f"{out}/state/batch={number}")
-        batch.unpersist()
-
-    return (
-        events.writeStream.option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = events.select(*by, *order, "status")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy(*by).transformWithStateInPandas(
+        statefulProcessor=StatusProcessor(rows.columns, list(order)),
+        outputStructType=f"{fields}, previous_status STRING",
+        outputMode="Append",
+        timeMode="None",
     )

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textwarden.functions.policy import route
 from textwarden.functions.scores import borderline
-from textwarden.operators.decisions import blocked_alerts, review_queue
+from textwarden.operators.decisions import blocked_alerts
 from textwarden.plans.moderation import moderate, prepare
 from textwarden.session import fresh_path
 
@@ -21,16 +21,12 @@ def moderate_stream(
     text: str = "text",
     key: str = "doc_id",
     verdicts: DataFrame | None = None,
-    tasks: int | None = None,
 ) -> DataFrame:
     """The batch moderation plan on a stream: stateless, so late rows are kept.
 
     ``score`` is a column or a function that adds the score column, such as a
-    fitted pipeline; ``verdicts`` is a static table of raw answers.  ``tasks``
-    spreads batches that come in fewer pieces than the cluster has cores.
+    fitted pipeline; ``verdicts`` is a static table of raw answers.
     """
-    if tasks:
-        events = events.repartition(tasks, key)
     ready = prepare(events, text)
     scored = score(ready) if callable(score) else ready.withColumn("score", score)
     return moderate(scored, verdicts, key)
@@ -65,16 +61,6 @@ def windowed_metrics_stream(
     )
 
 
-def alert_stream(decisions: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """Alerts of the blocked rows of a decision stream."""
-    return blocked_alerts(decisions, columns)
-
-
-def review_stream(scored: DataFrame) -> DataFrame:
-    """The borderline rows of a scored stream, to be sent to a reviewer."""
-    return review_queue(scored)
-
-
 def verdict_return_stream(
     scored: DataFrame,
     answers: DataFrame,
@@ -85,18 +71,36 @@ def verdict_return_stream(
     """Scored rows with the reviewer action that came within the wait, else routed to review.
 
     ``scored`` has key, ts and score; ``answers`` has key, answer_ts and action.
-    State is kept for the wait and the delay only.  A row of the borderline
-    range whose answer is late leaves with the fallback decision.
+    Rows that need no answer leave at once.  Only borderline rows are joined and
+    kept in the state, for the wait and the delay; one whose answer is late
+    leaves with the fallback decision.
     """
-    left = event_time(scored, "ts", delay).alias("s")
+    asked = F.coalesce(borderline("score", hi_closed=True), F.lit(False))
+    left = event_time(scored.filter(asked), "ts", delay).alias("s")
     right = event_time(answers, "answer_ts", delay).select(
         F.col(key).alias("__key"), "answer_ts", F.col("action").alias("__action")
     )
     in_time = F.expr(f"answer_ts >= ts AND answer_ts <= ts + INTERVAL {wait}")
-    asked = borderline("score", hi_closed=True)
     joined = left.join(right, (F.col(f"s.{key}") == F.col("__key")) & in_time, "leftOuter")
-    decided = joined.withColumn("__r", route("score", F.when(asked, F.col("__action"))))
-    return decided.select(*[f"s.{c}" for c in scored.columns], "__r.*")
+    decided = joined.select(*[f"s.{c}" for c in scored.columns], route("score", "__action").alias("__r"))
+    no_action = F.lit(None).cast("string")
+    rest = scored.filter(~asked).withColumn("ts", F.col("ts").cast("timestamp"))
+    rest = rest.select(*scored.columns, route("score", no_action).alias("__r"))
+    return decided.unionByName(rest).select(*scored.columns, "__r.*")
+
+
+ONCE = {"availableNow": True}  # all files that are there, then the stream ends
+
+
+def start(
+    stream: DataFrame, out: str, state: str, mode: str = "append", trigger: dict | None = None
+) -> StreamingQuery:
+    """Start a stream that writes to ``out``; ``trigger`` as for Spark, by default without end."""
+    writer = stream.writeStream.option("checkpointLocation", state)
+    writer = writer.trigger(**trigger) if trigger else writer
+    if mode == "append":
+        return writer.outputMode("append").format("parquet").option("path", out).start()
+    return writer.outputMode(mode).foreachBatch(_numbered_batches(out)).start()
 
 
 def run_available(
@@ -111,12 +115,7 @@ def run_available(
     spark = stream.sparkSession
     out = out or fresh_path(spark, name)
     state = state or fresh_path(spark, f"{name}-progress")
-    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", out).start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(_numbered_batches(out)).start()
-    finish(query)
+    finish(start(stream, out, state, mode, ONCE))
     if mode != "append":
         return spark.read.parquet(out)
     return spark.read.schema(stream.schema).parquet(out)
@@ -143,15 +142,16 @@ def latest_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys, "r.*")
 
 
-def append_alerts(decisions: DataFrame, out: str, state: str, columns: Sequence[str] = ()) -> StreamingQuery:
-    """Write the alerts of a decision stream, batch by batch, next to its own sink."""
+def append_alerts(
+    decisions: DataFrame, out: str, state: str, columns: Sequence[str] = (), trigger: dict | None = ONCE
+) -> StreamingQuery:
+    """Write the alerts of a decision stream, batch by batch, next to its own sink.
+
+    ``trigger`` as for Spark; without one the stream runs until it is stopped.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         blocked_alerts(batch, columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return (
-        decisions.writeStream.option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    writer = decisions.writeStream.option("checkpointLocation", state)
+    return (writer.trigger(**trigger) if trigger else writer).foreachBatch(write).start()

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.sources.files import read_table, spread
+from textwarden import constants as K
+from textwarden.sources.files import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,8 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, spread over the cores: text work is bound by CPU."""
-    return spread(read_table(spark, sf, "documents"), "doc_id")
+    return read_table(spark, sf, "documents")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,6 +69,7 @@ def sql_stamp(c: str) -> str:
 
 
 # --- SQL twins of the text rules ----------------------------------------------
+# fixed values: the link, mail, punctuation, space and capital patterns are those of the rules they check
 SQL_SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 SQL_TRIM_CHARS = (
     "chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(28)||chr(29)||chr(30)||chr(31)"
@@ -112,7 +113,7 @@ SQL_UNESCAPED_HTML = (
 
 SQL_CLEANED = f"cleaned AS (SELECT doc_id, lang, text, {sql_clean('text')} AS c FROM documents)"
 
-SQL_LISTED = r"regexp_matches({c}, '(?i)(^|[^\pL\pN_])(kill|die|hate|stupid|idiot)($|[^\pL\pN_])')"
+SQL_LISTED = r"regexp_matches({c}, '(?i)(^|[^\pL\pN_])(" + "|".join(K.LISTED_WORDS) + r")($|[^\pL\pN_])')"
 
 # four equal neighbours, from lists shifted against each other
 SQL_REPEATED = (

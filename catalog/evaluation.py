@@ -10,13 +10,16 @@ from textwarden.operators import evaluate as E
 from textwarden.operators import splits as X
 
 # the score is coarse, so that many rows tie
-SQL_PREDS = f"""preds AS (SELECT l.doc_id, l.toxic AS label, d.lang, {B.SQL_SCORE.replace('doc_id', 'l.doc_id')} AS score,
-  CASE WHEN {B.SQL_SCORE.replace('doc_id', 'l.doc_id')} > 0.5::DOUBLE THEN 1 ELSE 0 END AS pred
+_SQL_GIVEN = f"CASE WHEN l.doc_id % 31 <> 3 THEN {B.SQL_SCORE.replace('doc_id', 'l.doc_id')} END"
+SQL_PREDS = f"""preds AS (SELECT l.doc_id, l.toxic AS label, d.lang, {_SQL_GIVEN} AS score,
+  CAST({_SQL_GIVEN} > 0.5::DOUBLE AS INTEGER) AS pred
   FROM labels l JOIN documents d USING (doc_id))"""
 
 
 def predictions(spark, sf):
-    scored = table(spark, sf, "documents").select("doc_id", "lang", fixture_score().alias("score"))
+    """Decisions next to their labels; some texts have no score."""
+    given = F.when(F.col("doc_id") % 31 != 3, fixture_score())
+    scored = table(spark, sf, "documents").select("doc_id", "lang", given.alias("score"))
     labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     both = E.with_labels(scored, labels)
     return both.withColumn("pred", (F.col("score") > 0.5).cast("int"))
@@ -31,7 +34,8 @@ def with_labels(spark, sf):
     "confusion_matrix",
     f"""WITH {SQL_PREDS}, c AS (SELECT unnest([0, 1]) AS actual)
     SELECT CAST(actual AS INTEGER) AS actual, count(*) FILTER (WHERE pred = 0) AS predicted_0,
-      count(*) FILTER (WHERE pred = 1) AS predicted_1
+      count(*) FILTER (WHERE pred = 1) AS predicted_1,
+      count(*) FILTER (WHERE label IS NOT NULL AND pred IS NULL) AS unscored
     FROM c LEFT JOIN preds ON label = actual GROUP BY actual""",
 )
 def confusion_matrix(spark, sf):
@@ -40,18 +44,20 @@ def confusion_matrix(spark, sf):
 
 @query(
     "accuracy",
-    f"""WITH {SQL_PREDS} SELECT count(*) AS n, count(*) FILTER (WHERE label = pred) AS correct,
-      round(avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM preds""",
+    f"""WITH {SQL_PREDS} SELECT count(*) AS n, count(*) FILTER (WHERE pred IS NULL) AS unscored,
+      count(*) FILTER (WHERE label = pred) AS correct,
+      round(avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE pred IS NOT NULL), 6)
+      AS accuracy FROM preds""",
 )
 def accuracy(spark, sf):
     return E.accuracy(predictions(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
 
 
 _SQL_CLASSES = f"""{SQL_PREDS},
-  n AS (SELECT 0 AS class, count(*) FILTER (WHERE label = 0) AS support,
+  n AS (SELECT 0 AS class, count(*) FILTER (WHERE label = 0 AND pred IS NOT NULL) AS support,
       count(*) FILTER (WHERE pred = 0) AS chosen,
       count(*) FILTER (WHERE label = 0 AND pred = 0) AS hits FROM preds
-    UNION ALL SELECT 1, count(*) FILTER (WHERE label = 1), count(*) FILTER (WHERE pred = 1),
+    UNION ALL SELECT 1, count(*) FILTER (WHERE label = 1 AND pred IS NOT NULL), count(*) FILTER (WHERE pred = 1),
       count(*) FILTER (WHERE label = 1 AND pred = 1) FROM preds),
   m AS (SELECT class, support, CASE WHEN chosen > 0 THEN hits::DOUBLE / chosen ELSE 0 END AS p,
     CASE WHEN support > 0 THEN hits::DOUBLE / support ELSE 0 END AS r FROM n),
@@ -72,7 +78,7 @@ def classification_report(spark, sf):
     return r.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-_SQL_BINARY = """count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
+_SQL_BINARY = """count(*) FILTER (WHERE pred IS NULL) AS unscored, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
   count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
   count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn,
   count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn"""
@@ -87,11 +93,12 @@ _SQL_RATES = """round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn)::DOUBLE / (
 def _sql_auc(by: str) -> str:
     return f"""u AS (SELECT p.{by}, sum(CASE WHEN n.score < p.score THEN 1.0::DOUBLE
         WHEN n.score = p.score THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*) AS auc
-      FROM preds p JOIN preds n ON p.{by} = n.{by} AND p.label = 1 AND n.label = 0 GROUP BY p.{by})"""
+      FROM preds p JOIN preds n ON p.{by} = n.{by} AND p.label = 1 AND n.label = 0
+        AND p.score IS NOT NULL AND n.score IS NOT NULL GROUP BY p.{by})"""
 
 
 def _rounded(df, *names):
-    return df.select("n", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in names])
+    return df.select("n", "unscored", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in names])
 
 
 RATES = ("accuracy", "precision", "recall", "f1", "roc_auc")
@@ -101,7 +108,7 @@ RATES = ("accuracy", "precision", "recall", "f1", "roc_auc")
     "binary_metrics",
     f"""WITH {SQL_PREDS.replace('l.doc_id, l.toxic', "1 AS one, l.doc_id, l.toxic", 1)},
     {_sql_auc('one')}, b AS (SELECT count(*) AS n, {_SQL_BINARY} FROM preds)
-    SELECT n, tp, fp, fn, tn, {_SQL_RATES}, round((SELECT auc FROM u), 6) AS roc_auc
+    SELECT n, unscored, tp, fp, fn, tn, {_SQL_RATES}, round((SELECT auc FROM u), 6) AS roc_auc
     FROM b""",
 )
 def binary_metrics(spark, sf):
@@ -123,16 +130,17 @@ def fold_metrics(spark, sf):
 _SQL_FOLD_METRICS = f"""{SQL_FOLDED},
   u AS (SELECT p.fold, sum(CASE WHEN n.score < p.score THEN 1.0::DOUBLE
       WHEN n.score = p.score THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*) AS auc
-    FROM folds p JOIN folds n ON p.fold = n.fold AND p.label = 1 AND n.label = 0 GROUP BY p.fold),
+    FROM folds p JOIN folds n ON p.fold = n.fold AND p.label = 1 AND n.label = 0
+      AND p.score IS NOT NULL AND n.score IS NOT NULL GROUP BY p.fold),
   b AS (SELECT fold, count(*) AS n, {_SQL_BINARY} FROM folds GROUP BY fold),
-  fold_metrics AS (SELECT CAST(fold AS INTEGER) AS fold, n, tp, fp, fn, tn, {_SQL_RATES},
+  fold_metrics AS (SELECT CAST(fold AS INTEGER) AS fold, n, unscored, tp, fp, fn, tn, {_SQL_RATES},
     round(auc, 6) AS roc_auc FROM b JOIN u USING (fold))"""
 
 
 @query("fold_metrics", f"WITH {_SQL_FOLD_METRICS} SELECT * FROM fold_metrics")
 def fold_metrics_query(spark, sf):
     m = fold_metrics(spark, sf)
-    return m.select("fold", "n", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in RATES])
+    return m.select("fold", "n", "unscored", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in RATES])
 
 
 @query(
@@ -148,18 +156,17 @@ def cv_summary(spark, sf):
 
 
 _SQL_REPORT = f"""{_SQL_CLASSES}, report AS (SELECT
-  (SELECT avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM preds) AS accuracy,
+  (SELECT avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM preds WHERE pred IS NOT NULL) AS accuracy,
   sum(p * support) / sum(support) AS precision, sum(r * support) / sum(support) AS recall,
   sum(f * support) / sum(support) AS f1_score FROM f)"""
 
 
 def evaluation_report(spark, sf):
     """The weighted means of the report in one row, with the accuracy."""
-    preds = predictions(spark, sf)
-    weighted = E.classification_report(preds).filter(F.col("class") == "weighted avg")
-    weighted = weighted.select("support", "precision", "recall", F.col("f1").alias("f1_score"))
-    # both sides have one row with the same total
-    return E.accuracy(preds).join(weighted, F.col("n") == F.col("support")).drop("support", "n", "correct")
+    counts = E.label_counts(predictions(spark, sf))
+    weighted = E.report_of(counts).filter(F.col("class") == "weighted avg")
+    weighted = weighted.select("precision", "recall", F.col("f1").alias("f1_score"))
+    return E.one_row(E.accuracy_of(counts).select("accuracy"), weighted)
 
 
 @query(

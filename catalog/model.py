@@ -8,6 +8,7 @@ from catalog import _base as B
 from catalog import policy as CP
 from catalog import text as CT
 from catalog._base import big, documents, fixture_score, query, table
+from textwarden.operators import evaluate as E
 from textwarden.operators import reports as R
 from textwarden.operators import splits as X
 from textwarden.operators import terms as TM
@@ -77,49 +78,114 @@ def moderation_summary(spark, sf):
     return R.decision_cube(decided)
 
 
-@query("cross_validation")
+# what a twin can say of a trained model: which rows it was tried on, and that two ways of scoring agree
+
+_SQL_LABELLED = "l AS (SELECT doc_id, toxic FROM labels JOIN documents USING (doc_id))"
+_SQL_RANKED = f"""{_SQL_LABELLED}, h AS (SELECT *, row_number() OVER (PARTITION BY toxic
+    ORDER BY md5(doc_id || '-42'), doc_id) AS r, count(*) OVER (PARTITION BY toxic) AS n FROM l)"""
+_IN_FOLD = " + ".join(f"(r > round(CAST(0.{2 * i} AS DOUBLE) * n))::INT" for i in range(1, 5))
+_IS_TEST = "r <= round(CAST(0.2 AS DOUBLE) * n)"
+
+
+def _is_score(c: str):
+    return F.coalesce((F.col(c) > 0) & (F.col(c) < 1), F.lit(False))
+
+
+@query(
+    "cross_validation",
+    f"""WITH {_SQL_RANKED} SELECT CAST({_IN_FOLD} AS INTEGER) AS fold, count(*) AS n, 0::BIGINT AS unscored,
+      CAST(sum(toxic) AS BIGINT) AS positives, TRUE AS has_area FROM h GROUP BY 1""",
+)
 def cross_validation(spark, sf):
-    """Metrics of the five folds of the plain model."""
-    return TR.train_classifier(labelled(spark, sf))[1]
+    """The five folds of the plain model: their rows, positives and that each was measured."""
+    folds = TR.train_classifier(labelled(spark, sf))[1]
+    return folds.select("fold", "n", "unscored", (F.col("tp") + F.col("fn")).alias("positives"),
+                        F.col("roc_auc").between(0, 1).alias("has_area"))
 
 
-@query("balanced_holdout")
+@query(
+    "balanced_holdout",
+    f"WITH {_SQL_RANKED} SELECT doc_id, CAST(toxic AS INTEGER) AS toxic, TRUE AS scored FROM h WHERE {_IS_TEST}",
+)
 def balanced_holdout(spark, sf):
-    """Holdout predictions of the balanced model."""
+    """Holdout rows of the balanced model, each with a score."""
     _, _, held = TR.train_with_holdout(labelled(spark, sf))
-    return held.select("doc_id", "toxic", "score", "pred")
+    return held.select("doc_id", F.col("toxic").cast("int").alias("toxic"), _is_score("score").alias("scored"))
+
+
+@query(
+    "model_agreement",
+    "SELECT doc_id, TRUE AS agree FROM documents",
+)
+def model_agreement(spark, sf):
+    """Every document: the pipeline and the term join give the same score."""
+    model = TR.fit_all(labelled(spark, sf))
+    docs = documents(spark, sf).select("doc_id", F.col("text").alias("comment_text"))
+    one = TR.score_texts(model, docs).select("doc_id", F.col("score").alias("a"))
+    coefficients, intercept = TR.model_terms(model)
+    terms = TM.doc_terms(documents(spark, sf), "doc_id", "text")
+    two = TM.score_linear(terms, "doc_id", coefficients, intercept).select("doc_id", F.col("score").alias("b"))
+    return one.join(two, "doc_id").select("doc_id", (F.abs(F.col("a") - F.col("b")) < 1e-9).alias("agree"))
 
 
-@query("model_scores")
+@query("model_scores", "SELECT doc_id, TRUE AS scored, NULL::VARCHAR AS error, TRUE AS by_score FROM documents")
 def model_scores(spark, sf):
     """Scores of all documents by a model that was saved and loaded."""
     model = TR.fit_all(labelled(spark, sf))
     path = fresh_path(spark, "model")
     sinks.save_model(model, path)
     docs = documents(spark, sf).select("doc_id", F.col("text").alias("comment_text"))
-    return TR.score_texts(sinks.load_model(path), docs).select("doc_id", "score", "pred", "error")
+    out = TR.score_texts(sinks.load_model(path), docs)
+    by_score = F.col("pred") == (F.col("score") > 0.5).cast("int")
+    return out.select("doc_id", _is_score("score").alias("scored"), "error", by_score.alias("by_score"))
 
 
-@query("model_term_scores")
+@query("model_term_scores", "SELECT doc_id, TRUE AS scored FROM documents")
 def model_term_scores(spark, sf):
     """Scores of all documents by a join of their terms with the model's table."""
     coefficients, intercept = TR.model_terms(TR.fit_all(labelled(spark, sf)))
     terms = TM.doc_terms(documents(spark, sf), "doc_id", "text")
-    return TM.score_linear(terms, "doc_id", coefficients, intercept)
+    out = TM.score_linear(terms, "doc_id", coefficients, intercept)
+    return out.select("doc_id", _is_score("score").alias("scored"))
 
 
-@query("moderation_by_model")
+@query(
+    "moderation_by_model",
+    f"""WITH {B.SQL_CLEANED} SELECT doc_id, CASE WHEN text = '' THEN 'invalid_empty' WHEN c = '' THEN 'empty_after_clean'
+      WHEN length(c) < 3 THEN 'too_short' ELSE 'scored' END AS outcome,
+      CASE WHEN c <> '' AND length(c) < 3 THEN 'allow' END AS unscored_action, length(c) >= 3 AS decided FROM cleaned""",
+)
 def moderation_by_model(spark, sf):
     """Every document from raw text to decision, scored by a trained model."""
     model = TR.fit_all(labelled(spark, sf))
     scored = TR.score_texts(model, MO.prepare(documents(spark, sf)), "cleaned")
     decided = MO.moderate(scored, CP.answers(spark, sf))
-    return decided.select("doc_id", "outcome", "final_score", "action", "confidence", "enhanced")
+    scored_ = F.col("outcome") == "scored"
+    return decided.select(
+        "doc_id", "outcome", F.when(~scored_, F.col("action")).alias("unscored_action"),
+        (scored_ & F.col("action").isNotNull() & F.col("final_score").isNotNull()).alias("decided"),
+    )
 
 
-@query("training_run")
+@query(
+    "training_run",
+    f"""WITH {_SQL_RANKED}, s AS (SELECT {_IS_TEST} AS test, toxic, d.text FROM h JOIN documents d USING (doc_id)
+      WHERE {B.sql_strip('d.text')} <> '')
+    SELECT count(*) FILTER (WHERE NOT test) AS n_train, count(*) FILTER (WHERE test) AS n_test,
+      count(*) FILTER (WHERE test AND toxic = 1) AS positives, TRUE AS registered FROM s""",
+)
 def training_run(spark, sf):
-    """Validation, training, evaluation and registration; the gate row."""
+    """Validation, training, evaluation and registration: what the written reports say."""
     split = X.stratified_split(labelled(spark, sf), "toxic", "doc_id")
     train, test = (split.filter(F.col("split") == n).drop("split") for n in ("train", "test"))
-    return TR.run_training(spark, train, test, fresh_path(spark, "training"))
+    out = fresh_path(spark, "training")
+    gate = TR.run_training(spark, train, test, out)
+    rows = spark.read.json(f"{out}/validation_report").select(
+        F.col("train_final_samples").alias("n_train"), F.col("test_final_samples").alias("n_test")
+    )
+    matrix = spark.read.json(f"{out}/confusion_matrix").filter("actual = 1")
+    matrix = matrix.select((F.col("predicted_0") + F.col("predicted_1") + F.col("unscored")).alias("positives"))
+    package = spark.read.parquet(f"{out}/registry")
+    accuracy = gate.select(F.col("accuracy").cast("string").alias("accuracy"))
+    registered = package.join(accuracy, F.element_at("payload", F.lit("accuracy")) == F.col("accuracy"))
+    return E.one_row(rows, matrix, registered.agg((F.count("*") == 1).alias("registered")))

@@ -25,8 +25,8 @@ def labelled(spark, sf):
 def _parts(spark, sf):
     rows = labelled(spark, sf)
     return {
-        "train": rows.filter("lang = 'en'"),
-        "test": rows.filter("lang <> 'en'"),
+        "train": rows.filter("lang <=> 'en'"),
+        "test": rows.filter("NOT lang <=> 'en'"),
     }
 
 
@@ -193,7 +193,7 @@ def hash_rank(spark, sf):
 def shuffled_rows(spark, sf):
     """A full shuffle, with the place of every row."""
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
-    return O.numbered(labels, [O.seeded_hash("doc_id", 42), "doc_id"])
+    return X.shuffled(labels, "doc_id")
 
 
 @query(
@@ -220,12 +220,15 @@ def _hex(c: str, digits: int) -> str:
     return f"CAST('0x' || substr({c}, 1, {digits}) AS BIGINT)"
 
 
+N_DRAWS = 500
+
+
 @query(
     "sampled_variants",
     f"""WITH l AS (SELECT d.doc_id, d.text, l.toxic FROM documents d JOIN labels l USING (doc_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || '-42'), doc_id) AS r,
       count(*) OVER (PARTITION BY toxic) AS n FROM l),
-    i AS (SELECT toxic, n, unnest([0, 1, 2]) * n + r AS draw_id FROM r),
+    i AS (SELECT DISTINCT toxic, n, unnest(range({N_DRAWS})) AS draw_id FROM r),
     d AS (SELECT toxic, n, draw_id, {_hex("md5(toxic || '-' || draw_id || '-row-42')", 12)} % n + 1 AS p,
       {_hex("md5(toxic || '-' || draw_id || '-vary-42')", 8)}::DOUBLE / 4294967296::DOUBLE
         < CASE toxic WHEN 1 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS varied,
@@ -238,7 +241,20 @@ def _hex(c: str, digits: int) -> str:
       ELSE 'I think ' || lower(text) END AS text FROM j""",
 )
 def sampled_variants(spark, sf):
-    """Three draws with replacement per labelled text."""
+    """The same number of draws with replacement from either class."""
     rows = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
-    out = X.sample_variants(rows, "doc_id", "text", "toxic", draws_per_row=3)
+    out = X.sample_variants(rows, "doc_id", "text", "toxic", N_DRAWS)
     return out.withColumn("draw_id", big("draw_id"))
+
+
+@query(
+    "split_of_many_classes",
+    """WITH h AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id
+      ORDER BY md5(event_id || '-42'), event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT event_id, user_id, CASE WHEN r <= round(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split
+    FROM h""",
+)
+def split_of_many_classes(spark, sf):
+    """Every user is a class of their own."""
+    events = table(spark, sf, "events").select("event_id", "user_id")
+    return X.stratified_split(events, "user_id", "event_id")

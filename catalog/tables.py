@@ -25,7 +25,7 @@ def labelled_csv(spark, sf):
     rows = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     path = fresh_path(spark, "labelled")
     sinks.write_table(rows.select(F.col("text").alias("comment_text"), "toxic"), path, fmt="csv")
-    read = files.read_labelled_csv(spark, path)
+    read = files.read_labelled_csv(spark, path, multi_line=True)  # texts hold line breaks
     return read.select("comment_text", "toxic", F.col("_corrupt_record").alias("broken"))
 
 
@@ -54,36 +54,34 @@ def json_reports(spark, sf):
 
 @query(
     "decision_table",
-    f"""SELECT event_id, event_type, {sql_stamp('ts')} AS ts, strftime(ts, '%Y-%m-%d') AS day
-    FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'""",
+    f"SELECT event_id, event_type, {sql_stamp('ts')} AS ts, strftime(ts, '%Y-%m-%d') AS day FROM events",
 )
 def decision_table(spark, sf):
-    """Events written by day; reading ten days touches ten folders."""
+    """Events written by day and read back."""
     path = fresh_path(spark, "decisions")
     e = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     sinks.write_table(e, path, ["day"])
-    kept = spark.read.parquet(path).filter("day >= '2024-01-10' AND day < '2024-01-20'")
-    return kept.select("event_id", "event_type", stamp("ts").alias("ts"), F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return spark.read.parquet(path).select("event_id", "event_type", stamp("ts").alias("ts"), F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query(
     "decision_log_table",
     f"""WITH {CP.SQL_ROUTED} SELECT 'run-' || doc_id AS execution_id, substr(text, 1, 100) AS text_preview,
-      score AS ml_score, action, confidence, reasoning, FALSE AS enhanced FROM workflow
-    WHERE action <> 'allow'""",
+      score AS ml_score, action, confidence, reasoning, enhanced, {CP.SQL_LOGGED_AT} AS ts,
+      strftime({CP.SQL_LOGGED}, '%Y-%m-%d') AS day FROM workflow""",
 )
 def decision_log_table(spark, sf):
+    """The log written by day and read back."""
     path = fresh_path(spark, "log")
-    run = F.concat(F.lit("run-"), F.col("doc_id").cast("string"))
-    log = D.decision_log(CP.routed(spark, sf).withColumn("execution_id", run))
-    sinks.write_table(log, path, ["action"])
-    return spark.read.parquet(path).filter("action <> 'allow'")
+    sinks.write_table(D.decision_log(CP.logged(spark, sf)), path, ["day"])
+    log = spark.read.parquet(path)
+    return log.withColumn("ts", stamp("ts")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(
     "registry_table",
     f"""WITH {CR.SQL_REGISTRY} SELECT kind, name, status, CAST(event_id AS VARCHAR) AS event
-    FROM registry WHERE kind IN ('package', 'endpoint')""",
+    FROM registry""",
 )
 def registry_table(spark, sf):
     """Registry rows appended in two writes, one folder per kind."""
@@ -91,11 +89,13 @@ def registry_table(spark, sf):
     rows = CR._registry(spark, sf)
     sinks.append_registry(rows.filter("status = 'deployed'"), path)
     sinks.append_registry(rows.filter("status <> 'deployed'"), path)
-    kept = spark.read.parquet(path).filter(F.col("kind").isin("package", "endpoint"))
-    return kept.select("kind", "name", "status", F.col("payload")["event"].alias("event"))
+    return spark.read.parquet(path).select("kind", "name", "status", F.col("payload")["event"].alias("event"))
 
 
-@query("artifact_listing")
+@query(
+    "artifact_listing",
+    "SELECT DISTINCT 'day=' || strftime(ts, '%Y-%m-%d') AS folder, TRUE AS has_files FROM events",
+)
 def artifact_listing(spark, sf):
     """Files of a written table, by folder; contents are not read."""
     path = fresh_path(spark, "artifacts")
@@ -103,7 +103,7 @@ def artifact_listing(spark, sf):
     sinks.write_table(e, path, ["day"])
     files_ = files.list_artifacts(spark, path, "day=")
     folder = F.substring_index("key", "/", 1)
-    return files_.groupBy(folder.alias("folder")).agg(F.count("*").alias("n_files"))
+    return files_.groupBy(folder.alias("folder")).agg((F.sum("size") > 0).alias("has_files"))
 
 
 @query(
@@ -146,6 +146,15 @@ def _reviewer():
     return review
 
 
+def _picky_reviewer():
+    def review(prompts):
+        if (prompts.str.len() % 2 == 1).any():
+            raise ValueError("odd length")
+        return _reviewer()(prompts)
+
+    return review
+
+
 @query(
     "reviewer_answers",
     f"""WITH {CP.SCORED}, {B.sql_flags('scored')},
@@ -159,13 +168,13 @@ def _reviewer():
       + length('  "very_long": ') + length(very_long::VARCHAR) + 1 + 1 + 2
       + length('Weigh intent, real-world harm, irony, cultural context, audience and the chance of a false alarm. Answer with one JSON object with the fields: contextual_toxicity_score, recommended_action, confidence, reasoning, harm_categories, context_factors, is_sarcasm, is_false_positive, severity_level, target_audience_risk, cultural_sensitivity, explanation_for_user.')
       AS n FROM flags WHERE score > 0.3::DOUBLE AND score < 0.8::DOUBLE)
-    SELECT doc_id, '{{"contextual_toxicity_score": 0.' || (n % 10) || '}}' AS raw, NULL::VARCHAR AS error
-    FROM q""",
+    SELECT doc_id, '{{"contextual_toxicity_score": 0.' || (n % 10) || '}}' AS raw, NULL::VARCHAR AS error,
+      CAST(n % 2 AS INTEGER) AS reviewer FROM q""",
 )
 def reviewer_answers(spark, sf):
-    """A reviewer from outside, asked for the borderline rows only."""
+    """Two reviewers from outside, asked in order for the borderline rows; the first refuses some."""
     requests = D.render_review_requests(CP.scored(spark, sf))
-    return PL.ask_reviewer(requests, _reviewer)
+    return PL.ask_reviewer(requests, [_picky_reviewer, _reviewer])
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog._base import documents, query, table
 from textwarden import constants as K
 from textwarden.operators import terms as TM
+from textwarden.plans import training as TR
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
 
@@ -107,7 +108,8 @@ def coefficients(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
     marked = documents(spark, sf).join(labels, "doc_id")
     odds = TM.log_odds(TM.doc_terms(marked, "doc_id", "text", keep=["toxic"]), "toxic", n)
-    return odds.orderBy(F.desc("tf"), "term").limit(10000)
+    # the model's documented max_features
+    return odds.orderBy(F.desc("tf"), "term").limit(TR.Settings().max_features)
 
 
 @query(

@@ -9,7 +9,7 @@ from catalog._base import big, documents, query, table
 from textwarden import constants as K
 from textwarden.functions import features as FE
 from textwarden.functions import text as T
-from textwarden.sources.files import split_lines, spread
+from textwarden.sources.files import split_lines
 
 
 @query("clean_text", f"WITH {B.SQL_CLEANED} SELECT doc_id, c AS cleaned FROM cleaned")
@@ -22,7 +22,7 @@ def clean_text(spark, sf):
     f"SELECT page_id, {B.SQL_UNESCAPED_HTML} AS decoded FROM pages",
 )
 def html_unescape(spark, sf):
-    pages = spread(table(spark, sf, "pages"), "page_id")
+    pages = table(spark, sf, "pages")
     return pages.select("page_id", T.html_unescape("html").alias("decoded"))
 
 
@@ -32,7 +32,7 @@ def html_unescape(spark, sf):
     SELECT page_id, {B.sql_clean('t')} AS cleaned FROM u""",
 )
 def clean_pages(spark, sf):
-    pages = spread(table(spark, sf, "pages"), "page_id")
+    pages = table(spark, sf, "pages")
     both = F.concat("url", F.lit(" "), "html")
     return pages.select("page_id", T.clean_text(both).alias("cleaned"))
 

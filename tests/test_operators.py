@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textwarden.operators import alarms as A
+from textwarden.operators import plugins as PL
+from textwarden.operators import decisions as D
 from textwarden.operators import evaluate as E
 from textwarden.operators import metrics as M
 from textwarden.operators import ordering as O
@@ -127,11 +129,27 @@ def test_alarm_gap_resets(spark):
 
 
 def test_default_alarms_of_decisions(spark):
-    rows = [(START + dt.timedelta(minutes=i), "allow", "high", 3000.0, False, False, 0.0) for i in range(20)]
-    cols = "ts TIMESTAMP_NTZ, action STRING, confidence STRING, latency_ms DOUBLE, routed BOOLEAN, enhanced BOOLEAN, reviewer_latency_ms DOUBLE"
-    metrics = M.decision_metrics(spark.createDataFrame(rows, cols))
-    on = A.evaluate_alarms(metrics).filter("in_alarm").select("alarm").distinct().collect()
-    assert [r[0] for r in on] == ["HighLatency"]
+    def on(confidence, action, minutes, environment="Production"):
+        rows = [(i, START + dt.timedelta(minutes=i), action, confidence, 3000.0, False, False, 0.0) for i in range(minutes)]
+        cols = "doc_id INT, ts TIMESTAMP, action STRING, confidence STRING, latency_ms DOUBLE, routed BOOLEAN, enhanced BOOLEAN, reviewer_latency_ms DOUBLE"
+        decisions = spark.createDataFrame(rows, cols)
+        points = M.alarm_feed(decisions, decisions.select("doc_id", F.lit(0).alias("label")))
+        points = points.withColumn("dims", F.create_map(F.lit("Environment"), F.lit(environment)))
+        return {r[0] for r in A.evaluate_alarms(points).filter("in_alarm").select("alarm").distinct().collect()}
+
+    assert on("high", "allow", 60) == {"HighLatency"}
+    assert on("medium", "review", 90) == {"HighLatency", "LowConfidence", "HighFalsePositiveRate"}
+    # the default alarms watch production only
+    assert on("medium", "review", 90, "Test") == set()
+
+
+def test_points_of_failed_requests(spark):
+    rows = [(START, 1.0, "model", True, True, 7.0), (START, 2.0, "input", False, False, None), (START, 3.0, None, True, False, None)]
+    df = spark.createDataFrame(rows, "ts TIMESTAMP, latency_ms DOUBLE, failure STRING, routed BOOLEAN, enhanced BOOLEAN, reviewer_latency_ms DOUBLE")
+    df = df.withColumns({"score": F.lit(0.5), "action": F.lit("review"), "confidence": F.lit("high")})
+    got = {r["name"]: (r["points"], r["total"]) for r in M.metric_totals(M.request_metrics(df)).collect()}
+    assert got["ModelError"] == got["PredictionError"] == got["ModerationDecision"] == (1, 1.0)
+    assert got["SecondOpinionLatency"] == (1, 7.0) and got["SecondOpinionError"] == (1, 1.0)
 
 
 def test_auc_with_ties_and_hot_score(spark):
@@ -149,11 +167,94 @@ def test_report_with_unseen_class(spark):
     rep = {r["class"]: r for r in E.classification_report(df).collect()}
     assert rep["1"]["precision"] == 0 and rep["1"]["f1"] == 0
     assert rep["0"]["precision"] == pytest.approx(1 / 3)
-    assert [tuple(r) for r in E.confusion_matrix(df).orderBy("actual").collect()] == [(0, 1, 0), (1, 2, 0)]
+    assert [tuple(r) for r in E.confusion_matrix(df).orderBy("actual").collect()] == [(0, 1, 0, 0), (1, 2, 0, 0)]
     b = E.binary_metrics(df).first()
     assert (b["tp"], b["fp"], b["fn"], b["tn"], b["f1"]) == (0, 0, 2, 1, 0)
 
 
+def test_unscored_rows_are_counted(spark):
+    df = spark.createDataFrame([(0, 0, 0.1), (1, 1, 0.9), (0, 1, 0.8), (1, None, None)], "label INT, pred INT, score DOUBLE")
+    b = E.binary_metrics(df, score="score").first()
+    assert (b["n"], b["unscored"], b["tp"], b["fp"], b["fn"], b["tn"]) == (4, 1, 1, 1, 0, 1)
+    assert b["accuracy"] == pytest.approx(2 / 3) and b["roc_auc"] == 1.0
+    assert [tuple(r) for r in E.confusion_matrix(df).orderBy("actual").collect()] == [(0, 1, 1, 0), (1, 0, 1, 1)]
+    assert tuple(E.accuracy(df).first())[:3] == (4, 1, 2)
+    assert {r["class"] for r in E.classification_report(df).collect()} == {"0", "1", "macro avg", "weighted avg"}
+
+
+def test_split_of_many_classes(spark):
+    df = spark.range(3000).selectExpr("id", "IF(id < 30, NULL, id % 300) AS c")
+    split = X.stratified_split(df, "c", "id", 0.5)
+    assert split.count() == 3000
+    sizes = split.groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()
+    assert len(sizes) == 301 and all(abs(r["t"] - r["n"] / 2) <= 0.5 for r in sizes)
+    folds = X.stratified_folds(df.filter("c IS NULL"), "c", "id", 7).groupBy("fold").count().collect()
+    assert len(folds) == 7 and {r["count"] for r in folds} <= {4, 5}
+
+
+def test_rows_without_time_are_kept(spark):
+    rows = [("s", "a", None, 1), ("s", "b", START, 2), ("s", "b", START, 3), (None, "x", None, 4)]
+    df = spark.createDataFrame(rows, "step STRING, status STRING, ts TIMESTAMP_NTZ, event_id INT")
+    got = {r["event_id"]: r["previous_status"] for r in ST.status_changes(df).collect()}
+    assert got == {1: None, 2: "a", 4: None}
+
+
+def test_two_answers_one_decision(spark):
+    scored = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.4)], "doc_id INT, score DOUBLE")
+    answers = spark.createDataFrame([(1, "allow", 1), (1, "block", 2), (3, None, 1)], "doc_id INT, action STRING, ts INT")
+    got = {r["doc_id"]: (r["action"], r["enhanced"], r["fallback_used"]) for r in D.route_workflow(scored, answers).collect()}
+    assert got == {1: ("block", True, False), 2: ("block", False, False), 3: ("review", False, True)}
+
+
+def test_log_keeps_time_and_mark(spark):
+    df = spark.createDataFrame([(1, START, True), (2, None, None)], "doc_id INT, ts TIMESTAMP_NTZ, enhanced BOOLEAN")
+    got = {r["doc_id"]: r for r in D.decision_log(df, columns=["doc_id"]).collect()}
+    assert got[1]["ts"] == START and got[1]["day"] == START.date() and got[1]["enhanced"] is True
+    assert got[2]["ts"] is not None and got[2]["enhanced"] is False
+
+
+def test_missing_columns_are_reported(spark):
+    df = spark.createDataFrame([(1,)], "toxic INT")
+    r = Q.validation_report({"train": df, "test": df}).first()
+    assert r["validation_passed"] is False and "comment_text" in r["issues"][0]
+    assert r["train_samples"] is None
+
+
+def test_failing_batches_are_halved(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def score(texts):
+            seen.add(1)
+            if (texts == "bad").any():
+                raise ValueError("bad text")
+            return texts.str.len().astype(float)
+
+        return score
+
+    df = spark.createDataFrame([(i, "bad" if i == 77 else "good") for i in range(256)], "id INT, text STRING").coalesce(1)
+    got = {r["id"]: (r["score"], r["error"]) for r in PL.score_partitions(df, load).collect()}
+    assert len(got) == 256 and got[77] == (None, "bad text") and got[76] == (4.0, None)
+    assert seen.value <= 2 * 9
+
+
+def test_reviewers_in_order(spark):
+    def first():
+        return lambda p: [None if x.startswith("b") else "one" for x in p]
+
+    def second():
+        def review(p):
+            if (p == "bb").any():
+                raise ValueError("no")
+            return ["two"] * len(p)
+
+        return review
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "bb")], "doc_id INT, prompt STRING")
+    got = {r["doc_id"]: (r["raw"], r["error"], r["reviewer"]) for r in PL.ask_reviewer(df, [first, second]).collect()}
+    assert got == {1: ("one", None, 0), 2: ("two", None, 1), 3: (None, "no", None)}
+
+
 def test_gate_limits(spark):
     df = spark.createDataFrame([(0.8,), (0.81,), (0.85,), (0.86,)], "accuracy DOUBLE")
     got = [tuple(r)[1:] for r in E.evaluation_gate(df).orderBy("accuracy").collect()]
@@ -163,12 +264,6 @@ def test_gate_limits(spark):
     ]
 
 
-def test_validation_fails_early(spark):
-    df = spark.createDataFrame([("a",)], "comment_text STRING")
-    with pytest.raises(ValueError, match="missing columns"):
-        Q.validation_report({"train": df, "test": df})
-
-
 def test_validation_issues(spark):
     rows = [("text", 1)] * 98 + [(None, 1)]
     df = spark.createDataFrame(rows, "comment_text STRING, toxic INT")
@@ -236,8 +331,9 @@ def test_retention(spark):
 def test_sampling_is_whole(spark):
     rows = [(i, f"Text {i}", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "id INT, t STRING, label INT")
-    out = X.sample_variants(df, "id", "t", "label", draws_per_row=5).collect()
-    assert len(out) == 200
+    out = X.sample_variants(df, "id", "t", "label", n_per_class=100).collect()
+    assert len(out) == 200 and sum(r["label"] for r in out) == 100
+    assert {(r["label"], r["draw_id"]) for r in out} == {(c, i) for c in (0, 1) for i in range(100)}
     for r in out:
         plain = f"Text {r['id']}"
         forms = (

@@ -13,7 +13,7 @@ def test_csv_keeps_texts(spark):
     rows = [('a, "quoted" text', 1), ("two\nlines", 0), ("  blanks  ", 1), ("back\\slash", 0), ("plain", None)]
     path = fresh_path(spark, "csv")
     sinks.write_table(spark.createDataFrame(rows, "comment_text STRING, toxic INT"), path, fmt="csv")
-    got = files.read_labelled_csv(spark, path).cache()
+    got = files.read_labelled_csv(spark, path, multi_line=True).cache()
     assert {(r[0], r[1]) for r in got.collect()} == set(rows)
     assert got.filter("_corrupt_record IS NOT NULL").count() == 0
 
@@ -22,7 +22,7 @@ def test_csv_marks_broken_rows(spark):
     path = fresh_path(spark, "broken")
     lines = spark.createDataFrame([("comment_text,toxic",), ("fine,1",), ("odd,many",)], "value STRING")
     lines.coalesce(1).write.text(path)
-    got = files.read_labelled_csv(spark, path).cache()
+    got = files.read_labelled_csv(spark, path, multi_line=True).cache()
     assert [r["comment_text"] for r in got.filter("_corrupt_record IS NULL").collect()] == ["fine"]
     assert got.filter("_corrupt_record IS NOT NULL").count() == 1
 

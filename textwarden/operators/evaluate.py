@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions._base import dbl
 from textwarden.functions.scores import safe_ratio
 from textwarden.operators.ordering import join_back, running_sums
+from textwarden.session import materialized
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
@@ -27,20 +28,29 @@ def with_labels(decisions: DataFrame, labels: DataFrame, key: str = "doc_id") ->
 def label_counts(
     df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows per label and prediction; four rows per group for a binary label."""
+    """Rows per label and prediction; a row without prediction is unscored.
+
+    Every report below can be taken from these few rows, see the ``_of`` forms.
+    """
     return df.groupBy(*by, F.col(label).alias("label"), F.col(pred).alias("pred")).agg(
         F.count("*").alias("n")
     )
 
 
-def _when(label: int, pred: int):
-    hit = (F.col("label") == label) & (F.col("pred") == pred)
-    return F.sum(F.when(hit, F.col("n")).otherwise(0))
+def _sum(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n")).otherwise(0)), F.lit(0).cast("bigint"))
+
+
+def _when(label: int, pred: int) -> Column:
+    return _sum((F.col("label") == label) & (F.col("pred") == pred))
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """Actual classes as rows, predicted ones as columns; empty cells are 0."""
-    counts = label_counts(df, label, pred)
+    """Actual classes as rows, predicted ones and unscored rows as columns; empty cells are 0."""
+    return confusion_of(label_counts(df, label, pred))
+
+
+def confusion_of(counts: DataFrame) -> DataFrame:
     cells = F.inline(
         F.array(
             *[
@@ -48,13 +58,15 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred") ->
                     F.lit(actual).alias("actual"),
                     F.col(f"c{actual}0").alias("predicted_0"),
                     F.col(f"c{actual}1").alias("predicted_1"),
+                    F.col(f"u{actual}").alias("unscored"),
                 )
                 for actual in (0, 1)
             ]
         )
     )
     wide = counts.agg(
-        *[F.coalesce(_when(a, p), F.lit(0).cast("bigint")).alias(f"c{a}{p}") for a in (0, 1) for p in (0, 1)]
+        *[_when(a, p).alias(f"c{a}{p}") for a in (0, 1) for p in (0, 1)],
+        *[_sum((F.col("label") == a) & F.col("pred").isNull()).alias(f"u{a}") for a in (0, 1)],
     )
     return wide.select(cells)
 
@@ -62,17 +74,27 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred") ->
 def accuracy(
     df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()
 ) -> DataFrame:
-    counts = label_counts(df, label, pred, by)
-    hits = F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0))
+    """Rows, unscored rows, hits, and the share of hits among the scored ones."""
+    return accuracy_of(label_counts(df, label, pred, by), by)
+
+
+def accuracy_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    hits, scored = _sum(F.col("label") == F.col("pred")), _sum(F.col("pred").isNotNull())
     return counts.groupBy(*by).agg(
-        F.sum("n").alias("n"), hits.alias("correct"), safe_ratio(hits, F.sum("n")).alias("accuracy")
+        F.sum("n").alias("n"),
+        _sum(F.col("pred").isNull()).alias("unscored"),
+        hits.alias("correct"),
+        safe_ratio(hits, scored).alias("accuracy"),
     )
 
 
 def classification_report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """Precision, recall, f1 and support per class, with macro and weighted means."""
-    counts = label_counts(df, label, pred)
-    sides = counts.select(
+    """Precision, recall, f1 and support per class, with macro and weighted means, of scored rows."""
+    return report_of(label_counts(df, label, pred))
+
+
+def report_of(counts: DataFrame) -> DataFrame:
+    sides = counts.filter("pred IS NOT NULL").select(
         F.explode(
             F.array(
                 F.struct(
@@ -118,18 +140,31 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     return per_class.unionByName(means.select(F.inline(F.array(*rows))))
 
 
+def score_cells(
+    df: DataFrame, label: str, pred: str | None, score: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Rows per group, score, label and prediction, stored: counts and areas read the input once."""
+    guess = F.col(pred) if pred else F.lit(None).cast("int")
+    keys = [F.col(score).alias("__s"), F.col(label).alias("label"), guess.alias("pred")]
+    return materialized(df.groupBy(*by, *keys).agg(F.count("*").alias("n")))
+
+
 def roc_auc(
     df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()
 ) -> DataFrame:
     """Area under the ROC curve as the share of ordered pairs, ties counted half.
 
-    Equal scores become one row first; the sums over smaller scores come from
-    range pieces, so neither a hot score nor a hot class fills one task.
+    Rows without a score take no part.  Equal scores become one row first; the
+    sums over smaller scores come from range pieces, so neither a hot score nor
+    a hot class fills one task.
     """
+    return roc_of(score_cells(df, label, None, score, by), by)
+
+
+def roc_of(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
-    points = df.groupBy(*by, F.col(score).alias("__s")).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("__pos"),
-        F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("__neg"),
+    points = cells.filter("__s IS NOT NULL").groupBy(*by, "__s").agg(
+        _sum(F.col("label") == 1).alias("__pos"), _sum(F.col("label") == 0).alias("__neg")
     )
     summed = running_sums(points, by, "__s", ["__neg"])
     pairs = F.col("__pos").cast("double") * (F.col("before___neg") + F.col("__neg") / 2)
@@ -145,23 +180,28 @@ def binary_metrics(
     score: str | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Accuracy, precision, recall, f1 of class 1 and, with a score, the ROC area."""
+    """Accuracy, precision, recall, f1 of class 1 and, with a score, the ROC area.
+
+    Unscored rows stand in a column of their own; the rates are those of the
+    scored rows.
+    """
     by = list(by)
-    sums = label_counts(df, label, pred, by).groupBy(*by).agg(
-        F.sum("n").alias("n"),
+    cells = score_cells(df, label, pred, score, by) if score else label_counts(df, label, pred, by)
+    sums = cells.groupBy(*by).agg(
+        F.sum("n").alias("n"), _sum(F.col("pred").isNull()).alias("unscored"),
         _when(1, 1).alias("tp"), _when(0, 1).alias("fp"), _when(1, 0).alias("fn"), _when(0, 0).alias("tn"),
     )
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     out = sums.select(
-        *by, "n", "tp", "fp", "fn", "tn",
-        safe_ratio(tp + F.col("tn"), "n").alias("accuracy"),
+        *by, "n", "unscored", "tp", "fp", "fn", "tn",
+        safe_ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         safe_ratio(tp, tp + fp).alias("precision"),
         safe_ratio(tp, tp + fn).alias("recall"),
         safe_ratio(tp * 2, tp * 2 + fp + fn).alias("f1"),
     )
     if score is None:
         return out
-    areas = roc_auc(df, label, score, by)
+    areas = roc_of(cells, by)
     return join_back(out, areas, by) if by else one_row(out, areas)
 
 

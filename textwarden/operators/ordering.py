@@ -7,6 +7,7 @@ carry the totals of the pieces before, which are one small row each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 from textwarden.functions._base import col
 from textwarden.session import materialized
 
+RANKED_TOGETHER = 50_000  # rows of a piece that hash_rank sorts together
+
 
 def seeded_hash(key: Column | str, seed: int | str) -> Column:
     """Hex digest of key and seed, the same in every engine that knows MD5."""
     return F.md5(F.concat(col(key).cast("string"), F.lit(f"-{seed}")))
 
 
-
 def _box(*columns: Column | str) -> Column:
     """Columns as one key that is never NULL; NULL fields of two keys are equal.
 
@@ -37,15 +39,17 @@ def join_back(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def hash_rank(
-    df: DataFrame, by: Sequence[str], key: str, seed: int | str = 42, digits: int = 3
+    df: DataFrame, by: Sequence[str], key: str, seed: int | str = 42, digits: int | None = None
 ) -> DataFrame:
     """Add ``rank`` (1-based, in hash order, per group) and ``total`` (group size).
 
     The first hex digits of the hash cut every group into 16**digits even
-    pieces, so a group of any size spreads over the cluster; pieces are ranked
+    pieces, by default as many that a piece has RANKED_TOGETHER rows at most, so a group of any size spreads over the cluster; pieces are ranked
     on their own and shifted by the row counts of the pieces before.
     """
     by = list(by)
+    if digits is None:
+        digits = max(1, math.ceil(math.log(max(1, df.count()) / RANKED_TOGETHER, 16)))
     hashed = df.withColumn("__h", seeded_hash(key, seed))
     hashed = hashed.withColumn("__piece", F.substring("__h", 1, digits))
     keyed = hashed.withColumn("__key", _box(*by, "__piece"))
@@ -69,14 +73,13 @@ def hash_rank(
 def numbered(df: DataFrame, order_by: Sequence[Column | str], name: str = "n") -> DataFrame:
     """Number all rows from 1 in a total order.
 
-    A range sort spreads the rows, its result is stored once, and each stored
-    partition is shifted by the sizes of those before it.  ``order_by`` should
-    end in a unique column.
+    The rows are cut by range and stored once; each piece is numbered on its own
+    and shifted by the sizes of those before it.  ``order_by`` should end in a
+    unique column.
     """
-    stored = materialized(df.orderBy(*order_by))
-    placed = stored.withColumn("__part", F.spark_partition_id()).withColumn(
-        "__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    )
+    stored = materialized(df.repartitionByRange(*order_by))
+    placed = stored.withColumn("__part", F.spark_partition_id())
+    placed = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(*order_by)))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per stored partition
     offsets = (
@@ -86,7 +89,7 @@ def numbered(df: DataFrame, order_by: Sequence[Column | str], name: str = "n") -
     )
     return (
         placed.join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col("__before") + F.col("__i") + 1)
+        .withColumn(name, F.col("__before") + F.col("__i"))
         .drop("__part", "__i", "__before")
     )
 
@@ -118,26 +121,23 @@ def running_sums(
 
 
 def with_previous(
-    df: DataFrame,
-    by: Sequence[str],
-    order_by: Sequence[str],
-    value: str,
-    name: str = "previous",
-    piece: str = "1 hour",
+    df: DataFrame, by: Sequence[str], order_by: Sequence[str], value: str, name: str = "previous"
 ) -> DataFrame:
     """Add the value of the row before, per key, and whether there is one.
 
-    The first ``order_by`` column is a time.  Keys are cut into time pieces:
-    inside a piece the neighbour comes from a window, the first row of a piece
-    takes the last value of the piece before, which is one row per piece.
+    The rows are cut by range, so a busy key fills several pieces and pieces
+    follow the number of rows.  Inside a piece the neighbour comes from a window,
+    the first row of a piece takes the last value of the piece before, which is
+    one row per piece and key.  Rows without a time come first.
     """
     by = list(by)
-    cut = df.withColumn("__key", _box(*by, F.window(order_by[0], piece)["start"].alias("__piece")))
+    stored = materialized(df.repartitionByRange(*by, *order_by))
+    cut = stored.withColumn("__part", F.spark_partition_id()).withColumn("__key", _box(*by, "__part"))
     boxed = F.struct(F.col(value).alias("v"))
     order = F.struct(*order_by)
     last = cut.groupBy("__key").agg(F.max_by(boxed, order).alias("__last")).select("*", "__key.*")
     carry = last.select(
-        "__key", F.lag("__last").over(Window.partitionBy(*by).orderBy("__piece")).alias("__carry")
+        "__key", F.lag("__last").over(Window.partitionBy(*by).orderBy("__part")).alias("__carry")
     )
     inside = Window.partitionBy("__key").orderBy(*order_by)
     near = cut.withColumn("__near", F.lag(boxed).over(inside))
@@ -146,7 +146,7 @@ def with_previous(
     return (
         out.withColumn(name, found["v"])
         .withColumn(f"has_{name}", found.isNotNull())
-        .drop("__key", "__near", "__carry")
+        .drop("__key", "__part", "__near", "__carry")
     )
 
 

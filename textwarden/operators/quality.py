@@ -12,17 +12,18 @@ from textwarden.functions.text import strip_space
 from textwarden.operators.splits import tagged_union
 
 REQUIRED = ("comment_text", "toxic")
+STATISTICS = {
+    "samples": "BIGINT", "missing_values": "BIGINT", "toxic_ratio": "DOUBLE", "final_samples": "BIGINT",
+}
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = REQUIRED) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
-def require_columns(parts: dict[str, DataFrame], required: Sequence[str] = REQUIRED) -> None:
-    """Fail before any job runs if a part lacks a column."""
-    issues = [f"{n} missing columns: {m}" for n, df in parts.items() if (m := missing_columns(df, required))]
-    if issues:
-        raise ValueError("; ".join(issues))
+def column_issues(parts: dict[str, DataFrame], required: Sequence[str] = REQUIRED) -> list[str]:
+    """What the parts lack, known without a job."""
+    return [f"{n} lacks columns: {m}" for n, df in parts.items() if (m := missing_columns(df, required))]
 
 
 def clean_labelled(df: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
@@ -55,12 +56,18 @@ def validation_report(
 ) -> DataFrame:
     """One row: verdict, issues and the statistics of train and test.
 
-    One pass over the data; everything after it works on one row per split.
+    One pass over the data; everything after it works on one row per split.  If
+    a part lacks a column nothing is read: the report says so and has no statistics.
     """
-    require_columns(parts, required)
+    lacking = column_issues(parts, required)
+    if lacking:
+        spark = next(iter(parts.values())).sparkSession
+        numbers = ", ".join(f"{n}_{c} {kind}" for n in ("train", "test") for c, kind in STATISTICS.items())
+        schema = f"validation_passed BOOLEAN, issues ARRAY<STRING>, {numbers}"
+        return spark.createDataFrame([(False, lacking, *[None] * 2 * len(STATISTICS))], schema)
     stats = split_statistics(tagged_union(parts), required)
     value = lambda name, c: F.max(F.when(F.col("split") == name, F.col(c)))
-    columns = ("samples", "missing_values", "toxic_ratio", "final_samples")
+    columns = tuple(STATISTICS)
     wide = stats.groupBy().agg(
         *[value(n, c).alias(f"{n}_{c}") for n in ("train", "test") for c in columns]
     )

@@ -7,12 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from textwarden.functions.text import text_variants
-from textwarden.operators.ordering import join_back, hash_rank, seeded_hash
+from textwarden.operators.ordering import hash_rank, join_back, numbered, seeded_hash
+from textwarden.session import materialized
 
 SAMPLE_RATES = {1: 0.3, 0: 0.2}
+DRAWS_PER_BLOCK = 100_000  # draws that one task makes at a time
 
 
 def tagged_union(parts: dict[str, DataFrame], tag: str = "split") -> DataFrame:
@@ -21,17 +22,15 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "split") -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
-MAX_CUTS = 1_000
-
-
 def hash_cuts(
     df: DataFrame, by: str, key: str, shares: Sequence[float], seed: int = 42, digits: int = 3
-) -> list[tuple]:
-    """For each class and share: the hash and key of the row that closes the share.
+) -> DataFrame:
+    """Per class (``__by``) the cuts ``__cuts``: hash and key of the row that closes each share.
 
     The result is what a sort of every class by hash would show at the rounded
     positions.  Only counts per hash piece and the few pieces a cut falls into
-    are looked at, and only the key column is read.
+    are looked at, and only the key column is read.  One row per class, with one
+    entry per share: any number of classes will do.
     """
     narrow = df.select(F.col(by).alias("__by"), F.col(key).alias("__id"))
     narrow = narrow.withColumn("__h", seeded_hash("__id", seed))
@@ -40,7 +39,7 @@ def hash_cuts(
     group = Window.partitionBy("__by")
     limits = F.array(*[F.round(F.lit(float(s)) * F.sum("__n").over(group)) for s in shares])
     upto = group.orderBy("__piece").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
+    wanted = (
         sizes.select("*", F.sum("__n").over(upto).alias("__upto"), limits.alias("__limits"))
         .select("*", F.posexplode("__limits").alias("__i", "__limit"))
         .withColumn("__before", F.col("__upto") - F.col("__n"))
@@ -52,41 +51,27 @@ def hash_cuts(
             "__by", "__piece", "__i",
             (F.col("__limit") - F.col("__before")).cast("bigint").alias("__at"),
         )
-        .limit(MAX_CUTS + 1)
-        .collect()
     )
-    if len(cuts) > MAX_CUTS:
-        raise ValueError(f"{by} has too many classes for a stratified split")
-    # a share that rounds to no row closes before the first one
-    none = [(r["__by"], r["__i"], "", None) for r in cuts if r["__at"] == 0]
-    cuts = [tuple(r) for r in cuts if r["__at"] > 0]
-    if not cuts:
-        return none
-    wanted = df.sparkSession.createDataFrame(
-        cuts,
-        StructType([*narrow.select("__by", "__piece").schema, *_CUT_FIELDS]),
-    )
-    pieces = wanted.select("__by", "__piece").distinct()
-    # at most MAX_CUTS rows
-    near = join_back(narrow, F.broadcast(pieces.withColumn("__hit", F.lit(True))), ["__by", "__piece"])
+    pieces = wanted.filter("__at > 0").groupBy("__by", "__piece").agg(F.collect_set("__at").alias("__ats"))
+    near = join_back(narrow, pieces, ["__by", "__piece"]).filter("__ats IS NOT NULL")
     order = Window.partitionBy("__by", "__piece").orderBy("__h", "__id")
-    near = near.filter("__hit").withColumn("__at", F.row_number().over(order).cast("bigint"))
-    rows = join_back(near, F.broadcast(wanted), ["__by", "__piece", "__at"]).filter("__i IS NOT NULL")
-    return none + [tuple(r) for r in rows.select("__by", "__i", "__h", "__id").collect()]
-
-
-_CUT_FIELDS = [StructField("__i", IntegerType()), StructField("__at", LongType())]
+    near = near.withColumn("__at", F.row_number().over(order).cast("bigint"))
+    near = near.filter(F.array_contains("__ats", F.col("__at"))).select("__by", "__piece", "__at", "__h", "__id")
+    # a share that rounds to no row closes before the first one
+    closed = join_back(wanted, near, ["__by", "__piece", "__at"])
+    cut = F.struct(F.coalesce("__h", F.lit("")).alias("h"), F.col("__id").alias("id"))
+    return closed.groupBy("__by").agg(F.collect_list(cut).alias("__cuts"))
 
 
-def _with_side(df: DataFrame, by: str, key: str, cuts: list[tuple], seed: int) -> DataFrame:
+def _with_side(df: DataFrame, by: str, key: str, cuts: DataFrame, seed: int) -> DataFrame:
     """Add ``__side``: the number of cuts of its class a row lies behind."""
-    h = F.col("__h")
-    behind = F.lit(0)
-    for value, _, cut_hash, cut_key in cuts:
-        beyond = (h > cut_hash) | ((h == cut_hash) & (F.col(key) > cut_key))
-        behind = behind + F.when(F.col(by).eqNullSafe(F.lit(value)) & beyond, 1).otherwise(0)
+    of_class = cuts.withColumnRenamed("__by", "__class")
+    rows = join_back(df.withColumn("__class", F.col(by)), of_class, ["__class"])
     # the hash is a column of its own, so that it is computed once per row
-    return df.withColumn("__h", seeded_hash(key, seed)).withColumn("__side", behind).drop("__h")
+    rows = rows.withColumn("__h", seeded_hash(key, seed))
+    beyond = lambda c: (F.col("__h") > c["h"]) | ((F.col("__h") == c["h"]) & (F.col(key) > c["id"]))
+    side = F.size(F.filter("__cuts", lambda c: F.coalesce(beyond(c), F.lit(False))))
+    return rows.withColumn("__side", side).drop("__h", "__cuts", "__class")
 
 
 def stratified_split(
@@ -109,9 +94,9 @@ def stratified_folds(
     return _with_side(df, label, key, cuts, seed).withColumnRenamed("__side", name)
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """All rows in hash order."""
-    return df.orderBy(seeded_hash(key, seed), key)
+def shuffled(df: DataFrame, key: str, seed: int = 42, name: str = "n") -> DataFrame:
+    """All rows in hash order, with their place."""
+    return numbered(df, [seeded_hash(key, seed), key], name)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -132,37 +117,36 @@ def sample_variants(
     key: str,
     text: str,
     label: str,
-    draws_per_row: int = 1,
+    n_per_class: int,
     rates: dict[int, float] | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Draw texts of each class with replacement and vary some of them.
+    """Draw n texts of each class with replacement and vary some of them.
 
-    Each class is drawn ``draws_per_row`` times its size.  A draw takes the row
-    whose rank the hash of the draw names; rates gives the share of draws per
-    class that become one of the three variants.
+    The classes of the result are equally large, whatever the base has.  A draw
+    takes the row whose rank the hash of the draw names; rates gives the share of
+    draws per class that become one of the three variants.  Ranks and draws are
+    narrow rows; the texts are joined last.
     """
     rates = rates or SAMPLE_RATES
-    ranked = hash_rank(base.select(key, text, label), [label], key, seed)
-    draws = ranked.select(
-        F.col(label).alias("__label"),
-        F.col("total").alias("__total"),
-        F.col("rank").alias("__rank"),
-        F.explode(F.sequence(F.lit(0), F.lit(draws_per_row - 1))).alias("__round"),
-    )
-    draw_id = F.col("__round").cast("bigint") * F.col("__total") + F.col("__rank")
-    draws = draws.select("__label", "__total", draw_id.alias("draw_id"))
+    ranked = materialized(hash_rank(base.select(key, F.col(label).alias("__label")), ["__label"], key, seed))
+    classes = ranked.groupBy("__label").agg(F.max("total").alias("__total"))
+    # draws are made block by block, so that many of one class fill several tasks
+    blocks = F.sequence(F.lit(0), F.lit((n_per_class - 1) // DRAWS_PER_BLOCK)) if n_per_class > 0 else F.array()
+    blocks = classes.select("*", F.explode(blocks.cast("array<bigint>")).alias("__block")).repartition("__label", "__block")
+    first = F.col("__block") * DRAWS_PER_BLOCK
+    last = F.least(first + DRAWS_PER_BLOCK, F.lit(n_per_class)) - 1
+    draws = blocks.select("__label", "__total", F.explode(F.sequence(first, last)).alias("draw_id"))
     name = F.concat_ws("-", F.col("__label").cast("string"), F.col("draw_id").cast("string"))
     pick = F.conv(F.substring(seeded_hash(name, f"row-{seed}"), 1, 12), 16, 10).cast("bigint")
     draws = draws.select(
         "__label",
         "draw_id",
-        (pick % F.col("__total") + 1).alias("__pick"),
+        (pick % F.col("__total") + 1).alias("rank"),
         seeded_hash(name, f"vary-{seed}").alias("__vary"),
         seeded_hash(name, f"variant-{seed}").alias("__variant"),
     )
-    rows = ranked.select(key, text, F.col(label).alias("__label"), F.col("rank").alias("__pick"))
-    drawn = draws.join(rows, ["__label", "__pick"])
+    drawn = draws.join(ranked.select("__label", "rank", key), ["__label", "rank"]).join(base.select(key, text), key)
     rate = F.lit(0.0)
     for value, share in rates.items():
         rate = F.when(F.col("__label") == value, F.lit(float(share))).otherwise(rate)

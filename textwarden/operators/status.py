@@ -12,13 +12,10 @@ from textwarden.operators.ordering import with_previous
 
 
 def status_changes(
-    events: DataFrame,
-    by: Sequence[str] = ("step",),
-    order: Sequence[str] = ("ts", "event_id"),
-    piece: str = "1 hour",
+    events: DataFrame, by: Sequence[str] = ("step",), order: Sequence[str] = ("ts", "event_id")
 ) -> DataFrame:
     """The events whose status differs from the one before, per step; the first counts."""
-    marked = with_previous(events, by, order, "status", "previous_status", piece)
+    marked = with_previous(events, by, order, "status", "previous_status")
     changed = ~F.col("has_previous_status") | ~F.col("status").eqNullSafe(F.col("previous_status"))
     return marked.filter(changed).drop("has_previous_status")
 

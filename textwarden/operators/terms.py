@@ -36,9 +36,13 @@ def doc_terms(
     needed.  A text without terms gives one row with a NULL term.
     """
     keys = [key, *keep]
-    rows = text_terms(df.select(*keys, text), text, n, stop_words).select(
-        *keys, F.sort_array("terms").alias("__t")
-    )
+    return counted_terms(text_terms(df.select(*keys, text), text, n, stop_words), keys, "terms")
+
+
+def counted_terms(df: DataFrame, keys: Iterable[str], terms: str) -> DataFrame:
+    """One row per text and distinct term of an array of terms, with its count ``tf``."""
+    keys = list(keys)
+    rows = df.select(*keys, F.sort_array(terms).alias("__t"))
     starts = F.filter(
         F.sequence(F.lit(1), F.greatest(F.size("__t"), F.lit(1))),
         lambda i: (i == 1) | (F.get("__t", i - 1) != F.get("__t", i - 2)),

@@ -38,7 +38,6 @@ from textwarden.operators import terms as TM
 from textwarden.session import materialized
 from textwarden.sources import sinks
 
-ROWS_PER_TASK = 5000
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 
@@ -55,6 +54,7 @@ class Settings:
     tol: float = 1e-4
     balanced: bool = False
     folds: int = 5
+    fits_at_once: int = 3
     seed: int = 42
     stop_words: tuple[str, ...] = field(default=K.STOP_WORDS, repr=False)
 
@@ -96,9 +96,12 @@ def _vocabulary_stages(spark: SparkSession, vocab: list) -> list:
     ]
 
 
-def _fold_stats(rows: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
-    """Term and document frequency of every term, in all and per fold, in one shuffle."""
-    terms = TM.doc_terms(rows, key, text, s.ngram_range, s.stop_words, keep=["fold"])
+def _fold_stats(kept: DataFrame, key: str, s: Settings) -> DataFrame:
+    """Term and document frequency of every term, in all and per fold, in one shuffle.
+
+    ``kept`` has the terms of each text as the pipeline cut them.
+    """
+    terms = TM.counted_terms(kept, [key, "fold"], "__terms")
     per_fold = [
         agg
         for i in range(s.folds)
@@ -144,8 +147,8 @@ def _fit(rows: DataFrame, vocab: list, n: int, label: str, s: Settings) -> list:
         )
         vectors, lr = vectors.withColumn("__weight", weight), lr.setWeightCol("__weight")
     narrow = vectors.select(label, "features_vector", *(["__weight"] if s.balanced else []))
-    # every iteration is a job: many tiny partitions cost more than they save
-    return [*stages, lr.fit(narrow.coalesce(max(1, n // ROWS_PER_TASK)))]
+    # every iteration is a job over all partitions: let their number follow the vectors' size
+    return [*stages, lr.fit(narrow.hint("rebalance"))]
 
 
 def _predict(stages: list, rows: DataFrame) -> DataFrame:
@@ -175,7 +178,7 @@ def train_classifier(
     n = sum(sizes.values())
     text_stages = _text_stages(s, text)
     kept = PipelineModel(text_stages).transform(folded).select(key, label, "fold", "__terms").persist()
-    stats = _fold_stats(folded, key, text, s).persist()
+    stats = _fold_stats(kept, key, s).persist()
 
     def fit_without(fold: int | None) -> list:
         train_n = n - sizes.get(fold, 0)
@@ -183,8 +186,8 @@ def train_classifier(
         return _fit(train, _vocabulary(stats, train_n, s, fold), train_n, label, s)
 
     try:
-        # the fits are independent jobs; the scheduler shares the cluster among them
-        with ThreadPool(s.folds + 1) as pool:
+        # the fits are independent jobs, some at a time; each caches its own vectors
+        with ThreadPool(s.fits_at_once) as pool:
             run = inheritable_thread_target(df.sparkSession)(fit_without)
             *fitted, final = pool.map(run, [*range(s.folds), None])
         parts = [_predict(m, kept.filter(F.col("fold") == i)) for i, m in enumerate(fitted)]
@@ -231,7 +234,7 @@ def fit_all(
     kept = PipelineModel(stages).transform(rows).select(key, label, "__terms").persist()
     try:
         n = kept.count()
-        stats = TM.term_stats(TM.doc_terms(rows, key, text, s.ngram_range, s.stop_words), n)
+        stats = TM.term_stats(TM.counted_terms(kept, [key], "__terms"), n)
         final = _fit(kept, _vocabulary(stats, n, s), n, label, s)
     finally:
         kept.unpersist()
@@ -271,12 +274,15 @@ def _flat(model: PipelineModel) -> list:
 
 
 def evaluate_model(model: PipelineModel, df: DataFrame, text: str, label: str) -> dict[str, DataFrame]:
-    """Accuracy, classification report and confusion matrix of a labelled table."""
-    preds = score_texts(model, df, text)
+    """Accuracy, classification report and confusion matrix of a labelled table.
+
+    The texts are scored once: all three come from the stored counts.
+    """
+    counts = materialized(E.label_counts(score_texts(model, df, text), label, "pred"))
     return {
-        "accuracy": E.accuracy(preds, label, "pred"),
-        "report": E.classification_report(preds, label, "pred"),
-        "confusion": E.confusion_matrix(preds, label, "pred"),
+        "accuracy": E.accuracy_of(counts),
+        "report": E.report_of(counts),
+        "confusion": E.confusion_of(counts),
     }
 
 
@@ -297,7 +303,7 @@ def run_training(
     text, label = Q.REQUIRED
     report = Q.validation_report({"train": train, "test": test})
     sinks.write_report(report, f"{out}/validation_report")
-    verdict = spark.read.json(f"{out}/validation_report").first()
+    verdict = spark.read.schema(report.schema).json(f"{out}/validation_report").first()
     if not verdict["validation_passed"]:
         raise ValueError(f"validation failed: {list(verdict['issues'])}")
 

@@ -16,24 +16,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition a table scan by key if it has fewer pieces than the cluster has cores.
-
-    Text work is bound by CPU, and a file with one row group is read by one
-    task.  A large table already comes in many pieces and is left alone.  Only
-    for scans: counting the pieces of a join would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_labelled_csv(
-    spark: SparkSession, path: str, schema: str = schemas.LABELLED, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str = schemas.LABELLED, multi_line: bool = False
 ) -> DataFrame:
     """Labelled rows with quoted commas; rows that do not fit keep their raw line.
 
-    ``multi_line=False`` lets Spark cut large files, if no quoted text holds a
-    line break.
+    Large files are cut into pieces.  Where quoted texts hold line breaks,
+    ``multi_line=True`` is needed, and a file is then read by one task.
     """
     return (
         spark.read.schema(f"{schema}, _corrupt_record STRING")

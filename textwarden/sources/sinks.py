@@ -35,7 +35,7 @@ def report_json(df: DataFrame, name: str = "json") -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Write a small report as JSON in one file."""
+    """Write a report of a few rows as JSON in one file; not for tables that grow."""
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 

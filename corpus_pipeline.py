@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import textwarden
 from textwarden.llm import decontaminate, jaccard, language, mixing, secrets
-from textwarden.llm.store import stored
+from textwarden.llm.store import release, stored, written
 from textwarden.sources.files import read_table
 
 # functions that run in Python workers travel with the task, wherever the driver was started
@@ -42,9 +42,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows without words are in no group and stay, as do rows without id.
     """
+    before = set(written())
     groups = jaccard.jaccard_join(docs, "doc_id", "text")
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(stored(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
+    # what the join has written on its way is not needed any more
+    release(spark, [path for path in written() if path not in before and path != gone.stored_at])
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     twice = stored(twice, "repeated-ids")
     single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)

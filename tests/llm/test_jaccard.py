@@ -90,6 +90,13 @@ def test_odd_rows(spark):
     assert joined(spark, [(1, None)], 3, 90) == [(1, 0, 1)]
 
 
+def test_last_round_finds_all_that_hubs_miss(spark, monkeypatch):
+    texts = near_copies(random.Random(5), 40, 3000)
+    monkeypatch.setattr(J, "_hub_pairs", lambda rows, percent: rows.selectExpr("id AS a", "id AS b").limit(0))
+    rows = list(enumerate(texts))
+    assert sorted(joined(spark, rows, 3, 90)) == sorted(brute(rows, 3, 90))
+
+
 def test_prefix_holds_a_shared_shingle():
     for percent in (50, 80, 90, 100):
         for n in range(1, 60):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.store import stored
+from textwarden.llm.store import discard, stored
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -28,12 +28,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    seen = None
+    seen = before = None
     while True:
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == seen or not state[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = state
+        if before is not None:
+            discard(before)
+        seen, before = state, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: only larger neighbours move to the smallest
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.store import by_batch, stored
+from textwarden.llm.store import by_batch, sliced, stored
 from textwarden.llm.words import Hasher, distinct, list_array, mixed, shingle_rows
 
 TABLE_BITS = 24  # size of the bit table of benchmark shingles, as a power of two
@@ -67,7 +67,7 @@ def remaining(docs: DataFrame, key: str, text: str, width: int, table: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, maybe, mask = Hasher(), np.unpackbits(shared.value).view(bool), np.int64((1 << TABLE_BITS) - 1)
-        for batch in batches:
+        for batch in sliced(batches):
             at, keys, rows = [], [], []
             for i, h in enumerate(shingle_rows(batch.column(1), width, hasher)):
                 t = distinct(h[maybe[h & mask]])

@@ -8,12 +8,13 @@ their sets' intersection and union have at least the given ratio.
     frequency, the others before them by hash.  Two sets that link share a shingle among
     their first ones (their prefix), so only prefixes are joined.
 3.  A pair that meets must pass the length filter, the positional filter (what may still
-    follow the shared shingle) and the suffix filter (shingles counted in fixed bins of
-    the token space: their differences bound the symmetric difference from below).
+    follow the shared shingle) and the suffix filter: the token space is cut into fixed
+    bins, and every shingle that only one of the two sets has changes the parity of one
+    bin, so the bins whose parity differs bound the symmetric difference from below.
 4.  Each remaining pair is verified once, on whole sets.
 
 Linked documents need not all meet: documents of one component are not compared again.
-So a few rounds first compare every document of a shared shingle only with one hub, the
+So a round first compares every document of a shared shingle only with one hub, the
 document whose prefix the others share most; a group of thousands of near copies is
 joined by as many pairs as it has documents.  A last round then compares, for every shared
 shingle, all documents that are still in different components.  Components are exact.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.components import components
-from textwarden.llm.store import by_batch, stored
+from textwarden.llm.store import by_batch, discard, sliced, stored
 from textwarden.llm.words import Hasher, distinct, list_array, shingle_rows
 
 FREQUENT = 1 << 16  # shingles in the table of the frequent ones
-PER_BATCH = 4096  # of these, candidates that one batch of rows names
-AGAIN = 3  # occurrences in a batch from which on a shingle is a candidate
-BINS = 16
-HUB_ROUNDS = 3
+PER_TASK = 1 << 14  # of these, candidates that one task names
+AGAIN = 3  # occurrences among the rows of a task from which on a shingle is a candidate
+BINS = 256  # whose parities make the sketch of a set, 64 to a number
+SKETCH = tuple(f"s{i}" for i in range(BINS // 64))
+HUB_ROUNDS = 1
 SEMI_IDS = 1 << 20  # ids up to which the wanted texts are found by a broadcast; beyond, by a shuffle
 
 
@@ -52,28 +55,36 @@ def prefix_length(n: np.ndarray | int, percent: int):
 def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """The most frequent shingles of the corpus, rarest first; at most FREQUENT of them."""
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hasher = Hasher()
-        rows = [h for h in shingle_rows(batch.column(0), width, hasher) if len(h)]
-        if not rows:
-            return None
-        values, counts = np.unique(np.concatenate(rows), return_counts=True)
-        keep = np.flatnonzero(counts >= AGAIN)
-        if len(keep) > PER_BATCH:
-            keep = keep[np.argpartition(counts[keep], -PER_BATCH)[-PER_BATCH:]]
-        return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(counts[keep])], ["token", "n"])
-
-    counted = by_batch(docs.select(text), make, "token long, n long")
+    def most(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(values) > size:
+            at = np.argpartition(counts, -size)[-size:]
+            values, counts = values[at], counts[at]
+        return values, counts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, known, times = Hasher(), np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in sliced(batches):
+            rows = list(shingle_rows(batch.column(0), width, hasher))
+            values, counts = np.unique(np.concatenate(rows), return_counts=True)
+            # what occurs once here and is not known yet is left out, or all of it would be kept
+            keep = (counts > 1) | np.isin(values, known)
+            values, where = np.unique(np.r_[known, values[keep]], return_inverse=True)
+            counts = np.bincount(where, np.r_[times, counts[keep]], len(values)).astype(np.int64)
+            known, times = most(values, counts, 4 * PER_TASK)
+        known, times = most(known[times >= AGAIN], times[times >= AGAIN], PER_TASK)
+        if len(known):
+            yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(times)], ["token", "n"])
+
+    counted = docs.select(text).mapInArrow(run, "token long, n long")
     top = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
     tokens = top.toArrow().column("token").to_numpy()  # at most FREQUENT rows
     return tokens[::-1].copy()
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, digest of the set, prefix in order, bin counts."""
+    """Per row: doc_id, n, digest of the set, prefix in order, sketch (parity per bin of the token space)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, width))
     kept = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
-    cuts = (np.arange(1, BINS, dtype=np.int64) << (64 - BINS.bit_length() + 1)) + np.int64(-(1 << 63))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, ranked = Hasher(), frequent.value
@@ -81,14 +92,14 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
         sorted_ = ranked[by_value]
         maybe = np.zeros(1 << 20, bool)  # most shingles are ruled out by one look
         maybe[sorted_ & 0xFFFFF] = True
-        for batch in batches:
-            sizes, digests, prefixes, bins = [], [], [], []
+        for batch in sliced(batches):
+            sizes, digests, prefixes, odd = [], [], [], []
             for h in shingle_rows(batch.column(1), width, hasher):
                 t = distinct(h)
                 n = len(t)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(t.tobytes(), digest_size=16).digest())
-                bins.append(np.diff(np.r_[0, np.searchsorted(t, cuts), n]))
+                odd.append(np.bincount(t & (BINS - 1), minlength=BINS) & 1)
                 heavy = maybe[t & 0xFFFFF]
                 if heavy.any():
                     at = np.minimum(np.searchsorted(sorted_, t[heavy]), len(sorted_) - 1)
@@ -97,14 +108,16 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
                     last = ranked[np.sort(by_value[at[found]])]
                     t = np.r_[t[~heavy], last]
                 prefixes.append(t[: prefix_length(n, percent)] if n else t)
+            sketch = np.packbits(np.array(odd, np.uint8), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 list_array(prefixes), list_array(bins)],
-                ["doc_id", "n", "digest", "prefix", "bins"],
+                 list_array(prefixes), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)],
+                ["doc_id", "n", "digest", "prefix", *SKETCH],
             )
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, n long, digest binary, prefix array<long>, bins array<long>")
+    sketch = ", ".join(f"{s} long" for s in SKETCH)
+    return kept.mapInArrow(run, f"doc_id {kind}, n long, digest binary, prefix array<long>, {sketch}")
 
 
 def sets_of(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> DataFrame:
@@ -127,94 +140,90 @@ def least_overlap(n: Column, percent: int) -> Column:
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
-    """Length and positional filter for a shared shingle; x, y prefix the columns n and pos."""
+    """Length, positional and suffix filter for a shared shingle; x and y say whose columns."""
     nx, ny, px, py = (F.col(f"{s}{c}") for c in ("n", "pos") for s in (x, y))
+    least = least_overlap(nx + ny, percent)
     length = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
     left = F.least(nx - px, ny - py)  # the shingle itself and what follows it
-    return length & (left >= least_overlap(nx + ny, percent))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in SKETCH])
+    return length & (left >= least) & (apart <= nx + ny - least * 2)
 
 
-def verified(pairs: DataFrame, leaders: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int):
-    """The pairs (a, b) that link, by the suffix filter and then the whole sets."""
-    side = lambda c: leaders.select(
-        F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bins").alias(f"{c}_bins")
-    )
-    off = F.aggregate(
-        F.zip_with("a_bins", "b_bins", lambda p, q: F.abs(p - q)), F.lit(0).cast("long"), lambda s, d: s + d
-    )
-    n = F.col("a_n") + F.col("b_n")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(off <= n - 2 * least_overlap(n, percent))
-    near = stored(near.select("a", "b", "a_n", "b_n").distinct(), "jaccard-pairs")
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    sets = stored(sets_of(docs, key, text, width, stored(ids, "jaccard-ids")), "jaccard-sets")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets (id, tokens)."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
-    return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= (n - F.col("shared")) * percent).select("a", "b")
+    union = F.size("a_tokens") + F.size("b_tokens") - shared
+    return both.filter(shared * 100 >= union * percent).select("a", "b")
 
 
 def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Every document of a shared shingle with the shingle's hub, if their components differ."""
-    first = F.max(F.struct("central", F.negate("id").alias("low"), "n", "pos", "component"))
+    carried = ("n", "pos", "component", *SKETCH)
+    first = F.max(F.struct("central", F.negate("id").alias("low"), *carried))
     hubs = rows.groupBy("token").agg(first.alias("h"))
-    hubs = hubs.select(
-        "token", F.negate("h.low").alias("h_id"), F.col("h.n").alias("h_n"), F.col("h.pos").alias("h_pos"),
-        F.col("h.component").alias("h_component"),
-    )
+    hubs = hubs.select("token", F.negate("h.low").alias("h_id"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in carried])
     met = rows.join(hubs, "token").filter((F.col("component") != F.col("h_component")) & may_link("", "h_", percent))
     return met.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All documents of a shared shingle that are in different components and pass the filters."""
-    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "component")])
-    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component")])
-    near = (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component"))
-    met = x.join(y, "token").filter(near & may_link("x_", "y_", percent))
-    return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    rows = rows.drop("central")
+    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    met = rows.alias("x").join(
+        rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near & may_link("x.", "y.", percent)
+    )
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def shared_tokens(leaders: DataFrame) -> DataFrame:
-    """(token, id, n, pos, central): prefix shingles that at least two documents have.
+    """(token, id, pos, n, sketch, central): prefix shingles that at least two documents have.
 
     ``central`` is the part of a document's prefix that others share, in documents met per
     shingle; among near copies it is highest for the one the others were made from.
     """
-    rows = leaders.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", F.col("doc_id").alias("id"), "n", F.col("pos").cast("long").alias("pos"))
-    ends = rows.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("met"))
-    ends = ends.filter("lo < hi").select("token", "met")
-    shared = stored(rows.join(ends, "token"), "jaccard-shared")
-    central = shared.groupBy("id").agg((F.sum("met") / F.max("n")).alias("central"))
-    return stored(shared.drop("met").join(central, "id"), "jaccard-tokens")
+    rows = leaders.select(F.col("doc_id").alias("id"), F.posexplode("prefix").alias("pos", "token"))
+    met = rows.groupBy("token").agg(F.count("*").alias("met")).filter("met > 1")
+    shared = stored(rows.join(met, "token"), "jaccard-shared")
+    of_doc = leaders.select(F.col("doc_id").alias("id"), "n", *SKETCH).dropDuplicates(["id"])
+    sums = shared.groupBy("id").agg(F.sum("met").alias("met")).join(of_doc, "id")
+    sums = sums.select("id", "n", *SKETCH, (F.col("met") / F.col("n")).alias("central"))
+    out = stored(shared.drop("met").join(sums, "id"), "jaccard-tokens")
+    discard(shared)
+    return out
 
 
 def jaccard_components(leaders: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(id, component) of all class leaders that link with another."""
-    rows = shared_tokens(leaders).withColumn("component", F.col("id"))
-    links = tested = None
+    tokens = shared_tokens(leaders)
+    rows = tokens.withColumn("component", F.col("id"))
+    groups = leaders.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
+    links = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    tested = None
     for step in range(HUB_ROUNDS + 1):
         pairs = (_hub_pairs if step < HUB_ROUNDS else _all_pairs)(rows, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "jaccard-candidates")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if pairs.isEmpty():
-            found = links
-        else:
-            found = verified(pairs, leaders, docs, key, text, width, percent)
-            found = found if links is None else links.unionByName(found)
-        if found is None:
-            return leaders.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).limit(0)
-        if found is not links:
-            groups = components(found)
+        if not pairs.isEmpty():
+            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            ids = stored(ids, "jaccard-ids")
+            sets = stored(sets_of(docs, key, text, width, ids), "jaccard-sets")
+            groups = components(verified(pairs, sets, percent).unionByName(links))
             links = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            discard(ids, sets)
         if step < HUB_ROUNDS:
             labelled = rows.drop("component").join(groups, "id", "left")
             labelled = labelled.withColumn("component", F.coalesce("component", "id"))
             # a shingle whose documents are all in one component has nothing left to compare
             open_ = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
             rows = stored(labelled.join(open_.filter("lo < hi").select("token"), "token"), "jaccard-open")
+            discard(tokens)
+            tokens = rows
+    discard(tokens)
     return groups
 
 
@@ -229,8 +238,9 @@ def jaccard_join(docs: DataFrame, key: str, text: str, width: int = 5, percent:
     classes = rows.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("leader"))
     classes = stored(classes.filter("leader IS NOT NULL"), "jaccard-classes")
     leaders = rows.filter("n > 0").join(classes.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    leaders = stored(leaders.select("doc_id", "n", "prefix", "bins"), "jaccard-leaders")
+    leaders = stored(leaders.select("doc_id", "n", "prefix", *SKETCH), "jaccard-leaders")
     groups = jaccard_components(leaders, docs, key, text, width, percent)
+    discard(leaders)
     labelled = classes.join(groups, classes["leader"] == groups["id"], "left")
     labelled = labelled.select("n", "digest", F.coalesce("component", "leader").alias("component"))
     return rows.select("doc_id", "n", "digest").join(labelled, ["n", "digest"], "left").select(

@@ -21,24 +21,55 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this driver; call it once the results are written."""
-    jvm, done = spark.sparkContext._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done += bool(fs.delete(path, True))
+def _delete(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(place, True))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete intermediate tables that nothing reads any more: what came from them is stored itself."""
+    for table in tables:
+        if table.stored_at in _WRITTEN:
+            _WRITTEN.remove(table.stored_at)
+            _delete(table.sparkSession, table.stored_at)
+
+
+def written() -> list[str]:
+    """Where the intermediate tables of this driver are."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete intermediate tables, all or the given ones; call it once the results are written."""
+    done = 0
+    for path in written() if paths is None else paths:
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            done += _delete(spark, path)
     return done
 
 
+ROWS = 2000  # rows that a Python worker takes at a time, so that it holds little besides its input
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """Apply a function to every Arrow batch of a table; row work, no shuffle."""
+    """Apply a function to the rows of a table, some at a time; row work, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = make(batch)
             if out is not None and out.num_rows:
                 yield out

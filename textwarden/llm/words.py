@@ -133,9 +133,9 @@ def distinct(h: np.ndarray) -> np.ndarray:
     return h[keep]
 
 
-def list_array(rows: list[np.ndarray]) -> pa.ListArray:
-    """An Arrow list<int64> of the rows."""
+def list_array(rows: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.ListArray:
+    """An Arrow list of the rows."""
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))

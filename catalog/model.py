@@ -179,7 +179,7 @@ def training_run(spark, sf):
     split = X.stratified_split(labelled(spark, sf), "toxic", "doc_id")
     train, test = (split.filter(F.col("split") == n).drop("split") for n in ("train", "test"))
     out = fresh_path(spark, "training")
-    gate = TR.run_training(spark, train, test, out)
+    gate = TR.run_training(spark, train, test, out, min_rows=50)
     rows = spark.read.json(f"{out}/validation_report").select(
         F.col("train_final_samples").alias("n_train"), F.col("test_final_samples").alias("n_test")
     )

@@ -294,6 +294,7 @@ def run_training(
     key: str = "doc_id",
     settings: Settings = Settings(),
     min_accuracy: float = 0.8,
+    min_rows: int = 100,
 ) -> DataFrame:
     """Validate, train, evaluate and register; returns the gate row.
 
@@ -301,7 +302,7 @@ def run_training(
     written below ``out``: validation, model, metrics, evaluation, registry.
     """
     text, label = Q.REQUIRED
-    report = Q.validation_report({"train": train, "test": test})
+    report = Q.validation_report({"train": train, "test": test}, min_rows)
     sinks.write_report(report, f"{out}/validation_report")
     verdict = spark.read.schema(report.schema).json(f"{out}/validation_report").first()
     if not verdict["validation_passed"]:

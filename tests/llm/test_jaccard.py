@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.test_words import shingles
@@ -97,6 +98,16 @@ def test_last_round_finds_all_that_hubs_miss(spark, monkeypatch):
     assert sorted(joined(spark, rows, 3, 90)) == sorted(brute(rows, 3, 90))
 
 
+def test_parities_bound_the_difference():
+    r = random.Random(8)
+    for _ in range(200):
+        x = {r.getrandbits(64) - (1 << 63) for _ in range(r.randrange(1, 400))}
+        y = {t for t in x if r.random() < 0.8} | {r.getrandbits(64) - (1 << 63) for _ in range(r.randrange(300))}
+        p, q = (J.parity(np.array(sorted(s), np.int64)) for s in (x, y))
+        assert J.apart(p, q) == J.apart(q, p) <= len(x ^ y)
+        assert J.apart(p, p) == 0
+
+
 def test_prefix_holds_a_shared_shingle():
     for percent in (50, 80, 90, 100):
         for n in range(1, 60):

@@ -11,6 +11,8 @@ their sets' intersection and union have at least the given ratio.
     follow the shared shingle) and the suffix filter: the token space is cut into fixed
     bins, and every shingle that only one of the two sets has changes the parity of one
     bin, so the bins whose parity differs bound the symmetric difference from below.
+    A short sketch of parities travels with the prefixes; pairs that pass it are held
+    against sketches that grow with the sets, at a thirtieth of a set's size.
 4.  Each remaining pair is verified once, on whole sets.
 
 Linked documents need not all meet: documents of one component are not compared again.
@@ -43,6 +45,7 @@ PER_TASK = 1 << 14  # of these, candidates that one task names
 AGAIN = 3  # occurrences among the rows of a task from which on a shingle is a candidate
 BINS = 256  # whose parities make the sketch of a set, 64 to a number
 SKETCH = tuple(f"s{i}" for i in range(BINS // 64))
+PARITIES = 1  # bins per shingle, at least, of the sketches that grow with the sets
 HUB_ROUNDS = 1
 SEMI_IDS = 1 << 20  # ids up to which the wanted texts are found by a broadcast; beyond, by a shuffle
 
@@ -121,17 +124,47 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
 
 
 def sets_of(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> DataFrame:
-    """(id, tokens): the whole shingle sets of the wanted documents, from their texts."""
-    few = ids.limit(SEMI_IDS + 1).count() <= SEMI_IDS
-    wanted = F.broadcast(ids) if few else ids
-    kept = docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
+    """(id, tokens, n, parity): the whole shingle sets of the wanted documents, from their texts."""
+    kept = docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).join(some(ids), "id", "left_semi")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [distinct(h) for h in shingle_rows(batch.column(1), width, Hasher())]
-        return pa.RecordBatch.from_arrays([batch.column(0), list_array(rows)], ["id", "tokens"])
+        cols = [batch.column(0), list_array(rows), pa.array([len(r) for r in rows], pa.int64()),
+                pa.array([parity(r) for r in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["id", "tokens", "n", "parity"])
 
     kind = kept.schema["id"].dataType.simpleString()
-    return by_batch(kept, make, f"id {kind}, tokens array<long>")
+    return by_batch(kept, make, f"id {kind}, tokens array<long>, n long, parity binary")
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """The parity of the number of shingles in every bin; the number of bins is a power of two."""
+    bins = max(64, 1 << (len(tokens) * PARITIES - 1).bit_length())
+    return np.packbits(np.bincount(tokens & (bins - 1), minlength=bins) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bins of different parity; the sketch with more bins is folded to those of the other."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sketches of their sets do not rule out."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        allowed = n - 2 * -(-n * percent // (100 + percent))
+        off = [apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        return batch.select([0, 1]).filter(pa.array(np.array(off, np.int64) <= allowed))
+
+    return by_batch(both, make, both.select("a", "b").schema)
 
 
 def least_overlap(n: Column, percent: int) -> Column:
@@ -139,32 +172,49 @@ def least_overlap(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / (100 + percent))
 
 
-def may_link(x: str, y: str, percent: int) -> Column:
-    """Length, positional and suffix filter for a shared shingle; x and y say whose columns."""
+def may_link(x: str, y: str, percent: int, sketch: bool) -> Column:
+    """Length, positional and, with the sketch, suffix filter for a shared shingle; x and y say whose columns."""
     nx, ny, px, py = (F.col(f"{s}{c}") for c in ("n", "pos") for s in (x, y))
     least = least_overlap(nx + ny, percent)
     length = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
     left = F.least(nx - px, ny - py)  # the shingle itself and what follows it
+    if not sketch:
+        return length & (left >= least)
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in SKETCH])
     return length & (left >= least) & (apart <= nx + ny - least * 2)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets (id, tokens)."""
+    """The pairs (a, b) that link, by their whole sets (id, tokens, n, parity)."""
+    near = stored(close(pairs, sets, percent), "jaccard-close")
+    sets = sets.select("id", "tokens").join(some(ends(near)), "id", "left_semi")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = near.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
     union = F.size("a_tokens") + F.size("b_tokens") - shared
     return both.filter(shared * 100 >= union * percent).select("a", "b")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of the pairs, stored."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return stored(ids, "jaccard-ids")
+
+
+def some(ids: DataFrame) -> DataFrame:
+    """Ids to look for: sent to all tasks up to SEMI_IDS of them, beyond that met in a shuffle."""
+    return F.broadcast(ids) if ids.limit(SEMI_IDS + 1).count() <= SEMI_IDS else ids
+
+
 def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Every document of a shared shingle with the shingle's hub, if their components differ."""
-    carried = ("n", "pos", "component", *SKETCH)
+    rows = rows.drop(*SKETCH)
+    carried = ("n", "pos", "component")
     first = F.max(F.struct("central", F.negate("id").alias("low"), *carried))
     hubs = rows.groupBy("token").agg(first.alias("h"))
     hubs = hubs.select("token", F.negate("h.low").alias("h_id"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in carried])
-    met = rows.join(hubs, "token").filter((F.col("component") != F.col("h_component")) & may_link("", "h_", percent))
+    near = (F.col("component") != F.col("h_component")) & may_link("", "h_", percent, sketch=False)
+    met = rows.drop("central").join(hubs, "token").filter(near)
     return met.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
 
 
@@ -173,7 +223,7 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.drop("central")
     near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     met = rows.alias("x").join(
-        rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near & may_link("x.", "y.", percent)
+        rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near & may_link("x.", "y.", percent, sketch=True)
     )
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
@@ -209,8 +259,7 @@ def jaccard_components(leaders: DataFrame, docs: DataFrame, key: str, text: str,
         pairs = stored(pairs, "jaccard-candidates")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.isEmpty():
-            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            ids = stored(ids, "jaccard-ids")
+            ids = ends(pairs)
             sets = stored(sets_of(docs, key, text, width, ids), "jaccard-sets")
             groups = components(verified(pairs, sets, percent).unionByName(links))
             links = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -237,7 +286,11 @@ def jaccard_join(docs: DataFrame, key: str, text: str, width: int = 5, percent:
     rows = stored(signatures(docs, key, text, width, percent), "jaccard-docs")
     classes = rows.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("leader"))
     classes = stored(classes.filter("leader IS NOT NULL"), "jaccard-classes")
-    leaders = rows.filter("n > 0").join(classes.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the copies, which others stand for: fewer and narrower than the rows with their prefixes
+    copies = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "digest").join(classes, ["n", "digest"])
+    copies = copies.filter("doc_id <> leader").select("doc_id").distinct()
+    copies = stored(copies.join(classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_anti"), "jaccard-copies")
+    leaders = rows.filter("n > 0 AND doc_id IS NOT NULL").join(some(copies), "doc_id", "left_anti")
     leaders = stored(leaders.select("doc_id", "n", "prefix", *SKETCH), "jaccard-leaders")
     groups = jaccard_components(leaders, docs, key, text, width, percent)
     discard(leaders)

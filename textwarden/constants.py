@@ -67,6 +67,18 @@ REVIEW_REASON = "Content requires human review based on enhanced analysis"
 BLOCK_REASON = "Content blocked based on enhanced toxicity analysis"
 ALERT_SUBJECT = "Content Blocked - High Toxicity Detected"
 
+# --- fixed values: labelled sentences and reports -----------------------------
+# before, case and after of each variant
+VARIANTS = {
+    "toxic": (("", "upper", ""), ("", "same", "!!!"), ("Really, ", "lower", "")),
+    "benign": (("Please, ", "lower", ""), ("", "same", " Please."), ("I think ", "lower", "")),
+}
+ISSUES = {
+    "missing": "Missing values: train=%d, test=%d",
+    "small": "Training data too small: %d samples",
+    "skewed": "Imbalanced dataset: toxic ratio = %.3f",
+}
+
 # --- fixed values: monitoring -------------------------------------------------
 ALARMS = (
     # name, metric, statistic, operator, threshold, periods, period seconds, dimensions

@@ -132,16 +132,12 @@ def strip_fence(c: Column | str) -> Column:
 
 def text_variants(c: Column | str, kind: str) -> Column:
     """The three ways a labelled sentence is varied, as an array."""
-    c = col(c)
-    if kind == "toxic":
-        return F.array(F.upper(c), F.concat(c, F.lit("!!!")), F.concat(F.lit("Really, "), F.lower(c)))
-    if kind == "benign":
-        return F.array(
-            F.concat(F.lit("Please, "), F.lower(c)),
-            F.concat(c, F.lit(" Please.")),
-            F.concat(F.lit("I think "), F.lower(c)),
-        )
-    raise ValueError(f"unknown kind: {kind}")
+    if kind not in K.VARIANTS:
+        raise ValueError(f"unknown kind: {kind}")
+    cased = {"same": col(c), "upper": F.upper(col(c)), "lower": F.lower(col(c))}
+    return F.array(
+        *[F.concat(F.lit(before), cased[case], F.lit(after)) for before, case, after in K.VARIANTS[kind]]
+    )
 
 
 def tokens(c: Column | str, stop_words: Iterable[str] = K.STOP_WORDS) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textwarden import constants as K
 from textwarden.functions._base import dbl
 from textwarden.functions.text import strip_space
 from textwarden.operators.splits import tagged_union
@@ -86,10 +87,10 @@ def validation_report(
         F.array(
             F.when(
                 any_missing,
-                F.format_string("Missing values: train=%d, test=%d", train_missing, test_missing),
+                F.format_string(K.ISSUES["missing"], train_missing, test_missing),
             ),
-            F.when(small, F.format_string("Training data too small: %d samples", F.col("train_samples"))),
-            F.when(skewed, F.format_string("Imbalanced dataset: toxic ratio = %.3f", ratio)),
+            F.when(small, F.format_string(K.ISSUES["small"], F.col("train_samples"))),
+            F.when(skewed, F.format_string(K.ISSUES["skewed"], ratio)),
         )
     )
     return wide.select((~(too_many | small)).alias("validation_passed"), issues.alias("issues"), "*")

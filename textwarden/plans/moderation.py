@@ -9,6 +9,7 @@ from textwarden import constants as K
 from textwarden.functions._base import dbl
 from textwarden.functions.features import risk_flags, risk_record, text_features
 from textwarden.functions.payload import classify_request
+from textwarden.functions.scores import number
 from textwarden.functions.text import clean_text, has_listed_word
 from textwarden.functions.verdicts import model_only_verdict
 from textwarden.operators.decisions import attach_verdicts, decide_enhanced
@@ -66,6 +67,6 @@ def moderate(
             "error",
             F.when(F.col("outcome").startswith("invalid"), "No text provided for prediction")
             .when(F.col("outcome") == "empty_after_clean", "Text is empty after cleaning")
-            .when(scored & F.col("score").isNull(), "no score"),
+            .when(scored & number("score").isNull(), "no score"),
         )
     )

@@ -5,7 +5,8 @@
     to four fifths or more stays.
 3.  Decontamination: documents that hold a benchmark item go.
 4.  Secrets: live credentials are replaced by a mark; copied examples stay.
-5.  Mixture: documents are drawn so that sources, languages and topics meet their targets.
+5.  Mixture: of sources, languages and topics with more than their target share, documents
+    are drawn; the others are kept whole.
 
 Every stage returns the columns of documents.
 """
@@ -69,9 +70,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def to_target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents by calibrated probabilities."""
+    """Draw documents by probabilities for the size at which no value exceeds its target share of all."""
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of("text")}
-    return mixing.mixed_sample(docs, "doc_id", "text", dims).select(*docs.columns)
+    return mixing.mixed_sample(docs, "doc_id", "text", dims, cells_of=mixing.sized_cells).select(*docs.columns)
 
 
 STAGES = [

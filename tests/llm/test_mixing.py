@@ -72,3 +72,43 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("text,n", [(None, 0), ("", 0), (" a\tb c\x1fd ", 2), ("a", 1)])
 def test_token_weight(spark, text, n):
     assert spark.createDataFrame([(text,)], "t string").select(M.token_weight("t")).first()[0] == n
+
+
+def test_a_rare_cell_costs_the_others_nothing(spark):
+    cells = [("hot", l, 40_000 // k) for k, l in ((1, "en"), (4, "de"))]
+    cells += [(f"s{i}", l, 3000 + 100 * i) for i in range(6) for l in ("en", "de")]
+    rare = [*cells, ("rare", "de", 5)]
+    kept = []
+    for rows in (cells, rare):
+        got = M.sized_cells(spark.createDataFrame(rows, "source string, lang string, tokens long"), sweeps=4).collect()
+        total = sum(r["tokens"] for r in got)
+        kept.append(sum(r["p"] * r["tokens"] for r in got) / total)
+        assert all(0 < r["p"] <= 1 for r in got)
+        by = {(r["source"], r["lang"]): r["p"] for r in got}
+        assert by[("hot", "en")] < 0.9  # the one with more than its share
+    assert kept[0] > 0.6 and abs(kept[0] - kept[1]) < 0.01
+    assert by[("rare", "de")] == 1
+
+
+def test_given_size_and_what_stays_unequal(spark):
+    rows = [("a", "x", 100), ("a", "y", 900), ("b", "x", 700), ("b", "y", 200), ("c", "x", 5), ("c", None, 0)]
+    sums = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    for size in (300, 10_000):
+        got = M.sized_cells(sums, alpha=0.0, size=size, sweeps=2).collect()
+        assert abs(sum(r["weight"] for r in got) - min(size, 1905)) < 1e-6
+        assert all(abs(r["weight"] - r["p"] * r["tokens"]) < 1e-4 for r in got)
+    # equal shares of a and b are met beside c, which has less than a third
+    got = M.sized_cells(sums, alpha=0.0, size=1200, sweeps=12).collect()
+    of = lambda d, v: sum(r["weight"] for r in got if r[d] == v)
+    assert of("source", "c") > 4.999 and abs(of("source", "a") - 597.5) < 0.5 and abs(of("lang", "x") - 600) < 0.5
+    # equal sources need no draw
+    even = spark.createDataFrame([("a", "x", 50), ("b", "x", 50)], "source string, lang string, tokens long")
+    assert [r["p"] for r in M.sized_cells(even, sweeps=2).collect()] == [1.0, 1.0]
+
+
+def test_sized_draw_follows_the_probabilities(spark):
+    docs = docs_of(spark, 6000)
+    kept = M.mixed_sample(docs, "doc_id", "text", dims(), cells_of=M.sized_cells, sweeps=4)
+    assert kept.columns == docs.columns and kept.count() > 0.8 * docs.count()
+    none = M.mixed_sample(docs.limit(0), "doc_id", "text", dims(), cells_of=M.sized_cells, sweeps=1)
+    assert none.count() == 0

@@ -6,6 +6,11 @@ dimension after the other, sweep by sweep.  A document's inclusion probability i
 cell's fitted weight per token, scaled so that the largest is at most 1: the expected
 sample has the target mix, whatever a hot source or language holds.
 
+``calibrated_cells`` keeps that mix exactly, at the price of a sample as small as its
+rarest cell allows.  ``sized_cells`` draws an expected number of tokens that is given: cells
+with less than their part are kept whole, and the others are fitted again to what they
+leave, so that a rare cell costs the others nothing.
+
 Only sums per cell are shuffled after the first aggregation.  All of it is DataFrame
 functions.  Null values of a dimension are a value like any other; null texts have no
 tokens; cells without tokens are not sampled.  The draw depends on the id alone, so
@@ -104,6 +109,87 @@ def calibrated_cells(sums: DataFrame, alpha: float = ALPHA, fraction: float = FR
     return inclusion(rake(cells, {d: tempered(cells, d, alpha) for d in dims}), fraction)
 
 
+def water_level(rows: DataFrame, cap: str, weight: str, total: float) -> float:
+    """The factor for the weights at which they, each up to its cap, sum to the total.
+
+    The largest factor that still changes a weight, if the caps sum to no more than the total.
+    """
+    level, some = 0.0, rows.filter(F.col(weight) > 0)
+    while True:
+        full = F.col(cap) <= F.col(weight) * F.lit(level)
+        held, free, most = some.agg(
+            F.sum(F.when(full, F.col(cap)).otherwise(0)),
+            F.sum(F.when(full, 0.0).otherwise(F.col(weight))),
+            F.max(F.col(cap) / F.col(weight)),
+        ).first()
+        if not free:
+            return most or 0.0
+        now = (total - held) / free
+        # a factor from below: what is full at it is full at the right one
+        if now <= level * (1 + 1e-12):
+            return level
+        level = now
+
+
+def available(targets: dict[str, DataFrame], tokens: float) -> float:
+    """Tokens left if no value had more than its target share of all; the least of the dimensions."""
+    left = [t.agg(F.sum(F.least("n", F.col("share") * F.lit(float(tokens))))).first()[0] for t in targets.values()]
+    return min(x or 0.0 for x in left)
+
+
+def fit_capped(cells: DataFrame, targets: dict[str, DataFrame], size: float, sweeps: int = SWEEPS) -> DataFrame:
+    """Adds ``weight``: tokens expected of a cell, at most its own, ``size`` in all.
+
+    ``targets``: value, n (its tokens) and share.  A value that has less than its share of the
+    size is kept whole, the others share the rest.
+    """
+    for dim, target in targets.items():
+        level = water_level(target, "n", "share", size)
+        part = F.least(F.col("n").cast("double"), F.col("share") * F.lit(level))
+        t = target.select(F.col("value").alias("__v"), part.alias(f"__t_{dim}"))
+        cells = cells.join(t, cells[dim].eqNullSafe(t["__v"]), "left").drop("__v")
+    fitted = stored(cells.withColumn("weight", F.col("tokens").cast("double")), "capped")
+    for i in range(sweeps):
+        for dim in targets:
+            # cells in the order in which they fill up; a factor fills those before a row and
+            # gives the rest their part, and the right one is the largest of these
+            order = Window.partitionBy(dim).orderBy("__full")
+            before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+            full = F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight")).otherwise(0.0)
+            fitted = fitted.withColumn("__full", full).withColumn("__before", before).withColumn("__rest", rest)
+            factor = F.when(F.col("__rest") > 0, (F.col(f"__t_{dim}") - F.col("__before")) / F.col("__rest"))
+            factor = F.coalesce(F.max(factor).over(Window.partitionBy(dim)), F.lit(0.0))
+            fitted = fitted.withColumn("weight", F.col("weight") * F.greatest(factor, F.lit(0.0)))
+            fitted = fitted.drop("__full", "__before", "__rest")
+        if (i + 1) % SWEEPS_A_JOB == 0 or i + 1 == sweeps:
+            fitted = stored(fitted, "capped")
+    level = water_level(fitted, "tokens", "weight", size)
+    held = F.least(F.col("tokens").cast("double"), F.col("weight") * F.lit(level))
+    return fitted.withColumn("weight", held).drop(*(f"__t_{dim}" for dim in targets))
+
+
+def sized_cells(sums: DataFrame, alpha: float = ALPHA, size: float | None = None, sweeps: int = SWEEPS) -> DataFrame:
+    """The cells with weight (expected tokens) and p, for an expected sample of ``size`` tokens.
+
+    Without a size it is what remains when every value is cut to its target share of all
+    tokens.  ``sums``: one row per cell, the dimensions and tokens.
+    """
+    cells = stored(sums, "cells")
+    dims = [c for c in cells.columns if c != "tokens"]
+    targets = {}
+    for d in dims:
+        have = cells.groupBy(F.col(d).alias("__v")).agg(F.sum("tokens").alias("n"))
+        shares = tempered(cells, d, alpha)
+        targets[d] = stored(shares.join(have, F.col("value").eqNullSafe(F.col("__v"))).drop("__v"), "targets")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    size = available(targets, total) if size is None else float(min(size, total))
+    fitted = fit_capped(cells, targets, size, sweeps)
+    part = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    p = F.least(F.lit(1.0), F.floor(part * F.lit(DIGITS) + F.lit(0.500001)) / F.lit(DIGITS))
+    return fitted.withColumn("p", p)
+
+
 def with_chance(docs: DataFrame, dims: dict[str, Column], cells: DataFrame) -> DataFrame:
     """The rows of ``docs`` with ``__p``, their cell's probability."""
     names = {n: f"__d_{n}" for n in dims}
@@ -114,8 +200,10 @@ def with_chance(docs: DataFrame, dims: dict[str, Column], cells: DataFrame) -> D
     return docs.join(p, same, "left").drop(*names.values(), *(f"__c_{n}" for n in dims))
 
 
-def mixed_sample(docs: DataFrame, key: str, text: str, dims: dict[str, Column], **how) -> DataFrame:
-    """The rows of ``docs`` that the calibrated draw keeps; all columns, nothing added."""
+def mixed_sample(
+    docs: DataFrame, key: str, text: str, dims: dict[str, Column], cells_of=calibrated_cells, **how
+) -> DataFrame:
+    """The rows of ``docs`` that the draw keeps; all columns, nothing added."""
     narrow = docs.select(*[c.alias(n) for n, c in dims.items()], token_weight(text).alias("tokens"))
-    cells = calibrated_cells(narrow.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), **how)
+    cells = cells_of(narrow.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), **how)
     return with_chance(docs, dims, cells).filter(draw(key) < F.col("__p")).drop("__p")

@@ -52,9 +52,7 @@ def op6_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
 MIX = {"source": F.col, "lang": F.col, "topic": lambda _: mixing.topic_of("text")}
 
 
-@query
-def op7_mixture_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with its cell, tokens, calibrated probability and whether it is drawn."""
+def _mixture(spark: SparkSession, sf: str, cells_of) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     narrow = stored(
         docs.select("doc_id", "source", "lang", mixing.topic_of("text").alias("topic"),
@@ -62,13 +60,25 @@ def op7_mixture_sample(spark: SparkSession, sf: str) -> DataFrame:
         "mixture",
     )
     dims = {d: F.col(d) for d in MIX}
-    cells = mixing.calibrated_cells(narrow.groupBy(*dims).agg(F.sum("tokens").alias("tokens")))
+    cells = cells_of(narrow.groupBy(*dims).agg(F.sum("tokens").alias("tokens")))
     rows = mixing.with_chance(narrow, dims, cells)
     return rows.select(
         "doc_id", "source", "lang", "topic", "tokens", F.col("__p").alias("p"), (mixing.draw("doc_id") < F.col("__p")).alias("drawn")
     )
 
 
+@query
+def op7_mixture_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its cell, tokens, calibrated probability and whether it is drawn."""
+    return _mixture(spark, sf, mixing.calibrated_cells)
+
+
+@query
+def op7_sized_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for a sample of a set size: rare cells are kept whole, as in the pipeline."""
+    return _mixture(spark, sf, mixing.sized_cells)
+
+
 def _sql_mixture() -> str:
     """The same cells, sweeps and draw; window sums instead of joins."""
     topic = (

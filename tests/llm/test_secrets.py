@@ -1,5 +1,6 @@
 """The scan against the base rules, owners against a count, redaction."""
 
+import base64
 import hashlib
 import re
 
@@ -79,6 +80,47 @@ def test_redaction(spark, rows):
     assert texts[0] is None and texts[1] == "" and texts[2] == "plain words"
 
 
+def pem(i, kind="RSA ", wrap=64, end=True, join="\n", head=""):
+    body = base64.b64encode(b"".join(hashlib.sha512(f"{i}:{j}".encode()).digest() for j in range(5))).decode()
+    lines = [body[k : k + wrap] for k in range(0, len(body), wrap)]
+    last = [f"-----END {kind}PRIVATE KEY-----"] if end else []
+    return join.join([f"-----BEGIN {kind}PRIVATE KEY-----", *([head] if head else []), *lines, *last]), lines
+
+
+@pytest.mark.parametrize("how", [
+    {}, {"kind": ""}, {"kind": "EC ", "wrap": 32}, {"join": "\r\n"}, {"join": "\\n"}, {"join": "\n    "}, {"join": ' '},
+    {"join": '" +\n"'}, {"head": "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F\n"},
+    {"end": False}, {"end": False, "join": "\\n"}, {"end": False, "join": " "}, {"end": False, "wrap": 70},
+])
+def test_whole_private_key(how):
+    key, lines = pem(1, **how)
+    (span,) = [x for x in S.find(f"before {key}\n\nafter it", S.compiled()) if x[2] == "pem"]
+    assert span[0] == 7 and span[3] == 7 + len(key)
+    assert span[4] == "".join(lines) and S.key_looks_live(span[4])
+
+
+def test_many_first_lines_stay_linear():
+    many = "-----BEGIN RSA PRIVATE KEY-----" * 20_000
+    assert S.find(many, S.compiled()) == []
+    assert S.find("a://" + "z" * 200_000, S.compiled()) == [] and not S.find("a://z:" * 50_000, S.compiled())
+
+
+def test_one_key_per_owner_is_live(spark):
+    rows = [(i, f"key:\n{pem(i)[0]}\nend {i}", f"s{i}", "en", "", "") for i in range(4)]
+    rows += [(10 + i, f"as in\n{pem(99)[0]}\nshown {i}", f"s{i}", "en", "", "") for i in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["classes"] for r in S.secret_scan(docs, "doc_id", "text", "source", "lang").collect()}
+    assert all(got[i] == ["live"] and got[10 + i] == ["copied"] for i in range(4))
+    left = {r["doc_id"]: r["text"] for r in S.redact(docs, "doc_id", "text", "source", "lang").collect()}
+    assert all(left[i] == f"key:\n[REDACTED]\nend {i}" and left[10 + i] == rows[4 + i][1] for i in range(4))
+
+
+def test_long_login():
+    name, word = "n" * 100, "aB3" * 60
+    (span,) = [x for x in S.find(f"see ftp://{name}:{word}@host now", S.compiled()) if x[2] == "login"]
+    assert span[4] == word
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert S.secret_scan(none, "doc_id", "text", "source", "lang").count() == 0

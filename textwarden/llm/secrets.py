@@ -26,6 +26,21 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from textwarden.llm.store import by_batch, stored
 
+#: A private key from its first line to its last, or, where the last is missing, to the end of
+#: its base64 lines; these may be indented, quoted, joined by escapes or stand in one line.
+#: Every run is possessive and stops at five dashes, so that many first lines stay linear.
+_EDGE = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_GAP = r"(?:\\+[nrt]|[\s\"'\\+,>#*|])"
+_FIELD = r"[A-Za-z][A-Za-z0-9-]*+:[ \t]*+[^\s\\\"']++"
+_LAST = r"[ \t\"'+,]*+(?:\r?\n|\\+n)" + _GAP + r"*+[A-Za-z0-9+/]++(?:={1,2}|(?=[ \t]*+(?:[\"'\\\r\n]|\Z)))"
+PEM = (
+    rf"-----BEGIN {_EDGE}"
+    rf"([^-]*+(?:-(?!----)[^-]*+)*+(?=-----END {_EDGE})"
+    rf"|(?:{_GAP}*+{_FIELD})*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_LAST}|{_GAP}++[A-Za-z0-9+/]++={{1,2}})?+)"
+    rf"(?:-----END {_EDGE})?+"
+)
+_NOT_KEY = re.compile(rf"{_FIELD}|[\"']\s*\+\s*[\"']|\\+[nrt]|[^A-Za-z0-9+/=]")
+
 #: Patterns of the base kinds are fixed values, in the order in which ties are listed.
 #: Only ASCII letters have two cases.
 KINDS = {
@@ -38,9 +53,9 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 0, 24),
     # kinds beyond the base
-    "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, 20),
+    "pem": (PEM, 0, 1, 20),
     "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 0, 20),
-    "login": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/:@]{6,64})@", 0, 1, 6),
+    "login": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:([^\s/:@]{6,}+)@", 0, 1, 6),
 }
 BASE = ("assign", "access", "hex")
 #: A text that none of these fits has no candidate; they are searched by automaton, without backtracking.
@@ -48,9 +63,9 @@ HINTS = {
     "assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]",
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
-    "pem": r"PRIVATE KEY-----",
+    "pem": r"PRIVATE KEY(?: BLOCK)?-----",
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ",
-    "login": r"://[^\s/:@]{1,64}:[^\s/:@]{6,64}@",
+    "login": r"://[^\s/:@]+:[^\s/:@]{6,}@",
 }
 PLACEHOLDER = re.compile(r"example|sample|dummy|test|changeme|placeholder|your|xxxx", re.I)
 COPIED_OWNERS = 3  # owners from which on a value is a copied example
@@ -70,6 +85,17 @@ def looks_live(value: str) -> bool:
     return bits >= LIVE_BITS and not PLACEHOLDER.search(value)
 
 
+def key_body(value: str) -> str:
+    """The base64 text of a private key, the same however its lines are set."""
+    return _NOT_KEY.sub("", value)
+
+
+def key_looks_live(body: str) -> bool:
+    """As for other values; a placeholder word may stand in a long key by chance."""
+    rest = PLACEHOLDER.sub("", body)
+    return len(rest) >= KINDS["pem"][3] and looks_live(rest)
+
+
 def compiled() -> dict:
     return {k: (re.compile(p, f), g, least) for k, (p, f, g, least) in KINDS.items()}
 
@@ -89,7 +115,8 @@ def find(text: str, kinds: dict) -> list[tuple[int, int, str, int, str]]:
     out = []
     for order, (kind, (pattern, group, least)) in enumerate(kinds.items()):
         for m in pattern.finditer(text):
-            if len(value := m.group(group)) >= least:
+            value = key_body(m.group(group)) if kind == "pem" else m.group(group)
+            if len(value) >= least:
                 out.append((m.start(), order, kind, m.end(), value))
     return sorted(out)
 
@@ -104,9 +131,8 @@ def scan(docs: DataFrame, text: str, keep: dict[str, str]) -> DataFrame:
         said = [(f"{k}:{a}:{b}", k) for a, _, k, b, _ in spans]
         base = ",".join(s for s, k in said if k in BASE)
         n = Counter(k for _, k in said)
-        found = [
-            {"kind": k, "start": a, "end": b, "hash": digest(v), "live": looks_live(v)} for a, _, k, b, v in spans
-        ]
+        live = lambda k, v: key_looks_live(v) if k == "pem" else looks_live(v)
+        found = [{"kind": k, "start": a, "end": b, "hash": digest(v), "live": live(k, v)} for a, _, k, b, v in spans]
         key = hashlib.sha256("".join(f["hash"] for f in found).encode()).hexdigest() if found else None
         every = ",".join(s for s, _ in said)
         return (*(n[k] for k in BASE), hashlib.sha256(base.encode()).hexdigest(), every, found, key)

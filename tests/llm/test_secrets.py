@@ -115,6 +115,24 @@ def test_one_key_per_owner_is_live(spark):
     assert all(left[i] == f"key:\n[REDACTED]\nend {i}" and left[10 + i] == rows[4 + i][1] for i in range(4))
 
 
+def test_copied_inside_one_hot_owner(spark):
+    said = lambda v: f"use token={v} here"
+    rows = [(i, said(COPIED), "hot", ("en", "de", "fr", "es")[i % 4], "", "") for i in range(40)]
+    rows += [(100 + i, said(TOKEN), "hot", "en", "", "") for i in range(40)]
+    two = TOKEN[::-1]
+    rows += [(200 + i, said(two), f"s{i % 2}", ("en", "de")[i // 2], "", "") for i in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in S.secret_scan(docs, "doc_id", "text", "source", "lang").collect()}
+    assert {c for i in range(40) for c in got[i]["classes"]} == {"copied"}
+    assert {c for i in range(100, 140) for c in got[i]["classes"]} == {"live"}  # one place, many times
+    assert {c for i in range(200, 204) for c in got[i]["classes"]} == {"copied"}
+    said = [(set(got[i]["owners"]), set(got[i]["repos"]), set(got[i]["times"])) for i in (0, 100, 200)]
+    # the value is found as assignment and as hex run
+    assert said == [({1}, {4}, {80}), ({1}, {1}, {80}), ({2}, {4}, {8})]
+    left = {r["doc_id"]: r["text"] for r in S.redact(docs, "doc_id", "text", "source", "lang").collect()}
+    assert left[0] == rows[0][1] and left[100] == "use [REDACTED] here" and left[200] == rows[80][1]
+
+
 def test_long_login():
     name, word = "n" * 100, "aB3" * 60
     (span,) = [x for x in S.find(f"see ftp://{name}:{word}@host now", S.compiled()) if x[2] == "login"]

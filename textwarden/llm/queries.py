@@ -29,6 +29,7 @@ def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans",
         n("live").alias("n_live"), n("copied").alias("n_copied"),
+        F.array_join("owners", ",").alias("owners"), F.array_join("repos", ",").alias("repos"),
     )
 
 

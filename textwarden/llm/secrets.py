@@ -1,8 +1,9 @@
-"""Secret scan: candidates in every text, judged by how many owners the corpus shows them with.
+"""Secret scan: candidates in every text, judged by the owners and repositories that show them.
 
-A value that stands in the repositories of many owners is a copied example (a key from
-a manual, a licence header); one that only its owner has, and that looks random, is a
-live credential.  The scan is row work; the judgement counts narrow rows
+A value that stands with many owners, or in many repositories of few, is a copied example
+(a key from a manual, a licence header); one that only its owner has, in a few places, and
+that looks random, is a live credential.  Occurrences are counted, but decide nothing: a
+page repeated a thousand times still shows its key in one repository.  The scan is row work; the judgement counts narrow rows
 (value hash, owner, repository), summed before every shuffle, so that a value copied
 into a third of all rows arrives as a handful of counts.
 
@@ -69,6 +70,7 @@ HINTS = {
 }
 PLACEHOLDER = re.compile(r"example|sample|dummy|test|changeme|placeholder|your|xxxx", re.I)
 COPIED_OWNERS = 3  # owners from which on a value is a copied example
+COPIED_REPOS = 4  # repositories, of all owners together, from which on it is one too
 MARK = "[REDACTED]"  # stands for a live credential
 LIVE_BITS = 2.5  # bits per character from which on a value looks random
 
@@ -168,42 +170,48 @@ def value_owners(found: DataFrame) -> DataFrame:
         F.sum("n").alias("n_found"),
         F.max("live").alias("live"),
     )
-    kind = F.when(F.col("n_owners") >= COPIED_OWNERS, "copied").when(F.col("live"), "live").otherwise("weak")
+    spread = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS)
+    kind = F.when(spread, "copied").when(F.col("live"), "live").otherwise("weak")
     return per_value.withColumn("class", kind)
 
 
 def judged(scanned: DataFrame) -> DataFrame:
-    """Adds ``classes``, one per span in the order of ``found``: copied, live or weak.
+    """Adds ``classes``, ``owners``, ``repos`` and ``times``, one entry per span in the order of ``found``.
+
+    A class is copied, live or weak; the others are the distinct owners and repositories of
+    the span's value and its occurrences.
 
     ``scanned`` has found, found_key, owner and repo.  Classes come back by the digest of a
     row's values, so that rows need no unique id and copies are judged once.
     """
     spans = scanned.filter("found_key IS NOT NULL").select("owner", "repo", "found_key", F.explode("found").alias("f"))
     spans = spans.select("owner", "repo", "found_key", "f.hash", "f.live")
-    values = value_owners(spans).select("hash", "class")
+    said = F.struct("class", "n_owners", "n_repos", "n_found")
+    values = value_owners(spans).select("hash", said.alias("said"))
     per_key = (
         spans.select("found_key", "hash")
         .distinct()
         .join(values, "hash")
         .groupBy("found_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("hash", "class"))).alias("__class"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("hash", "said"))).alias("__said"))
     )
     # rows without a span get a key of their own, or they would all meet in one task
     alone = F.concat(F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("string"))
     rows = scanned.withColumn("found_key", F.coalesce("found_key", alone))
-    return rows.join(per_key, "found_key", "left").withColumn(
-        "classes", F.transform("found", lambda f: F.element_at("__class", f["hash"]))
-    )
+    of = {"classes": "class", "owners": "n_owners", "repos": "n_repos", "times": "n_found"}
+    each = F.transform("found", lambda f: F.element_at("__said", f["hash"]))
+    return rows.join(per_key, "found_key", "left").withColumns({c: each[n] for c, n in of.items()})
 
 
 def secret_scan(docs: DataFrame, key: str, text: str, owner: str, repo: str) -> DataFrame:
     """One row per row of ``docs``: counts, spans and what the corpus says about each span.
 
-    Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, found, classes.
+    Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, found, classes,
+    owners, repos, times.
     """
     # repeated names are allowed: owner and repo may be the same column
     scanned = stored(scan(docs, text, {"doc_id": key, "owner": owner, "repo": repo}), "secrets")
-    return judged(scanned).drop("owner", "repo", "found_key", "__class")
+    return judged(scanned).drop("owner", "repo", "found_key", "__said")
 
 
 def redact(docs: DataFrame, key: str, text: str, owner: str, repo: str, mark: str = MARK) -> DataFrame:

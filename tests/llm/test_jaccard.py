@@ -121,3 +121,30 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 0 for i in range(1, 51)} | {i: 100 for i in range(101, 160)} | {201: 200}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("width,percent,words", [(3, 90, 3000), (1, 70, 12)])
+def test_all_pairs_and_their_counts(spark, width, percent, words):
+    r = random.Random(width + percent)
+    texts = near_copies(r, 25, words)
+    base = [f"g{i}" for i in range(60)]
+    texts += [" ".join([*base[:i], f"other{i}", *base[i + 1 :]]) for i in range(12)]  # one component of many pairs
+    texts += [texts[-1], texts[0], texts[0], "", " "]
+    rows = list(enumerate(texts))
+    sets = [shingles(t, width) for t in texts]
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                want.add((j, i))
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows] + [(None, texts[0], "x", "y", "z")], SCHEMA)
+    got = [tuple(x) for x in J.jaccard_pairs(df, "doc_id", "text", width, percent).collect()]
+    leader = [next(j for j in range(len(sets)) if sets[j] == s) for s in sets]
+    copies = {(leader[i], i) for i in range(len(sets)) if sets[i] and leader[i] != i}
+    links = {(i, j) for i, j in want if leader[i] == i and leader[j] == j and sets[i] != sets[j]}
+    assert len(got) == len(set(got)) and set(got) == {(*x, "link") for x in links} | {(*x, "copy") for x in copies}
+    degree = [sum(i in x for x in want) for i in range(len(sets))]
+    counts = [tuple(x) for x in J.link_counts(df, "doc_id", "text", width, percent).collect()]
+    expected = [(i, len(s), degree[i]) for i, s in enumerate(sets)] + [(None, len(sets[0]), degree[0] + 1)]
+    assert sorted(counts, key=str) == sorted(expected, key=str)

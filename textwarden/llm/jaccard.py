@@ -276,13 +276,8 @@ def jaccard_components(leaders: DataFrame, docs: DataFrame, key: str, text: str,
     return groups
 
 
-def jaccard_join(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest id reachable by links, itself included) per row.
-
-    Rows without words have no shingle and link with nothing.  Rows without id take the
-    component of their class if a row with an id shares it, else none.  Repeated rows link
-    with each other; ids are taken to name one document each.
-    """
+def classed(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures of all rows, the classes of equal sets (n, digest, leader) and their leaders' signatures."""
     rows = stored(signatures(docs, key, text, width, percent), "jaccard-docs")
     classes = rows.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("leader"))
     classes = stored(classes.filter("leader IS NOT NULL"), "jaccard-classes")
@@ -292,6 +287,17 @@ def jaccard_join(docs: DataFrame, key: str, text: str, width: int = 5, percent:
     copies = stored(copies.join(classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_anti"), "jaccard-copies")
     leaders = rows.filter("n > 0 AND doc_id IS NOT NULL").join(some(copies), "doc_id", "left_anti")
     leaders = stored(leaders.select("doc_id", "n", "prefix", *SKETCH), "jaccard-leaders")
+    return rows, classes, leaders
+
+
+def jaccard_join(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest id reachable by links, itself included) per row.
+
+    Rows without words have no shingle and link with nothing.  Rows without id take the
+    component of their class if a row with an id shares it, else none.  Repeated rows link
+    with each other; ids are taken to name one document each.
+    """
+    rows, classes, leaders = classed(docs, key, text, width, percent)
     groups = jaccard_components(leaders, docs, key, text, width, percent)
     discard(leaders)
     labelled = classes.join(groups, classes["leader"] == groups["id"], "left")
@@ -300,3 +306,54 @@ def jaccard_join(docs: DataFrame, key: str, text: str, width: int = 5, percent:
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
     )
+
+
+def leader_links(leaders: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(a, b) with a < b: all pairs of class leaders that link, each candidate verified once."""
+    tokens = shared_tokens(leaders)
+    pairs = stored(_all_pairs(tokens.withColumn("component", F.col("id")), percent), "jaccard-candidates")
+    discard(tokens)
+    ids = ends(pairs)
+    sets = stored(sets_of(docs, key, text, width, ids), "jaccard-sets")
+    links = stored(verified(pairs, sets, percent), "jaccard-links")
+    discard(ids, sets, pairs)
+    return links
+
+
+def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(leader, doc_id) of every document that has words, its leader's own row included."""
+    with_id = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "digest")
+    return with_id.join(classes, ["n", "digest"]).select("leader", "doc_id").distinct()
+
+
+def jaccard_pairs(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """All links as (a, b, kind): ``link`` between the leaders of two classes, a < b, and
+    ``copy`` between the leader of a class and another document of it.
+
+    Any two documents link if their leaders are the same or have a link; naming all of them
+    would repeat a class's links for each of its copies.
+    """
+    rows, classes, leaders = classed(docs, key, text, width, percent)
+    links = leader_links(leaders, docs, key, text, width, percent).withColumn("kind", F.lit("link"))
+    copies = members(rows, classes).filter("leader <> doc_id")
+    return links.unionByName(copies.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), F.lit("copy").alias("kind")))
+
+
+def link_counts(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and n_links (other documents with an id that it links with) per row.
+
+    Rows without id have a count only if a row with an id shares their set.
+    """
+    rows, classes, leaders = classed(docs, key, text, width, percent)
+    links = leader_links(leaders, docs, key, text, width, percent)
+    sizes = stored(members(rows, classes).groupBy("leader").agg(F.count("*").alias("size")), "jaccard-sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = both.join(sizes.withColumnRenamed("leader", "b"), "b").groupBy("a").agg(F.sum("size").alias("met"))
+    reach = sizes.join(met, sizes["leader"] == met["a"], "left")
+    reach = reach.select("leader", (F.col("size") + F.coalesce("met", F.lit(0))).alias("reach"))
+    labelled = classes.join(reach, "leader").select("n", "digest", "reach")
+    own = F.col("doc_id").isNotNull().cast("long")
+    return rows.select("doc_id", "n", "digest").join(labelled, ["n", "digest"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("reach") - own).cast("long").alias("n_links"),
+    )

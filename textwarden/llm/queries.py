@@ -192,6 +192,18 @@ def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_join(read_table(spark, sf, "documents"), "doc_id", "text", width=3, percent=90)
 
 
+@query
+def op5_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The links behind these components: all pairs of class leaders, and the copies of each leader."""
+    return jaccard.jaccard_pairs(read_table(spark, sf, "documents"), "doc_id", "text", width=3, percent=90)
+
+
+@query
+def op5_link_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents each document links with."""
+    return jaccard.link_counts(read_table(spark, sf, "documents"), "doc_id", "text", width=3, percent=90)
+
+
 ORACLES["op5_jaccard_join"] = f"""WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
 sets AS MATERIALIZED (SELECT doc_id, {_sql_shingles(3)} AS s FROM words),

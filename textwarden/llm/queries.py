@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import chat, decontaminate, jaccard, language, mixing, quality, secrets, tokens, vectors, warc
-from textwarden.llm.store import crc_fold, stored
+import public_tokenizers
+
+from textwarden.llm import (
+    chat,
+    decontaminate,
+    infill,
+    jaccard,
+    language,
+    mixing,
+    periodic,
+    quality,
+    secrets,
+    token_orc,
+    tokens,
+    vectors,
+    warc,
+)
+from textwarden.llm.store import claimed, crc_fold, stored
 from textwarden.sources.files import read_table
 
 QUERIES: dict = {}
@@ -271,3 +287,83 @@ def op8_quality_score(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents cut and put in a new order, and rebuilt from that."""
+    docs = read_table(spark, sf, "documents")
+    out = infill.restored(infill.fill_in_middle(docs, "doc_id", "text"))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        sha("output").alias("output_sha256"), sha("restored").alias("restored_sha256"),
+    )
+
+
+def _sql_infill() -> str:
+    p, s, m = infill.PREFIX, infill.SUFFIX, infill.MIDDLE
+    h = lambda i: f"CAST('0x' || substr(sha256('{infill.SEED}:' || doc_id), {8 * i + 1}, 8) AS BIGINT)"
+    part = lambda a, b: f"array_to_string(l[{a}:{b}], '')"
+    marked = " OR ".join(f"contains(t, '{x}')" for x in (p, s, m))
+    return f"""WITH lines AS (
+      SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l FROM documents),
+    drawn AS (SELECT *, CAST(len(l) AS BIGINT) AS n, {h(0)} % (len(l) + 1) AS x, {h(1)} % (len(l) + 1) AS y,
+      CASE WHEN t = '' OR {marked} OR {h(2)} % 100 >= {infill.FIM_PERCENT} THEN 'plain'
+        WHEN {h(3)} % 100 < {infill.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM lines),
+    parts AS (SELECT *, {part(1, 'least(x, y)')} AS a, {part('least(x, y) + 1', 'greatest(x, y)')} AS b,
+      {part('greatest(x, y) + 1', 'n')} AS c FROM drawn)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || a || '{s}' || c || '{m}' || b
+        ELSE '{s}' || c || '{p}' || a || '{m}' || b END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM parts"""
+
+
+ORACLES["op11_fill_in_middle"] = _sql_infill()
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts, of which a tenth go on from some word in a period drawn from a hash of their id."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    cut = chosen.withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.floor((n - F.col("a")) / (g % 8 + 3)) + 1)
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.array_join(F.transform("w", lambda _, i: F.get("w", at(i).cast("int"))), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of repeated words in all documents, a tenth of which are made to repeat, and what is left without them."""
+    found = periodic.periodic_runs(with_repeats(read_table(spark, sf, "documents")), "doc_id", "text")
+    # the longest, of these the first, of these the one of the smallest period
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = found.withColumn("top", F.array_min(order)).withColumn("length", -F.col("top.l"))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.s").alias("start"),
+        "length",
+        F.col("top.p").alias("period"),
+        F.floor(F.col("length") * 1000 / F.col("top.p")).alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+        "n_dropped",
+    )
+
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op13_token_orc(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of all documents written as ORC, and the index of the documents read back from the files."""
+    docs, path = read_table(spark, sf, "documents"), claimed(spark, "token-orc")
+    token_orc.write_tokens(docs, path, "doc_id", "text", BYTES)
+    return token_orc.document_index(token_orc.read_tokens(spark, path))

@@ -26,6 +26,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def claimed(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder for files of another kind; deleted with the tables."""
+    path = fresh_path(spark, name)
+    _WRITTEN.append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

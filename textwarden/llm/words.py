@@ -33,10 +33,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_values() -> np.ndarray:
-    """One 64-bit value per byte; A-Z share those of a-z."""
+def _byte_values(fold: bool) -> np.ndarray:
+    """One 64-bit value per byte; A-Z share those of a-z if they are to be folded."""
     values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M3))
-    values[65:91] = values[97:123]
+    if fold:
+        values[65:91] = values[97:123]
     return values
 
 
@@ -49,8 +50,8 @@ def _spaces() -> np.ndarray:
 class Hasher:
     """Hashes words and shingles; holds the powers that the pieces of a task share."""
 
-    def __init__(self):
-        self.values, self.space = _byte_values(), _spaces()
+    def __init__(self, fold: bool = True):
+        self.values, self.space = _byte_values(fold), _spaces()
         self.up = self.down = np.empty(0, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -59,12 +60,9 @@ class Hasher:
             self.up = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _STEP, np.uint64)])
             self.down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BACK, np.uint64)])
 
-    def words(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words of texts data[cuts[i]:cuts[i+1]], and where each text's words begin."""
+    def spans(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last byte of every word of texts data[cuts[i]:cuts[i+1]]."""
         n = len(data)
-        if not n:
-            return np.empty(0, np.uint64), np.zeros(len(cuts), np.int64)
-        self._powers(n + 1)
         inside = ~self.space[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
@@ -72,7 +70,15 @@ class Hasher:
         edges = cuts[(cuts > 0) & (cuts < n)]  # a word ends where its text ends
         first[edges] = inside[edges]
         last[edges - 1] = inside[edges - 1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+        return np.flatnonzero(first), np.flatnonzero(last)
+
+    def words(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of texts data[cuts[i]:cuts[i+1]], and where each text's words begin."""
+        n = len(data)
+        if not n:
+            return np.empty(0, np.uint64), np.zeros(len(cuts), np.int64)
+        self._powers(n + 1)
+        starts, ends = self.spans(data, cuts)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.values[data] * self.up[:n], out=sums[1:])

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_words import shingles
 from textwarden.llm import jaccard as J
@@ -148,3 +149,31 @@ def test_all_pairs_and_their_counts(spark, width, percent, words):
     counts = [tuple(x) for x in J.link_counts(df, "doc_id", "text", width, percent).collect()]
     expected = [(i, len(s), degree[i]) for i, s in enumerate(sets)] + [(None, len(sets[0]), degree[0] + 1)]
     assert sorted(counts, key=str) == sorted(expected, key=str)
+
+
+def test_pairs_meet_less_often_and_none_is_lost(spark):
+    """Near copies below the threshold: a group of texts that differ from one text in a passage each."""
+    r = random.Random(2)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for i in range(60):
+        size = r.randrange(3, 6)
+        at = r.randrange(120 - size)
+        texts.append(" ".join([*base[:at], *[f"own{i}x{j}" for j in range(size)], *base[at + size :]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, _, leaders = J.classed(df, "doc_id", "text", 5, 80)
+    named = leaders.selectExpr("doc_id AS id", "n", *J.SKETCH, "posexplode(prefix) AS (pos, token)")
+    every = named.selectExpr("*", "id AS component", "0.0 AS central")
+    kept = J.shared_tokens(leaders).withColumn("component", F.col("id"))
+    before, after = (J._meetings(x, 80) for x in (every, kept))
+    assert sorted(before.distinct().collect()) == sorted(after.distinct().collect())
+    assert after.distinct().count() > 200 and 2 * after.count() <= before.count()
+    rows = list(enumerate(texts))
+    assert sorted(joined(spark, rows, 5, 80)) == sorted(brute(rows, 5, 80))
+
+
+def test_lists_of_the_same_shingles(spark):
+    """One shingle per list of documents stays: the first in the order, in all of them."""
+    at = {1: "abcd", 2: "abcd", 3: "bd", 4: "xd", 5: "x", 6: "y"}
+    rows = [(i, 10, p, ord(t)) for i, ts in at.items() for p, t in enumerate(ts)]
+    got = J.posting_lists(spark.createDataFrame(rows, "id long, n long, pos int, token long")).collect()
+    assert {(chr(r["token"]), r["met"], r["many"]) for r in got} == {("a", 2, 2), ("b", 3, 1), ("d", 4, 1), ("x", 2, 1)}

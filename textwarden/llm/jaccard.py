@@ -6,7 +6,8 @@ their sets' intersection and union have at least the given ratio.
 1.  Equal sets form a class; its smallest document stands for it from then on.
 2.  Shingles are ordered rare first: the most frequent ones of the corpus come last, by
     frequency, the others before them by hash.  Two sets that link share a shingle among
-    their first ones (their prefix), so only prefixes are joined.
+    their first ones (their prefix), so only prefixes are joined; of shingles that stand in
+    exactly the same prefixes one is enough.
 3.  A pair that meets must pass the length filter, the positional filter (what may still
     follow the shared shingle) and the suffix filter: the token space is cut into fixed
     bins, and every shingle that only one of the two sets has changes the parity of one
@@ -218,29 +219,50 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
 
 
-def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All documents of a shared shingle that are in different components and pass the filters."""
+def _meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) once per kept shingle that they share: in different components and past the filters."""
     rows = rows.drop("central")
     near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     met = rows.alias("x").join(
         rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near & may_link("x.", "y.", percent, sketch=True)
     )
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All documents of a shared shingle that are in different components and pass the filters."""
+    return _meetings(rows, percent).distinct()
+
+
+def posting_lists(rows: DataFrame) -> DataFrame:
+    """(token, met, many): of the shingles that stand in exactly the same documents, the first in the order.
+
+    ``rows`` has id, n, pos and token.  Shingles of one list bring the same pairs.  The first
+    one has the smallest place in every document, so the filters let pass what they let pass
+    for any other.  A list of at least two documents is named by its length and two 64-bit
+    hashes of its documents, added up in halves that cannot overflow.
+    """
+    sums = {f"h{i}": F.xxhash64(*names) for i, names in enumerate((("id", "n"), ("n", "id")))}
+    halves = [f(c).alias(f"{n}_{k}") for n, c in sums.items() for k, f in (
+        ("hi", lambda c: F.sum(F.shiftright(c, 32))), ("lo", lambda c: F.sum(c.bitwiseAND(F.lit(0xFFFFFFFF)))))]
+    met = rows.groupBy("token").agg(F.count("*").alias("met"), F.sum("pos").alias("place"), *halves).filter("met > 1")
+    name = [c for c in met.columns if c not in ("token", "place")]
+    lists = met.groupBy(*name).agg(F.min_by("token", "place").alias("token"), F.count("*").alias("many"))
+    return lists.select("token", "met", "many")
 
 
 def shared_tokens(leaders: DataFrame) -> DataFrame:
-    """(token, id, pos, n, sketch, central): prefix shingles that at least two documents have.
+    """(token, id, pos, n, sketch, central): prefix shingles that at least two documents have, one per posting list.
 
     ``central`` is the part of a document's prefix that others share, in documents met per
     shingle; among near copies it is highest for the one the others were made from.
     """
-    rows = leaders.select(F.col("doc_id").alias("id"), F.posexplode("prefix").alias("pos", "token"))
-    met = rows.groupBy("token").agg(F.count("*").alias("met")).filter("met > 1")
-    shared = stored(rows.join(met, "token"), "jaccard-shared")
+    rows = leaders.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = stored(rows.drop("n").join(posting_lists(rows), "token"), "jaccard-shared")
     of_doc = leaders.select(F.col("doc_id").alias("id"), "n", *SKETCH).dropDuplicates(["id"])
-    sums = shared.groupBy("id").agg(F.sum("met").alias("met")).join(of_doc, "id")
+    sums = shared.groupBy("id").agg(F.sum(F.col("met") * F.col("many")).alias("met")).join(of_doc, "id")
     sums = sums.select("id", "n", *SKETCH, (F.col("met") / F.col("n")).alias("central"))
-    out = stored(shared.drop("met").join(sums, "id"), "jaccard-tokens")
+    out = stored(shared.drop("met", "many").join(sums, "id"), "jaccard-tokens")
     discard(shared)
     return out
 

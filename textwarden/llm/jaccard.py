@@ -48,6 +48,7 @@ BINS = 256  # whose parities make the sketch of a set, 64 to a number
 SKETCH = tuple(f"s{i}" for i in range(BINS // 64))
 PARITIES = 1  # bins per shingle, at least, of the sketches that grow with the sets
 HUB_ROUNDS = 1
+EARLY = 8  # shingles by which a pair that has met is known
 SEMI_IDS = 1 << 20  # ids up to which the wanted texts are found by a broadcast; beyond, by a shuffle
 
 
@@ -209,7 +210,7 @@ def some(ids: DataFrame) -> DataFrame:
 
 def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Every document of a shared shingle with the shingle's hub, if their components differ."""
-    rows = rows.drop(*SKETCH)
+    rows = rows.drop("early", *SKETCH)
     carried = ("n", "pos", "component")
     first = F.max(F.struct("central", F.negate("id").alias("low"), *carried))
     hubs = rows.groupBy("token").agg(first.alias("h"))
@@ -220,11 +221,15 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) once per kept shingle that they share: in different components and past the filters."""
+    """(a, b) of two documents at a kept shingle that they share: in different components and past the filters.
+
+    A pair that shares one of the shingles carried in ``early`` has met there and is passed over.
+    """
     rows = rows.drop("central")
+    new = ~F.arrays_overlap("x.early", "y.early")
     near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     met = rows.alias("x").join(
-        rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near & may_link("x.", "y.", percent, sketch=True)
+        rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near & may_link("x.", "y.", percent, sketch=True) & new
     )
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
@@ -252,17 +257,25 @@ def posting_lists(rows: DataFrame) -> DataFrame:
 
 
 def shared_tokens(leaders: DataFrame) -> DataFrame:
-    """(token, id, pos, n, sketch, central): prefix shingles that at least two documents have, one per posting list.
+    """(token, id, pos, n, sketch, early, central): prefix shingles that at least two documents have, one per posting list.
 
+    ``early`` has the first of a document's shingles, EARLY at most, as far as they come before
+    this one.  The filters let pass at an earlier shingle what they let pass at a later one, so
+    two documents need not be compared where an earlier shingle is known to be in both.
     ``central`` is the part of a document's prefix that others share, in documents met per
     shingle; among near copies it is highest for the one the others were made from.
     """
     rows = leaders.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
     shared = stored(rows.drop("n").join(posting_lists(rows), "token"), "jaccard-shared")
     of_doc = leaders.select(F.col("doc_id").alias("id"), "n", *SKETCH).dropDuplicates(["id"])
-    sums = shared.groupBy("id").agg(F.sum(F.col("met") * F.col("many")).alias("met")).join(of_doc, "id")
-    sums = sums.select("id", "n", *SKETCH, (F.col("met") / F.col("n")).alias("central"))
-    out = stored(shared.drop("met", "many").join(sums, "id"), "jaccard-tokens")
+    own = shared.groupBy("id").agg(
+        F.sum(F.col("met") * F.col("many")).alias("met"),
+        F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, EARLY).alias("first"),
+    )
+    sums = own.join(of_doc, "id").select("id", "n", *SKETCH, "first", (F.col("met") / F.col("n")).alias("central"))
+    rows = shared.drop("met", "many").join(sums, "id")
+    early = F.transform(F.filter("first", lambda e: e["pos"] < F.col("pos")), lambda e: e["token"])
+    out = stored(rows.withColumn("early", early).drop("first"), "jaccard-tokens")
     discard(shared)
     return out
 

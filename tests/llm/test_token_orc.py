@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from tokenizers import Tokenizer
 
 from textwarden.llm import token_orc as T
+from textwarden.llm import words as W
 from textwarden.session import fresh_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,28 +37,42 @@ def random_texts(n, seed):
     return ["".join(r.choice(marks) for _ in range(r.randrange(80))) for _ in range(n)]
 
 
-def as_ids(b):
-    return np.frombuffer(b, "<i4").tolist()
+def pieces_ids(encoder, texts):
+    given = pa.array(texts, pa.string())
+    return [row.tolist() for _, data, cuts in W.pieces(given) for row in encoder.piece(data, cuts)]
 
 
-def test_words_give_the_tokens_of_the_library(library, monkeypatch):
-    texts = [*random_texts(500, 1), *[t for t in ODD if t is not None]]
+@pytest.mark.parametrize("piece, known", [(1 << 19, T.KNOWN), (64, 20), (1 << 12, 300)])
+def test_words_give_the_tokens_of_the_library(library, monkeypatch, piece, known):
+    monkeypatch.setattr(W, "PIECE", piece)
+    monkeypatch.setattr(T, "KNOWN", known)
+    texts = [*random_texts(500, 1), *ODD]
     encoder = T.Encoder(VOCABULARY, 2)
-    for t in texts:
-        assert as_ids(encoder.ids(t)) == [*library(t), 2]
-    monkeypatch.setattr(T, "WORDS", 20)
-    small = T.Encoder(VOCABULARY, 2)
-    for t in texts:
-        assert as_ids(small.ids(t)) == [*library(t), 2]
-        assert len(small.known) <= 20
+    assert pieces_ids(encoder, texts) == [[*library(t), 2] for t in texts]
+    assert len(encoder.key) <= known and len(encoder.ids) < 8 * known + 200_000
 
 
 def test_every_plain_character_is_cut_as_the_library_cuts_it(library):
-    encoder = T.Encoder(VOCABULARY, 2)
-    for c in [*"\t\n\r", *map(chr, range(0x20, 0x7F)), *map(chr, range(0xA1, 0x250))]:
-        text = f"a{c}b {c} 1{c}2 {c}{c}!{c}  {c}\n{c}'{c}"
-        assert encoder.plain.fullmatch(text)
-        assert as_ids(encoder.ids(text)) == [*library(text), 2]
+    plain = [*"\t\n\r", *map(chr, range(0x20, 0x7F)), *map(chr, range(0xA1, 0x250))]
+    near = [*map(chr, range(0x20)), *map(chr, range(0x7F, 0xA1)), *map(chr, range(0x250, 0x2C0))]
+    texts = [f"a{c}b {c} 1{c}2 {c}{c}!{c}  {c}\n{c}-{c}" for c in [*plain, *near]] + [*plain, *near]
+    assert pieces_ids(T.Encoder(VOCABULARY, 2), texts) == [[*library(t), 2] for t in texts]
+    cut = {t: W.pieces(pa.array([t])) for t in texts}
+    assert sum(T.words_of(data, cuts)[1].all() for p in cut.values() for _, data, cuts in p) == 2 * (len(plain) - 1)
+
+
+def test_spans_are_told_apart_by_their_bytes(monkeypatch):
+    spans = ["a", "ab", "b", "a", "x" * 32, "x" * 31, "x" * 33, "x" * 33, "ab", "y" * 8, "y" * 9, "y" * 8, "x" * 32]
+    data = np.frombuffer("".join(spans).encode(), np.uint8)
+    sizes = np.array([len(s) for s in spans])
+    starts = np.cumsum(sizes) - sizes
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(T, "mixed", lambda h: h * np.uint64(0))
+        words, which = T.contents(data, starts, sizes)
+        named = ["".join(spans)[a : a + n] for a, n in zip(words.starts, words.sizes)]
+        assert [named[k] for k in which] == spans
+        assert weak or len(named) == len(set(spans)) + 1
 
 
 def rows_of(n, seed):

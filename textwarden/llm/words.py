@@ -104,8 +104,9 @@ class Hasher:
                 yield words[:0]
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Groups of neighbouring texts: index of the first, their bytes, their cuts.  Nulls are empty."""
+def pieces(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Groups of neighbouring texts of PIECE (or ``size``) bytes: index of the first, their bytes, their cuts.  Nulls are empty."""
+    size = size or PIECE
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     if not n:
@@ -114,7 +115,7 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
     at = 0
     while at < n:
-        end = int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         end = min(n, max(end, at + 1))
         yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end

@@ -235,18 +235,23 @@ SQL_FEED = f"""{SQL_DECISIONS}, {_POINTS},
       FROM decisions JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) FILTER (WHERE toxic = 0) > 0)"""
 
 
-def sql_alarm_states(alarms, points: str, closed: str = "TRUE") -> str:
-    """Value, breach and state of every window of alarms with any periods; needs ``points`` (ts, name, value)."""
+def sql_alarm_states(alarms, points: str, closed: str | None = None) -> str:
+    """Value, breach and state of every window of alarms with any periods; needs ``points`` (ts, name, value).
+
+    Up to an epoch second ``closed``, if given, with the windows before it that have no points.
+    """
+    ended = f"slot + period_s <= {closed}" if closed else "TRUE"
+    last = f"CAST(floor({closed} / period_s) * period_s - period_s AS BIGINT)" if closed else "max(slot)"
     rows = ", ".join(str(tuple(row[:7])) for row in alarms)
     return f"""a(alarm, metric, stat, op, threshold, periods, period_s) AS (VALUES {rows}),
   apts AS (SELECT a.*, CAST(floor(epoch(ts) / period_s) * period_s AS BIGINT) AS slot, value
     FROM {points} p JOIN a ON p.name = metric),
-  awins AS (SELECT alarm, slot, CASE any_value(stat) WHEN 'Sum' THEN sum(value) WHEN 'Average' THEN avg(value)
+  awins AS (SELECT alarm, period_s, slot, CASE any_value(stat) WHEN 'Sum' THEN sum(value) WHEN 'Average' THEN avg(value)
     WHEN 'Maximum' THEN max(value) ELSE CAST(count(*) AS DOUBLE) END AS value FROM apts
-    GROUP BY alarm, slot, period_s HAVING {closed}),
-  aspan AS (SELECT alarm, min(slot) AS lo, max(slot) AS hi FROM awins GROUP BY alarm),
+    GROUP BY alarm, slot, period_s HAVING {ended}),
+  aspan AS (SELECT alarm, period_s, min(slot) AS lo, {last} AS hi FROM awins GROUP BY alarm, period_s),
   agrid AS (SELECT a.*, lo, unnest(generate_series(lo, hi, CAST(period_s AS BIGINT))) AS slot
-    FROM a JOIN aspan USING (alarm)),
+    FROM a JOIN aspan USING (alarm, period_s)),
   afilled AS (SELECT g.*, w.value, coalesce(CASE WHEN op = '>' THEN w.value > threshold::DOUBLE
     ELSE w.value < threshold::DOUBLE END, FALSE) AS breach FROM agrid g LEFT JOIN awins w USING (alarm, slot)),
   astate AS (SELECT *, breach AND slot - coalesce(max(slot) FILTER (WHERE NOT breach) OVER o, lo - period_s)

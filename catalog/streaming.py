@@ -26,28 +26,39 @@ def _events(spark, sf):
     return read_event_stream(spark, sf, schemas.EVENTS, "events.parquet")
 
 
-def _in_batches(df, name):
-    """A table with ``ts`` as a stream of BATCHES micro-batches in time order: one file each."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    cuts = df.approxQuantile("__s", [i / BATCHES for i in range(1, BATCHES)], 0.01)
-    lo = [None, *cuts]
-    for a, b in zip(lo, [*cuts, None]):
-        part = df.filter((F.lit(a).isNull() | (F.col("__s") >= F.lit(a))) & (F.lit(b).isNull() | (F.col("__s") < F.lit(b))))
-        part.drop("__s").coalesce(1).write.mode("append").parquet(path)
-    stored = spark.read.parquet(path).schema
-    return read_event_stream(spark, path, stored, files_per_trigger=1)
+BATCHES = 6
+FILE_ROWS = 100_000
 
 
-BATCHES = 4
+def _in_batches(df, name, jitter=0):
+    """A table with ``ts`` as a stream of BATCHES micro-batches or more, one file each, in time order.
 
+    The files follow the number of rows.  Rows without a time come first.  With ``jitter``, each
+    row is moved by up to so many minutes, by a hash: rows are then out of order across files.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    moved = F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")])
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(moved, F.lit(max(1, jitter * 60_000_000)))
+    pieces = max(BATCHES, -(-df.count() // FILE_ROWS))
+    # rows of one time, or of none, need not share a file
+    df.repartitionByRange(pieces, at, moved).write.parquet(path)
+    _in_order(spark, path)
+    return read_event_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
 
-def _timed(df):
-    return df.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")))
 
+def _in_order(spark, path):
+    """Let the files have been written one after the other, in the order of their names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")), key=str)
+    first = fs.getFileStatus(files[0]).getModificationTime() if files else 0
+    for i, file in enumerate(files):
+        fs.setTimes(file, first - 1000 * (len(files) - i), -1)
 
-def _event_batches(spark, sf):
-    return _in_batches(_timed(table(spark, sf, "events")), "event-files")
+
+def _event_batches(spark, sf, jitter=0):
+    return _in_batches(table(spark, sf, "events"), "event-files", jitter)
 
 
 def _points(spark, sf):
@@ -159,7 +170,7 @@ _SQL_STREAM_ALARMS = f"""WITH a(alarm, metric, stat, op, threshold, periods, per
   wins AS (SELECT alarm, slot, CASE any_value(stat) WHEN 'Sum' THEN sum(value) WHEN 'Average' THEN avg(value)
     ELSE CAST(count(*) AS DOUBLE) END AS value FROM pts GROUP BY ALL
     HAVING slot + 3600 <= epoch({_CLOSED})),
-  span AS (SELECT alarm, min(slot) AS lo, max(slot) AS hi FROM wins GROUP BY alarm),
+  span AS (SELECT alarm, min(slot) AS lo, CAST(floor(epoch({_CLOSED}) / 3600) * 3600 - 3600 AS BIGINT) AS hi FROM wins GROUP BY alarm),
   grid AS (SELECT a.*, unnest(generate_series(lo, hi, 3600)) AS slot FROM a JOIN span USING (alarm)),
   filled AS (SELECT g.*, w.value, coalesce(CASE WHEN op = '>' THEN w.value > threshold::DOUBLE
     ELSE w.value < threshold::DOUBLE END, FALSE) AS breach FROM grid g LEFT JOIN wins w USING (alarm, slot)),
@@ -173,12 +184,12 @@ _SQL_STREAM_ALARMS = f"""WITH a(alarm, metric, stat, op, threshold, periods, per
 
 @query("stream_alarms", _SQL_STREAM_ALARMS)
 def stream_alarms(spark, sf):
-    """Alarm changes over the windows the watermark has closed."""
+    """Alarm changes over the windows the watermark has closed, those without points included."""
     out = S.run_available(ST.alarm_stream(_points(spark, sf), ALARMS), "alarms")
     return out.withColumn("value", B.steady("value"))
 
 
-_FEED_CLOSED = "slot + period_s <= epoch((SELECT max(ts) FROM feed) - INTERVAL 10 MINUTE)"
+_FEED_CLOSED = "epoch((SELECT max(ts) FROM feed) - INTERVAL 10 MINUTE)"
 
 
 @query(
@@ -189,7 +200,7 @@ _FEED_CLOSED = "slot + period_s <= epoch((SELECT max(ts) FROM feed) - INTERVAL 1
 )
 def stream_default_alarms(spark, sf):
     """The default alarms, of two period lengths, over the feed as a stream of several batches."""
-    points = _in_batches(_timed(CM.feed(spark, sf)), "feed-files")
+    points = _in_batches(CM.feed(spark, sf), "feed-files")
     out = S.run_available(ST.alarm_stream(points, ST.K.ALARMS), "default-alarms")
     return out.withColumn("value", B.steady("value"))
 
@@ -203,61 +214,58 @@ _STATUS = """CASE WHEN value < 30 THEN 'Executing' WHEN value < 80 THEN 'Succeed
     f"""WITH s AS (SELECT event_id, event_type AS step, {_STATUS} AS status, ts FROM events),
     l AS (SELECT *, lag(status) OVER w AS previous_status FROM s
       WINDOW w AS (PARTITION BY step ORDER BY ts, event_id))
-    SELECT event_id, step, status, previous_status FROM l WHERE status IS DISTINCT FROM previous_status""",
+    SELECT event_id, step, status, previous_status FROM l WHERE status IS DISTINCT FROM previous_status
+      AND time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= {_CLOSED}""",
 )
 def stream_status_changes(spark, sf):
-    """Status changes over several micro-batches; equal to those of the whole table."""
-    steps = _event_batches(spark, sf).select(
+    """Status changes over micro-batches whose rows are out of order, up to the watermark; as of the whole table."""
+    steps = _event_batches(spark, sf, jitter=5).select(
         F.col("event_type").alias("step"), F.expr(_STATUS).alias("status"), "ts", "event_id"
     )
     changes = S.run_available(ST.status_change_stream(steps), "status")
     return changes.select("event_id", "step", "status", "previous_status")
 
 
-# the watermark of a join is that of its slower side
-_ASKED = " AND ".join(f"{B.SQL_SCORE.replace('doc_id', 'event_id')} {limit}" for limit in ("> 0.3::DOUBLE", "<= 0.8::DOUBLE"))
-_JOIN_CLOSED = f"""(SELECT least(max(ts), max(ts + CASE event_type WHEN 'click' THEN INTERVAL 1 MINUTE
-  WHEN 'error' THEN INTERVAL 1 HOUR END)) FROM events WHERE {_ASKED}) - INTERVAL 10 MINUTE"""
-
-
 @query(
     "stream_verdict_return",
-    f"""WITH s AS (SELECT event_id, ts, event_type = 'click' AS answered,
-      CASE WHEN value > 50 THEN 'block' ELSE 'allow' END AS act,
-      {B.SQL_SCORE.replace('doc_id', 'event_id')} AS score FROM events),
-    b AS (SELECT * FROM (SELECT *, score > 0.3::DOUBLE AND score <= 0.8::DOUBLE AS asked FROM s)
-      WHERE NOT asked OR answered OR ts + INTERVAL 10 MINUTE < {_JOIN_CLOSED})
+    f"""WITH s AS (SELECT event_id, ts, {B.SQL_SCORE.replace('doc_id', 'event_id')} AS score,
+      CASE WHEN event_type IN ('click', 'view') THEN CASE WHEN value > 80 THEN 'review' WHEN value > 50 THEN 'block' ELSE 'allow' END
+      END AS act FROM events),
+    b AS (SELECT *, score > 0.3::DOUBLE AND score <= 0.8::DOUBLE AS asked FROM s),
+    r AS (SELECT *, CASE WHEN asked THEN act END AS va FROM b)
     SELECT event_id, {B.sql_stamp('ts')} AS ts, score,
       CASE WHEN score > 0.8::DOUBLE THEN 'high' WHEN asked THEN 'borderline' ELSE 'low' END AS branch,
-      CASE WHEN asked AND NOT answered THEN NULL
-        WHEN score > 0.8::DOUBLE OR (asked AND act = 'block') THEN 'BLOCKED' ELSE 'ALLOWED' END
-        AS final_decision,
-      CASE WHEN asked AND NOT answered THEN 'review'
-        WHEN score > 0.8::DOUBLE OR (asked AND act = 'block') THEN 'block' ELSE 'allow' END AS action,
-      CASE WHEN asked AND NOT answered THEN 'medium' ELSE 'high' END AS confidence,
-      CASE WHEN asked AND NOT answered THEN '{CP.K.ROUTE_REASONS["fallback"]}'
-        WHEN score > 0.8::DOUBLE OR (asked AND act = 'block') THEN '{CP.K.ROUTE_REASONS["block"]}'
-        ELSE '{CP.K.ROUTE_REASONS["allow"]}' END AS reasoning,
-      asked AND NOT answered AS fallback_used FROM b""",
+      CASE WHEN asked AND va IS NULL THEN NULL WHEN score > 0.8::DOUBLE OR va = 'block' THEN 'BLOCKED'
+        WHEN va = 'review' THEN 'REVIEW' ELSE 'ALLOWED' END AS final_decision,
+      CASE WHEN asked AND va IS NULL THEN 'review' WHEN score > 0.8::DOUBLE OR va = 'block' THEN 'block'
+        WHEN va = 'review' THEN 'review' ELSE 'allow' END AS action,
+      CASE WHEN asked AND va IS NULL OR va = 'review' THEN 'medium' ELSE 'high' END AS confidence,
+      CASE WHEN asked AND va IS NULL THEN '{CP.K.ROUTE_REASONS["fallback"]}'
+        WHEN score > 0.8::DOUBLE OR va = 'block' THEN '{CP.K.ROUTE_REASONS["block"]}'
+        WHEN va = 'review' THEN '{CP.K.ROUTE_REASONS["review"]}' ELSE '{CP.K.ROUTE_REASONS["allow"]}' END AS reasoning,
+      asked AND va IS NULL AS fallback_used FROM r""",
 )
 def stream_verdict_return(spark, sf):
-    """Events as scored rows; borderline clicks and errors are answered, the errors too late.
+    """Events as scored rows; one decision for each, as the batch workflow gives it.
 
-    Rows that need no answer are all written.  Borderline ones the watermark may
-    still match stay in the state, so of those without answer only the ones older
-    than wait and delay are written.
+    Clicks and views get two answers in time, of which the newer counts, and a third, that is
+    late; errors get one that is late, other events none.  A heartbeat in both streams, a day
+    after the last event, lets every timer fire.
     """
-    events = _event_batches(spark, sf)
-    scored = events.select("event_id", "ts", fixture_score("event_id").alias("score"))
-    asked = borderline(fixture_score("event_id"), hi_closed=True)
-    answered = events.filter(asked & F.col("event_type").isin("click", "error"))
-    late = F.when(F.col("event_type") == "error", F.expr("INTERVAL 1 HOUR")).otherwise(
-        F.expr("INTERVAL 1 MINUTE")
-    )
-    answers = answered.select(
-        "event_id",
-        (F.col("ts") + late).alias("answer_ts"),
-        F.when(F.col("value") > 50, "block").otherwise("allow").alias("action"),
+    events = table(spark, sf, "events")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    beat = end.select(*[F.col(c) if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    live = _in_batches(events.unionByName(beat), "event-files", jitter=2)
+    scored = live.select("event_id", "ts", fixture_score("event_id").alias("score"))
+    act = F.when(F.col("value") > 80, "review").when(F.col("value") > 50, "block").otherwise("allow")
+    other = F.when(act == "allow", "block").otherwise("allow")
+    at = lambda minutes, action: F.struct(
+        (F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("answer_ts"), action.alias("action")
     )
-    out = S.run_available(S.verdict_return_stream(scored, answers, "event_id"), "verdict-return")
-    return out.withColumn("ts", stamp("ts"))
+    given = F.when(F.col("event_type").isin("click", "view"), F.array(at(4, act), at(1, other), at(11, other)))
+    given = given.when(F.col("event_type") == "error", F.array(at(60, other)))
+    given = given.when(F.col("event_id").isNull(), F.array(at(0, F.lit(None).cast("string"))))
+    asked = borderline(fixture_score("event_id"), hi_closed=True) | F.col("event_id").isNull()
+    answers = live.filter(asked).select("event_id", F.explode(given).alias("a")).select("event_id", "a.*")
+    out = S.run_available(ST.verdict_return_stream(scored, answers, "event_id"), "verdict-return")
+    return out.filter("event_id IS NOT NULL").withColumn("ts", stamp("ts"))

@@ -114,7 +114,8 @@ def route_workflow(scored: DataFrame, verdicts: DataFrame, key: str = "doc_id")
     """
     rows = scored.withColumn("__ask", F.coalesce(borderline("score", hi_closed=True), F.lit(False)))
     order = F.struct(*(["ts"] if "ts" in verdicts.columns else []), "action")
-    one = verdicts.filter("action IS NOT NULL").groupBy(key).agg(F.max_by("action", order).alias("__action"))
+    # rows without action have no order and are passed over; a filter would compute the action twice
+    one = verdicts.groupBy(key).agg(F.max_by("action", F.when(F.col("action").isNotNull(), order)).alias("__action"))
     answers = one.select(F.col(key).alias("__key"), "__action")
     joined = rows.join(answers, (rows[key] == answers["__key"]) & rows["__ask"], "left")
     routed = joined.withColumn("__r", route("score", "__action"))

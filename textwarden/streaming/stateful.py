@@ -1,17 +1,24 @@
-"""Stateful streams: alarms over closed windows and status changes of steps."""
+"""Stateful streams: alarms over closed windows, status changes in event order, waiting for answers.
+
+What a key keeps is released by event-time timers, which fire when the watermark passes
+them, so nothing has to arrive for the key itself.  The keys of the state are narrow (an
+alarm, a step in a piece of time, a row that waits), so no key holds more than a piece of
+the stream.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from textwarden import constants as K
+from textwarden.functions.policy import route
+from textwarden.functions.scores import borderline
 from textwarden.operators.alarms import alarm_points, breaches
 from textwarden.streaming.streams import event_time
 
@@ -20,34 +27,61 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 ALARM_OUTPUT = "alarm STRING, slot BIGINT, state STRING, value DOUBLE"
 
 
+def with_state(
+    rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, output: str | StructType, timers: bool
+) -> DataFrame:
+    """A stream through a state processor, one state per key."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(*keys).transformWithState(
+        statefulProcessor=processor,
+        outputStructType=output,
+        outputMode="Append",
+        timeMode="EventTime" if timers else "None",
+    )
+
+
+def before(ms: int) -> int:
+    """The timer that fires once the watermark has reached a time: timers fire when it is past them."""
+    return ms - 1
+
+
 class AlarmProcessor(StatefulProcessor):
     """Counts the breaches in a row per alarm and reports when it goes on or off.
 
-    Its input is one row per closed window, its state three numbers per alarm.
+    Its input is one row per closed window, its state three numbers per alarm.  A window
+    without points is none of its rows: a timer at the window's end stands for it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "slot BIGINT, run BIGINT, on BOOLEAN")
+        self.handle = handle
+        self.state = handle.getValueState("run", "slot BIGINT, period BIGINT, run BIGINT, is_on BOOLEAN")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        windows = pd.concat(list(rows)).sort_values("slot")
-        last, run, on = self.state.get() if self.state.exists() else (None, 0, False)
-        out = []
-        for w in windows.itertuples():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, period, run, on = self.state.get() if self.state.exists() else (None, None, 0, False)
+        for w in sorted(rows, key=lambda w: w.slot):
             period, needed = int(w.period_s), int(w.periods)
             if last is not None and w.slot > last + period:
                 # the windows in between have no points, so they do not breach
                 run = 0
                 if on:
-                    out.append((key[0], last + period, "OK", None))
+                    yield Row(alarm=key[0], slot=last + period, state="OK", value=None)
                     on = False
             run = run + 1 if w.breach else 0
             if (run >= needed) != on:
                 on = run >= needed
-                out.append((key[0], int(w.slot), "ALARM" if on else "OK", float(w.value)))
+                yield Row(alarm=key[0], slot=int(w.slot), state="ALARM" if on else "OK", value=w.value)
             last = int(w.slot)
-        self.state.update((last, run, on))
-        yield pd.DataFrame(out, columns=["alarm", "slot", "state", "value"])
+        self.state.update((last, period, run, on))
+        if run:
+            self.handle.registerTimer(before(1000 * (last + 2 * period)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, period, run, on = self.state.get()
+        # a window may have come since the timer was set
+        if run and before(1000 * (last + 2 * period)) <= expiredTimerInfo.getExpiryTimeInMs():
+            if on:
+                yield Row(alarm=key[0], slot=last + period, state="OK", value=None)
+            self.state.update((last, period, 0, False))
 
     def close(self) -> None:
         pass
@@ -59,10 +93,11 @@ def alarm_stream(
     """State changes of all alarms over a stream of metric points, in append mode.
 
     Points are summed per alarm and window first; only closed windows reach the
-    state, a handful of rows per alarm whatever the number of points.  Alarms of
-    one period share a branch of the stream; the branches are put together.
+    state, a handful of rows per alarm whatever the number of points.  A metric that falls
+    silent does not breach: its alarm goes off when the watermark passes the end of the
+    first empty window.  Alarms of one period share a branch of the stream; the branches
+    are put together.
     """
-    metrics.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     points = event_time(metrics, "ts", delay)
     periods = sorted({row[6] for row in alarms})
     branches = [_alarm_branch(points, [row for row in alarms if row[6] == p], p) for p in periods]
@@ -90,57 +125,239 @@ def _alarm_branch(points: DataFrame, alarms: Sequence[tuple], period: int) -> Da
         "value",
         breaches(F.col("value"), F.col("op"), F.col("threshold")).alias("breach"),
     )
-    return closed.groupBy("alarm").transformWithStateInPandas(
-        statefulProcessor=AlarmProcessor(),
-        outputStructType=ALARM_OUTPUT,
-        outputMode="Append",
-        timeMode="None",
-    )
+    return with_state(closed, ["alarm"], AlarmProcessor(), ALARM_OUTPUT, timers=True)
+
+
+class ReorderProcessor(StatefulProcessor):
+    """Keeps the events of a step in a piece of time until the watermark has passed it, then
+    gives those whose status differs from the one before, in event order.
+
+    The first event of a piece is always given, together with the last status of the piece:
+    only the pieces in their order can tell whether it is a change.
+    """
+
+    def __init__(self, names: Sequence[str], buffer: StructType, slice_ms: int):
+        self.names, self.buffer, self.slice_ms = [*names, "previous_status", "__first", "__last"], buffer, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", self.buffer)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        width = len(self.buffer)  # what is kept are the last columns: the order, then the status
+        self.events.appendList([tuple(r)[-width:] for r in rows])
+        self.handle.registerTimer(before(key[-1] + self.slice_ms))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        named = Row(*self.names)
+        events = [tuple(e) for e in self.events.get()]
+        events.sort(key=lambda e: [(x is not None, x) for x in e[:-1]])
+        self.events.clear()
+        previous = None
+        for i, event in enumerate(events):
+            if not i or event[-1] != previous:
+                yield named(*key, *event, previous, not i, events[-1][-1])
+            previous = event[-1]
+
+    def close(self) -> None:
+        pass
 
 
 class StatusProcessor(StatefulProcessor):
-    """Remembers the last status of a step and reports the events that change it."""
+    """Remembers the last status of a step and passes the events that change it.
+
+    Its input is in pieces of time: a piece's first event, marked, with the last status of the
+    piece, and the changes inside the piece, which are changes whatever came before.
+    """
 
-    def __init__(self, names: list[str], order: list[str]):
-        self.names, self.order = names, order
+    def __init__(self, names: Sequence[str]):
+        self.names = list(names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "status STRING")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        named, firsts = Row(*self.names, "previous_status"), []  # one per piece that this batch closes
+        for r in rows:
+            if r["__first"]:
+                firsts.append(r)
+            else:
+                yield named(*(r[c] for c in self.names), r["previous_status"])
         known = self.state.exists()
         last = self.state.get()[0] if known else None
-        status = events["status"].astype(object).where(events["status"].notna(), None)
-        previous = status.shift(1)
-        previous.iloc[0] = last
-        previous = previous.where(previous.notna(), None)
-        first = pd.Series(False, index=events.index)
-        first.iloc[0] = not known
-        changed = first.to_numpy() | np.array([a != b for a, b in zip(status, previous)])
-        out = events.assign(status=status, previous_status=previous)[[*self.names, "previous_status"]]
-        self.state.update((status.iloc[-1],))
-        yield out[changed]
+        for r in sorted(firsts, key=lambda r: r["__slice"]):
+            if not known or r["status"] != last:
+                yield named(*(r[c] for c in self.names), last)
+            known, last = True, r["__last"]
+        if firsts:
+            self.state.update((last,))
 
     def close(self) -> None:
         pass
 
 
 def status_change_stream(
-    events: DataFrame, by: Sequence[str] = ("step",), order: Sequence[str] = ("ts", "event_id")
+    events: DataFrame,
+    by: Sequence[str] = ("step",),
+    order: Sequence[str] = ("ts", "event_id"),
+    delay: str = "10 minutes",
+    piece_s: int = 600,
 ) -> DataFrame:
     """The events of a stream whose status differs from the one before, per step; the first counts.
 
-    The rows of a step are sorted within a micro-batch, whose size the source
-    limits; between batches only the last status of each step is kept, by the
-    state store.  Events are expected in the order of the batches.
+    The first column of ``order`` is the event time.  Events may come in any order within the
+    delay: they wait until the watermark has passed their piece of time of ``piece_s`` seconds,
+    and are then compared in their order.  A key of the first state is a step in one piece, so
+    a busy step is spread over as many keys as pieces are open, and a task holds the events of
+    a piece at most; the second state has one status per step, and meets one event per piece.
+    Events older than the watermark are left out, and counted by Spark as late; so are events
+    without a time, which have no place in the order.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = events.select(*by, *order, "status")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(*by).transformWithStateInPandas(
-        statefulProcessor=StatusProcessor(rows.columns, list(order)),
-        outputStructType=f"{fields}, previous_status STRING",
-        outputMode="Append",
-        timeMode="None",
+    ts, *rest = order
+    timed = event_time(events.filter(F.col(ts).isNotNull()), ts, delay)
+    micros, piece = F.unix_micros(ts), 1000 * piece_s
+    slice_ms = (F.floor(F.unix_micros(ts) / (1000 * piece)) * piece).cast("bigint")
+    # the time goes through the state as a number, whatever the time zone of the workers; the
+    # column itself stays in the input, by which Spark knows late events
+    rows = timed.select(*by, slice_ms.alias("__slice"), ts, micros.alias("__at"), *rest, "status")
+    kept = rows.drop(*by, "__slice", ts).schema
+    named = [*by, "__slice", *kept.names]
+    ordered = StructType([rows.schema[c] for c in named])
+    for name, kind in (("previous_status", "string"), ("__first", "boolean"), ("__last", "string")):
+        ordered = ordered.add(name, kind)
+    changes = StructType([*(rows.schema[c] for c in (*by, *kept.names)), ordered["previous_status"]])
+    sorted_ = with_state(rows, [*by, "__slice"], ReorderProcessor(named, kept, piece), ordered, timers=True)
+    found = with_state(sorted_, by, StatusProcessor(changes.names[:-1]), changes, timers=False)
+    back = F.timestamp_micros("__at").cast(events.schema[ts].dataType).alias(ts)
+    return found.select(*by, back, *rest, "status", "previous_status")
+
+
+class VerdictProcessor(StatefulProcessor):
+    """Keeps rows that wait for an answer, and answers, under the key of both.
+
+    A row leaves when its wait is over, by a timer of its own, with the newest answer that
+    came in time, or none.  Answers go when no row can need them any more.
+    """
+
+    def __init__(self, names: Sequence[str], waiting: StructType, wait_ms: int):
+        self.names, self.waiting, self.wait_us = [*names, "__action"], waiting, 1000 * wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.waiting)
+        self.answers = handle.getListState("answers", "at BIGINT, action STRING")
+
+    @staticmethod
+    def _over(us: int) -> int:
+        """The first millisecond after a time in microseconds."""
+        return us // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        waiting, answers = [], []
+        for r in rows:
+            if r["__answer"]:
+                answers.append((r["__at"], r["__action"]))
+                self.handle.registerTimer(self._over(r["__at"]))
+            else:
+                waiting.append(tuple(r[c] for c in self.waiting.names))
+                self.handle.registerTimer(self._over(r["__at"] + self.wait_us))
+        if waiting:
+            self.rows.appendList(waiting)
+        if answers:
+            self.answers.appendList(answers)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        named, at = Row(*self.names), self.waiting.names.index("__at")
+        rows = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        answers = [tuple(a) for a in self.answers.get()] if self.answers.exists() else []
+        left = []
+        for r in rows:
+            if self._over(r[at] + self.wait_us) > now:
+                left.append(r)
+                continue
+            in_time = [a for a in answers if r[at] <= a[0] <= r[at] + self.wait_us and a[1] is not None]
+            yield named(*key, *r, max(in_time)[1] if in_time else None)
+        needed = lambda a: self._over(a[0]) > now or any(r[at] <= a[0] <= r[at] + self.wait_us for r in left)
+        self._put(self.rows, rows, left)
+        self._put(self.answers, answers, [a for a in answers if needed(a)])
+
+    @staticmethod
+    def _put(state, had: list, kept: list) -> None:
+        if kept and len(kept) < len(had):
+            state.put(kept)
+        elif had and not kept:
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def answered_rows(
+    waiting: DataFrame, answers: DataFrame, key: str, wait: str = "10 minutes", delay: str = "10 minutes"
+) -> DataFrame:
+    """The rows of a stream, each once, with ``__action``: the newest answer that came within the wait, or NULL.
+
+    ``waiting`` has the key and ts; ``answers`` has the key, answer_ts and action.  A row leaves when
+    the slower of the two streams, less the delay, has passed ts plus wait; its timer needs no
+    row of the same key.  Rows that come late wait like others, for no time: none is lost.
+    Rows of either stream with a null key are not kept, but move its time on (heartbeats).
+    """
+    spark = waiting.sparkSession
+    wait_ms = spark.range(1).select(F.expr(f"unix_millis(timestamp_millis(0) + INTERVAL {wait})")).first()[0]
+    kept = [c for c in waiting.columns if c not in (key, "ts")]
+    kind = waiting.schema[key].dataType
+    asked = _clocked(waiting, "ts", delay, key).select(
+        key, F.lit(False).alias("__answer"), F.unix_micros(F.col("ts").cast("timestamp")).alias("__at"), *kept,
+        F.lit(None).cast("string").alias("__action"),
+    )
+    given = _clocked(answers, "answer_ts", delay, key).select(
+        F.col(key).cast(kind).alias(key),
+        F.lit(True).alias("__answer"),
+        F.unix_micros(F.col("answer_ts").cast("timestamp")).alias("__at"),
+        *[F.lit(None).cast(waiting.schema[c].dataType).alias(c) for c in kept],
+        F.col("action").alias("__action"),
     )
+    both = asked.unionByName(given)
+    state = StructType([both.schema["__at"], *(both.schema[c] for c in kept)])
+    out = StructType([both.schema[key], *state.fields, both.schema["__action"]])
+    decided = with_state(both, [key], VerdictProcessor(out.names[:-1], state, wait_ms), out, timers=True)
+    ts = F.timestamp_micros("__at").alias("ts")
+    return decided.withColumn("ts", ts).select(*[F.col(c) for c in waiting.columns], "__action")
+
+
+def _clocked(df: DataFrame, ts: str, delay: str, key: str) -> DataFrame:
+    """The rows with a key and a time; the others, too, move the watermark, but no row is late by it.
+
+    The watermark is of a column that the state does not see, so Spark drops none of its rows.
+    """
+    clock = event_time(df.withColumn("__clock", F.col(ts)), "__clock", delay)
+    # one condition over the clock as well, so that it is not moved below the watermark
+    keep = F.when(F.col("__clock").isNull(), F.lit(False)).otherwise(F.col(key).isNotNull())
+    return clock.filter(keep).drop("__clock")
+
+
+def verdict_return_stream(
+    scored: DataFrame,
+    answers: DataFrame,
+    key: str = "doc_id",
+    wait: str = "10 minutes",
+    delay: str = "10 minutes",
+) -> DataFrame:
+    """One decision per scored row: by the newest reviewer action that came within the wait, else review.
+
+    ``scored`` has key, ts and score; ``answers`` has key, answer_ts and action.  Rows that need no
+    answer leave at once, as do rows without a key or a time, which cannot wait.  Only
+    borderline rows are kept in the state; one without an answer in time leaves with the
+    fallback decision when its timer fires.
+    """
+    asked = F.coalesce(borderline("score", hi_closed=True), F.lit(False))
+    can_wait = F.col(key).isNotNull() & F.col("ts").isNotNull()
+    # rows that do not wait have no key here: they only move the time on
+    queue = scored.withColumn(key, F.when(asked, F.col(key)))
+    decided = answered_rows(queue, answers, key, wait, delay)
+    rest = scored.filter(~(asked & can_wait)).withColumn("ts", F.col("ts").cast("timestamp"))
+    rest = rest.select(*scored.columns, F.lit(None).cast("string").alias("__action"))
+    return decided.unionByName(rest).withColumn("__r", route("score", "__action")).select(*scored.columns, "__r.*")

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textwarden.functions.policy import route
-from textwarden.functions.scores import borderline
 from textwarden.operators.decisions import blocked_alerts
 from textwarden.plans.moderation import moderate, prepare
 from textwarden.session import fresh_path
@@ -61,34 +59,6 @@ def windowed_metrics_stream(
     )
 
 
-def verdict_return_stream(
-    scored: DataFrame,
-    answers: DataFrame,
-    key: str = "doc_id",
-    wait: str = "10 minutes",
-    delay: str = "10 minutes",
-) -> DataFrame:
-    """Scored rows with the reviewer action that came within the wait, else routed to review.
-
-    ``scored`` has key, ts and score; ``answers`` has key, answer_ts and action.
-    Rows that need no answer leave at once.  Only borderline rows are joined and
-    kept in the state, for the wait and the delay; one whose answer is late
-    leaves with the fallback decision.
-    """
-    asked = F.coalesce(borderline("score", hi_closed=True), F.lit(False))
-    left = event_time(scored.filter(asked), "ts", delay).alias("s")
-    right = event_time(answers, "answer_ts", delay).select(
-        F.col(key).alias("__key"), "answer_ts", F.col("action").alias("__action")
-    )
-    in_time = F.expr(f"answer_ts >= ts AND answer_ts <= ts + INTERVAL {wait}")
-    joined = left.join(right, (F.col(f"s.{key}") == F.col("__key")) & in_time, "leftOuter")
-    decided = joined.select(*[f"s.{c}" for c in scored.columns], route("score", "__action").alias("__r"))
-    no_action = F.lit(None).cast("string")
-    rest = scored.filter(~asked).withColumn("ts", F.col("ts").cast("timestamp"))
-    rest = rest.select(*scored.columns, route("score", no_action).alias("__r"))
-    return decided.unionByName(rest).select(*scored.columns, "__r.*")
-
-
 ONCE = {"availableNow": True}  # all files that are there, then the stream ends
 
 

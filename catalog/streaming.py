@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from catalog import _base as B
 from catalog import policy as CP
 from catalog import monitoring as CM
-from catalog._base import fixture_score, query, stamp, table
+from catalog._base import ORACLES, fixture_score, query, stamp, table
 from textwarden import schemas
 from textwarden.functions.policy import route
 from textwarden.functions.scores import borderline
@@ -57,6 +59,13 @@ def _in_order(spark, path):
         fs.setTimes(file, first - 1000 * (len(files) - i), -1)
 
 
+def _with_heartbeat(df):
+    """The rows and one more, a day after the last of them, that has nothing but its time."""
+    end = df.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != "ts"]
+    return df.unionByName(end.select("ts", *empty))
+
+
 def _event_batches(spark, sf, jitter=0):
     return _in_batches(table(spark, sf, "events"), "event-files", jitter)
 
@@ -252,10 +261,7 @@ def stream_verdict_return(spark, sf):
     late; errors get one that is late, other events none.  A heartbeat in both streams, a day
     after the last event, lets every timer fire.
     """
-    events = table(spark, sf, "events")
-    end = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
-    beat = end.select(*[F.col(c) if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
-    live = _in_batches(events.unionByName(beat), "event-files", jitter=2)
+    live = _in_batches(_with_heartbeat(table(spark, sf, "events")), "event-files", jitter=2)
     scored = live.select("event_id", "ts", fixture_score("event_id").alias("score"))
     act = F.when(F.col("value") > 80, "review").when(F.col("value") > 50, "block").otherwise("allow")
     other = F.when(act == "allow", "block").otherwise("allow")
@@ -269,3 +275,55 @@ def stream_verdict_return(spark, sf):
     answers = live.filter(asked).select("event_id", F.explode(given).alias("a")).select("event_id", "a.*")
     out = S.run_available(ST.verdict_return_stream(scored, answers, "event_id"), "verdict-return")
     return out.filter("event_id IS NOT NULL").withColumn("ts", stamp("ts"))
+
+
+@query("stream_false_positive_share", ORACLES["false_positive_share"])
+def stream_false_positive_share(spark, sf):
+    """The share over a stream of decisions and one of labels, some of which are sent twice; as in batch."""
+    decided = CM.decisions(spark, sf).select("doc_id", "ts", "action")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    minutes = F.make_dt_interval(mins=(F.col("doc_id") % 50).cast("int"))
+    sent = decided.select("doc_id", "ts").join(labels, "doc_id").withColumn("ts", F.col("ts") + minutes)
+    again = sent.filter("doc_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+    decisions = _in_batches(_with_heartbeat(decided), "decision-files")
+    given = _in_batches(_with_heartbeat(sent.unionByName(again)), "label-files").withColumnRenamed("ts", "label_ts")
+    points = S.false_positive_stream(decisions, given)
+    return CM._share(S.run_available(points, "false-positives"))
+
+
+@query(
+    "stream_row_counts",
+    f"""WITH late AS (SELECT event_id % 7 = 3 AND ts < (SELECT max(ts) FROM events WHERE event_id % 7 <> 3) - INTERVAL 10 MINUTE
+        AS late FROM events)
+    SELECT 'status' AS stream, count(*) + 2 AS rows_in, count(*) FILTER (WHERE late) AS late FROM late
+    UNION ALL SELECT 'decisions', count(*) + 2, 0 FROM late""",
+)
+def stream_row_counts(spark, sf):
+    """A seventh of the events comes after all others: status changes refuse them as late, decisions lose none.
+
+    Summed over the batches of each stream, from its progress events.
+    """
+    events = table(spark, sf, "events")
+    path = fresh_path(spark, "late-files")
+    on_time = events.filter("event_id % 7 <> 3")
+    beat = on_time.agg(F.max("ts").alias("ts"))
+    beat = beat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    on_time.repartitionByRange(BATCHES, "ts").write.parquet(path)
+    _in_order(spark, path)
+    for part in (beat, beat, events.filter("event_id % 7 = 3").repartition(BATCHES)):
+        part.write.mode("append").parquet(path)
+        time.sleep(0.01)  # files are read in the order of their times, of a millisecond
+    live = S.counted(read_event_stream(spark, path, events.schema, files_per_trigger=1), "rows_in")
+    steps = live.select(F.col("event_type").alias("step"), F.expr(_STATUS).alias("status"), "ts", "event_id")
+    scored = live.select("event_id", "ts", F.when(F.col("event_id").isNotNull(), 0.9).alias("score"))
+    none = F.lit(None).cast("string")
+    decided = scored.select("event_id", route("score", none).alias("r")).select("event_id", "r.*")
+    counts = []
+    for name, stream in (("status", ST.status_change_stream(steps)), ("decisions", decided)):
+        _, log = S.run_counted(stream, name)
+        total = log.agg(*[F.sum(c).alias(c) for c in ("rows_in", "late", "rows_out")])
+        counts.append(total.select(F.lit(name).alias("stream"), "rows_in", "late", "rows_out"))
+    status, decisions = counts
+    # a decision per row, late ones as well
+    whole = decisions.filter("rows_out = rows_in")
+    return status.unionByName(whole).drop("rows_out")

@@ -78,6 +78,51 @@ def decision_log_table(spark, sf):
     return log.withColumn("ts", stamp("ts")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query(
+    "repeated_log_runs",
+    f"""WITH {CP.SQL_ROUTED}, l AS (SELECT doc_id, action, {CP.SQL_LOGGED} AS logged_at FROM workflow)
+    SELECT 'run-' || doc_id AS execution_id, action, strftime(logged_at, '%Y-%m-%d') AS day,
+      CASE WHEN doc_id % 3 = 0 THEN 'morning' ELSE 'evening' END AS run FROM l
+    WHERE doc_id % 3 <> 0 OR strftime(logged_at, '%d') <> '03'""",
+)
+def repeated_log_runs(spark, sf):
+    """A log written by two runs over the same days, each repeated; one of them without the rows of one day."""
+    path = fresh_path(spark, "log-runs")
+    logged = CP.logged(spark, sf)
+    morning, evening = logged.filter("doc_id % 3 = 0"), logged.filter("doc_id % 3 <> 0")
+    again = morning.filter(F.date_format("ts", "dd") != "03")
+    for run, rows in (("morning", morning), ("evening", evening), ("evening", evening), ("morning", again)):
+        sinks.write_run(D.decision_log(rows), path, run)
+    log = spark.read.parquet(path)
+    return log.select("execution_id", "action", F.date_format("day", "yyyy-MM-dd").alias("day"), "run")
+
+
+_STREAM = "CASE event_type WHEN 'click' THEN 'prediction' WHEN 'error' THEN 'alerts' WHEN 'view' THEN 'api-access' ELSE 'other' END"
+#: The events' thirty days, spread over four months.
+_SPREAD = "CAST(ts AS DATE) + CAST((event_id % 4) * 30 AS INTEGER)"
+
+
+@query(
+    "retention_folders",
+    f"""WITH e AS (SELECT event_id, {_STREAM} AS stream, CAST({_SPREAD} AS DATE) AS day FROM events),
+    k AS (SELECT *, CASE stream WHEN 'prediction' THEN 30 WHEN 'api-access' THEN 30 WHEN 'alerts' THEN 7 END AS days,
+      (SELECT max(day) FROM e) AS newest FROM e),
+    x AS (SELECT *, days IS NOT NULL AND day < newest - CAST(days AS INTEGER) AS due FROM k)
+    SELECT stream, strftime(day, '%Y-%m-%d') AS day, count(*) AS rows, due FROM x GROUP BY ALL""",
+)
+def retention_folders(spark, sf):
+    """A log of 120 days in four streams after the due day folders were dropped: rows left, and folders gone."""
+    path = fresh_path(spark, "retention")
+    day = F.expr("date_add(CAST(ts AS DATE), CAST((event_id % 4) * 30 AS INT))")
+    log = table(spark, sf, "events").select("event_id", F.expr(_STREAM).alias("stream"), day.alias("day"))
+    sinks.write_table(log, path, ["stream", "day"])
+    written = log.groupBy("stream", "day").agg(F.count("*").alias("rows"))
+    gone = sinks.drop_expired(spark, path, log.agg(F.max("day")).first()[0])
+    left = spark.read.schema(log.schema).parquet(path).groupBy("stream", "day").agg(F.count("*").alias("rows"), F.lit(False).alias("due"))
+    dropped = written.join(gone.filter("files > 0 AND bytes > 0").select("stream", "day"), ["stream", "day"]).withColumn("due", F.lit(True))
+    return left.unionByName(dropped).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query(
     "registry_table",
     f"""WITH {CR.SQL_REGISTRY} SELECT kind, name, status, CAST(event_id AS VARCHAR) AS event

@@ -1,5 +1,7 @@
 """Readers and writers, and scorers from outside."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,53 @@ def test_unknown_modes():
         from textwarden.functions.text import preview
 
         preview("t", 3, "sometimes")
+
+
+def folder_rows(spark, path):
+    return sorted(tuple(r) for r in spark.read.parquet(path).selectExpr("id", "CAST(day AS STRING)").collect())
+
+
+def test_a_second_day_leaves_the_first(spark):
+    path = fresh_path(spark, "days")
+    day = lambda ids, d: spark.createDataFrame([(i, d) for i in ids], "id INT, day STRING")
+    sinks.write_table(day([1, 2], "2024-01-01"), path, ["day"])
+    sinks.write_table(day([3], "2024-01-02"), path, ["day"])
+    sinks.write_table(day([4], "2024-01-02"), path, ["day"])
+    assert folder_rows(spark, path) == [(1, "2024-01-01"), (2, "2024-01-01"), (4, "2024-01-02")]
+    sinks.write_table(day([5], "2024-01-03"), path, ["day"], whole=True)
+    assert folder_rows(spark, path) == [(5, "2024-01-03")]
+
+
+def test_a_run_replaces_what_it_wrote_and_nothing_else(spark):
+    path = fresh_path(spark, "runs")
+    rows = lambda *ids: spark.createDataFrame([(i, f"2024-01-0{1 + i % 3}") for i in ids], "id INT, day STRING")
+    got = lambda: {(r["id"], r["run"]) for r in spark.read.parquet(path).collect()}
+    sinks.write_run(rows(0, 1, 2), path, "a")
+    sinks.write_run(rows(3, 4, 5), path, "b/ü=1")
+    assert got() == {(i, "a") for i in range(3)} | {(i, "b/ü=1") for i in (3, 4, 5)}
+    for _ in range(2):
+        folders = sinks.write_run(rows(3, 4, 5), path, "b/ü=1")
+    assert folders.count() == 3
+    folders = sinks.write_run(rows(0, 3), path, "a")  # the other two days have no row of it any more
+    assert got() == {(0, "a"), (3, "a")} | {(i, "b/ü=1") for i in (3, 4, 5)}
+    assert folders.count() == 1 and folders.first()["bytes"] > 0
+    sinks.write_run(rows(), path, "a")
+    assert got() == {(i, "b/ü=1") for i in (3, 4, 5)}
+
+
+def test_expired_days_go_as_folders(spark):
+    path, as_of = fresh_path(spark, "retention"), dt.date(2024, 5, 1)
+    days = [as_of - dt.timedelta(days=n) for n in (0, 6, 7, 8, 29, 30, 31, 89, 90, 91, 400)]
+    streams = ["prediction", "model-performance", "alerts", "unknown"]
+    rows = [(s, d) for s in streams for d in days] + [("alerts", None), (None, as_of - dt.timedelta(days=900))]
+    log = spark.createDataFrame(rows, "stream STRING, day DATE")
+    sinks.write_table(log.withColumn("x", F.lit(1)), path, ["stream", "day"])
+    gone = sinks.drop_expired(spark, path, as_of)
+    keep = {"prediction": 30, "model-performance": 90, "alerts": 7}
+    want = {(s, d) for s, d in rows if s in keep and d and d < as_of - dt.timedelta(days=keep[s])}
+    assert {(r["stream"], r["day"]) for r in gone.collect()} == want and len(want) == 2 + 5 + 8
+    assert all(r["files"] == 1 and r["bytes"] > 0 for r in gone.collect())
+    left = spark.read.schema("x INT, stream STRING, day DATE").parquet(path).collect()
+    assert {(r["stream"], r["day"]) for r in left} == set(rows) - want
+    assert sinks.drop_expired(spark, path, as_of).count() == 0
+    assert sinks.drop_expired(spark, fresh_path(spark, "no-log"), as_of).count() == 0

@@ -129,7 +129,11 @@ def false_positive_pct(
     environment: str = "Production",
 ) -> DataFrame:
     """Share of harmless rows that were flagged, per window, in percent: a point per window."""
-    labelled = decisions.join(labels.select(key, "label"), key)
+    return false_positive_points(decisions.join(labels.select(key, "label"), key), window, environment)
+
+
+def false_positive_points(labelled: DataFrame, window: str = "15 minutes", environment: str = "Production") -> DataFrame:
+    """The same from decisions that carry their label, batch or stream."""
     flagged = F.col("action") != "allow"
     return _percent(labelled, window, "FalsePositiveRate", flagged, F.col("label") == 0, environment)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from textwarden.operators.decisions import blocked_alerts
+from textwarden.operators.metrics import false_positive_points
 from textwarden.plans.moderation import moderate, prepare
 from textwarden.session import fresh_path
 
@@ -59,6 +61,32 @@ def windowed_metrics_stream(
     )
 
 
+def false_positive_stream(
+    decisions: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    window: str = "15 minutes",
+    wait: str = "1 hour",
+    delay: str = "10 minutes",
+    environment: str = "Production",
+) -> DataFrame:
+    """Share of harmless rows that were flagged, per closed window of a stream: a metric point each.
+
+    ``decisions`` has key, ts and action; ``labels`` has key, label_ts and label.  A label counts if
+    it comes within the wait after the decision; the same label sent again within the delay
+    counts once.  Two states in a row: the join keeps a decision for the wait, the windows
+    behind it keep two numbers each, and close when no decision in them can be labelled any
+    more.  Rows with a null key only move the time on.
+    """
+    left = event_time(decisions.select(key, "ts", "action"), "ts", delay)
+    right = event_time(labels.select(key, "label_ts", "label"), "label_ts", delay)
+    once = right.dropDuplicatesWithinWatermark([key])
+    right = once.select(F.col(key).alias("__key"), "label_ts", "label")
+    in_time = F.expr(f"label_ts >= ts AND label_ts <= ts + INTERVAL {wait}")
+    labelled = left.join(right, (F.col(key) == F.col("__key")) & in_time)
+    return false_positive_points(labelled, window, environment)
+
+
 ONCE = {"availableNow": True}  # all files that are there, then the stream ends
 
 
@@ -91,6 +119,72 @@ def run_available(
     return spark.read.schema(stream.schema).parquet(out)
 
 
+COUNTS = "batch LONG, rows_in LONG, late LONG, rows_out LONG"
+
+
+def run_counted(
+    stream: DataFrame, name: str, source: str = "rows_in", out: str | None = None, state: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Process all files that are there; what was written, and per batch the rows in, late and out.
+
+    ``source`` is the name under which ``counted`` counts the rows of the source.  Late are the
+    rows that operators with a state have refused because the watermark had passed them.
+    """
+    spark = stream.sparkSession
+    out = out or fresh_path(spark, name)
+    state = state or fresh_path(spark, f"{name}-progress")
+    log = ProgressLog(source)
+    spark.streams.addListener(log)
+    try:
+        query = start(counted(stream, "rows_out"), out, state, trigger=ONCE)
+        log.watch(query)
+        finish(query)
+        log.wait()
+    finally:
+        spark.streams.removeListener(log)
+    return spark.read.schema(stream.schema).parquet(out), spark.createDataFrame(log.rows(), COUNTS)
+
+
+def counted(df: DataFrame, name: str) -> DataFrame:
+    """The same stream; its progress tells how many rows have passed here."""
+    return df.observe(name, F.count(F.lit(1)).alias("n"))
+
+
+class ProgressLog(StreamingQueryListener):
+    """The counts of every batch of one query, from its progress events: a row of numbers per batch."""
+
+    def __init__(self, source: str):
+        self.source, self.run, self.seen, self.over = source, None, {}, threading.Event()
+
+    def watch(self, query: StreamingQuery) -> None:
+        self.run = str(query.runId)
+
+    def wait(self, seconds: float = 60) -> None:
+        """Until the events, which come after the batches they tell of, are all there."""
+        if not self.over.wait(seconds):
+            raise TimeoutError("the stream's last progress event did not come")
+
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        return [counts for (run, _), counts in sorted(self.seen.items()) if run == self.run]
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        passed = {name: row["n"] for name, row in p.observedMetrics.items()}
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        counts = (p.batchId, passed.get(self.source, 0), late, passed.get("rows_out", 0))
+        self.seen[str(p.runId), p.batchId] = counts
+
+    def onQueryTerminated(self, event) -> None:
+        if self.run in (None, str(event.runId)):
+            self.over.set()
+
+
 def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception():

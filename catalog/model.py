@@ -9,6 +9,7 @@ from catalog import policy as CP
 from catalog import text as CT
 from catalog._base import big, documents, fixture_score, query, table
 from textwarden.operators import evaluate as E
+from textwarden.operators import registry as RG
 from textwarden.operators import reports as R
 from textwarden.operators import splits as X
 from textwarden.operators import terms as TM
@@ -16,6 +17,9 @@ from textwarden.plans import moderation as MO
 from textwarden.plans import training as TR
 from textwarden.session import fresh_path
 from textwarden.sources import sinks
+from textwarden.sources.files import read_event_stream, read_registry
+from textwarden.streaming import streams as S
+from textwarden.streaming.swap import score_by_current
 
 
 def labelled(spark, sf):
@@ -189,3 +193,61 @@ def training_run(spark, sf):
     accuracy = gate.select(F.col("accuracy").cast("string").alias("accuracy"))
     registered = package.join(accuracy, F.element_at("payload", F.lit("accuracy")) == F.col("accuracy"))
     return E.one_row(rows, matrix, registered.agg((F.count("*") == 1).alias("registered")))
+
+
+QUICK = TR.Settings(max_features=300, max_iter=5, folds=2)
+
+
+@query(
+    "training_resumed",
+    f"""WITH {_SQL_RANKED}, s AS (SELECT {_IS_TEST} AS test FROM h JOIN documents d USING (doc_id)
+      WHERE {B.sql_strip('d.text')} <> '')
+    SELECT run, stages, (SELECT count(*) FILTER (WHERE NOT test) FROM s) AS n_train, packages FROM (VALUES
+      ('first', 'validate,fit,evaluate,register', 1), ('again', '', 1), ('other gate', 'evaluate,register', 2),
+      ('other model', 'fit,evaluate,register', 3), ('other test rows', 'validate,evaluate,register', 4)) AS r(run, stages, packages)""",
+)
+def training_resumed(spark, sf):
+    """The stages that five runs into one folder have to do, as their inputs change."""
+    split = X.stratified_split(labelled(spark, sf), "toxic", "doc_id")
+    train, test = (split.filter(F.col("split") == n).drop("split") for n in ("train", "test"))
+    out, rows = fresh_path(spark, "resumed"), []
+    other = TR.Settings(**{**vars(QUICK), "c": 0.5})
+    for run, part, settings, gate in (
+        ("first", test, QUICK, 0.8),
+        ("again", test, QUICK, 0.8),
+        ("other gate", test, QUICK, 0.5),
+        ("other model", test, other, 0.5),
+        ("other test rows", test.filter("doc_id % 5 <> 0"), other, 0.5),
+    ):
+        training = TR.Training(spark, train, part, out, settings=settings, min_accuracy=gate, min_rows=10)
+        training.run()
+        report = spark.read.json(f"{out}/validation_report").select(F.col("train_final_samples").alias("n_train"))
+        rows.append((run, ",".join(training.ran), report.first()["n_train"], read_registry(spark, f"{out}/registry").count()))
+    return spark.createDataFrame(rows, "run STRING, stages STRING, n_train LONG, packages INT")
+
+
+@query(
+    "stream_model_swap",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS model, TRUE AS agree FROM documents",
+)
+def stream_model_swap(spark, sf):
+    """A stream of documents over which a second model is approved: each row by the model of its batch."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    source, registry, out, state = (fresh_path(spark, f"swap-{n}") for n in ("source", "registry", "out", "state"))
+    models = {}
+    for n, (name, part) in enumerate((("first", docs.filter("doc_id % 2 = 0")), ("second", docs.filter("doc_id % 2 <> 0")))):
+        models[name] = TR.fit_all(labelled(spark, sf), settings=TR.Settings(max_features=200 + n, max_iter=3))
+        path = fresh_path(spark, f"model-{name}")
+        sinks.save_model(models[name], path)
+        at = F.lit(f"2024-01-0{n + 1} 00:00:00").cast("timestamp_ntz")
+        payload = F.create_map(F.lit("model_path"), F.lit(path))
+        pending = RG.register_model(spark.range(1), F.lit(name), at, payload).drop("key")
+        sinks.append_registry(pending, registry)
+        sinks.append_registry(RG.approve_latest(read_registry(spark, registry), at + F.expr("INTERVAL 1 HOUR")), registry)
+        part.write.mode("append").parquet(source)
+        stream = read_event_stream(spark, source, docs.schema)
+        S.finish(score_by_current(stream, registry, out, state))
+    batch = [TR.score_texts(m, docs, "text").select("doc_id", F.lit(n).alias("model"), F.col("score").alias("b")) for n, m in models.items()]
+    scored = spark.read.parquet(out).select("doc_id", "model", "score")
+    both = scored.join(batch[0].unionByName(batch[1]), ["doc_id", "model"])
+    return both.select("doc_id", "model", (F.abs(F.col("score") - F.col("b")) < 1e-12).alias("agree"))

@@ -9,6 +9,7 @@ from catalog._base import big, documents, fixture_score, query, table
 from textwarden import constants as K
 from textwarden.functions import payload as P
 from textwarden.functions import text as T
+from textwarden.plans import hooks as H
 from textwarden.sources.files import first_existing
 
 
@@ -138,6 +139,37 @@ def format_predictions(spark, sf):
     return docs.select("doc_id", P.format_scores(scores, accept).alias("body"))
 
 
+@query(
+    "answered_requests",
+    f"""WITH r AS (SELECT doc_id, lang, {B.sql_strip('text')} AS whole, list_filter(list_transform(string_split(text, chr(10)),
+        lambda x: {B.sql_strip('x')}), lambda x: x <> '') AS lines FROM documents),
+    t AS (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN lines WHEN 1 THEN lines WHEN 2 THEN [whole] ELSE [whole] END AS l FROM r),
+    s AS (SELECT doc_id, lang, list_transform(l, lambda x: CASE WHEN contains(x, '@') THEN NULL
+      ELSE CAST(CAST(length(x) % 100 AS DOUBLE) / 100 AS VARCHAR) END) AS l FROM t)
+    SELECT doc_id, CAST(len(l) AS INTEGER) AS n_texts, CASE
+      WHEN lang = 'en' THEN array_to_string(list_transform(l, lambda x: coalesce(x, '')), ',')
+      WHEN len(l) = 1 THEN coalesce(l[1], 'null')
+      ELSE '[' || array_to_string(list_transform(l, lambda x: coalesce(x, 'null')), ', ') || ']' END AS body FROM s""",
+)
+def answered_requests(spark, sf):
+    """Documents as requests of four kinds, decoded, scored text by text and answered in the order of their texts."""
+    docs = documents(spark, sf)
+    lines = F.filter(F.transform(F.split("text", "\n"), T.strip_space), lambda x: x != "")
+    kind = F.col("doc_id") % 4
+    requests = docs.select(
+        "doc_id",
+        F.when(kind == 0, F.col("text")).when(kind == 1, F.to_json(lines)).when(kind == 2, F.to_json(F.struct(T.strip_space("text").alias("text"))))
+        .otherwise(F.col("text")).alias("body"),
+        F.when(kind == 0, "text/csv").when(kind == 3, "text/plain").otherwise("application/json").alias("content_type"),
+        F.when(F.col("lang") == "en", "text/csv").otherwise("application/json").alias("accept"),
+    )
+
+    def score(rows):
+        return rows.withColumn("score", F.when(~F.contains("text", F.lit("@")), (F.length("text") % 100).cast("double") / 100.0))
+
+    return H.answer_requests(requests, score, "doc_id")
+
+
 _SQL_OUTCOME = f"""WITH {B.SQL_CLEANED}
     SELECT doc_id, CASE WHEN text = '' THEN 'invalid_empty' WHEN c = '' THEN 'empty_after_clean'
       WHEN length(c) < 3 THEN 'too_short' ELSE 'scored' END AS online,

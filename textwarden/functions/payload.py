@@ -78,13 +78,14 @@ def parse_score_response(c: Column | str) -> Column:
 def format_scores(scores: Column | str, accept: Column | str) -> Column:
     """An array of scores as JSON, or comma-joined where CSV is asked for.
 
-    A single score is written without brackets.
+    A single score is written without brackets.  A missing one keeps its place: null in JSON,
+    nothing between the commas.
     """
     s = col(scores)
     as_text = F.transform(s, lambda x: x.cast("string"))
-    joined = F.array_join(as_text, ",")
-    listed = F.concat(F.lit("["), F.array_join(as_text, ", "), F.lit("]"))
-    as_json = F.when(F.size(s) == 1, joined).otherwise(listed)
+    joined = F.array_join(as_text, ",", "")
+    listed = F.concat(F.lit("["), F.array_join(as_text, ", ", "null"), F.lit("]"))
+    as_json = F.when(F.size(s) == 1, F.coalesce(as_text[0], F.lit("null"))).otherwise(listed)
     return F.when(col(accept) == "text/csv", joined).otherwise(as_json)
 
 

@@ -71,6 +71,12 @@ def approve_latest(registry: DataFrame, ts: Column) -> DataFrame:
     )
 
 
+def approved_model(registry: DataFrame) -> DataFrame:
+    """The package approved last, of those that still are."""
+    packages = current_state(registry).filter((F.col("kind") == "package") & (F.col("status") == K.APPROVED))
+    return packages.orderBy(F.desc("ts"), F.desc("name")).limit(1)
+
+
 def list_models(registry: DataFrame) -> DataFrame:
     """All packages with their current status, newest first."""
     packages = current_state(registry).filter(F.col("kind") == "package")

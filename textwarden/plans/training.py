@@ -35,8 +35,11 @@ from textwarden.operators import quality as Q
 from textwarden.operators import registry as R
 from textwarden.operators import splits as X
 from textwarden.operators import terms as TM
+from textwarden.plans.stages import Stages, table_fingerprint
 from textwarden.session import materialized
 from textwarden.sources import sinks
+from textwarden.sources.files import read_registry
+from textwarden.sources.folders import read_text, write_text
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
@@ -298,46 +301,100 @@ def run_training(
 ) -> DataFrame:
     """Validate, train, evaluate and register; returns the gate row.
 
-    Each stage runs only after the one before succeeded.  All results are
-    written below ``out``: validation, model, metrics, evaluation, registry.
+    Each stage runs only after the one before succeeded, and reads what that one wrote.  All
+    results are written below ``out``: validation, model, folds, metrics, evaluation, registry.
+    A run that was stopped goes on with the stage that was not finished; a run with other
+    tables or settings repeats the stages that depend on them, see Stages.
     """
-    text, label = Q.REQUIRED
-    report = Q.validation_report({"train": train, "test": test}, min_rows)
-    sinks.write_report(report, f"{out}/validation_report")
-    verdict = spark.read.schema(report.schema).json(f"{out}/validation_report").first()
-    if not verdict["validation_passed"]:
-        raise ValueError(f"validation failed: {list(verdict['issues'])}")
-
-    train, test = Q.clean_labelled(train), Q.clean_labelled(test)
-    model, folds = train_classifier(train, key, text, label, settings)
-    sinks.save_model(model, f"{out}/model")
-    cv = E.cv_summary(folds, METRICS).filter("metric = 'accuracy'")
-
-    tested = evaluate_model(model, test, text, label)
-    trained = E.accuracy(score_texts(model, train, text), label, "pred")
-    weighted = tested["report"].filter(F.col("class") == "weighted avg")
-    row = E.one_row(
-        tested["accuracy"].select("accuracy"),
-        weighted.select("precision", "recall", F.col("f1").alias("f1_score")),
-        cv.select(F.col("mean").alias("cv_mean_accuracy"), F.col("std_pop").alias("cv_std_accuracy")),
-        trained.select(F.col("accuracy").alias("train_accuracy")),
-    )
-    gate = E.evaluation_gate(row, min_accuracy)
-    sinks.write_report(gate, f"{out}/evaluation")
-    gate = spark.read.schema(gate.schema).json(f"{out}/evaluation")
-    long = E.metrics_long(gate, ("accuracy", "precision", "recall", "f1_score", "cv_mean_accuracy"))
-    sinks.write_report(long, f"{out}/metrics")
-    sinks.write_report(tested["report"], f"{out}/classification_report")
-    sinks.write_report(tested["confusion"], f"{out}/confusion_matrix")
-
-    used = {k: str(v) for k, v in asdict(settings).items() if k != "stop_words"}
-    payload = F.create_map(
-        *[F.lit(x) for kv in used.items() for x in kv],
-        F.lit("model_path"), F.lit(f"{out}/model"),
-        F.lit("accuracy"), F.col("accuracy").cast("string"),
-        F.lit("recommendation"), F.col("recommendation"),
-    )
-    now = F.current_timestamp().cast("timestamp_ntz")
-    package = R.register_model(gate, F.lit(out.rstrip("/").rsplit("/", 1)[-1]), now, payload)
-    sinks.append_registry(package, f"{out}/registry")
-    return gate
+    return Training(spark, train, test, out, key, settings, min_accuracy, min_rows).run()
+
+
+class Training:
+    """The stages of a training run; ``ran`` has the names of those that were not done before."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        train: DataFrame,
+        test: DataFrame,
+        out: str,
+        key: str = "doc_id",
+        settings: Settings = Settings(),
+        min_accuracy: float = 0.8,
+        min_rows: int = 100,
+    ):
+        self.spark, self.out, self.key, self.settings = spark, out.rstrip("/"), key, settings
+        self.given, self.min_accuracy, self.min_rows = {"train": train, "test": test}, min_accuracy, min_rows
+        self.text, self.label = Q.REQUIRED
+        self.stages = Stages(spark, self.out)
+
+    @property
+    def ran(self) -> list[str]:
+        return self.stages.ran
+
+    def run(self) -> DataFrame:
+        settings, stages = asdict(self.settings), self.stages
+        prints = {name: table_fingerprint(df) for name, df in self.given.items()}
+        stages.run("validate", self._validate, min_rows=self.min_rows, **prints)
+        stages.run("fit", self._fit, train=prints["train"], key=self.key, settings=settings)
+        stages.run("evaluate", self._evaluate, after=("fit",), test=prints["test"], min_accuracy=self.min_accuracy)
+        stages.run("register", self._register, after=("evaluate",))
+        return self._gate()
+
+    def _cleaned(self, name: str) -> DataFrame:
+        return Q.clean_labelled(self.given[name])
+
+    def _validate(self) -> None:
+        report = Q.validation_report(self.given, self.min_rows)
+        sinks.write_report(report, f"{self.out}/validation_report")
+        verdict = self.spark.read.schema(report.schema).json(f"{self.out}/validation_report").first()
+        if not verdict["validation_passed"]:
+            raise ValueError(f"validation failed: {list(verdict['issues'])}")
+
+    def _fit(self) -> None:
+        model, folds = train_classifier(self._cleaned("train"), self.key, self.text, self.label, self.settings)
+        sinks.save_model(model, f"{self.out}/model")
+        sinks.write_table(folds, f"{self.out}/folds")
+
+    def _evaluate(self) -> None:
+        model, folds = sinks.load_model(f"{self.out}/model"), self.spark.read.parquet(f"{self.out}/folds")
+        cv = E.cv_summary(folds, METRICS).filter("metric = 'accuracy'")
+        tested = evaluate_model(model, self._cleaned("test"), self.text, self.label)
+        trained = E.accuracy(score_texts(model, self._cleaned("train"), self.text), self.label, "pred")
+        weighted = tested["report"].filter(F.col("class") == "weighted avg")
+        row = E.one_row(
+            tested["accuracy"].select("accuracy"),
+            weighted.select("precision", "recall", F.col("f1").alias("f1_score")),
+            cv.select(F.col("mean").alias("cv_mean_accuracy"), F.col("std_pop").alias("cv_std_accuracy")),
+            trained.select(F.col("accuracy").alias("train_accuracy")),
+        )
+        gate = E.evaluation_gate(row, self.min_accuracy)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gate.schema)
+        sinks.write_report(gate, f"{self.out}/evaluation")
+        write_text(self.spark, f"{self.out}/evaluation_schema", schema)
+        long = E.metrics_long(self._gate(), ("accuracy", "precision", "recall", "f1_score", "cv_mean_accuracy"))
+        sinks.write_report(long, f"{self.out}/metrics")
+        sinks.write_report(tested["report"], f"{self.out}/classification_report")
+        sinks.write_report(tested["confusion"], f"{self.out}/confusion_matrix")
+
+    def _gate(self) -> DataFrame:
+        schema = read_text(self.spark, f"{self.out}/evaluation_schema")
+        return self.spark.read.schema(schema).json(f"{self.out}/evaluation")
+
+    def _register(self) -> None:
+        """Append the package once: one that this evaluation has led to already is not appended again."""
+        of_run = self.stages.prints["evaluate"]
+        known = read_registry(self.spark, f"{self.out}/registry")
+        if not known.filter(F.col("payload")["fingerprint"] == of_run).isEmpty():
+            return
+        used = {k: str(v) for k, v in asdict(self.settings).items() if k != "stop_words"}
+        payload = F.create_map(
+            *[F.lit(x) for kv in used.items() for x in kv],
+            F.lit("model_path"), F.lit(f"{self.out}/model"),
+            F.lit("accuracy"), F.col("accuracy").cast("string"),
+            F.lit("recommendation"), F.col("recommendation"),
+            F.lit("fingerprint"), F.lit(of_run),
+        )
+        now = F.current_timestamp().cast("timestamp_ntz")
+        package = R.register_model(self._gate(), F.lit(self.out.rsplit("/", 1)[-1]), now, payload)
+        sinks.append_registry(package, f"{self.out}/registry")

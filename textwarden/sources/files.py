@@ -70,6 +70,16 @@ def read_json_report(
         return spark.createDataFrame([], schema)
 
 
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a registry; one that nothing was appended to has none."""
+    try:
+        return spark.read.schema(schemas.REGISTRY).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.REGISTRY)
+
+
 def list_artifacts(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Path, size and time of all files below a folder whose relative path has the prefix.
 

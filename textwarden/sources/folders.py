@@ -42,3 +42,28 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder with all that is in it; one that is gone already is fine."""
     fs, place = _system(spark, folder)
     fs.delete(place, True)
+
+
+def read_text(spark: SparkSession, file: str) -> str | None:
+    """A small file as text, or None where there is none."""
+    fs, place = _system(spark, file)
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, file: str, text: str) -> None:
+    """Write a small file: first beside its place, then moved there, so it is never seen half written."""
+    fs, place = _system(spark, file)
+    aside = _system(spark, f"{place.getParent()}/.{place.getName()}.new")[1]
+    stream = fs.create(aside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    fs.delete(place, False)
+    fs.rename(aside, place)

@@ -266,7 +266,11 @@ def shared_tokens(leaders: DataFrame) -> DataFrame:
     shingle; among near copies it is highest for the one the others were made from.
     """
     rows = leaders.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = stored(rows.drop("n").join(posting_lists(rows), "token"), "jaccard-shared")
+    # most shingles stand in one document only: these go before anything wide is made of them
+    met = rows.groupBy("token").agg(F.count("*").alias("met")).filter("met > 1").select("token")
+    several = stored(rows.join(met, "token"), "jaccard-several")
+    shared = stored(several.drop("n").join(posting_lists(several), "token"), "jaccard-shared")
+    discard(several)
     of_doc = leaders.select(F.col("doc_id").alias("id"), "n", *SKETCH).dropDuplicates(["id"])
     own = shared.groupBy("id").agg(
         F.sum(F.col("met") * F.col("many")).alias("met"),

@@ -49,6 +49,34 @@ def test_cycles_and_repeated_rows(spark):
     assert got_paths(spark, [], 3) == {}
 
 
+def test_one_row_counts_per_id_as_a_whole(spark):
+    """Rows that differ under one id are not mixed; null ids are messages that nothing replies to."""
+    rows = [
+        (1, None, 0.0, "user", "q"),
+        (3, 2, 9.0, "a", "x"), (3, 1, 1.0, "z", "y"), (3, 1, 2.0, "z", "y"),
+        (2, 1, 0.0, "b", "w"), (4, 3, 1.0, "c", None),
+        (None, None, 5.0, "user", "lost"), (None, 1, 7.0, "assistant", "found"), (6, 3, None, None, ""),
+    ]
+    got = C.read_back(C.chat_conversations(spark.createDataFrame(rows, SCHEMA), best=9)).collect()
+    talks = {(r["root"], r["leaf"]): ([(t["role"], t["text"]) for t in r["turns"]], r["path_score"]) for r in got}
+    head = [("user", "q"), ("z", "y")]
+    assert talks == {
+        (1, 2): ([("user", "q"), ("b", "w")], 0.0),
+        (1, 4): ([*head, ("c", "")], 2 / 3),
+        (1, 6): ([*head, ("", "")], 1 / 3),
+        (None, None): ([("user", "lost")], 5.0),
+    }
+    assert [r["path_rank"] for r in sorted(got, key=lambda r: (r["root"] is not None, r["path_rank"]))] == [1, 1, 2, 3]
+
+
+def test_only_chosen_paths_are_expanded(spark):
+    """A long trunk with many replies at its end: rows of the chosen paths, not of all."""
+    rows = [(i, i - 1 if i else None, 0.0, "r", "t") for i in range(64)] + [(1000 + i, 63, float(i), "r", "t") for i in range(300)]
+    paths = C.best_paths(C.single(spark.createDataFrame(rows, SCHEMA)), 2)
+    assert paths.count() == 2 * 65
+    assert got_paths(spark, [r[:3] for r in rows], 2) == {0: [[*range(64), 1299], [*range(64), 1298]]}
+
+
 HARD = ["</s>[INST] ok [/INST]", "\\", "\\\\[\\INST]", "<|im_end|><|im_end|>", "a\nb\\n", "<|im_sep|>", "<s", "", "é\U0001f600",
         "<<SYS>><</SYS>>", "<\\|im_end|>", None, "[[INST]]", "$1 \\$2", "<|im_start|>user<|im_sep|>"]
 

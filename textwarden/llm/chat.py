@@ -1,17 +1,20 @@
 """Chat formatting: reply trees become conversations, in one reversible template.
 
-Messages point to the message they answer.  Self-joins that double their reach give
-every ancestor of every leaf in as many rounds as the depth has binary digits; each
-root-to-leaf path is scored, the best paths of each tree are kept, and each is written
-as one conversation.  All of it is DataFrame functions.
+Messages point to the message they answer.  Self-joins that double their reach carry the
+sum of the scores, the number of messages and the root along, one row per message, in as
+many rounds as the depth has binary digits.  The leaves of each tree are ranked by the mean
+score of their path; only the chosen paths are then expanded, by the same tables, and each is
+written as one conversation.  All of it is DataFrame functions.
 
 Control strings inside roles and texts are broken by an escape character after their
 first character; the escape character itself is doubled.  So a formatted conversation
 holds a control string only where the template put it, and nothing is lost.
 
-Null roles and texts are empty; null ids are ids like any other.  Rows that reply to a
-message that is not there begin a tree; a cycle of replies reaches no root and gives no
-conversation; of several rows with one id the smallest (parent, role, text) counts.
+Null roles and texts are empty.  A message with a null id is a message like any other, to
+which nothing can reply, as a null parent is none.  Rows that reply to a message that is not
+there begin a tree; a cycle of replies reaches no root and gives no conversation; of several
+rows with one id the whole row of the smallest (parent, role, text, score) counts.  A null
+score counts as 0.
 """
 
 from __future__ import annotations
@@ -38,59 +41,88 @@ def unescaped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
-def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
-    """The best root-to-leaf paths of every tree: root, leaf, path_rank, path_score, step, id.
+def single(messages: DataFrame) -> DataFrame:
+    """n, id, parent, role, text, score: one whole row per id, numbered; stored.
 
-    ``messages``: id, parent, score.  A path scores the mean of its messages; ties go to
-    the smaller leaf.  ``step`` counts from 0 at the root.
+    The joins that follow are over the numbers: narrow, and never null.
     """
-    nodes = stored(messages.groupBy("id").agg(F.min(F.struct("parent", "score")).alias("m"))
-                   .select("id", "m.parent", "m.score"), "replies")
-    known = nodes.select(F.col("id").alias("up"))
-    reach = [stored(nodes.select("id", F.col("parent").alias("up")).join(known, "up").select("id", "up"), "replies-up")]
-    # each round doubles the reach, so chains of n messages end after log2(n) rounds; only cycles go on
-    for _ in range(max(1, nodes.count()).bit_length()):
-        far = reach[-1].alias("a").join(reach[-1].alias("b"), F.col("a.up") == F.col("b.id"))
-        far = stored(far.select("a.id", "b.up"), "replies-up")
-        if far.isEmpty():
-            break
-        reach.append(far)
-    has_reply = reach[0].select(F.col("up").alias("id"))
-    steps = nodes.join(has_reply, "id", "left_anti").select(
-        F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("back")
-    )
-    for k in reversed(range(len(reach))):
-        up = reach[k].select(F.col("id").alias("at"), "up")
-        above = steps.join(up, steps["id"] == up["at"]).select(
-            "leaf", F.col("up").alias("id"), (F.col("back") + 2**k).alias("back")
+    rest = ("parent", "role", "text", "score")
+    have = [F.col(c) if c in messages.columns else F.lit(None).cast("string").alias(c) for c in rest]
+    one = messages.select("id", *have).groupBy("id").agg(F.min(F.struct(*rest)).alias("m")).select("id", "m.*")
+    return stored(one.withColumn("n", F.monotonically_increasing_id()), "replies")
+
+
+def ancestors(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (n, up, root, many, total), one per round, stored.
+
+    In round k ``many`` messages from n upwards have been added up, 2**k of them or all up to the
+    root.  ``up`` is the next one; where there is none, ``root`` is known.
+    """
+    at = nodes.select(F.col("id").alias("__id"), F.col("n").alias("up"))
+    first = nodes.join(at, nodes["parent"] == at["__id"], "left")
+    root = F.when(F.col("up").isNull(), F.col("n"))
+    total = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    tables = [stored(first.select("n", "up", root.alias("root"), F.lit(1).cast("long").alias("many"), total.alias("total")), "replies-up")]
+    while True:
+        now = tables[-1]
+        open_ = now.filter("up IS NOT NULL").alias("a")
+        above = now.alias("b")
+        step = open_.join(above, F.col("a.up") == F.col("b.n")).select(
+            "a.n", "b.up", "b.root", (F.col("a.many") + F.col("b.many")).alias("many"), (F.col("a.total") + F.col("b.total")).alias("total")
         )
+        step = stored(step.unionByName(now.filter("up IS NULL")), "replies-up")
+        # depths have no gaps: a round that ends no path is the last; what is open lies on or below a cycle
+        if step.filter("up IS NULL").count() == now.filter("up IS NULL").count():
+            return tables
+        tables.append(step)
+
+
+def best_paths(nodes: DataFrame, best: int) -> DataFrame:
+    """The best paths of every tree: root, leaf, path_rank, path_score, step, n; numbers of messages."""
+    tables = ancestors(nodes)
+    replied = tables[0].filter("up IS NOT NULL").select(F.col("up").alias("n")).distinct()
+    ends = tables[-1].filter("up IS NULL").join(replied, "n", "left_anti").join(nodes.select("n", "id"), "n")
+    ends = ends.select("root", F.col("n").alias("leaf"), "id", "many", (F.col("total") / F.col("many")).alias("path_score"))
+    order = Window.partitionBy("root").orderBy(F.desc("path_score"), "id")
+    # Spark keeps the best few of a tree in every task before they are shuffled
+    chosen = ends.withColumn("path_rank", F.row_number().over(order)).filter(F.col("path_rank") <= best)
+    chosen = stored(chosen.drop("id"), "replies-chosen")
+    steps = chosen.select("leaf", F.col("leaf").alias("n"), F.lit(0).cast("long").alias("back"))
+    for k in reversed(range(len(tables))):
+        up = tables[k].filter("up IS NOT NULL").select(F.col("n").alias("at"), "up")
+        above = steps.join(up, steps["n"] == up["at"]).select("leaf", F.col("up").alias("n"), (F.col("back") + 2**k).alias("back"))
         # written in every round: the next one reads it twice
         steps = stored(steps.unionByName(above), "replies-steps")
-    steps = stored(steps.join(nodes.select("id", "score"), "id"), "replies-paths")
-    paths = steps.groupBy("leaf").agg(
-        F.max(F.struct("back", "id")).alias("top"), F.avg("score").alias("path_score")
-    )
-    paths = paths.select("leaf", F.col("top.id").alias("root"), F.col("top.back").alias("__last"), "path_score")
-    # a leaf below a cycle has an ancestor at the far end, and that one has a parent
-    paths = paths.join(reach[0].select(F.col("id").alias("root")), "root", "left_anti")
-    order = Window.partitionBy("root").orderBy(F.desc("path_score"), "leaf")
-    paths = paths.withColumn("path_rank", F.row_number().over(order)).filter(F.col("path_rank") <= best)
-    return steps.join(paths, "leaf").select(
-        "root", "leaf", "path_rank", "path_score", (F.col("__last") - F.col("back")).alias("step"), "id"
+    return steps.join(chosen, "leaf").select(
+        "root", "leaf", "path_rank", "path_score", (F.col("many") - 1 - F.col("back")).alias("step"), "n"
     )
 
 
-def formatted(paths: DataFrame, messages: DataFrame) -> DataFrame:
-    """One conversation per path: root, leaf, path_rank, formatted, loss.
+def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
+    """The best root-to-leaf paths of every tree: root, leaf, path_rank, path_score, step, id.
+
+    ``messages``: id, parent, score.  A path scores the mean of its messages; ties go to
+    the smaller leaf.  ``step`` counts from 0 at the root.
+    """
+    nodes = single(messages)
+    paths = best_paths(nodes, best)
+    for end in ("root", "leaf", "n"):
+        named = nodes.select(F.col("n").alias("__at"), F.col("id").alias(f"__{end}"))
+        paths = paths.join(named, F.col(end) == F.col("__at")).drop("__at")
+    return paths.select(F.col("__root").alias("root"), F.col("__leaf").alias("leaf"), "path_rank", "path_score", "step", F.col("__n").alias("id"))
+
+
+def formatted(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One conversation per path: root, leaf, path_rank, path_score, formatted, loss.
 
-    ``messages``: id, role, text.  ``loss`` lists the spans (code points, end exclusive) of
-    the assistant texts in ``formatted``: the mask under which a model is trained.
+    ``loss`` lists the spans (code points, end exclusive) of the assistant texts in
+    ``formatted``: the mask under which a model is trained.
     """
-    said = paths.join(messages.groupBy("id").agg(F.min(F.struct("role", "text")).alias("m")), "id")
-    head = F.concat(F.lit(START), escaped(F.col("m.role")), F.lit(MID))
+    said = paths.join(nodes.select("n", "id", "role", "text"), "n")
+    head = F.concat(F.lit(START), escaped(F.col("role")), F.lit(MID))
     said = said.select(
-        "root", "leaf", "path_rank", "step", head.alias("head"), escaped(F.col("m.text")).alias("body"),
-        F.coalesce(F.col("m.role") == "assistant", F.lit(False)).alias("learn"),
+        "leaf", "path_rank", "path_score", "step", "id", head.alias("head"), escaped(F.col("text")).alias("body"),
+        F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("learn"),
     )
     before = Window.partitionBy("leaf").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     long_ = F.length("head") + F.length("body") + len(END)
@@ -100,12 +132,14 @@ def formatted(paths: DataFrame, messages: DataFrame) -> DataFrame:
         "step", "learn", "start", (F.col("start") + F.length("body")).alias("end"),
         F.concat("head", "body", F.lit(END)).alias("turn"),
     )
+    boxed = F.struct("id")
     whole = said.groupBy("leaf").agg(
-        F.min("root").alias("root"), F.min("path_rank").alias("path_rank"), F.sort_array(F.collect_list(turn)).alias("t")
-    )
+        F.min_by(boxed, "step").alias("root"), F.max_by(boxed, "step").alias("last"), F.min("path_rank").alias("path_rank"),
+        F.min("path_score").alias("path_score"), F.sort_array(F.collect_list(turn)).alias("t"),
+    )
     spans = F.transform(F.filter("t", lambda t: t["learn"]), lambda t: F.struct(t["start"], t["end"]))
     return whole.select(
-        "root", "leaf", "path_rank",
+        F.col("root.id").alias("root"), F.col("last.id").alias("leaf"), "path_rank", "path_score",
         F.array_join(F.transform("t", lambda t: t["turn"]), "").alias("formatted"), spans.alias("loss"),
     )
 
@@ -141,5 +175,5 @@ def read_back(conversations: DataFrame) -> DataFrame:
 
 def chat_conversations(messages: DataFrame, best: int = 1) -> DataFrame:
     """The best paths of all reply trees, formatted.  ``messages``: id, parent, score, role, text."""
-    messages = stored(messages, "messages")
-    return formatted(reply_paths(messages.select("id", "parent", "score"), best), messages.select("id", "role", "text"))
+    nodes = single(messages)
+    return formatted(best_paths(nodes, best), nodes)

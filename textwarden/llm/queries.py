@@ -186,6 +186,62 @@ def _sql_chat() -> str:
 ORACLES["op9_chat_format"] = _sql_chat()
 
 
+OTHERWISE = "Put in another way: "
+
+
+@query
+def op9_reply_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with a second answer to every prompt, one of which goes on: the two best branches of each.
+
+    A message scores the last digit of its length.  Turns repeated in a conversation are siblings too.
+    """
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    one = turns.distinct()
+    answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    both = one.withColumn("v", F.explode(F.when(answer, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    text = F.when(F.col("v") == 1, F.concat(F.lit(OTHERWISE), "text")).otherwise(F.col("text"))
+    rows = both.withColumn("text", text).withColumn("id", F.struct("conv_id", "turn", "role", "text"))
+    # the message of the turn before to which the next turns reply
+    on = rows.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.max("id").alias("parent"))
+    messages = rows.join(on, ["conv_id", "turn"], "left").withColumn("score", (F.length("text") % 10).cast("double"))
+    talks = chat.chat_conversations(messages.select("id", "parent", "score", "role", "text"), best=2)
+    return talks.select(
+        F.col("root.conv_id").alias("conv_id"), F.col("root.turn").alias("first_turn"), F.col("leaf.turn").alias("last_turn"),
+        "path_rank", F.floor(F.col("path_score") * 1e6 + 0.5).alias("score_millionths"),
+        F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"),
+        F.size("loss").cast("long").alias("learnt"),
+    )
+
+
+def _sql_trees() -> str:
+    def esc(c: str) -> str:
+        c = f"replace(coalesce({c}, ''), '{chat.ESCAPE}', '{chat.ESCAPE * 2}')"
+        for s in chat.CONTROL:
+            c = f"replace({c}, '{s}', '{s[0] + chat.ESCAPE + s[1:]}')"
+        return c
+
+    turn = f"'{chat.START}' || {esc('role')} || '{chat.MID}' || {esc('text')} || '{chat.END}'"
+    return f"""WITH RECURSIVE one AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+    rows AS MATERIALIZED (SELECT conv_id, turn, role, text FROM one UNION
+      SELECT conv_id, turn, role, '{OTHERWISE}' || text FROM one WHERE role = 'assistant'),
+    m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS id,
+      row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC, text DESC) AS down,
+      CAST(length(text) % 10 AS DOUBLE) AS score, {turn} AS f FROM rows),
+    e AS MATERIALIZED (SELECT m.*, p.id AS parent FROM m
+      LEFT JOIN m p ON p.conv_id = m.conv_id AND p.turn = m.turn - 1 AND p.down = 1),
+    walk AS (SELECT id, id AS root, conv_id, turn AS first_turn, turn, 1 AS many, score AS total, f AS formatted,
+        CAST(role = 'assistant' AS BIGINT) AS learnt FROM e WHERE parent IS NULL
+      UNION ALL SELECT e.id, w.root, w.conv_id, w.first_turn, e.turn, w.many + 1, w.total + e.score, w.formatted || e.f,
+        w.learnt + CAST(e.role = 'assistant' AS BIGINT) FROM walk w JOIN e ON e.parent = w.id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY root ORDER BY total / many DESC, id) AS INTEGER) AS path_rank
+      FROM walk WHERE id NOT IN (SELECT parent FROM e WHERE parent IS NOT NULL))
+    SELECT conv_id, first_turn, turn AS last_turn, path_rank, CAST(floor(total / many * 1e6 + 0.5) AS BIGINT) AS score_millionths,
+      sha256(formatted) AS formatted_sha256, learnt FROM r WHERE path_rank <= 2"""
+
+
+ORACLES["op9_reply_trees"] = _sql_trees()
+
+
 WORDS_SQL = (
     "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
     r" '[^\x20\x09-\x0D]+')"

@@ -1,5 +1,6 @@
 """Mixtures of languages; accuracy on texts not learnt from."""
 
+import itertools
 from pathlib import Path
 
 import numpy as np
@@ -60,6 +61,35 @@ def test_shares_climb_the_likelihood():
     assert value > best - 0.5
 
 
+@pytest.mark.parametrize("every", [L.EVERY_SET, 2])
+def test_the_set_is_the_best_of_all(every, monkeypatch):
+    """Four related languages: against all subsets, each fitted for very long."""
+    monkeypatch.setattr(L, "EVERY_SET", every)
+    r, sizes = np.random.default_rng(5), []
+    common = r.random(300) ** 3
+    likely = common[:, None] * (1 + 0.9 * r.random((300, 4)) ** 2) + 1e-6
+    likely /= likely.sum(axis=0)
+    for _ in range(30):
+        pi = r.dirichlet(np.full(4, 0.4))
+        counts = r.multinomial(int(r.integers(50, 20_000)), likely @ pi).astype(float)
+        at = np.flatnonzero(counts)
+        c, p = counts[at], likely[at]
+        price = 0.5 * np.log(c.sum() + 1)
+
+        def value(chosen):
+            w = np.full(len(chosen), 1 / len(chosen))
+            for _ in range(1500):
+                w = w * ((c / (p[:, chosen] @ w)) @ p[:, chosen]) / c.sum()
+            return c @ np.log(p[:, chosen] @ w) - price * (len(chosen) - 1)
+
+        values = {s: value(list(s)) for k in range(1, 5) for s in itertools.combinations(range(4), k)}
+        got = L.mixture(c, p)
+        sizes.append(len(got))
+        assert values[tuple(sorted(got))] > max(values.values()) - 0.1
+        assert abs(sum(got.values()) - 1) < 1e-6
+    assert len(set(sizes)) > 2
+
+
 def test_counts_do_not_depend_on_pieces(monkeypatch):
     letters = np.unpackbits(np.frombuffer(L.letter_bits(), np.uint8)).view(bool)
     text = "abcdefgh" * 50

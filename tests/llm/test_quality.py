@@ -69,6 +69,29 @@ def test_learns_and_scores(spark):
     assert got[900] == got[901]
 
 
+def test_shards_without_rows_do_not_shrink_the_weights(spark):
+    """Two labelled rows fill two shards at most: the mean is over those that learnt."""
+    docs = spark.createDataFrame([(1, "good clean words", "", ""), (2, "BAD!! LOUD!!", "", "")], SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    weights = Q.train(docs, "doc_id", "text", labels, "doc_id", "quality")
+    # all fall into one shard or into two: learn each way by hand
+    rows = [(y, *next(Q.features(pa.array([t]), Hasher()))) for y, t in ((1, "good clean words"), (0, "BAD!! LOUD!!"))]
+    ways = [Q.learn(rows), Q.learn(rows[::-1]), (Q.learn(rows[:1]) + Q.learn(rows[1:])) / 2]
+    assert any(np.allclose(weights, w) for w in ways)
+
+
+def test_score_is_a_plain_dot_product(spark):
+    r = np.random.default_rng(3)
+    weights = np.where(r.random(Q.SPACE + 1) < 0.5, r.normal(size=Q.SPACE + 1), 0.0)
+    texts = ["One two, two three!", None, "", "x", "THE!! END!! the end", "a b c d e f g " * 300, "12 34 Ab9 é"]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["score"] for r in Q.score(docs, {"doc_id": "doc_id"}, "text", weights).collect()}
+    for i, t in enumerate(texts):
+        buckets = next(Q.feature_rows(pa.array([t], pa.string()), Hasher())).tolist()
+        dot = sum(weights[b] * Q.SCALE / len(buckets) for b in buckets) + weights[Q.SPACE]
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-35.0, min(35.0, dot))))) < 1e-9
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b", "", "")], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int")

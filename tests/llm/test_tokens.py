@@ -52,3 +52,16 @@ def test_counts_of_a_table(spark):
         if len(by_id[r["doc_id"]] or "") < 100:
             assert r["n_tokens"] == sum(greedy("▁" + w, first, rest) for w in parts)
     assert T.token_counts(docs.limit(0), "doc_id", "text", initial, continuing).count() == 0
+
+
+def test_long_words_are_counted_and_not_kept(spark, monkeypatch):
+    """Words of any length, met again, with a memory of few short words."""
+    monkeypatch.setattr(T, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(T, "KNOWN_SIZE", 4)
+    initial, continuing = ["▁a", "▁ab", "▁"], ["a", "b", "ab", "abab"]
+    texts = ["ab" * 5000 + " " + "ab" * 5000, "a b ab " * 200, "abab\u00a0abab\u2003x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in T.token_counts(docs, "doc_id", "text", initial, continuing).collect()}
+    trie = T.matcher(initial, continuing)
+    for i, t in enumerate(texts):
+        assert got[i] == (len(t.split()), sum(T.word_length("▁" + w, *trie) for w in t.split()))

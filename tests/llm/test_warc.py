@@ -3,6 +3,9 @@
 import base64
 import hashlib
 import html
+import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -81,3 +84,68 @@ def test_headers_cannot_be_broken(spark):
 def test_text_of_plain_markup():
     assert W.plain_text("a < b &amp;&amp; c > d") == "a < b && c > d"
     assert W.plain_text(html.escape("<p>x</p>")) == "<p>x</p>"
+
+
+def by_characters(page):
+    """(text, title, links) by a loop over characters, one after the other."""
+    low, i, out, title, title_from, links = page.lower(), 0, "", None, None, 0
+    while i < len(page):
+        if page[i] != "<":
+            out += page[i]
+            i += 1
+            continue
+        if page[i : i + 4] == "<!--":
+            j = i + 4
+            while j < len(page) and page[j : j + 3] != "-->":
+                j += 1
+            out, i = out + " ", j + 3
+            continue
+        j = i + 1
+        slash = page[j : j + 1] == "/"
+        j += slash
+        name = ""
+        while j < len(page) and low[j].isascii() and (low[j].isalpha() or name and low[j].isdigit()):
+            name += low[j]
+            j += 1
+        k = i
+        while k < len(page) and page[k] != ">":
+            k += 1
+        if k == len(page) or not (name or slash or page[i + 1] in "!?"):
+            out += "<"
+            i += 1
+            continue
+        mark, i = page[i : k + 1], k + 1
+        if name in W.HIDDEN and not slash:
+            out += " "
+            while i < len(page) and not re.match(rf"</{name}\s*>", low[i:]):
+                i += 1
+            i = i + low[i:].find(">") + 1 if i < len(page) else i
+        elif name in W.BLOCK:
+            out += "\n"
+        if name == "title" and title is None:
+            if not slash and title_from is None:
+                title_from = len(out)
+            elif slash and title_from is not None:
+                title = out[title_from:]
+        links += name == "a" and not slash and bool(re.search(r"\bhref\s*=", mark, re.I))
+    tidy = lambda t: "\n".join(y for y in (" ".join(x.split()) for x in html.unescape(t).split("\n")) if y)
+    return tidy(out), None if title is None else tidy(title), links
+
+
+def test_pages_equal_a_character_loop():
+    r = random.Random(7)
+    bits = ["<p>", "</p>", "<br/>", "<!--", "-->", "<script>", "</script>", "</SCRIPT >", "<style x='>'>", "</style>", "<title>", "</title>",
+            "<a href='/x'>", "<a name=y>", "</a>", "<", ">", "< b", "</", "<!doctype html>", "<?x?>", "word ", "&lt;p&gt;", "&amp;", "\n", "é", "<b", "1",
+            "<scripty>", "</script", "<Title lang=x>", "<html lang=\"fr\">", "<h1>", "<h7>"]
+    for _ in range(3000):
+        page = "".join(r.choice(bits) for _ in range(r.randrange(14)))
+        got = W.read_page(page)
+        assert (got.text, got.title, got.links) == by_characters(page), page
+
+
+def test_a_megabyte_of_unclosed_marks_takes_no_second():
+    for mark in ("<script ", "<script>", "<!--", "<!-- -", "<a ", "<title>", "<", "</", "<p", "<html lang", "</script", "<style></script >", "<template></", "<title></titl"):
+        page = mark * (1_000_000 // len(mark))
+        start = time.perf_counter()
+        W.derive("<urn:uuid:x>", "u", "d", None, page)
+        assert time.perf_counter() - start < 2, mark

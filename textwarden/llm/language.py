@@ -3,8 +3,7 @@
 Training counts hashed character trigrams per language over all labelled texts; each
 language is a smoothed distribution over the hash buckets.  A text is taken as drawn from
 a mixture of the languages: expectation-maximisation estimates the proportions, and the
-set of languages grows from the best single one as long as the penalised likelihood
-(Schwarz's criterion) does.  The language of the text is the one of the largest share.
+set of languages is the one of largest penalised likelihood (Schwarz's criterion).  The language of the text is the one of the largest share.
 
 Case and everything but letters are ignored; words are framed by blanks.  A text that is
 null or has no letter is ``und`` with score 0.
@@ -12,6 +11,7 @@ null or has no letter is ``und`` with score 0.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +22,9 @@ from pyspark.sql.types import StructType
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5  # counts added to every bucket
-STEPS = 25  # of expectation-maximisation
-CLOSE = 1e-4  # change of the shares at which it stops
+STEPS = 2000  # of expectation-maximisation, at most
+CLOSE = 0.02  # log likelihood that is still to be gained when it stops
+EVERY_SET = 8  # languages up to which every set is looked at
 PIECE = 1 << 20  # characters of a text looked at together
 UNKNOWN = "und"
 
@@ -91,49 +92,69 @@ def train(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
 def shares(counts: np.ndarray, likely: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the languages and the log likelihood, by expectation-maximisation.
 
-    ``likely``: probability of each observed bucket under each language.
+    ``likely``: probability of each observed bucket under each language.  The likelihood is
+    concave in the proportions, so its steepest slope towards a language bounds what is still to be
+    gained: the steps end when that is next to nothing.
     """
     pi, n = start, counts.sum()
     for _ in range(STEPS):
-        mix = likely @ pi
-        new = pi * ((counts / mix) @ likely) / n
-        done = np.abs(new - pi).max() < CLOSE
-        pi = new
-        if done:
+        weight = (counts / (likely @ pi)) @ likely
+        if weight.max() - n < CLOSE:
             break
+        pi = pi * weight / n
     return pi, float(counts @ np.log(likely @ pi))
 
 
 def mixture(counts: np.ndarray, likely: np.ndarray) -> dict[int, float]:
-    """The language set of largest penalised likelihood found by growing it, with proportions.
+    """The language set of largest penalised likelihood, with proportions.
 
-    One more language costs half the logarithm of the number of n-grams.  A language is only
-    tried if its gain can exceed that: the likelihood is concave in the proportions, so its
-    slope towards the language bounds the gain from above.
+    One more language costs half the logarithm of the number of n-grams.  If no slope at the
+    best single language exceeds that price, no other set can be better: the gain of any
+    mixture is at most the largest slope.  Otherwise sets are tried by size, as long as all
+    languages together would be worth the price of one more; up to EVERY_SET languages every set
+    is, beyond that sets are grown and pruned one language at a time.
     """
-    n = counts.sum()
+    n, every = counts.sum(), likely.shape[1]
     price = 0.5 * np.log(n + 1)
     single = counts @ np.log(likely)
-    chosen, best = [int(single.argmax())], float(single.max())
-    pi = np.ones(1)
-    while len(chosen) < likely.shape[1]:
-        slope = (counts / (likely[:, chosen] @ pi)) @ likely - n
-        rest = [i for i in np.argsort(-slope) if i not in chosen and slope[i] > price]
-        if not rest:
-            break
-        tried = [*chosen, int(rest[0])]
-        new, value = shares(counts, likely[:, tried], np.r_[pi * 0.8, 0.2])
-        if value - best <= price:
-            break
-        chosen, best, pi = tried, value, new
-    return {i: float(p) for i, p in zip(chosen, pi)}
+    first = int(single.argmax())
+    slope = (counts / likely[:, first]) @ likely - n
+    if slope.max() <= price:
+        return {first: 1.0}
+
+    def tried(chosen: tuple[int, ...]) -> tuple[float, tuple[int, ...], np.ndarray]:
+        pi, value = shares(counts, likely[:, chosen], np.full(len(chosen), 1 / len(chosen)))
+        return value - price * (len(chosen) - 1), chosen, pi
+
+    best = (float(single[first]), (first,), np.ones(1))
+    if every > EVERY_SET:
+        best = _stepwise(best, every, tried)
+    else:
+        most = tried(tuple(range(every)))[0] + price * (every - 1)  # no set is likelier
+        for size in range(2, every + 1):
+            if most - price * (size - 1) <= best[0]:
+                break
+            best = max([best, *map(tried, itertools.combinations(range(every), size))], key=lambda x: x[0])
+    return {i: float(p) for i, p in zip(best[1], best[2])}
+
+
+def _stepwise(best: tuple, every: int, tried) -> tuple:
+    """The set that no language more, less or exchanged makes better."""
+    while True:
+        chosen = set(best[1])
+        near = [chosen | {i} for i in range(every)] + [chosen - {i} for i in chosen if len(chosen) > 1]
+        near += [chosen - {i} | {j} for i in chosen for j in range(every) if len(chosen) > 1]
+        found = max([best, *(tried(tuple(sorted(s))) for s in near if s != chosen)], key=lambda x: x[0])
+        if found[0] <= best[0] + CLOSE:
+            return best
+        best = found
 
 
 def identify(docs: DataFrame, key: dict[str, str], text: str, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """Columns ``key`` (new name: column), lang_pred, score and ``mixture``, a map of proportions.
 
-    The score is the proportion of the predicted language.  A model without languages
-    predicts null for every text that has a letter.
+    The score is the proportion of the predicted language.  A model without languages (no
+    labelled text to learn from) predicts null, with score 0, for every text that has a letter.
     """
     langs, table = model
     context = docs.sparkSession.sparkContext

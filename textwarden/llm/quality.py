@@ -114,12 +114,15 @@ def train(docs: DataFrame, key: str, text: str, labelled: DataFrame, label_key:
         texts = table.column("text").combine_chunks()
         w = learn([(y, *f) for y, f in zip(labels, features(texts, Hasher()))])
         at = np.flatnonzero(w)
-        return pa.table({"bucket": pa.array(at), "w": pa.array(w[at])})
+        # and a row that says that this shard has learnt
+        return pa.table({"bucket": pa.array(np.r_[-1, at]), "w": pa.array(np.r_[1.0, w[at]])})
 
     parts = kept.groupBy("shard").applyInArrow(shard, "bucket long, w double")
-    rows = parts.groupBy("bucket").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow()  # SPACE + 1 at most
-    w = np.zeros(SPACE + 1)
-    w[rows.column("bucket").to_numpy()] = rows.column("w").to_numpy() / SHARDS
+    rows = parts.groupBy("bucket").agg(F.sum("w").alias("w")).toArrow()  # SPACE + 2 at most
+    buckets, sums = rows.column("bucket").to_numpy(), rows.column("w").to_numpy()
+    w, own = np.zeros(SPACE + 1), buckets >= 0
+    # shards without a labelled row have learnt nothing, and say nothing
+    w[buckets[own]] = sums[own] / max(1.0, sums[~own].sum())
     return w
 
 

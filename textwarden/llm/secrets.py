@@ -21,7 +21,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -55,7 +55,8 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}", 0, 0, 24),
     # kinds beyond the base
     "pem": (PEM, 0, 1, 20),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 0, 20),
+    # from the first character of a token on: "eyJ" may stand in it many times
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 0, 20),
     "login": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:([^\s/:@]{6,}+)@", 0, 1, 6),
 }
 BASE = ("assign", "access", "hex")
@@ -71,6 +72,7 @@ HINTS = {
 PLACEHOLDER = re.compile(r"example|sample|dummy|test|changeme|placeholder|your|xxxx", re.I)
 COPIED_OWNERS = 3  # owners from which on a value is a copied example
 COPIED_REPOS = 4  # repositories, of all owners together, from which on it is one too
+SALTS = 16  # parts into which the rows of one set of values are dealt
 MARK = "[REDACTED]"  # stands for a live credential
 LIVE_BITS = 2.5  # bits per character from which on a value looks random
 
@@ -198,9 +200,18 @@ def judged(scanned: DataFrame) -> DataFrame:
     # rows without a span get a key of their own, or they would all meet in one task
     alone = F.concat(F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("string"))
     rows = scanned.withColumn("found_key", F.coalesce("found_key", alone))
+    # the same values may stand in a third of all rows
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    per_key = per_key.withColumn("__salt", salts())
     of = {"classes": "class", "owners": "n_owners", "repos": "n_repos", "times": "n_found"}
     each = F.transform("found", lambda f: F.element_at("__said", f["hash"]))
-    return rows.join(per_key, "found_key", "left").withColumns({c: each[n] for c, n in of.items()})
+    judged_ = rows.join(per_key, ["found_key", "__salt"], "left").drop("__salt")
+    return judged_.withColumns({c: each[n] for c, n in of.items()})
+
+
+def salts() -> Column:
+    """Every salt: the small side of a join, once for each part of the other."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
 
 
 def secret_scan(docs: DataFrame, key: str, text: str, owner: str, repo: str) -> DataFrame:
@@ -217,36 +228,28 @@ def secret_scan(docs: DataFrame, key: str, text: str, owner: str, repo: str) ->
 def redact(docs: DataFrame, key: str, text: str, owner: str, repo: str, mark: str = MARK) -> DataFrame:
     """The rows of ``docs`` with every live span, and what overlaps it, replaced by a mark.
 
-    Copied examples and weak values stay.  Only texts with a candidate are shuffled, to
-    meet the live values among theirs; the others pass straight through.
+    Copied examples and weak values stay.  Every text is scanned once, and stored with what was
+    found in it.  Only texts with a find are shuffled, to meet the live values among theirs; the
+    others pass straight through.
     """
-    scanned = stored(scan(docs, text, {"doc_id": key, "owner": owner, "repo": repo}), "secrets")
-    spans = scanned.select("owner", "repo", F.explode("found").alias("f"))
+    found = F.transform("found", lambda f: F.struct(f["start"], f["end"], f["hash"], f["live"]))
+    columns = {f"__{i}": c for i, c in enumerate(docs.columns)}
+    at_owner, at_repo, at_text = (list(columns)[docs.columns.index(c)] for c in (owner, repo, text))
+    scanned = scan(docs, text, columns).select(*columns, F.when(F.size("found") > 0, found).alias("__found"))
+    scanned = stored(scanned, "secrets-found")
+    spans = scanned.select(F.col(at_owner).alias("owner"), F.col(at_repo).alias("repo"), F.explode("__found").alias("f"))
     live = value_owners(spans.select("owner", "repo", "f.hash", "f.live")).filter("class = 'live'")
-    return _without(docs, text, live.select(F.col("hash").alias("__hash")), mark)
+    out = _without(scanned, at_text, live.select(F.col("hash").alias("__hash")), mark)
+    return out.select(*[F.col(n).alias(c) for n, c in columns.items()])
 
 
-def _without(docs: DataFrame, text: str, live: DataFrame, mark: str) -> DataFrame:
-    names, schema = docs.columns, docs.schema
-    at = names.index(text)
-
-    def with_hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, kinds, rows = batch.column(at), compiled(), [[]] * batch.num_rows
-        for i in candidates(texts):
-            rows[i] = sorted({digest(s[4]) for s in find(texts[i].as_py(), kinds)})
-        hashes = pa.array(rows, pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([*batch.columns, hashes], [*names, "__hashes"])
-
-    def without(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, gone, kinds = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), compiled()
-        out = [replaced(t, set(g), kinds, mark) if g else t for t, g in zip(texts, gone)]
-        cols = list(batch.columns[: len(names)])
-        cols[at] = pa.array(out, batch.schema.field(at).type)
-        return pa.RecordBatch.from_arrays(cols, names)
-
-    seen = by_batch(docs, with_hashes, StructType([*schema.fields, StructField("__hashes", ArrayType(StringType()))]))
-    plain = seen.filter("size(__hashes) = 0").select(*names)
-    rows = seen.filter("size(__hashes) > 0").withColumn("__key", F.sha2(F.concat_ws(",", "__hashes"), 256))
+def _without(scanned: DataFrame, text: str, live: DataFrame, mark: str) -> DataFrame:
+    """The columns of ``scanned`` but __found, with the live spans of a text replaced."""
+    names = [c for c in scanned.columns if c != "__found"]
+    plain = scanned.filter("__found IS NULL").select(*names)
+    hashes = F.array_sort(F.array_distinct(F.transform("__found", lambda f: f["hash"])))
+    rows = scanned.filter("__found IS NOT NULL").withColumn("__hashes", hashes)
+    rows = rows.withColumn("__key", F.sha2(F.concat_ws(",", "__hashes"), 256))
     per_key = (
         rows.select("__key", F.explode("__hashes").alias("__hash"))
         .distinct()
@@ -254,16 +257,27 @@ def _without(docs: DataFrame, text: str, live: DataFrame, mark: str) -> DataFram
         .groupBy("__key")
         .agg(F.collect_list("__hash").alias("__live"))
     )
-    rows = rows.join(per_key, "__key", "left").drop("__key", "__hashes")
+    # a value may stand in a third of all rows: these are dealt over several tasks
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
+    rows = rows.join(per_key.withColumn("__salt", salts()), ["__key", "__salt"], "left").select(*names, "__found", "__live")
+    at, schema = names.index(text), StructType([scanned.schema[n] for n in names])
+
+    def without(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, found, gone = (batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))
+        out = [replaced(t, f, set(g), mark) if g else t for t, f, g in zip(texts, found, gone)]
+        cols = list(batch.columns[: len(names)])
+        cols[at] = pa.array(out, batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(cols, names)
+
     return plain.unionByName(by_batch(rows, without, schema))
 
 
-def replaced(t: str, live: set[str], kinds: dict, mark: str) -> str:
+def replaced(t: str, found: list[dict], live: set[str], mark: str) -> str:
     """The text with its live spans replaced; overlapping spans become one mark."""
     out, at = [], 0
-    for a, _, _, b, v in find(t, kinds):
-        if digest(v) in live:
-            if a >= at:
-                out += [t[at:a], mark]
-            at = max(at, b)
+    for f in found:
+        if f["hash"] in live:
+            if f["start"] >= at:
+                out += [t[at : f["start"]], mark]
+            at = max(at, f["end"])
     return "".join([*out, t[at:]])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 DEAD = -1
 KNOWN_WORDS = 200_000  # word lengths a task remembers; beyond it the memory starts anew
+KNOWN_SIZE = 64  # characters of the longest word that is remembered
 
 
 def matcher(initial: list[str], continuing: list[str]) -> tuple[list[dict[str, int]], list[int], list[int]]:
@@ -96,7 +97,12 @@ def read_pieces(path: str, start: str = "▁") -> tuple[list[str], list[str]]:
 def token_counts(
     docs: DataFrame, key: str, text: str, initial: list[str], continuing: list[str], start: str = "▁"
 ) -> DataFrame:
-    """doc_id, n_words, n_tokens per row; words are runs of non-space characters."""
+    """doc_id, n_words, n_tokens per row.
+
+    Words are parted by white space of any kind, that outside ASCII included, as the
+    vocabulary's own library does; other operators of this folder part them at the six ASCII
+    spaces only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(matcher(initial, continuing))
     kept = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
 
@@ -110,9 +116,11 @@ def token_counts(
                 for w in parts:
                     length = known.get(w)
                     if length is None:
-                        if len(known) >= KNOWN_WORDS:
-                            known.clear()
-                        length = known[w] = word_length(start + w, *trie)
+                        length = word_length(start + w, *trie)
+                        if len(w) <= KNOWN_SIZE:
+                            if len(known) >= KNOWN_WORDS:
+                                known.clear()
+                            known[w] = length
                     n += length
                 words.append(len(parts))
                 tokens.append(n)

@@ -16,6 +16,7 @@ import hashlib
 import html
 import re
 import uuid
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,14 +25,14 @@ from pyspark.sql import functions as F
 from textwarden.llm.store import by_batch
 
 CRLF = "\r\n"
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.I | re.S)
-BLOCK = re.compile(
-    r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|blockquote|pre)\b[^>]*>", re.I
+HIDDEN = ("script", "style", "noscript", "template")
+BLOCK = frozenset(
+    "p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav title blockquote pre".split()
 )
-TAG = re.compile(r"<[a-z/!?][^>]*>", re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+NAME = re.compile(r"(/?)([a-z][a-z0-9]*)?")
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+HREF = re.compile(r"\bhref\s*=", re.I)
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
 RECORDS = (
     "type string, record_id string, refers_to string, target_uri string, date string, content_type string,"
@@ -44,11 +45,83 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+class Page(NamedTuple):
+    """What a page says: its visible text, its title and language if it has them, and its links."""
+
+    text: str
+    title: str | None
+    lang: str | None
+    links: int
+
+
+def read_page(page: str) -> Page:
+    """One pass over the marks of a page; every search goes on where the last one ended.
+
+    Comments and the elements of HIDDEN count for nothing; where one is never closed, the rest
+    of the page belongs to it.  Other marks go, those of blocks leave a line end; one that is
+    never closed is text.  References are decoded, blanks squeezed.  The title is that of the
+    first title element that is closed, the language that of the first html mark.
+    """
+    low, out, title, title_at, lang, links = page.translate(LOWER), [], None, None, None, 0
+    at, last_end = 0, page.rfind(">")
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        out.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            out.append(" ")
+            at = len(page) if end < 0 else end + 3
+            continue
+        slash, name = NAME.match(low, start + 1).groups()
+        if start > last_end or not (name or slash or page[start + 1 : start + 2] in ("!", "?")):
+            out.append("<")  # no mark, or one that is never closed
+            at = start + 1
+            continue
+        end = page.find(">", start)
+        mark = page[start : end + 1]
+        at = end + 1
+        if name in HIDDEN and not slash:
+            out.append(" ")
+            at = _closed(low, name, at)
+        elif name in BLOCK:
+            out.append("\n")
+        if name == "title" and title is None:
+            if not slash:
+                title_at = len(out) if title_at is None else title_at
+            elif title_at is not None:
+                title = _lines("".join(out[title_at:]))
+        elif name == "html" and not slash and lang is None:
+            found = LANG.search(mark)
+            lang = found[1] if found else None
+        elif name == "a" and not slash:
+            links += bool(HREF.search(mark))
+    out.append(page[at:])
+    return Page(_lines("".join(out)), title, lang, links)
+
+
+def _closed(low: str, name: str, at: int) -> int:
+    """Where the element of this name ends that is open here: behind its closing mark, or at the end."""
+    close = "</" + name
+    while (at := low.find(close, at)) >= 0:
+        at += len(close)
+        end = low.find(">", at)
+        if end >= 0 and not low[at:end].strip():
+            return end + 1
+        if end < 0:
+            break
+    return len(low)
+
+
+def _lines(text: str) -> str:
+    lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
 def plain_text(page: str) -> str:
     """Visible text: blocks on lines of their own, references decoded, blanks squeezed."""
-    page = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return read_page(page).text
 
 
 def _header(fields: list[tuple[str, str | None]]) -> str:
@@ -70,11 +143,11 @@ def derive(record_id: str, uri: str | None, date: str | None, http: str | None,
     page = payload or ""
     source = digest(page.encode("utf-8", "replace"))
     name = lambda kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {record_id} {source}')}>"
-    text = plain_text(page)
-    title, lang = TITLE.search(page), LANG.search(page)
+    said = read_page(page)
+    text = said.text
     fields = [
-        ("title", plain_text(title[1]) if title else None), ("lang", lang[1] if lang else None),
-        ("links", len(LINK.findall(page))), ("characters", len(text)), ("conversion-id", name("conversion")),
+        ("title", said.title), ("lang", said.lang),
+        ("links", said.links), ("characters", len(text)), ("conversion-id", name("conversion")),
         *(("source-header", x) for x in (http or "").splitlines() if x),
     ]
     meta = "".join(f"{k}: {re.sub(r'\s+', ' ', str(v))}{CRLF}" for k, v in fields if v is not None)

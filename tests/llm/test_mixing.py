@@ -50,13 +50,13 @@ def test_given_targets_and_missing_ones(spark):
 
 def test_sample_follows_the_probabilities(spark):
     docs = docs_of(spark, 6000)
-    kept = M.mixed_sample(docs, "doc_id", "text", dims())
+    kept = M.mixed_sample(docs, "doc_id", "text", dims(), cells_of=M.calibrated_cells)
     assert kept.columns == docs.columns
     narrow = docs.select(*[c.alias(n) for n, c in dims().items()], M.token_weight("text").alias("tokens"))
     cells = M.calibrated_cells(narrow.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
     expected = M.with_chance(docs, dims(), cells).agg(F.sum("__p")).first()[0]
     assert abs(kept.count() - expected) < 5 * expected**0.5
-    again = M.mixed_sample(docs.union(docs), "doc_id", "text", dims())  # repeated rows go together
+    again = M.mixed_sample(docs.union(docs), "doc_id", "text", dims(), sweeps=4)  # repeated rows go together
     assert again.count() == 2 * again.distinct().count()
 
 
@@ -112,3 +112,14 @@ def test_sized_draw_follows_the_probabilities(spark):
     assert kept.columns == docs.columns and kept.count() > 0.8 * docs.count()
     none = M.mixed_sample(docs.limit(0), "doc_id", "text", dims(), cells_of=M.sized_cells, sweeps=1)
     assert none.count() == 0
+
+
+def test_one_document_of_a_new_source_changes_next_to_nothing(spark):
+    docs = docs_of(spark, 3000).withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise(F.col("text")))
+    new = spark.createDataFrame([(9999, "five words are in it", "new", "en", "a", "b", "c")], SCHEMA)
+    shares = []
+    for rows in (docs, docs.union(new)):
+        tokens = M.token_weight("text")
+        kept = M.mixed_sample(rows, "doc_id", "text", dims(), sweeps=4)
+        shares.append(kept.agg(F.sum(tokens)).first()[0] / rows.agg(F.sum(tokens)).first()[0])
+    assert abs(shares[0] - shares[1]) < 0.01 and shares[0] > 0.5

@@ -6,10 +6,10 @@ dimension after the other, sweep by sweep.  A document's inclusion probability i
 cell's fitted weight per token, scaled so that the largest is at most 1: the expected
 sample has the target mix, whatever a hot source or language holds.
 
-``calibrated_cells`` keeps that mix exactly, at the price of a sample as small as its
-rarest cell allows.  ``sized_cells`` draws an expected number of tokens that is given: cells
-with less than their part are kept whole, and the others are fitted again to what they
-leave, so that a rare cell costs the others nothing.
+``sized_cells``, which the queries and the pipeline use, draws an expected number of tokens
+that is given: cells with less than their part are kept whole, and the others are fitted again
+to what they leave, so that a rare cell costs the others nothing.  ``calibrated_cells`` keeps
+the mix exactly, for whom that is worth a sample as small as its rarest cell allows.
 
 Only sums per cell are shuffled after the first aggregation.  All of it is DataFrame
 functions.  Null values of a dimension are a value like any other; null texts have no
@@ -29,7 +29,6 @@ from textwarden.llm.store import stored
 SWEEPS = 16
 SWEEPS_A_JOB = 4
 ALPHA = 0.7  # target share of a value ~ its share of tokens to this power
-FRACTION = 0.5  # of all tokens, at most, in the expected sample
 DIGITS = 1e9  # probabilities are rounded to this part
 
 
@@ -86,8 +85,8 @@ def residual(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
     return reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
 
 
-def inclusion(fitted: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """Adds ``p``, the inclusion probability of a cell's documents."""
+def inclusion(fitted: DataFrame, fraction: float = 1.0) -> DataFrame:
+    """Adds ``p``, the inclusion probability of a cell's documents, for at most this part of all tokens."""
     per_token = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     rated = fitted.withColumn("__r", per_token)
     top, tokens, weight = rated.agg(F.max("__r"), F.sum("tokens"), F.sum("weight")).first()
@@ -102,7 +101,7 @@ def draw(key: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def calibrated_cells(sums: DataFrame, alpha: float = ALPHA, fraction: float = FRACTION) -> DataFrame:
+def calibrated_cells(sums: DataFrame, alpha: float = ALPHA, fraction: float = 1.0) -> DataFrame:
     """The cells with weight and p.  ``sums``: one row per cell, the dimensions and tokens."""
     cells = stored(sums, "cells")
     dims = [c for c in cells.columns if c != "tokens"]
@@ -201,7 +200,7 @@ def with_chance(docs: DataFrame, dims: dict[str, Column], cells: DataFrame) -> D
 
 
 def mixed_sample(
-    docs: DataFrame, key: str, text: str, dims: dict[str, Column], cells_of=calibrated_cells, **how
+    docs: DataFrame, key: str, text: str, dims: dict[str, Column], cells_of=sized_cells, **how
 ) -> DataFrame:
     """The rows of ``docs`` that the draw keeps; all columns, nothing added."""
     narrow = docs.select(*[c.alias(n) for n, c in dims.items()], token_weight(text).alias("tokens"))

@@ -86,18 +86,24 @@ def _mixture(spark: SparkSession, sf: str, cells_of) -> DataFrame:
 
 @query
 def op7_mixture_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with its cell, tokens, calibrated probability and whether it is drawn."""
-    return _mixture(spark, sf, mixing.calibrated_cells)
+    """Every document with its cell, tokens, calibrated probability and whether it is drawn.
+
+    For the size at which no value has more than its target share of all tokens.
+    """
+    return _mixture(spark, sf, mixing.sized_cells)
 
 
 @query
 def op7_sized_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """The same for a sample of a set size: rare cells are kept whole, as in the pipeline."""
-    return _mixture(spark, sf, mixing.sized_cells)
+    """The same for a sample of a size that is given: half of all tokens."""
+    return _mixture(spark, sf, lambda sums: mixing.sized_cells(sums, size=_HALF * sums.agg(F.sum("tokens")).first()[0]))
+
 
+_HALF = 0.5
 
-def _sql_mixture() -> str:
-    """The same cells, sweeps and draw; window sums instead of joins."""
+
+def _sql_mixture(size: str) -> str:
+    """The same cells, sweeps and draw; ``size``: the expected tokens, from ``total`` and the targets."""
     topic = (
         "CASE WHEN text IS NULL THEN 'none' WHEN contains(text, '|') THEN 'table' WHEN contains(text, '!!') THEN 'shout'"
         " WHEN contains(text, '@') THEN 'contact' WHEN length(text) < 500 THEN 'note' ELSE 'prose' END"
@@ -105,39 +111,56 @@ def _sql_mixture() -> str:
     words = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
     parts = [
         f"narrow AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, CAST({words} AS BIGINT) AS tokens FROM documents)",
-        "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens,"
-        " CAST(sum(tokens) AS DOUBLE) AS w FROM narrow GROUP BY ALL)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM narrow GROUP BY ALL)",
+        "total AS MATERIALIZED (SELECT sum(tokens) AS tokens FROM cells)",
     ]
     for d in MIX:
-        parts.append(f"m_{d} AS (SELECT {d}, pow(CAST(sum(tokens) AS DOUBLE), {mixing.ALPHA}::DOUBLE) AS s FROM cells GROUP BY {d})")
-        parts.append(f"t_{d} AS MATERIALIZED (SELECT {d}, s / (SELECT sum(s) FROM m_{d}) AS t_{d} FROM m_{d})")
+        parts.append(
+            f"m_{d} AS MATERIALIZED (SELECT {d}, sum(tokens) AS n, CASE WHEN sum(tokens) > 0 THEN"
+            f" pow(sum(tokens), {mixing.ALPHA}::DOUBLE) ELSE 0 END AS s FROM cells GROUP BY {d})"
+        )
+        parts.append(f"h_{d} AS MATERIALIZED (SELECT {d}, n, s / (SELECT sum(s) FROM m_{d}) AS share FROM m_{d})")
+    parts.append(f"size AS MATERIALIZED (SELECT {size} AS tokens)")
+
+    def filled(rows: str, cap: str, weight: str, goal: str, by: str = "") -> str:
+        """Rows with ``level``: the factor at which the weights, each up to its cap, sum to the goal."""
+        over = f"({by} ORDER BY CASE WHEN {weight} > 0 THEN {cap} / {weight} ELSE 0 END"
+        return (
+            f"SELECT *, max(CASE WHEN rest > 0 THEN ({goal} - before) / rest END) OVER ({by}) AS level FROM (SELECT *,"
+            f" coalesce(sum({cap}) OVER {over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,"
+            f" sum({weight}) OVER {over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {rows})"
+        )
+
+    for d in MIX:
+        level = filled(f"h_{d}", "n", "share", "(SELECT tokens FROM size)")
+        parts.append(f"t_{d} AS MATERIALIZED (SELECT {d}, least(n, share * level) AS t_{d} FROM ({level}))")
     joins = " ".join(f"JOIN t_{d} ON c.{d} IS NOT DISTINCT FROM t_{d}.{d}" for d in MIX)
     targets = ", ".join(f"t_{d}" for d in MIX)
-    parts.append(f"s0 AS MATERIALIZED (SELECT c.*, {targets} FROM cells c {joins})")
+    parts.append(f"s0 AS MATERIALIZED (SELECT c.*, {targets}, c.tokens AS w FROM cells c {joins})")
     i = 0
     for _ in range(mixing.SWEEPS):
         for d in MIX:
+            level = filled(f"s{i}", "tokens", "w", f"t_{d}", f"PARTITION BY {d}")
             parts.append(
                 f"s{i + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, {targets},"
-                f" CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * t_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w FROM s{i})"
+                f" w * greatest(coalesce(level, 0), 0) AS w FROM ({level}))"
             )
             i += 1
-    parts.append(f"r AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS r FROM s{i})")
-    parts.append(
-        f"k AS MATERIALIZED (SELECT least(1 / max(r), {mixing.FRACTION}::DOUBLE * CAST(sum(tokens) AS DOUBLE) / sum(w)) AS k FROM r)"
-    )
+    level = filled(f"s{i}", "tokens", "w", "(SELECT tokens FROM size)")
     parts.append(
-        "p AS MATERIALIZED (SELECT source, lang, topic, least(1.0::DOUBLE,"
-        " floor(r * (SELECT k FROM k) * 1e9 + 0.500001::DOUBLE) / 1e9) AS p FROM r)"
+        "p AS MATERIALIZED (SELECT source, lang, topic, least(1.0::DOUBLE, floor(CASE WHEN tokens > 0 THEN"
+        f" least(tokens, w * coalesce(level, 0)) / tokens ELSE 0 END * 1e9 + 0.500001::DOUBLE) / 1e9) AS p FROM ({level}))"
     )
     same = " AND ".join(f"n.{d} IS NOT DISTINCT FROM p.{d}" for d in MIX)
     drawn = "CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496::DOUBLE < p"
     return (
-        f"WITH {', '.join(parts)} SELECT doc_id, n.source, n.lang, n.topic, tokens, p, {drawn} AS drawn FROM narrow n JOIN p ON {same}"
+        f"WITH {', '.join(parts)} SELECT doc_id, n.source, n.lang, n.topic, n.tokens, p, {drawn} AS drawn FROM narrow n JOIN p ON {same}"
     )
 
 
-ORACLES["op7_mixture_sample"] = _sql_mixture()
+_LEFT = ", ".join(f"(SELECT sum(least(n, share * (SELECT tokens FROM total))) FROM h_{d})" for d in MIX)
+ORACLES["op7_mixture_sample"] = _sql_mixture(f"least({_LEFT})")
+ORACLES["op7_sized_sample"] = _sql_mixture(f"{_HALF}::DOUBLE * (SELECT tokens FROM total)")
 
 
 @query

@@ -40,6 +40,22 @@ def test_single_and_mixed(spark, model):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
+def test_gain_tells_language_from_noise(spark, model):
+    """Texts of the corpus, short and mixed ones are likelier under their mixture than under the background, noise is not."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trained = L.train(docs, "text", "lang")
+    told = L.identify(docs, {"doc_id": "doc_id"}, "text", trained).filter("gain IS NOT NULL").collect()
+    assert len(told) > 900 and min(r["gain"] for r in told) > 0
+    r = np.random.default_rng(1)
+    noise = ["".join(r.choice(list("qxzjkvwyäßçœø"), 400)) for _ in range(5)] + ["".join(map(chr, r.integers(0x4E00, 0x9000, 300))), "".join(map(chr, r.integers(0x410, 0x44F, 300)))]
+    got = predicted(spark, trained, [*noise, "", None])
+    assert max(got[i]["gain"] for i in range(7)) < -20 and got[7]["gain"] is got[8]["gain"] is None
+    # a model of three sentences knows too little to tell
+    small = predicted(spark, model, [EN, EN[:30], EN * 2 + FR, *noise])
+    assert min(small[i]["gain"] for i in range(3)) > 5 and min(r["gain"] for r in small.values()) > -20
+
+
 def test_no_labels(spark):
     none = spark.createDataFrame([], SCHEMA)
     model = L.train(none, "text", "lang")

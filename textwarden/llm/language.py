@@ -151,9 +151,11 @@ def _stepwise(best: tuple, every: int, tried) -> tuple:
 
 
 def identify(docs: DataFrame, key: dict[str, str], text: str, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """Columns ``key`` (new name: column), lang_pred, score and ``mixture``, a map of proportions.
+    """Columns ``key`` (new name: column), lang_pred, score, ``mixture``, a map of proportions, and ``gain``.
 
-    The score is the proportion of the predicted language.  A model without languages (no
+    The score is the proportion of the predicted language.  The gain is the logarithm of how
+    much likelier the text is under its mixture than under a background that has all n-grams
+    alike; null where nothing was inferred.  A model without languages (no
     labelled text to learn from) predicts null, with score 0, for every text that has a letter.
     """
     langs, table = model
@@ -169,23 +171,27 @@ def identify(docs: DataFrame, key: dict[str, str], text: str, model: tuple[list[
         letters = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
         names, likely = shared.value
         for batch in batches:
-            preds, scores, maps = [], [], []
+            preds, scores, maps, gains = [], [], [], []
             for t in batch.column(at_text).to_pylist():
                 n = trigram_counts(t, letters) if t else None
                 if n is None or not names:
                     preds.append(UNKNOWN if n is None else None)
                     scores.append(0.0)
                     maps.append([])
+                    gains.append(None)
                     continue
                 at = np.flatnonzero(n)
-                found = mixture(n[at].astype(float), likely[at])
+                counts, seen = n[at].astype(float), likely[at]
+                found = mixture(counts, seen)
+                mix = seen[:, list(found)] @ np.array(list(found.values()))
+                gains.append(float(counts @ np.log(mix * BUCKETS)))
                 top = max(found, key=lambda i: (found[i], -i))
                 preds.append(names[top])
                 scores.append(min(1.0, max(0.0, found[top])))
                 maps.append([(names[i], p) for i, p in sorted(found.items())])
             cols = [*batch.columns[:width], pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
-                    pa.array(maps, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "lang_pred", "score", "mixture"])
+                    pa.array(maps, pa.map_(pa.string(), pa.float64())), pa.array(gains, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "lang_pred", "score", "mixture", "gain"])
 
-    told = StructType.fromDDL("lang_pred string, score double, mixture map<string,double>")
+    told = StructType.fromDDL("lang_pred string, score double, mixture map<string,double>, gain double")
     return kept.mapInArrow(run, StructType([*kept.schema.fields[:width], *told.fields]))

@@ -1,6 +1,6 @@
 """The corpus pipeline: documents through five stages, each written before the next reads it.
 
-1.  Language: documents without a recognisable language go.
+1.  Language: documents that no learned language, and no mixture of them, explains go.
 2.  Near duplicates: the smallest id of each group of five-word shingle sets that are alike
     to four fifths or more stays.
 3.  Decontamination: documents that hold a benchmark item go.
@@ -26,16 +26,22 @@ from textwarden.sources.files import read_table
 cloudpickle.register_pickle_by_value(textwarden)
 
 
+EVIDENCE = 20.0
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows whose text is null or has no letter: no language can be told for them.
+    """Drop the rows of which no language can be told: texts that are null or have no letter, and
+    those under whose best mixture of languages the text is less likely, by e to the EVIDENCE,
+    than under a background in which all n-grams are alike.
 
-    The model learns from all labelled rows of the input.
+    The model learns from all labelled rows of the input; without any it rejects nothing else.
     """
     model = language.train(docs, "text", "lang")
     names = {f"__{i}": n for i, n in enumerate(docs.columns)}
     told = language.identify(docs, names, "text", model)
     known = ~F.col("lang_pred").eqNullSafe(F.lit(language.UNKNOWN))
-    return told.filter(known).select(*[F.col(i).alias(n) for i, n in names.items()])
+    explained = F.coalesce(F.col("gain") >= -EVIDENCE, F.lit(True))
+    return told.filter(known & explained).select(*[F.col(i).alias(n) for i, n in names.items()])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,17 +15,13 @@ from textwarden.functions.policy import route
 from textwarden.functions.scores import borderline
 from textwarden.operators.decisions import review_queue
 from textwarden.session import fresh_path
-from textwarden.sources.files import read_event_stream
+from textwarden.sources.files import read_event_stream, read_table_stream
 from textwarden.streaming import stateful as ST
 from textwarden.streaming import streams as S
 
 
 def _documents(spark, sf):
-    return read_event_stream(spark, sf, schemas.DOCUMENTS, "documents.parquet")
-
-
-def _events(spark, sf):
-    return read_event_stream(spark, sf, schemas.EVENTS, "events.parquet")
+    return read_table_stream(spark, sf, "documents", schemas.DOCUMENTS)
 
 
 BATCHES = 6

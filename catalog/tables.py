@@ -230,7 +230,7 @@ def event_source(spark, sf):
     """The event table read as a stream and stored."""
     from textwarden.streaming.streams import run_available
 
-    events = files.read_event_stream(spark, sf, schemas.EVENTS, "events.parquet")
+    events = files.read_table_stream(spark, sf, "events", schemas.EVENTS)
     stored = run_available(events, "events")
     return stored.groupBy("event_type").agg(
         F.count("*").alias("n"), big(F.max("event_id")).alias("last_id")

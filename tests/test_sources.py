@@ -5,10 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from textwarden import session
 from textwarden.operators import decisions as D
 from textwarden.operators import plugins as PL
 from textwarden.session import fresh_path, shared_dir
-from textwarden.sources import files, sinks
+from textwarden.sources import files, folders, sinks
+from textwarden.streaming.streams import run_available
 
 
 def test_csv_keeps_texts(spark):
@@ -187,3 +189,25 @@ def test_expired_days_go_as_folders(spark):
     assert {(r["stream"], r["day"]) for r in left} == set(rows) - want
     assert sinks.drop_expired(spark, path, as_of).count() == 0
     assert sinks.drop_expired(spark, fresh_path(spark, "no-log"), as_of).count() == 0
+
+
+def test_tables_as_streams_are_files_or_folders(spark):
+    folder = fresh_path(spark, "tables")
+    rows = spark.range(10)
+    rows.repartition(3).write.parquet(f"{folder}/many.parquet")
+    rows.coalesce(1).write.parquet(f"{folder}/aside")
+    (part,) = folders.files_in(spark, f"{folder}/aside")
+    fs, place = folders._system(spark, part)
+    fs.rename(place, folders._system(spark, f"{folder}/one.parquet")[1])
+    for name in ("one", "many"):
+        got = run_available(files.read_table_stream(spark, folder, name, "id LONG"), name)
+        assert sorted(r["id"] for r in got.collect()) == list(range(10))
+
+
+def test_what_was_written_on_the_way_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(session, "_MADE", [])
+    paths = [fresh_path(spark, "a"), fresh_path(spark, "b"), fresh_path(spark, "never-written")]
+    for path in paths[:2]:
+        spark.range(3).write.parquet(path)
+    assert session.release(spark) == 3 and session.release(spark) == 0
+    assert not any(folders.is_folder(spark, p) for p in paths)

@@ -66,6 +66,8 @@ ROUTE_REASONS = {
 REVIEW_REASON = "Content requires human review based on enhanced analysis"
 BLOCK_REASON = "Content blocked based on enhanced toxicity analysis"
 ALERT_SUBJECT = "Content Blocked - High Toxicity Detected"
+NO_TEXT_ERROR = "No text provided for prediction"
+NOTHING_LEFT_ERROR = "Text is empty after cleaning"
 
 # --- fixed values: labelled sentences and reports -----------------------------
 # before, case and after of each variant

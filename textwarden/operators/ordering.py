@@ -44,8 +44,9 @@ def hash_rank(
     """Add ``rank`` (1-based, in hash order, per group) and ``total`` (group size).
 
     The first hex digits of the hash cut every group into 16**digits even
-    pieces, by default as many that a piece has RANKED_TOGETHER rows at most, so a group of any size spreads over the cluster; pieces are ranked
-    on their own and shifted by the row counts of the pieces before.
+    pieces, by default as many that a piece has RANKED_TOGETHER rows at most, so a
+    group of any size spreads over the cluster; pieces are ranked on their own and
+    shifted by the row counts of the pieces before.
     """
     by = list(by)
     if digits is None:

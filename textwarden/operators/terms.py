@@ -59,8 +59,6 @@ def counted_terms(df: DataFrame, keys: Iterable[str], terms: str) -> DataFrame:
     )
 
 
-
-
 def term_stats(terms: DataFrame, n_docs: int) -> DataFrame:
     """Corpus frequency, document frequency and smoothed idf of every term.
 

@@ -65,8 +65,8 @@ def moderate(
         .withColumn("reason", keep(F.col("reason"), F.lit(K.TOO_SHORT_REASON)))
         .withColumn(
             "error",
-            F.when(F.col("outcome").startswith("invalid"), "No text provided for prediction")
-            .when(F.col("outcome") == "empty_after_clean", "Text is empty after cleaning")
+            F.when(F.col("outcome").startswith("invalid"), K.NO_TEXT_ERROR)
+            .when(F.col("outcome") == "empty_after_clean", K.NOTHING_LEFT_ERROR)
             .when(scored & number("score").isNull(), "no score"),
         )
     )

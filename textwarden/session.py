@@ -7,12 +7,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from textwarden.sources.folders import remove
+
 # AQE splits skewed joins and merges small shuffle partitions on its own.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -54,9 +58,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """An unused path below the shared folder; ``release`` deletes what is written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this driver has put below fresh paths; call it once the results are written.
+
+    Tables read from there are gone with it.  Returns the number of paths.
+    """
+    done = len(_MADE)
+    while _MADE:
+        remove(spark, _MADE.pop())
+    return done
 
 
 def materialized(df):

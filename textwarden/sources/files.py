@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textwarden import schemas
 from textwarden.functions.text import strip_space
+from textwarden.sources.folders import is_folder
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -128,3 +129,13 @@ def read_event_stream(
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
+
+
+def read_table_stream(
+    spark: SparkSession, folder: str, name: str, schema: str, files_per_trigger: int | None = None
+) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if is_folder(spark, path):
+        return read_event_stream(spark, path, schema, files_per_trigger=files_per_trigger)
+    return read_event_stream(spark, folder, schema, f"{name}.parquet", files_per_trigger)

@@ -38,6 +38,11 @@ def files_in(spark: SparkSession, folder: str) -> dict[str, int]:
     return {s.getPath().toString(): s.getLen() for s in _inside(spark, folder) if s.isFile()}
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, place = _system(spark, path)
+    return bool(fs.exists(place)) and bool(fs.getFileStatus(place).isDirectory())
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder with all that is in it; one that is gone already is fine."""
     fs, place = _system(spark, folder)

@@ -49,8 +49,11 @@ def test_gain_tells_language_from_noise(spark, model):
     assert len(told) > 900 and min(r["gain"] for r in told) > 0
     r = np.random.default_rng(1)
     noise = ["".join(r.choice(list("qxzjkvwyäßçœø"), 400)) for _ in range(5)] + ["".join(map(chr, r.integers(0x4E00, 0x9000, 300))), "".join(map(chr, r.integers(0x410, 0x44F, 300)))]
-    got = predicted(spark, trained, [*noise, "", None])
+    assert max(r["foreign"] for r in told) == 0
+    partly = "ZKIQPTDWXXUFBQSMKLHQ WWXQ Shhely that, the outhing."  # a code and a short text
+    got = predicted(spark, trained, [*noise, "", None, partly])
     assert max(got[i]["gain"] for i in range(7)) < -20 and got[7]["gain"] is got[8]["gain"] is None
+    assert min(got[i]["foreign"] for i in range(7)) > 0.9 and got[9]["gain"] < 0 and got[9]["foreign"] < 0.8
     # a model of three sentences knows too little to tell
     small = predicted(spark, model, [EN, EN[:30], EN * 2 + FR, *noise])
     assert min(small[i]["gain"] for i in range(3)) > 5 and min(r["gain"] for r in small.values()) > -20

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textwarden.llm.store import sliced
+
 BUCKETS = 1 << 14
 SMOOTHING = 0.5  # counts added to every bucket
 STEPS = 2000  # of expectation-maximisation, at most
@@ -69,7 +71,7 @@ def train(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for lang_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = trigram_counts(t, letters)
                 if n is not None:
@@ -150,12 +152,19 @@ def _stepwise(best: tuple, every: int, tried) -> tuple:
         best = found
 
 
+def background_share(counts: np.ndarray, likely: np.ndarray) -> float:
+    """The proportion of a background that has all buckets alike, beside all languages."""
+    every = np.c_[likely, np.full(len(likely), 1 / BUCKETS)]
+    return float(shares(counts, every, np.full(every.shape[1], 1 / every.shape[1]))[0][-1])
+
+
 def identify(docs: DataFrame, key: dict[str, str], text: str, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """Columns ``key`` (new name: column), lang_pred, score, ``mixture``, a map of proportions, and ``gain``.
+    """Columns ``key`` (new name: column), lang_pred, score, ``mixture``, a map of proportions, ``gain`` and ``foreign``.
 
     The score is the proportion of the predicted language.  The gain is the logarithm of how
     much likelier the text is under its mixture than under a background that has all n-grams
-    alike; null where nothing was inferred.  A model without languages (no
+    alike; null where nothing was inferred.  Where it is negative, ``foreign`` is the part of
+    the text that goes to the background when that is one more language of the mixture; else 0.  A model without languages (no
     labelled text to learn from) predicts null, with score 0, for every text that has a letter.
     """
     langs, table = model
@@ -170,8 +179,8 @@ def identify(docs: DataFrame, key: dict[str, str], text: str, model: tuple[list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
         names, likely = shared.value
-        for batch in batches:
-            preds, scores, maps, gains = [], [], [], []
+        for batch in sliced(batches):
+            preds, scores, maps, gains, foreign = [], [], [], [], []
             for t in batch.column(at_text).to_pylist():
                 n = trigram_counts(t, letters) if t else None
                 if n is None or not names:
@@ -179,19 +188,23 @@ def identify(docs: DataFrame, key: dict[str, str], text: str, model: tuple[list[
                     scores.append(0.0)
                     maps.append([])
                     gains.append(None)
+                    foreign.append(0.0)
                     continue
                 at = np.flatnonzero(n)
                 counts, seen = n[at].astype(float), likely[at]
                 found = mixture(counts, seen)
                 mix = seen[:, list(found)] @ np.array(list(found.values()))
                 gains.append(float(counts @ np.log(mix * BUCKETS)))
+                foreign.append(background_share(counts, seen) if gains[-1] < 0 else 0.0)
                 top = max(found, key=lambda i: (found[i], -i))
                 preds.append(names[top])
                 scores.append(min(1.0, max(0.0, found[top])))
                 maps.append([(names[i], p) for i, p in sorted(found.items())])
             cols = [*batch.columns[:width], pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
-                    pa.array(maps, pa.map_(pa.string(), pa.float64())), pa.array(gains, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "lang_pred", "score", "mixture", "gain"])
+                    pa.array(maps, pa.map_(pa.string(), pa.float64())), pa.array(gains, pa.float64()),
+                    pa.array(foreign, pa.float64())]
+            names_out = ["lang_pred", "score", "mixture", "gain", "foreign"]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], *names_out])
 
-    told = StructType.fromDDL("lang_pred string, score double, mixture map<string,double>, gain double")
+    told = StructType.fromDDL("lang_pred string, score double, mixture map<string,double>, gain double, foreign double")
     return kept.mapInArrow(run, StructType([*kept.schema.fields[:width], *told.fields]))

@@ -66,10 +66,11 @@ ROWS = 2000  # rows that a Python worker takes at a time, so that it holds littl
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches."""
+    """The same rows in smaller batches; a worker that has done its last one keeps no memory for more."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:

@@ -27,12 +27,14 @@ cloudpickle.register_pickle_by_value(textwarden)
 
 
 EVIDENCE = 20.0
+FOREIGN = 0.9
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows of which no language can be told: texts that are null or have no letter, and
-    those under whose best mixture of languages the text is less likely, by e to the EVIDENCE,
-    than under a background in which all n-grams are alike.
+    those that no mixture of languages explains: less likely under the best one, by e to the
+    EVIDENCE, than under a background in which all n-grams are alike, and with FOREIGN of it
+    or more going to the background when that is offered beside the languages.
 
     The model learns from all labelled rows of the input; without any it rejects nothing else.
     """
@@ -40,7 +42,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     names = {f"__{i}": n for i, n in enumerate(docs.columns)}
     told = language.identify(docs, names, "text", model)
     known = ~F.col("lang_pred").eqNullSafe(F.lit(language.UNKNOWN))
-    explained = F.coalesce(F.col("gain") >= -EVIDENCE, F.lit(True))
+    explained = F.coalesce(F.col("gain") >= -EVIDENCE, F.lit(True)) | (F.col("foreign") < FOREIGN)
     return told.filter(known & explained).select(*[F.col(i).alias(n) for i, n in names.items()])
 
 

@@ -127,8 +127,12 @@ def find(text: str, kinds: dict) -> list[tuple[int, int, str, int, str]]:
 
 def scan(docs: DataFrame, text: str, keep: dict[str, str]) -> DataFrame:
     """Columns ``keep`` (new name: column) and those of SCANNED, one row per row."""
-    kept = docs.select(*[F.col(c).alias(n) for n, c in keep.items()], F.col(text).alias("__text"))
+    kept = docs.select(*[F.col(c).alias(n) for n, c in keep.items()])
     n_keep, empty = len(keep), hashlib.sha256(b"").hexdigest()
+    # the text is sent to the workers once, if it is kept as well
+    at_text = next((i for i, c in enumerate(keep.values()) if c == text), n_keep)
+    if at_text == n_keep:
+        kept = docs.select(*[F.col(c).alias(n) for n, c in keep.items()], F.col(text).alias("__text"))
 
     def row(t: str, kinds: dict) -> tuple:
         spans = find(t, kinds)
@@ -142,7 +146,7 @@ def scan(docs: DataFrame, text: str, keep: dict[str, str]) -> DataFrame:
         return (*(n[k] for k in BASE), hashlib.sha256(base.encode()).hexdigest(), every, found, key)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, kinds = batch.column(n_keep), compiled()
+        texts, kinds = batch.column(at_text), compiled()
         rows = [(0, 0, 0, empty, "", [], None)] * batch.num_rows
         for i in candidates(texts):
             rows[i] = row(texts[i].as_py(), kinds)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,11 +67,20 @@ ROWS = 2000  # rows that a Python worker takes at a time, so that it holds littl
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches; a worker that has done its last one keeps no memory for more."""
+    """The same rows in smaller batches; a worker that has done its last one gives its memory back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system: workers wait for their next task for long."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:

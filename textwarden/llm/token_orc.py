@@ -31,7 +31,7 @@ from textwarden.llm.words import list_array, mixed, pieces
 ROWS = 1000  # rows per entry of the row index
 STRIPE = 16 << 20
 KNOWN = 1 << 19  # words whose tokens a task keeps
-TOGETHER = 2 << 20  # bytes of texts that are cut together
+TOGETHER = 1 << 20  # bytes of texts that are cut together
 END = 2
 SCHEMA = "doc_id {key}, before long, n_tokens int, ids array<int>"
 

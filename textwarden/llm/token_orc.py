@@ -31,7 +31,7 @@ from textwarden.llm.words import list_array, mixed, pieces
 ROWS = 1000  # rows per entry of the row index
 STRIPE = 16 << 20
 KNOWN = 1 << 19  # words whose tokens a task keeps
-TOGETHER = 2 << 20  # bytes of texts that are cut together
+TOGETHER = 4 << 20  # bytes of texts that are cut together
 END = 2
 SCHEMA = "doc_id {key}, before long, n_tokens int, ids array<int>"
 
@@ -171,6 +171,19 @@ class Encoder:
         return rows
 
 
+def worker_encoder(vocabulary: str, end: int) -> Encoder:
+    """The encoder of this worker process, which keeps it and the words it knows from task to task.
+
+    Functions are sent to a worker anew with every task; a module of the library is not.
+    """
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_textwarden_encoders", {})
+    if (vocabulary, end) not in kept:
+        kept[vocabulary, end] = Encoder(vocabulary, end)
+    return kept[vocabulary, end]
+
+
 class Contents(NamedTuple):
     """Spans of bytes of different content: where one of each is, a key and the bytes as numbers."""
 
@@ -212,7 +225,7 @@ def encoded(docs: DataFrame, key: str, text: str, vocabulary: str, end: int = EN
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = Encoder(vocabulary, end), 0
+        encoder, before = worker_encoder(vocabulary, end), 0
         for batch in sliced(batches, ROWS):
             ids = [row for _, data, cuts in pieces(batch.column(1), TOGETHER) for row in encoder.piece(data, cuts)]
             sizes = np.array([len(x) for x in ids], np.int64)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import streaming as CS
 from textwarden.operators import alarms as A
 from textwarden.operators import decisions as D
 from textwarden.operators import status as ST
@@ -281,3 +282,16 @@ def test_alerts_stream(spark, events):
     want = {r[0] for r in batch.filter("value > 30").select("event_id").collect()}
     assert {r[0] for r in spark.read.parquet(out).select("event_id").collect()} == want
     assert D.blocked_alerts(decided).isStreaming
+
+
+def test_batches_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Ten times the rows are ten times the files, in as many batches, still in time order."""
+    monkeypatch.setattr(CS, "FILE_ROWS", 10)
+    rows = spark.range(600).select("id", (F.lit(START) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts"))
+    live = CS._in_batches(rows, "batches")
+    got = S.run_available(live.withColumn("file", F.col("_metadata.file_name")), "batches", "update")
+    per_batch = got.groupBy("batch").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_distinct("file").alias("files"))
+    found = per_batch.orderBy("batch").collect()
+    assert len(found) == CS.BATCHES and all(b["files"] > 1 for b in found)
+    assert all(a["hi"] < b["lo"] for a, b in zip(found, found[1:]))
+    assert got.count() == 600

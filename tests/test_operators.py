@@ -342,3 +342,11 @@ def test_sampling_is_whole(spark):
             else {"Please, " + plain.lower(), plain + " Please.", "I think " + plain.lower()}
         )
         assert r["t"] in (forms if r["varied"] else {plain})
+
+
+def test_a_large_class_is_not_brought_into_one_task(spark):
+    """Nineteen rows of twenty are of one class: folds and splits leave the rows where they are."""
+    df = spark.range(0, 2000, numPartitions=4).select(F.col("id"), (F.col("id") % 20 == 0).cast("int").alias("label"))
+    for placed in (X.stratified_folds(df, "label", "id", 5), X.stratified_split(df, "label", "id", 0.2)):
+        tasks = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) == 4 and max(tasks) == 500

@@ -13,6 +13,7 @@ from textwarden.operators.ordering import hash_rank, join_back, numbered, seeded
 from textwarden.session import materialized
 
 SAMPLE_RATES = {1: 0.3, 0: 0.2}
+FEW_CLASSES = 1000  # as many cuts are sent to every task
 DRAWS_PER_BLOCK = 100_000  # draws that one task makes at a time
 
 
@@ -64,8 +65,14 @@ def hash_cuts(
 
 
 def _with_side(df: DataFrame, by: str, key: str, cuts: DataFrame, seed: int) -> DataFrame:
-    """Add ``__side``: the number of cuts of its class a row lies behind."""
+    """Add ``__side``: the number of cuts of its class a row lies behind.
+
+    A shuffle by class would bring the rows of a large class into one task, so the cuts go to
+    the rows where there are few classes.
+    """
     of_class = cuts.withColumnRenamed("__by", "__class")
+    if df.select(by).distinct().limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
+        of_class = F.broadcast(of_class)
     rows = join_back(df.withColumn("__class", F.col(by)), of_class, ["__class"])
     # the hash is a column of its own, so that it is computed once per row
     rows = rows.withColumn("__h", seeded_hash(key, seed))

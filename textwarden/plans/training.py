@@ -99,6 +99,14 @@ def _vocabulary_stages(spark: SparkSession, vocab: list) -> list:
     ]
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt evenly over the tasks, however the table's files are cut.
+
+    Cutting texts into terms costs far more than moving them.
+    """
+    return rows.repartition(key)
+
+
 def _fold_stats(kept: DataFrame, key: str, s: Settings) -> DataFrame:
     """Term and document frequency of every term, in all and per fold, in one shuffle.
 
@@ -180,7 +188,7 @@ def train_classifier(
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
     text_stages = _text_stages(s, text)
-    kept = PipelineModel(text_stages).transform(folded).select(key, label, "fold", "__terms").persist()
+    kept = PipelineModel(text_stages).transform(_spread(folded, key)).select(key, label, "fold", "__terms").persist()
     stats = _fold_stats(kept, key, s).persist()
 
     def fit_without(fold: int | None) -> list:
@@ -234,7 +242,7 @@ def fit_all(
     s = settings
     rows = df.select(key, text, F.col(label).cast("int").alias(label))
     stages = _text_stages(s, text)
-    kept = PipelineModel(stages).transform(rows).select(key, label, "__terms").persist()
+    kept = PipelineModel(stages).transform(_spread(rows, key)).select(key, label, "__terms").persist()
     try:
         n = kept.count()
         stats = TM.term_stats(TM.counted_terms(kept, [key], "__terms"), n)

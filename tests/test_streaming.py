@@ -295,3 +295,64 @@ def test_batches_do_not_grow_with_the_rows(spark, monkeypatch):
     assert len(found) == CS.BATCHES and all(b["files"] > 1 for b in found)
     assert all(a["hi"] < b["lo"] for a, b in zip(found, found[1:]))
     assert got.count() == 600
+
+
+class FakeHandle:
+    """List states of one key in memory, which count the calls, and the timers that were set."""
+
+    def __init__(self):
+        self.lists, self.calls, self.timers = {}, 0, []
+
+    def getListState(self, name, schema):
+        values, handle = self.lists.setdefault(name, []), self
+
+        class State:
+            def appendValue(self, value):
+                handle.calls += 1
+                values.append(value)
+
+            def get(self):
+                handle.calls += 1
+                return iter(values)
+
+            def clear(self):
+                handle.calls += 1
+                values.clear()
+
+        return State()
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.append(ms)
+
+
+class FakeTime:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_calls_to_the_state_do_not_grow_with_the_rows():
+    """Thousands of rows of a key are kept and given back by a handful of calls, not one or more each."""
+    handle = FakeHandle()
+    wait = SF.VerdictProcessor(["k", "__at", "__action"], ["__bucket", "k", "__answer", "__at", "__action"], 1000)
+    wait.init(handle)
+    rows = [(1, i, False, 0, None) for i in range(3000)] + [(1, i, True, 500_000, "block") for i in range(0, 3000, 2)]
+    assert list(wait.handleInputRows((1,), iter(rows), FakeTime(0))) == []
+    assert list(wait.handleExpiredTimer((1,), FakeTime(1001), FakeTime(501))) == []
+    got = list(wait.handleExpiredTimer((1,), FakeTime(1002), FakeTime(1001)))
+    assert [(r["k"], r["__action"]) for r in got] == [(i, None if i % 2 else "block") for i in range(3000)]
+    assert handle.calls < 30 and not any(handle.lists.values())
+
+    handle = FakeHandle()
+    order = SF.ReorderProcessor(["step", "__slice", "__at", "id", "status"], 3, 600_000)
+    order.init(handle)
+    events = [("a", 0, None, i, i, "xy"[i // 1500]) for i in reversed(range(3000))]
+    assert list(order.handleInputRows(("a", 0), iter(events), FakeTime(0))) == []
+    got = list(order.handleExpiredTimer(("a", 0), FakeTime(600_001), FakeTime(599_999)))
+    assert [(r["id"], r["status"], r["previous_status"], r["__first"]) for r in got] == [(0, "x", None, True), (1500, "y", "x", False)]
+    assert handle.calls < 30 and not any(handle.lists.values())

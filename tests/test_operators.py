@@ -350,3 +350,23 @@ def test_a_large_class_is_not_brought_into_one_task(spark):
     for placed in (X.stratified_folds(df, "label", "id", 5), X.stratified_split(df, "label", "id", 0.2)):
         tasks = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
         assert len(tasks) == 4 and max(tasks) == 500
+
+
+def test_a_scorer_gets_a_few_texts_at_a_time(spark):
+    """Its memory follows the texts of a call, not those of Spark's batch; NULL and NaN scores are missing."""
+    def load():
+        def score(texts):
+            if len(texts) > 500:
+                raise MemoryError("too many texts at a time")
+            # a larger call would be halved, and no longer have the size of a piece
+            return [float("nan") if t == "x7" else None if t is None else float(len(texts)) for t in texts]
+
+        return score
+
+    df = spark.range(0, 1600, numPartitions=1).select(
+        "id", F.when(F.col("id") != 9, F.concat(F.lit("x"), F.col("id"))).alias("text"), F.timestamp_seconds("id").alias("at")
+    )
+    got = {r["id"]: r for r in PL.score_partitions(df, load).collect()}
+    assert len(got) == 1600 and got[3]["at"] == df.filter("id = 3").first()["at"]
+    assert got[7]["score"] is None and got[9]["score"] is None and got[9]["error"] == "no result"
+    assert got[0]["score"] == 500.0 and got[1599]["score"] == 100.0 and got[0]["error"] is None

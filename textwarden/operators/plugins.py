@@ -5,8 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+CALL_ROWS = 500  # texts of one call, and of what is held beside Spark's own batch
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spark's batches, cut; only a piece's texts become Python strings, one piece at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, CALL_ROWS):
+            yield batch.slice(start, CALL_ROWS)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
 
 def score_partitions(
     df: DataFrame, load: Callable[[], Callable[[pd.Series], Iterable]], text: str = "text"
@@ -17,13 +31,16 @@ def score_partitions(
     that fails is halved; a text that fails alone gets no score and an error.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load()
-        for batch in batches:
-            yield batch.assign(**_call(scorer, batch[text], "score"))
+        for piece in _pieces(batches):
+            got = _call(scorer, _column(piece, text).to_pandas(), "score")
+            score = pa.Array.from_pandas(pd.Series(got["score"]), type=pa.float64())
+            error = pa.array(got["error"], pa.string())
+            yield pa.RecordBatch.from_arrays([*piece.columns, score, error], [*piece.schema.names, "score", "error"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
-    return df.mapInPandas(run, ", ".join([*fields, "score DOUBLE", "error STRING"]))
+    return df.mapInArrow(run, ", ".join([*fields, "score DOUBLE", "error STRING"]))
 
 
 def ask_reviewer(

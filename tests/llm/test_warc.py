@@ -143,6 +143,26 @@ def test_pages_equal_a_character_loop():
         assert (got.text, got.title, got.links) == by_characters(page), page
 
 
+def test_only_ascii_letters_are_lowered():
+    # characters whose lower case is longer, or an ASCII letter, and one that has no bytes
+    page = "İ\u212aſẞÀ\ud800<SCRIPT>x</ſCRIPT></Script ><TITLE>İA</Title><\u212a>B<P>C"
+    assert W.ascii_lower(page) == "".join(x.lower() if x.isascii() else x for x in page)
+    got = W.read_page(page)
+    assert (got.text, got.title) == ("İ\u212aſẞÀ\ud800\nİA\n<\u212a>B\nC", "İA")
+
+
+def test_letters_beyond_ascii_cost_little_more():
+    def seconds(word):
+        page, took = ("<p>" + word * 20) * 3000, []
+        for _ in range(3):
+            start = time.process_time()
+            W.read_page(page)
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert seconds("abcdefghij klmnopqrst é ") < 6 * seconds("abcdefghij klmnopqrst e ")
+
+
 def test_a_megabyte_of_unclosed_marks_takes_no_second():
     for mark in ("<script ", "<script>", "<!--", "<!-- -", "<a ", "<title>", "<", "</", "<p", "<html lang", "</script", "<style></script >", "<template></", "<title></titl"):
         page = mark * (1_000_000 // len(mark))

@@ -32,7 +32,7 @@ BLOCK = frozenset(
 NAME = re.compile(r"(/?)([a-z][a-z0-9]*)?")
 LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 HREF = re.compile(r"\bhref\s*=", re.I)
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+SPACES = re.compile(r"\s+")
 
 RECORDS = (
     "type string, record_id string, refers_to string, target_uri string, date string, content_type string,"
@@ -45,6 +45,15 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def ascii_lower(page: str) -> str:
+    """The page with A-Z in lower case and all else as it is, so that every place stays where it was.
+
+    Bytes are lowered just so, and at once; a table of characters is asked for each one of a page
+    that is not all ASCII.
+    """
+    return page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 class Page(NamedTuple):
     """What a page says: its visible text, its title and language if it has them, and its links."""
 
@@ -62,7 +71,7 @@ def read_page(page: str) -> Page:
     never closed is text.  References are decoded, blanks squeezed.  The title is that of the
     first title element that is closed, the language that of the first html mark.
     """
-    low, out, title, title_at, lang, links = page.translate(LOWER), [], None, None, None, 0
+    low, out, title, title_at, lang, links = ascii_lower(page), [], None, None, None, 0
     at, last_end = 0, page.rfind(">")
     while True:
         start = page.find("<", at)
@@ -125,37 +134,43 @@ def plain_text(page: str) -> str:
 
 
 def _header(fields: list[tuple[str, str | None]]) -> str:
-    clean = ((k, re.sub(r"\s+", " ", str(v))) for k, v in fields if v is not None)
-    return "WARC/1.1" + CRLF + "".join(f"{k}: {v}{CRLF}" for k, v in clean) + CRLF
+    return "WARC/1.1" + CRLF + _fields(fields) + CRLF
+
+
+def _fields(fields) -> str:
+    return "".join(f"{k}: {SPACES.sub(' ', str(v))}{CRLF}" for k, v in fields if v is not None)
 
 
 def _record(kind, record_id, refers_to, uri, date, content_type, block: bytes, source: str, more=()) -> tuple:
+    of_block = digest(block)
     head = _header([
         ("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Refers-To", refers_to), ("WARC-Target-URI", uri),
-        ("WARC-Date", date), ("WARC-Block-Digest", digest(block)), ("WARC-Source-Payload-Digest", source), *more,
+        ("WARC-Date", date), ("WARC-Block-Digest", of_block), ("WARC-Source-Payload-Digest", source), *more,
         ("Content-Type", content_type), ("Content-Length", len(block)),
     ])
-    return kind, record_id, refers_to, uri, date, content_type, len(block), digest(block), source, head, block
+    return kind, record_id, refers_to, uri, date, content_type, len(block), of_block, source, head, block
 
 
 def derive(record_id: str, uri: str | None, date: str | None, http: str | None, payload: str | None) -> list[tuple]:
     """The metadata and the conversion record of a response."""
     page = payload or ""
     source = digest(page.encode("utf-8", "replace"))
-    name = lambda kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {record_id} {source}')}>"
+    meta_id, text_id = (
+        f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {record_id} {source}')}>" for kind in ("metadata", "conversion")
+    )
     said = read_page(page)
     text = said.text
     fields = [
         ("title", said.title), ("lang", said.lang),
-        ("links", said.links), ("characters", len(text)), ("conversion-id", name("conversion")),
+        ("links", said.links), ("characters", len(text)), ("conversion-id", text_id),
         *(("source-header", x) for x in (http or "").splitlines() if x),
     ]
-    meta = "".join(f"{k}: {re.sub(r'\s+', ' ', str(v))}{CRLF}" for k, v in fields if v is not None)
+    meta = _fields(fields)
     about = (record_id, uri, date)
     return [
-        _record("metadata", name("metadata"), *about, "application/warc-fields", meta.encode("utf-8", "replace"), source),
-        _record("conversion", name("conversion"), *about, "text/plain; charset=utf-8",
-                text.encode("utf-8", "replace"), source, [("WARC-Concurrent-To", name("metadata"))]),
+        _record("metadata", meta_id, *about, "application/warc-fields", meta.encode("utf-8", "replace"), source),
+        _record("conversion", text_id, *about, "text/plain; charset=utf-8",
+                text.encode("utf-8", "replace"), source, [("WARC-Concurrent-To", meta_id)]),
     ]
 
 

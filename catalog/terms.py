@@ -81,18 +81,21 @@ def _sql_tfidf(limits: str) -> str:
       FROM r"""
 
 
+def _weights(spark, sf, *limits):
+    terms = TM.doc_terms(documents(spark, sf), "doc_id", "text", by_key=True)
+    n = table(spark, sf, "documents").count()
+    w = TM.tfidf(terms, "doc_id", TM.vocabulary(TM.term_stats(terms, n), n, *limits))
+    return w.withColumn("weight", F.round("weight", 6))
+
+
 @query("tfidf", _sql_tfidf(sql_vocabulary(10000)))
 def tfidf(spark, sf):
-    s, n = stats(spark, sf)
-    w = TM.tfidf(doc_terms(spark, sf), "doc_id", TM.vocabulary(s, n, 10000))
-    return w.withColumn("weight", F.round("weight", 6))
+    return _weights(spark, sf, 10000)
 
 
 @query("tfidf_limited", _sql_tfidf(sql_vocabulary(10000, 2, 0.95)))
 def tfidf_limited(spark, sf):
-    s, n = stats(spark, sf)
-    w = TM.tfidf(doc_terms(spark, sf), "doc_id", TM.vocabulary(s, n, 10000, 2, 0.95))
-    return w.withColumn("weight", F.round("weight", 6))
+    return _weights(spark, sf, 10000, 2, 0.95)
 
 
 SQL_COEFFICIENTS = f"""{SQL_TERMS}, marked AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df,

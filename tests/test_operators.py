@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
 
 import pytest
@@ -19,6 +20,7 @@ from textwarden.operators import reports as RP
 from textwarden.operators import splits as X
 from textwarden.operators import status as ST
 from textwarden.operators import terms as TM
+from textwarden.session import fresh_path
 
 START = dt.datetime(2024, 1, 1)
 
@@ -295,6 +297,45 @@ def test_terms_by_brute_force(spark):
     assert scores[3] == scores[4] == scores[5] == 0.5
 
 
+ODD_TEXTS = [(1, "b", "cat dog cat"), (1, "b", "cat dog cat"), (1, None, "dog"), (None, "a", "É dog_1 dog_1\n x\ndog"),
+             (None, "a", None), (3, "a", ""), (4, "a", "the a of"), (5, "a", "cat the cat")]
+
+
+def test_terms_by_key_are_the_same_rows(spark):
+    df = spark.createDataFrame(ODD_TEXTS, "id INT, k STRING, t STRING")
+    plain = TM.doc_terms(df, "id", "t", keep=["k"])
+    by_key = TM.doc_terms(df, "id", "t", keep=["k"], by_key=True)
+    assert by_key.schema == plain.schema
+    rows = lambda d: sorted(map(repr, d.collect()))
+    assert rows(by_key) == rows(plain) and len(rows(plain)) == 4 + 4 + 1 + 4 + 1 + 1 + 1 + 2
+
+
+def test_tfidf_cuts_the_texts_once(spark):
+    from catalog.terms import tfidf
+
+    folder = fresh_path(spark, "cut-once")
+    df = spark.createDataFrame(ODD_TEXTS, "doc_id INT, k STRING, text STRING")
+    df.write.parquet(f"{folder}/documents.parquet")
+    got = tfidf(spark, folder)
+    rows = got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert final.count("regexp_extract_all") == 1 and "ReusedExchange" in final
+    raw = {}
+    n, df_of = len(ODD_TEXTS), {"cat": 3, "dog": 4, "cat dog": 2, "dog cat": 2, "cat cat": 1, "dog_1": 1}
+    idf = lambda t: math.log((n + 1) / (df_of.get(t, 1) + 1)) + 1
+    for r in rows:
+        raw.setdefault(r["doc_id"], []).append((r["term"], r["tf"], r["tf"] * idf(r["term"]), r["weight"]))
+    assert {k: sorted((t, f) for t, f, _, _ in v) for k, v in raw.items()} == {
+        1: sorted([("cat", 2), ("dog", 1), ("cat dog", 1), ("dog cat", 1)] * 2 + [("dog", 1)]),
+        None: sorted([("dog_1", 2), ("dog", 1), ("dog_1 dog_1", 1), ("dog_1 dog", 1)]),
+        5: [("cat", 2), ("cat cat", 1)],
+    }
+    for v in raw.values():
+        norm = math.sqrt(sum(x * x for _, _, x, _ in v))
+        assert all(w == pytest.approx(x / norm, abs=1e-6) for _, _, x, w in v)
+
+
 def test_pass_rates(spark):
     rows = [("core_checks", "t1", "passed", None), ("core_checks", "t2", "failed", "x" * 200)]
     df = spark.createDataFrame(rows, "category STRING, test STRING, status STRING, error STRING")

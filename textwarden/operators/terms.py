@@ -29,19 +29,35 @@ def doc_terms(
     n: tuple[int, int] = (1, 2),
     stop_words: Iterable[str] = K.STOP_WORDS,
     keep: Iterable[str] = (),
+    by_key: bool = False,
 ) -> DataFrame:
     """One row per document and term with its count ``tf`` and the kept columns.
 
     The terms of a text are sorted and counted inside the row, so no shuffle is
     needed.  A text without terms gives one row with a NULL term.
+
+    ``by_key`` is for a plan that reads the table twice: the texts are shuffled by
+    their key once they are counted, one row each.  Spark does equal shuffles of a
+    plan once, so the texts are cut once, and a window by key needs no other one.
     """
     keys = [key, *keep]
-    return counted_terms(text_terms(df.select(*keys, text), text, n, stop_words), keys, "terms")
+    counts = term_counts(text_terms(df.select(*keys, text), text, n, stop_words), keys, "terms")
+    if by_key:
+        # joined, and in order, the terms take half the space; none of them holds a line end
+        counts = counts.withColumn("__term", F.array_join("__term", "\n")).repartition(key)
+        counts = counts.withColumn("__term", F.split("__term", "\n"))
+    return _term_rows(counts, keys)
 
 
 def counted_terms(df: DataFrame, keys: Iterable[str], terms: str) -> DataFrame:
     """One row per text and distinct term of an array of terms, with its count ``tf``."""
     keys = list(keys)
+    return _term_rows(term_counts(df, keys, terms), keys)
+
+
+def term_counts(df: DataFrame, keys: Iterable[str], terms: str) -> DataFrame:
+    """Each text with its distinct terms in order, ``__term``, and their counts, ``__tf``."""
+    keys = list(keys)
     rows = df.select(*keys, F.sort_array(terms).alias("__t"))
     starts = F.filter(
         F.sequence(F.lit(1), F.greatest(F.size("__t"), F.lit(1))),
@@ -49,16 +65,19 @@ def counted_terms(df: DataFrame, keys: Iterable[str], terms: str) -> DataFrame:
     )
     rows = rows.select(*keys, "__t", F.when(F.size("__t") > 0, starts).alias("__s"))
     ends = F.concat(F.slice("__s", F.lit(2), F.size("__s")), F.array(F.size("__t") + 1))
-    counted = F.zip_with(
-        "__s",
-        ends,
-        lambda a, b: F.struct(F.get("__t", a - 1).alias("term"), (b - a).alias("tf")),
-    )
-    return rows.select(*keys, F.explode_outer(counted).alias("__c")).select(
-        *keys, F.col("__c.term").alias("term"), F.col("__c.tf").cast("bigint").alias("tf")
+    return rows.select(
+        *keys,
+        F.transform("__s", lambda a: F.get("__t", a - 1)).alias("__term"),
+        F.zip_with("__s", ends, lambda a, b: b - a).alias("__tf"),
     )
 
 
+def _term_rows(counts: DataFrame, keys: list[str]) -> DataFrame:
+    pairs = F.arrays_zip(F.col("__term").alias("term"), F.col("__tf").alias("tf"))
+    rows = counts.select(*keys, F.inline_outer(pairs).alias("term", "tf"))
+    return rows.withColumn("tf", F.col("tf").cast("bigint"))
+
+
 def term_stats(terms: DataFrame, n_docs: int) -> DataFrame:
     """Corpus frequency, document frequency and smoothed idf of every term.
 
@@ -95,7 +114,7 @@ def tfidf(terms: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """Length-normalised tf * idf per document and vocabulary term.
 
     The vocabulary has at most max_features rows; the window by document needs
-    one shuffle of the terms that are left.
+    one shuffle of the terms that are left, or none where they lie by document.
     """
     known = terms.join(vocab.select("term", "idf"), "term")
     raw = F.col("tf") * F.col("idf")

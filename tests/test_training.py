@@ -128,3 +128,55 @@ def test_training_stops_after_failed_validation(spark, rows):
     with pytest.raises(ValueError, match="validation failed"):
         TR.run_training(spark, few, few, out, settings=SMALL)
     assert spark.read.json(f"{out}/validation_report").first()["validation_passed"] is False
+
+
+def test_folds_are_stored_not_cached(spark, rows, monkeypatch):
+    """No table of texts is kept in the executors' memory, and what was stored is gone at the end."""
+    from textwarden.sources import folders
+
+    gone = []
+
+    def removed(session, folder):
+        gone.append(folder)
+        assert {s.getPath().getName() for s in folders._inside(session, folder)} >= {"words", "stats", "vectors"}
+        folders.remove(session, folder)
+
+    monkeypatch.setattr(type(rows), "persist", lambda *a, **b: pytest.fail("a table was cached"))
+    monkeypatch.setattr(type(rows), "cache", lambda *a, **b: pytest.fail("a table was cached"))
+    monkeypatch.setattr(TR, "remove", removed)
+    _, metrics = TR.train_classifier(rows, settings=SMALL)
+    assert metrics.count() == 3 and len(gone) == 1
+    assert not folders.is_folder(spark, gone[0])
+
+
+def test_a_fold_is_measured_by_its_own_vocabulary(spark):
+    """The counts are stored for the terms of all folds; one that a fold's training part lacks weighs nothing."""
+    words = ["awful", "lovely", "river", "stone", "paper", "green", "table", "cloud"]
+    data = [(i, f"{words[i * 5 % 8]} {words[i * 3 % 7]} only{i} {'rotten' if i % 3 == 0 else 'gentle'}", int(i % 3 == 0)) for i in range(60)]
+    rows = spark.createDataFrame(data, "doc_id INT, comment_text STRING, toxic INT")
+    settings = TR.Settings(max_features=12, max_iter=200, tol=1e-12, folds=2, c=0.05)
+    _, metrics = TR.train_classifier(rows, settings=settings)
+    folded = TR.X.stratified_folds(rows, "toxic", "doc_id", 2, settings.seed)
+    for fold, got in {r["fold"]: r for r in metrics.collect()}.items():
+        model = TR.fit_all(folded.filter(F.col("fold") != fold), settings=settings)
+        scored = TR.score_texts(model, folded.filter(F.col("fold") == fold))
+        want = TR.E.binary_metrics(scored, "toxic", "pred", "score").first()
+        assert [got[c] for c in ("tp", "fp", "fn", "tn")] == [want[c] for c in ("tp", "fp", "fn", "tn")]
+        assert abs(got["roc_auc"] - want["roc_auc"]) < 1e-9
+
+
+def test_the_tasks_of_a_fit_follow_the_entries_of_its_vectors(spark, rows, monkeypatch):
+    """Vectors lie in partitions of at most about PART_BYTES, in blocks that are read back some at a time."""
+    seen = []
+    fit = TR.LogisticRegression.fit
+
+    def counted(self, table):
+        seen.append((table.rdd.getNumPartitions(), self.getMaxBlockSizeInMB()))
+        return fit(self, table)
+
+    monkeypatch.setattr(TR.LogisticRegression, "fit", counted)
+    monkeypatch.setattr(TR, "PART_BYTES", 4000)
+    entries = TM.term_stats(TM.doc_terms(rows, "doc_id", "comment_text"), 240).orderBy(F.desc("tf"), "term").limit(60)
+    size = entries.agg(F.sum("df")).first()[0] * TR.ENTRY_BYTES
+    TR.fit_all(rows, settings=SMALL)
+    assert seen == [(-(-size // 4000), TR.BLOCK_MB)] and seen[0][0] > 1

@@ -7,6 +7,9 @@ length normalisation, logistic regression.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -36,12 +39,16 @@ from textwarden.operators import registry as R
 from textwarden.operators import splits as X
 from textwarden.operators import terms as TM
 from textwarden.plans.stages import Stages, table_fingerprint
-from textwarden.session import materialized
+from textwarden.session import fresh_path, materialized
 from textwarden.sources import sinks
 from textwarden.sources.files import read_registry
-from textwarden.sources.folders import read_text, write_text
+from textwarden.sources.folders import read_text, remove, write_text
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
+GROUP_BYTES = 16 << 20  # of a stored table that a task holds until it writes them
+PART_BYTES = 32 << 20  # of vectors that a task of a fit has
+ENTRY_BYTES = 12  # of a vector: a place and a value
+BLOCK_MB = 0.25  # of vectors that a fit caches, or reads back from disk, in one object
 
 
 @dataclass(frozen=True)
@@ -65,14 +72,19 @@ class Settings:
 BALANCED = Settings(min_df=2, max_df=0.95, balanced=True)
 
 
-def _text_stages(s: Settings, text: str) -> list:
-    """Stages from a text to its array of terms."""
-    stages = [
+def _word_stages(s: Settings, text: str) -> list:
+    """Stages from a text to its words that are no stop words."""
+    return [
         RegexTokenizer(
             inputCol=text, outputCol="__words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True
         ),
         StopWordsRemover(inputCol="__words", outputCol="__kept", stopWords=list(s.stop_words)),
     ]
+
+
+def _term_stages(s: Settings) -> list:
+    """Stages from the words of a text to its array of terms."""
+    stages: list = []
     lo, hi = s.ngram_range
     grams = ["__kept"] if lo == 1 else []
     for n in range(max(lo, 2), hi + 1):
@@ -82,18 +94,25 @@ def _text_stages(s: Settings, text: str) -> list:
     return stages
 
 
-def _vocabulary_stages(spark: SparkSession, vocab: list) -> list:
-    """Stages from terms to the normalised tf-idf vector of a collected vocabulary.
+def _counting(spark: SparkSession, terms: Iterable[str], counts: str = "__counts") -> CountVectorizerModel:
+    """The stage that counts the terms of a collected vocabulary.
+
+    It is fitted on one row that holds the vocabulary, which hands it over in one piece.
+    """
+    terms = list(terms)
+    listed = spark.createDataFrame([(terms,)], "__terms ARRAY<STRING>")
+    return CountVectorizer(vocabSize=len(terms), inputCol="__terms", outputCol=counts).fit(listed)
+
+
+def _weighting(counting: CountVectorizerModel, vocab: list) -> list:
+    """Stages from counts to the normalised tf-idf vector of a vocabulary.
 
-    The counting stage is fitted on one row that holds the vocabulary, which
-    hands it over in one piece; the idf weights follow the order it chose.
+    The idf weights follow the order that the counting stage chose; a term it counts that is
+    not in the vocabulary weighs nothing.
     """
     idf = {r["term"]: r["idf"] for r in vocab}
-    listed = spark.createDataFrame([(list(idf),)], "__terms ARRAY<STRING>")
-    counts = CountVectorizer(vocabSize=len(idf), inputCol="__terms", outputCol="__counts").fit(listed)
-    weights = Vectors.dense([idf[t] for t in counts.vocabulary])
+    weights = Vectors.dense([idf.get(t, 0.0) for t in counting.vocabulary])
     return [
-        counts,
         ElementwiseProduct(scalingVec=weights, inputCol="__counts", outputCol="__weighted"),
         Normalizer(p=2.0, inputCol="__weighted", outputCol="features_vector"),
     ]
@@ -107,12 +126,38 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key)
 
 
-def _fold_stats(kept: DataFrame, key: str, s: Settings) -> DataFrame:
+@contextmanager
+def _folder(spark: SparkSession):
+    """A way to store tables that are read many times, as files that go at the end.
+
+    Cached rows of texts fill the memory of an executor and are copied whole, once more, where
+    a task reads those of another executor; files are read some rows at a time by any task.
+    """
+    path = fresh_path(spark, "training-tables")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    try:
+        yield stored
+    finally:
+        remove(spark, path)
+
+
+def _words(rows: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
+    """Each row, dealt evenly, with its words instead of key and text, and a number of its own."""
+    words = PipelineModel(_word_stages(s, text)).transform(_spread(rows, key))
+    others = [c for c in rows.columns if c not in (key, text)]
+    return words.select(F.monotonically_increasing_id().alias("__row"), *others, "__kept")
+
+
+def _fold_stats(terms: DataFrame, s: Settings) -> DataFrame:
     """Term and document frequency of every term, in all and per fold, in one shuffle.
 
-    ``kept`` has the terms of each text as the pipeline cut them.
+    ``terms`` has the terms of each text as the pipeline cut them.
     """
-    terms = TM.counted_terms(kept, [key, "fold"], "__terms")
+    counted = TM.counted_terms(terms, ["fold"], "__terms")
     per_fold = [
         agg
         for i in range(s.folds)
@@ -121,8 +166,9 @@ def _fold_stats(kept: DataFrame, key: str, s: Settings) -> DataFrame:
             F.count_if(F.col("fold") == i).alias(f"df_{i}"),
         )
     ]
-    known = terms.filter("term IS NOT NULL")
-    return known.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"), *per_fold)
+    sums = counted.filter("term IS NOT NULL").groupBy("term").agg(*per_fold)
+    whole = lambda c: reduce(lambda a, b: a + b, [F.col(f"{c}_{i}") for i in range(s.folds)])
+    return sums.select("*", whole("tf").alias("tf"), whole("df").alias("df"))
 
 
 def _vocabulary(stats: DataFrame, n_docs: int, s: Settings, without: int | None = None) -> list:
@@ -134,13 +180,22 @@ def _vocabulary(stats: DataFrame, n_docs: int, s: Settings, without: int | None
             (F.col("df") - F.col(f"df_{without}")).alias("df"),
         ).filter("df > 0")
     top = TM.vocabulary(stats, n_docs, s.max_features, s.min_df, s.max_df)
-    return top.select("term", TM.smooth_idf(F.lit(n_docs), F.col("df")).alias("idf")).collect()
+    return top.select("term", "df", TM.smooth_idf(F.lit(n_docs), F.col("df")).alias("idf")).collect()
+
 
+def _fit(
+    counted: DataFrame, counting: CountVectorizerModel, vocab: list, classes: dict, label: str, s: Settings
+) -> list:
+    """The weighting stages with the regression fitted on rows that have their counts.
 
-def _fit(rows: DataFrame, vocab: list, n: int, label: str, s: Settings) -> list:
-    """The vocabulary stages with the regression fitted on rows that have their terms."""
-    stages = _vocabulary_stages(rows.sparkSession, vocab)
-    vectors = PipelineModel(stages).transform(rows)
+    ``classes`` has the number of rows of each class.
+    """
+    n = sum(classes.values())
+    # every iteration is a job over all partitions: let their number follow the vectors' size
+    parts = math.ceil(sum(r["df"] for r in vocab) * ENTRY_BYTES / PART_BYTES)
+    dealt = counted.select("__row", label, "__counts").repartition(max(1, parts), "__row")
+    stages = _weighting(counting, vocab)
+    vectors = PipelineModel(stages).transform(dealt)
     lr = LogisticRegression(
         featuresCol="features_vector",
         labelCol=label,
@@ -150,16 +205,18 @@ def _fit(rows: DataFrame, vocab: list, n: int, label: str, s: Settings) -> list:
         maxIter=s.max_iter,
         tol=s.tol,
         family="binomial",
+        maxBlockSizeInMB=BLOCK_MB,
     )
     if s.balanced:
-        counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
         weight = reduce(
-            lambda w, kv: w.when(F.col(label) == kv[0], n / (2.0 * kv[1])), counts.items(), F
+            lambda w, kv: w.when(F.col(label) == kv[0], n / (2.0 * kv[1])), classes.items(), F
         )
         vectors, lr = vectors.withColumn("__weight", weight), lr.setWeightCol("__weight")
-    narrow = vectors.select(label, "features_vector", *(["__weight"] if s.balanced else []))
-    # every iteration is a job over all partitions: let their number follow the vectors' size
-    return [*stages, lr.fit(narrow.hint("rebalance"))]
+    return [*stages, lr.fit(vectors.select(label, "features_vector", *(["__weight"] if s.balanced else [])))]
+
+
+def _class_sizes(rows: DataFrame, label: str, *by: str) -> list:
+    return rows.groupBy(label, *by).agg(F.count("*").alias("n")).collect()
 
 
 def _predict(stages: list, rows: DataFrame) -> DataFrame:
@@ -178,37 +235,53 @@ def train_classifier(
 ) -> tuple[PipelineModel, DataFrame]:
     """The model fitted on all rows and one row of metrics per fold.
 
-    The terms of every text are kept once; the vocabularies of all folds come
-    from one aggregation.  Only vocabularies and coefficients, max_features
-    entries each, reach the driver.
+    Texts are cut into words once and counted once, both stored as files; the
+    vocabularies of all folds come from one aggregation.  Only vocabularies and
+    coefficients, max_features entries each, reach the driver.
     """
-    s = settings
+    s, spark = settings, df.sparkSession
     rows = df.select(key, text, F.col(label).cast("int").alias(label))
     folded = X.stratified_folds(rows, label, key, s.folds, s.seed)
-    sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    n = sum(sizes.values())
-    text_stages = _text_stages(s, text)
-    kept = PipelineModel(text_stages).transform(_spread(folded, key)).select(key, label, "fold", "__terms").persist()
-    stats = _fold_stats(kept, key, s).persist()
+    threaded = inheritable_thread_target(spark)
+    with _folder(spark) as stored, ThreadPool(s.fits_at_once) as pool:
+        words = stored(_words(folded, key, text, s), "words")
+        terms = PipelineModel(_term_stages(s)).transform(words)
+        stats = stored(_fold_stats(terms, s), "stats")
+        sizes = _class_sizes(words, label, "fold")
+        wanted = [*range(s.folds), None]
+
+        def classes_without(fold: int | None) -> dict:
+            found: dict = {}
+            for r in sizes:
+                if r["fold"] != fold:
+                    found[r[label]] = found.get(r[label], 0) + r["n"]
+            return found
+
+        def vocabulary_without(fold: int | None) -> list:
+            return _vocabulary(stats, sum(classes_without(fold).values()), s, fold)
+
+        vocabs = dict(zip(wanted, pool.map(threaded(vocabulary_without), wanted)))
+        # the texts are counted once for all folds, by the terms of any, and once for the final model
+        of_folds = sorted({r["term"] for i in range(s.folds) for r in vocabs[i]})
+        counting = {i: c for c in [_counting(spark, of_folds)] for i in range(s.folds)}
+        counting[None] = _counting(spark, [r["term"] for r in vocabs[None]])
+        both = PipelineModel([counting[0], counting[None].copy().setOutputCol("__final")]).transform(terms)
+        vectors = stored(both.select("__row", label, "fold", "__counts", "__final"), "vectors")
+
+        def fit_without(fold: int | None) -> list:
+            if fold is None:
+                train = vectors.select("__row", label, F.col("__final").alias("__counts"))
+            else:
+                train = vectors.filter(F.col("fold") != fold)
+            return _fit(train, counting[fold], vocabs[fold], classes_without(fold), label, s)
 
-    def fit_without(fold: int | None) -> list:
-        train_n = n - sizes.get(fold, 0)
-        train = kept if fold is None else kept.filter(F.col("fold") != fold)
-        return _fit(train, _vocabulary(stats, train_n, s, fold), train_n, label, s)
-
-    try:
         # the fits are independent jobs, some at a time; each caches its own vectors
-        with ThreadPool(s.fits_at_once) as pool:
-            run = inheritable_thread_target(df.sparkSession)(fit_without)
-            *fitted, final = pool.map(run, [*range(s.folds), None])
-        parts = [_predict(m, kept.filter(F.col("fold") == i)) for i, m in enumerate(fitted)]
+        *fitted, final = pool.map(threaded(fit_without), wanted)
+        parts = [_predict(m, vectors.filter(F.col("fold") == i)) for i, m in enumerate(fitted)]
         tested = reduce(DataFrame.unionByName, [p.select("fold", label, "pred", "score") for p in parts])
-        # one row per fold; storing them frees the cached terms
+        # one row per fold; storing them frees the tables
         metrics = materialized(E.binary_metrics(tested, label, "pred", "score", ["fold"]))
-    finally:
-        stats.unpersist()
-        kept.unpersist()
-    return PipelineModel([*text_stages, *final]), metrics
+    return PipelineModel([*_word_stages(s, text), *_term_stages(s), counting[None], *final]), metrics
 
 
 def train_with_holdout(
@@ -239,17 +312,17 @@ def fit_all(
     settings: Settings = Settings(),
 ) -> PipelineModel:
     """The model fitted on all rows, without cross-validation."""
-    s = settings
+    s, spark = settings, df.sparkSession
     rows = df.select(key, text, F.col(label).cast("int").alias(label))
-    stages = _text_stages(s, text)
-    kept = PipelineModel(stages).transform(_spread(rows, key)).select(key, label, "__terms").persist()
-    try:
-        n = kept.count()
-        stats = TM.term_stats(TM.counted_terms(kept, [key], "__terms"), n)
-        final = _fit(kept, _vocabulary(stats, n, s), n, label, s)
-    finally:
-        kept.unpersist()
-    return PipelineModel([*stages, *final])
+    with _folder(spark) as stored:
+        words = stored(_words(rows, key, text, s), "words")
+        terms = PipelineModel(_term_stages(s)).transform(words)
+        classes = {r[label]: r["n"] for r in _class_sizes(words, label)}
+        n = sum(classes.values())
+        vocab = _vocabulary(TM.term_stats(TM.counted_terms(terms, [], "__terms"), n), n, s)
+        counting = _counting(spark, [r["term"] for r in vocab])
+        final = _fit(counting.transform(terms), counting, vocab, classes, label, s)
+    return PipelineModel([*_word_stages(s, text), *_term_stages(s), counting, *final])
 
 
 def score_texts(model: PipelineModel, df: DataFrame, text: str = "comment_text") -> DataFrame:

@@ -171,6 +171,12 @@ def moderation_by_model(spark, sf):
     )
 
 
+def _split(spark, sf):
+    """Training and test rows, joined and split once and stored: a run reads them many times."""
+    split = sinks.stored(X.stratified_split(labelled(spark, sf), "toxic", "doc_id"), fresh_path(spark, "split"))
+    return [split.filter(F.col("split") == n).drop("split") for n in ("train", "test")]
+
+
 @query(
     "training_run",
     f"""WITH {_SQL_RANKED}, s AS (SELECT {_IS_TEST} AS test, toxic, d.text FROM h JOIN documents d USING (doc_id)
@@ -180,8 +186,7 @@ def moderation_by_model(spark, sf):
 )
 def training_run(spark, sf):
     """Validation, training, evaluation and registration: what the written reports say."""
-    split = X.stratified_split(labelled(spark, sf), "toxic", "doc_id")
-    train, test = (split.filter(F.col("split") == n).drop("split") for n in ("train", "test"))
+    train, test = _split(spark, sf)
     out = fresh_path(spark, "training")
     gate = TR.run_training(spark, train, test, out, min_rows=50)
     rows = spark.read.json(f"{out}/validation_report").select(
@@ -208,8 +213,7 @@ QUICK = TR.Settings(max_features=300, max_iter=5, folds=2)
 )
 def training_resumed(spark, sf):
     """The stages that five runs into one folder have to do, as their inputs change."""
-    split = X.stratified_split(labelled(spark, sf), "toxic", "doc_id")
-    train, test = (split.filter(F.col("split") == n).drop("split") for n in ("train", "test"))
+    train, test = _split(spark, sf)
     out, rows = fresh_path(spark, "resumed"), []
     other = TR.Settings(**{**vars(QUICK), "c": 0.5})
     for run, part, settings, gate in (

@@ -45,7 +45,6 @@ from textwarden.sources.files import read_registry
 from textwarden.sources.folders import read_text, remove, write_text
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
-GROUP_BYTES = 16 << 20  # of a stored table that a task holds until it writes them
 PART_BYTES = 32 << 20  # of vectors that a task of a fit has
 ENTRY_BYTES = 12  # of a vector: a place and a value
 BLOCK_MB = 0.25  # of vectors that a fit caches, or reads back from disk, in one object
@@ -128,27 +127,18 @@ def _spread(rows: DataFrame, key: str) -> DataFrame:
 
 @contextmanager
 def _folder(spark: SparkSession):
-    """A way to store tables that are read many times, as files that go at the end.
-
-    Cached rows of texts fill the memory of an executor and are copied whole, once more, where
-    a task reads those of another executor; files are read some rows at a time by any task.
-    """
+    """A way to store tables that are read many times, as files that go at the end."""
     path = fresh_path(spark, "training-tables")
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
     try:
-        yield stored
+        yield lambda df, name: sinks.stored(df, f"{path}/{name}")
     finally:
         remove(spark, path)
 
 
 def _words(rows: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
-    """Each row, dealt evenly, with its words instead of key and text, and a number of its own."""
+    """The rows, dealt evenly, with their words instead of the text, and a number of their own."""
     words = PipelineModel(_word_stages(s, text)).transform(_spread(rows, key))
-    others = [c for c in rows.columns if c not in (key, text)]
+    others = [c for c in rows.columns if c != text]
     return words.select(F.monotonically_increasing_id().alias("__row"), *others, "__kept")
 
 
@@ -241,13 +231,14 @@ def train_classifier(
     """
     s, spark = settings, df.sparkSession
     rows = df.select(key, text, F.col(label).cast("int").alias(label))
-    folded = X.stratified_folds(rows, label, key, s.folds, s.seed)
     threaded = inheritable_thread_target(spark)
     with _folder(spark) as stored, ThreadPool(s.fits_at_once) as pool:
-        words = stored(_words(folded, key, text, s), "words")
-        terms = PipelineModel(_term_stages(s)).transform(words)
+        # the given rows are read once; folds and all that follows come from the files
+        words = stored(_words(rows, key, text, s), "words")
+        folded = X.stratified_folds(words, label, key, s.folds, s.seed)
+        terms = PipelineModel(_term_stages(s)).transform(folded)
         stats = stored(_fold_stats(terms, s), "stats")
-        sizes = _class_sizes(words, label, "fold")
+        sizes = _class_sizes(folded, label, "fold")
         wanted = [*range(s.folds), None]
 
         def classes_without(fold: int | None) -> dict:
@@ -295,9 +286,11 @@ def train_with_holdout(
     """Model of all rows, fold metrics of the training part, holdout predictions.
 
     A first model is fitted and cross-validated on the training part and scored
-    on the rest; the second one is fitted on all rows.
+    on the rest; the second one is fitted on all rows.  The split rows are stored in the
+    shared folder, where the predictions are read from.
     """
     split = X.stratified_split(df.select(key, text, label), label, key, test_size, settings.seed)
+    split = sinks.stored(split, fresh_path(df.sparkSession, "split"))
     train = split.filter("split = 'train'").drop("split")
     first, metrics = train_classifier(train, key, text, label, settings)
     held = score_texts(first, split.filter("split = 'test'"), text)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from textwarden import constants as K
 from textwarden.sources.folders import files_in, partitions, remove
 
+GROUP_BYTES = 16 << 20  # of a stored table that a task holds until it writes them
+
 
 def write_table(
     df: DataFrame,
@@ -39,6 +41,16 @@ def write_table(
     writer.save(path)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The same rows, written once as Parquet and read from there.
+
+    Cached rows of texts fill the memory of an executor and are copied whole, once more, where
+    a task reads those of another executor; files are read some rows at a time by any task.
+    """
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_run(df: DataFrame, path: str, run: str, partition_by: Sequence[str] = ("day",)) -> DataFrame:
     """Write what one run has made into a table that many runs write; returns the folders it has now.
 

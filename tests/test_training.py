@@ -180,3 +180,42 @@ def test_the_tasks_of_a_fit_follow_the_entries_of_its_vectors(spark, rows, monke
     size = entries.agg(F.sum("df")).first()[0] * TR.ENTRY_BYTES
     TR.fit_all(rows, settings=SMALL)
     assert seen == [(-(-size // 4000), TR.BLOCK_MB)] and seen[0][0] > 1
+
+
+def _watched(spark, rows):
+    """The same rows, and how many of them have been read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    return spark.createDataFrame(rows.rdd.map(seen), rows.schema), read
+
+
+def test_a_training_reads_its_rows_once(spark, rows):
+    watched, read = _watched(spark, rows)
+    TR.train_classifier(watched, settings=SMALL)
+    assert read.value == 240
+    TR.fit_all(watched, settings=SMALL)
+    assert read.value == 480
+
+
+def test_a_holdout_caches_no_texts(rows, monkeypatch):
+    monkeypatch.setattr(type(rows), "persist", lambda *a, **b: pytest.fail("a table was cached"))
+    settings = TR.Settings(max_features=60, max_iter=5, folds=2, min_df=2, max_df=0.95, balanced=True)
+    _, _, held = TR.train_with_holdout(rows, settings=settings)
+    # the split rows are stored: scoring them does not read what was given
+    assert held.inputFiles() and held.count() == 48
+
+
+def test_runs_read_stored_rows(spark, rows, tmp_path):
+    """The checked runs join texts and labels once, not for every fingerprint and stage."""
+    from catalog import model as CM
+
+    rows.select("doc_id", F.col("comment_text").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    train, test = CM._split(spark, str(tmp_path))
+    assert all("/split-" in f for part in (train, test) for f in part.inputFiles())
+    assert (train.count(), test.count()) == (192, 48)
+    assert train.unionByName(test).exceptAll(CM.labelled(spark, str(tmp_path))).count() == 0
